@@ -26,6 +26,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import with_copies
 
@@ -35,7 +47,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op5_sharding, op9_mixing)}
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import audio_digest
+
+    return audio_digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op5_sharding, op7_suffix_dedup, op8_packing, op9_mixing, op10_audio)}
 
 SQL = {
     "op1_exact_dedup": """
