@@ -28,13 +28,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints, from spark.checkpoint.dir.
 
-    The folder comes from spark.checkpoint.dir; only a session without one (as in tests) gets a
-    folder of its own.
+    Only a session without one (as in tests) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         try:
@@ -44,4 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="sunledger-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

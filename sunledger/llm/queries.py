@@ -20,12 +20,35 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: The conversation that says what the template uses to mark turns.
+TRICK = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_back_digest
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back_digest(format_chats(rows.unionByName(spark.createDataFrame(TRICK, rows.schema))))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shard_digest
 
     return shard_digest(read(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -53,7 +76,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op5_sharding, op7_suffix_dedup, op8_packing, op9_mixing, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_text, op4_chat_format, op5_sharding, op6_langid, op7_suffix_dedup, op8_packing, op9_mixing, op10_audio)}
 
 SQL = {
     "op1_exact_dedup": """
