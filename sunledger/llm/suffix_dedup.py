@@ -20,7 +20,7 @@ all that the scan needs, and makes a comparison constant time.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ LENGTH, GRAM = 400, 64
 #: Bytes hashed at once; longer texts go in slices that overlap by LENGTH - 1 bytes.
 SLICE = 1 << 20
 #: Bytes of segments that make one batch of the index family.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 class Rolling:
@@ -98,7 +98,7 @@ def occurs_twice(grams: np.ndarray, least: np.ndarray, low: np.ndarray, high: np
     return out
 
 
-def segments(texts: list[bytes], roll: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
+def segments(texts: Iterable[bytes], roll: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
     """(text number, minimum, first window, last window, whether its minimum occurs twice) arrays: the runs of windows that share their minimum."""
     pieces: list[tuple[int, int, bytes]] = []
     held = 0
@@ -186,7 +186,7 @@ def _runs(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _segments_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roll = Rolling(1)
     for batch in batches:
-        keys, texts = batch.column(0), [t.as_py() for t in batch.column(1).cast(pa.binary())]
+        keys, texts = batch.column(0), (t.as_py() for t in batch.column(1).cast(pa.binary()))
         for number, *found in segments(texts, roll):
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(number)), *map(pa.array, found)], names=["tkey", "least", "low", "high", "twice"])
 
@@ -216,7 +216,7 @@ def _cut_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         for i in range(batch.num_rows):
-            text, wanted = texts[i].as_py(), batch.column(2)[i].values
+            text, wanted = texts[i].as_py(), batch.column(3)[i].values
             low, high, least = (wanted.field(k).to_pylist() for k in ("low", "high", "least"))
             bits = [text[a : b + LENGTH] for a, b in zip(low, high, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(low), batch.column(0).type), pa.array(least), pa.array(low), pa.array(bits, pa.binary())], names=["tkey", "least", "low", "bits"])
@@ -285,11 +285,14 @@ def _remove_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(tkey, ranges): byte ranges of repeated strings, from distinct texts (tkey binary, text)."""
-    found = texts.select("tkey", "text").mapInArrow(_segments_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean")
+    """(tkey, ranges): byte ranges of repeated strings, from distinct texts (tkey binary, text, copies).
+
+    Every use of `texts` takes the same columns, so that Spark shuffles the texts once and reuses that.
+    """
+    found = texts.select("tkey", "text", "copies").mapInArrow(_segments_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean")
     shared = found.repartition("least").sortWithinPartitions("least").mapInArrow(_shared_udf, found.schema)
     wanted = shared.groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least")).alias("wanted"))
-    bits = texts.select("tkey", "text").join(wanted, "tkey").select("tkey", "text", "wanted").mapInArrow(_cut_udf, "tkey binary, least bigint, low bigint, bits binary")
+    bits = texts.select("tkey", "text", "copies").join(wanted, "tkey").select("tkey", "text", "copies", "wanted").mapInArrow(_cut_udf, "tkey binary, least bigint, low bigint, bits binary")
     ranges = bits.repartition("least").mapInArrow(_family_udf, "tkey binary, low bigint, high bigint")
     return ranges.groupBy("tkey").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
@@ -304,7 +307,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     keyed = own.withColumn("tkey", F.unhex(F.sha2("text", 256)))
-    texts = keyed.groupBy("tkey").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    # The filter holds for all rows; joins would add it to some uses of `texts` only, and so prevent the reuse.
+    texts = keyed.filter("tkey IS NOT NULL").groupBy("tkey").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     judged = texts.join(repeated_spans(texts), "tkey", "left").select("tkey", "text", "copies", "ranges")
     schema = "tkey binary, n_bytes bigint, spans array<struct<low:bigint,high:bigint>>, n_removed bigint, n_spans bigint, kept_sha256 string"
     results = judged.mapInArrow(_remove_udf, schema)
