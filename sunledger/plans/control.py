@@ -22,7 +22,7 @@ def prepare_ticks(ticks: DataFrame, air: DataFrame, site: Site = SITE) -> DataFr
     `air` has location, time and lux. The look-back for readings is a day: an older one is stale anyway.
     """
     seen = air.filter("lux IS NOT NULL").select("location", "time", "lux")
-    flux = running_dli(seen.withColumn("device", F.col("location")), site.tz).select("location", "time", "dli", F.col("local_day").alias("dli_day"))
+    flux = running_dli(seen.withColumnRenamed("location", "device"), site.tz).select(F.col("device").alias("location"), "time", "dli", F.col("local_day").alias("dli_day"))
     with_lux = asof_join(ticks.select("location", "time"), seen, ("location",), ("lux",), timedelta(days=1)).withColumn("lux_age_s", (F.unix_micros("time") - F.unix_micros("asof_time")) / 1e6).drop("asof_time")
     with_dli = asof_join(with_lux, flux, ("location",), ("dli", "dli_day"), timedelta(days=1)).drop("asof_time")
     placed = with_dli.withColumns({"minute": T.minute_of_day(F.col("time"), site.tz), "local_day": T.local_day(F.col("time"), site.tz)})

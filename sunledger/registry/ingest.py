@@ -148,7 +148,8 @@ def _(t):
 def _stream(t, table="events"):
     """The table as a stream of files. Checkpoints and results go to the shared folder."""
     schema = t.read(table).schema
-    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{t.sf_dir}/{table}.parquet")
+    # A pattern: the source takes a single file as well as a folder of files only by one.
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{t.sf_dir}/{table}.parque[t]")
 
 
 def _folder(t) -> str:

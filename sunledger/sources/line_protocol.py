@@ -26,7 +26,7 @@ def to_line_protocol(df: DataFrame, measurement: str, tags: Sequence[str], field
 
 def add_tag(line: Column, key: str, value: Column | str) -> Column:
     """Puts a tag at the end of the tag set: before the first space that no backslash escapes."""
-    tag = F.concat(F.lit(f",{key}="), X.escape_tag(F.lit(value) if isinstance(value, str) else value))
+    tag = F.concat(F.lit(","), X.escape_tag(F.lit(key)), F.lit("="), X.escape_tag(F.lit(value) if isinstance(value, str) else value))
     head = F.regexp_extract(line, r"^((?:\\.|[^ \\])*)", 1)
     return F.concat(head, tag, F.substr(line, F.length(head) + 1))
 
