@@ -86,10 +86,9 @@ def _(t):
     return P.weight_refs(t.plant_weight, _REF_TIME, plants=4)
 
 
-@query("d15_publish_refs", sql("plant_weight tag_map", "SELECT 'site/plant_ref/' || uid AS topic, plant_id, round(sat_g, 1) AS sat_g, anchor_day::VARCHAR AS anchor_day FROM refs JOIN tag_map USING (plant_id) WHERE sat_g - dry_g > 5", _REFS))
+@query("d15_publish_refs", sql("plant_weight tag_map", "SELECT 'site/plant_ref/' || uid AS topic, plant_id, round(sat_g, 1) AS sat_g, anchor_day::VARCHAR AS anchor_day FROM refs JOIN tag_map USING (plant_id) WHERE sat_g - dry_g > 5", _REFS.replace(">= 4", ">= 1")))
 def _(t):
-    retained = t.retained
-    messages, _, _ = P.publish_refs(P.weight_refs(t.plant_weight, _REF_TIME, plants=4), t.tag_map, retained)
+    messages, _, _ = P.publish_refs(P.weight_refs(t.plant_weight, _REF_TIME, plants=1), t.tag_map, t.retained)
     back = F.from_json("payload", "plant_id string, sat_g double, dry_g double, anchor_day string")
     return messages.select("topic", back.alias("p")).select("topic", "p.plant_id", "p.sat_g", "p.anchor_day")
 
