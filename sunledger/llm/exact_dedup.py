@@ -63,15 +63,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "text_sha256", F.transform("chunks", entry).alias("recipe")
     )
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    rows = recipes.join(groups, "recipe")
+    # The second join key gives the groups an exchange of their own: only then does adaptive execution split a recipe that a third of all rows share.
+    digest = F.xxhash64("recipe").alias("digest")
+    rows = recipes.select("*", digest).join(groups.select("*", digest), ["recipe", "digest"])
     turn = F.row_number().over(W.partitionBy("doc_id", "keep_id", "text_sha256").orderBy("group_size"))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__key", F.sha2(lower_ascii(text_of(text_col)), 256))
-    kept = own.join(found, (own["__key"] == found["__sha"]) & own[id_col].eqNullSafe(found["__id"]), "left_semi")
-    turn = F.row_number().over(W.partitionBy("__key", id_col).orderBy(F.lit(1)))
+    # Ids as text, null as empty: plain equality, so that the join's partitioning serves the window too and texts move once.
+    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = docs.withColumns({"__sha": F.sha2(lower_ascii(text_of(text_col)), 256), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
+    kept = own.join(found, ["__sha", "__id"], "left_semi")
+    turn = F.row_number().over(W.partitionBy("__sha", "__id").orderBy("__sha"))
     return kept.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, text_of
+from .common import WORD, cut, text_of
 
 WEIGHTS = (3, 1, 2)
+#: Up to so many sources (a few MB) their targets are broadcast.
+FEW_SOURCES = 20_000
 
 
 def words_in(text: Column) -> Column:
@@ -61,6 +63,10 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = docs.withColumn("__size", words_in(text_of(text_col)))
     found = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), **targets)
     found = found.select(*(F.col(c).alias(f"__{c}") for c in found.columns))
+    # The targets are known before the join, and broadcast only if they are few; more sources are joined by a shuffle, which adaptive execution splits where one source is hot.
+    found = cut(found)
+    if found.count() <= FEW_SOURCES:
+        found = F.broadcast(found)
     rate = F.col("__rate")
     copies = (F.floor(rate) + (drawn(id_col, seed) < rate - F.floor(rate)).cast("long")).cast("long")
     return sized.join(found, sized[source_col].eqNullSafe(found["__source"])).withColumn("__copies", copies).drop("__source", "__rate")
