@@ -15,6 +15,10 @@ there are only logarithmically many and each suffix is moved logarithmically oft
 entry a distinct suffix, so a passage with a million copies costs one. Suffixes are ordered by a 128-bit
 digest of their 400 bytes instead of alphabetically: it keeps equal suffixes adjacent, which is
 all that the scan needs, and makes a comparison constant time.
+
+A minimum that very many segments share (a passage in a third of all documents) would bring all the
+different surroundings of that passage to one task. Such segments go on as the digests of their
+suffixes, dealt over PARTS tasks by digest.
 """
 
 from __future__ import annotations
@@ -80,6 +84,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+#: A minimum with more segments than this is dealt over so many parts by the suffixes' digests.
+HOT, PARTS = 20_000, 32
+
 #: Nearly every minimum of LENGTH - GRAM + 1 hashes is below this; the rest are counted one by one.
 USUAL = np.uint64(2**64 * 8 // (LENGTH - GRAM + 1))
 
@@ -191,10 +198,20 @@ def _segments_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(number)), *map(pa.array, found)], names=["tkey", "least", "low", "high", "twice"])
 
 
+def _marked(batch: pa.RecordBatch, mask: np.ndarray, hot: bool) -> pa.RecordBatch:
+    rows = batch.filter(pa.array(mask))
+    return rows.append_column("hot", pa.array(np.full(rows.num_rows, hot)))
+
+
 def _shared_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments sorted by their minimum, those whose minimum occurs in more than one, or twice in one."""
+    """Of segments sorted by their minimum, those whose minimum occurs in more than one, or twice in one.
+
+    The first HOT segments of a minimum go on as they are. If there are more, all of them, the first included, go on marked
+    hot. The last row of a batch is held back until its successor is known.
+    """
     held: pa.RecordBatch | None = None
-    open_run = False  # whether the held last row already has a predecessor with its minimum
+    at, open_run = 0, False  # the held row's place in its run; whether it has a predecessor there
+    begun: list[pa.RecordBatch] = []  # the current run's first HOT rows, up to the held one
     for batch in batches:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
@@ -203,32 +220,73 @@ def _shared_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         least = batch.column("least").to_numpy()
         same = least[1:] == least[:-1]
-        shared = np.concatenate([[open_run], same]) | np.concatenate([same, [False]])
-        twice = batch.column("twice").to_numpy(zero_copy_only=False)
-        yield batch.slice(0, n - 1).filter(pa.array((shared | twice)[: n - 1]))
-        held, open_run = batch.slice(n - 1), bool(shared[n - 1])
-    if held is not None and (open_run or held.column("twice")[0].as_py()):
-        yield held
+        shared = np.concatenate([[open_run], same]) | np.concatenate([same, [False]]) | batch.column("twice").to_numpy(zero_copy_only=False)
+        run = np.concatenate([[0], np.cumsum(~same)])
+        place = np.arange(n) - np.searchsorted(run, run)
+        place[run == 0] += at
+        body, early = batch.slice(0, n - 1), place[: n - 1] < HOT
+        yield _marked(body, shared[: n - 1] & early, False)
+        if not early.all():
+            crossing = np.unique(run[: n - 1][place[: n - 1] == HOT])
+            if 0 in crossing:
+                yield from (_marked(x, np.ones(x.num_rows, bool), True) for x in begun)
+            yield _marked(body, ~early | np.isin(run[: n - 1], crossing), True)
+        begun = (begun if run[n - 1] == 0 else []) if place[n - 1] <= HOT else []
+        if place[n - 1] <= HOT:
+            begun.append(body.filter(pa.array((run[: n - 1] == run[n - 1]) & early)))
+        held, at, open_run = batch.slice(n - 1), int(place[n - 1]), bool(n > 1 and same[-1]) or (n == 1 and open_run)
+    if held is not None:
+        one = np.ones(1, bool)
+        if at < HOT:
+            yield _marked(held, one & (open_run or held.column("twice")[0].as_py()), False)
+        else:
+            if at == HOT:
+                yield from (_marked(x, np.ones(x.num_rows, bool), True) for x in begun)
+            yield _marked(held, one, True)
+
+
+_WINDOW = np.dtype([("first", "<u8"), ("second", "<u8"), ("start", "<i8")])
 
 
 def _cut_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts the wanted segments out of their texts."""
+    """Cuts the wanted segments out of their texts; hot ones become packed suffix digests, a row a part."""
+    one, two = Rolling(2), Rolling(3)
+    names = ["tkey", "least", "low", "bits", "hot"]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         for i in range(batch.num_rows):
             text, wanted = texts[i].as_py(), batch.column(3)[i].values
-            low, high, least = (wanted.field(k).to_pylist() for k in ("low", "high", "least"))
-            bits = [text[a : b + LENGTH] for a, b in zip(low, high, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(low), batch.column(0).type), pa.array(least), pa.array(low), pa.array(bits, pa.binary())], names=["tkey", "least", "low", "bits"])
+            rows: list[tuple[int, int, bytes, bool]] = []
+            for low, high, least, hot in zip(*(wanted.field(k).to_pylist() for k in ("low", "high", "least", "hot")), strict=True):
+                bits = text[low : high + LENGTH]
+                if not hot:
+                    rows.append((least, low, bits, False))
+                    continue
+                data = np.frombuffer(bits, np.uint8)
+                found = np.empty(high - low + 1, _WINDOW)
+                found["first"], found["second"], found["start"] = one(data, LENGTH), two(data, LENGTH), np.arange(low, high + 1)
+                part = found["first"] % np.uint64(PARTS)
+                rows += [((least * 31 + int(k) + 2**63) % 2**64 - 2**63, low, found[part == k].tobytes(), True) for k in np.unique(part)]
+            cols = list(zip(*rows, strict=True))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(rows), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
 
 def _family_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feeds the segments of one task to an index family; yields repeated byte ranges."""
-    family, one, two = IndexFamily(), Rolling(2), Rolling(3)
+    """Feeds the segments of one task to index families; yields repeated byte ranges.
+
+    Whole segments and parts of hot ones have a family each: the first hot segments come as both.
+    """
+    whole, parts, one, two = IndexFamily(), IndexFamily(), Rolling(2), Rolling(3)
     names: dict[bytes, int] = {}
     keys: list[bytes] = []
     pending: list[tuple[int, int, bytes]] = []
-    held = 0
+    packed: list[tuple[int, bytes]] = []
+    held = {False: 0, True: 0}
+
+    def told(owner: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        own, low, high = _runs(owner, start)
+        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["tkey", "low", "high"])
 
     def flush() -> pa.RecordBatch:
         data = np.frombuffer(b"".join(p[2] for p in pending), np.uint8)
@@ -239,23 +297,35 @@ def _family_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = owner[at]
         start = at - begin[who] + np.array([p[1] for p in pending])[who]
         text = np.array([p[0] for p in pending])[who]
-        own, low, high = _runs(*family.add(one(data, LENGTH)[at], two(data, LENGTH)[at], text, start))
-        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["tkey", "low", "high"])
+        return told(*whole.add(one(data, LENGTH)[at], two(data, LENGTH)[at], text, start))
+
+    def flush_parts() -> pa.RecordBatch:
+        found = np.frombuffer(b"".join(p[1] for p in packed), _WINDOW)
+        owner = np.repeat([p[0] for p in packed], [len(p[1]) // _WINDOW.itemsize for p in packed])
+        return told(*parts.add(found["first"].copy(), found["second"].copy(), owner, found["start"].copy()))
 
     for batch in batches:
-        tkeys, low, bits = (batch.column(i).to_pylist() for i in (0, 2, 3))
-        for key, a, x in zip(tkeys, low, bits, strict=True):
+        for key, low, bits, hot in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
             if key not in names:
                 names[key] = len(keys)
                 keys.append(key)
-            for cut in range(0, len(x) - LENGTH + 1, BATCH):  # a long segment goes in overlapping slices
-                pending.append((names[key], a + cut, x[cut : cut + BATCH + LENGTH - 1]))
-                held += len(pending[-1][2])
-                if held >= BATCH:
+            if hot:
+                packed.append((names[key], bits))
+                held[True] += len(bits)
+                if held[True] >= BATCH:
+                    yield flush_parts()
+                    packed, held[True] = [], 0
+                continue
+            for cut in range(0, len(bits) - LENGTH + 1, BATCH):  # a long segment goes in overlapping slices
+                pending.append((names[key], low + cut, bits[cut : cut + BATCH + LENGTH - 1]))
+                held[False] += len(pending[-1][2])
+                if held[False] >= BATCH:
                     yield flush()
-                    pending, held = [], 0
+                    pending, held[False] = [], 0
     if pending:
         yield flush()
+    if packed:
+        yield flush_parts()
 
 
 def _remove_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +360,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     Every use of `texts` takes the same columns, so that Spark shuffles the texts once and reuses that.
     """
     found = texts.select("tkey", "text", "copies").mapInArrow(_segments_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean")
-    shared = found.repartition("least").sortWithinPartitions("least").mapInArrow(_shared_udf, found.schema)
-    wanted = shared.groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least")).alias("wanted"))
-    bits = texts.select("tkey", "text", "copies").join(wanted, "tkey").select("tkey", "text", "copies", "wanted").mapInArrow(_cut_udf, "tkey binary, least bigint, low bigint, bits binary")
+    shared = found.repartition("least").sortWithinPartitions("least").mapInArrow(_shared_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean, hot boolean")
+    wanted = shared.groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least", "hot")).alias("wanted"))
+    bits = texts.select("tkey", "text", "copies").join(wanted, "tkey").select("tkey", "text", "copies", "wanted").mapInArrow(_cut_udf, "tkey binary, least bigint, low bigint, bits binary, hot boolean")
     ranges = bits.repartition("least").mapInArrow(_family_udf, "tkey binary, low bigint, high bigint")
     return ranges.groupBy("tkey").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 

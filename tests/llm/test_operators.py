@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -328,12 +329,32 @@ def test_repeats(awkward, documents):
     assert suffix_dedup.remove_repeats(awkward.limit(0)).count() == 0
 
 
-def test_repeats_over_slices_and_batches(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SLICE", 900)
-    monkeypatch.setattr(suffix_dedup, "BATCH", 1200)
-    base = words(600, 11)
-    texts = [base, base[200:2500] + words(40, 12), "abc" * 700, words(50, 13) + "abc" * 200, words(900, 14)]
-    check_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+def local_spans(texts, rows_a_batch):
+    """What the steps of repeated_spans find, run in this process, so that their limits can be set."""
+    table = pa.table({"tkey": [str(i).encode() for i in range(len(texts))], "text": texts, "copies": [1] * len(texts)})
+    found = pa.Table.from_batches(suffix_dedup._segments_udf(table.to_batches())).sort_by("least")
+    shared = pa.Table.from_batches(suffix_dedup._shared_udf(found.to_batches(rows_a_batch))).to_pylist()
+    wanted = [[{k: r[k] for k in ("low", "high", "least", "hot")} for r in shared if r["tkey"] == key] for key in table["tkey"].to_pylist()]
+    own = [i for i, w in enumerate(wanted) if w]
+    asked = table.take(own).append_column("wanted", pa.array([wanted[i] for i in own])).to_batches()
+    bits = pa.Table.from_batches(suffix_dedup._cut_udf(asked)).sort_by("low").to_batches(rows_a_batch) if own else []
+    spans = defaultdict(list)
+    for r in (r for b in suffix_dedup._family_udf(bits) for r in b.to_pylist()):
+        spans[int(r["tkey"])] += range(r["low"], r["high"])
+    return {k: set(v) for k, v in spans.items()}, any(r["hot"] for r in shared)
+
+
+@pytest.mark.parametrize(("limits", "rows_a_batch", "hot"), [({"SLICE": 900, "BATCH": 1200}, 5, False), ({"HOT": 1, "BATCH": 3000}, 3, True), ({"HOT": 2}, 1, True), ({"HOT": 5}, 1000, True), ({"HOT": 7, "PARTS": 3, "BATCH": 500}, 2, True), ({"HOT": 8}, 4, True), ({"HOT": 9}, 4, None)])
+def test_repeats_over_slices_batches_and_hot_minima(monkeypatch, limits, rows_a_batch, hot):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    base = words(500, 11)
+    texts = [base, base[200:2500] + words(40, 12), "abc" * 500, words(50, 13) + "abc" * 200, words(400, 14)] + [f"{words(70 + i, 100 + i)} {PASSAGE} {words(60, 200 + i // 3)}" for i in range(9)]
+    starts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = {k: {j for i in range(len(t) - 399) if starts[t[i : i + 400]] > 1 for j in range(i, i + 400)} for k, t in enumerate(texts)}
+    got, was_hot = local_spans(texts, rows_a_batch)
+    assert got == {k: v for k, v in want.items() if v}
+    assert hot is None or was_hot == hot
 
 
 def test_levels_stay_logarithmic():
