@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import shuffle_partitions, text_of
 
 LENGTH, GRAM = 400, 64
 #: Bytes hashed at once; longer texts go in slices that overlap by LENGTH - 1 bytes.
@@ -363,7 +363,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     shared = found.repartition("least").sortWithinPartitions("least").mapInArrow(_shared_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean, hot boolean")
     wanted = shared.groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least", "hot")).alias("wanted"))
     bits = texts.select("tkey", "text", "copies").join(wanted, "tkey").select("tkey", "text", "copies", "wanted").mapInArrow(_cut_udf, "tkey binary, least bigint, low bigint, bits binary, hot boolean")
-    ranges = bits.repartition("least").mapInArrow(_family_udf, "tkey binary, low bigint, high bigint")
+    # As many tasks as configured, never merged: a task's memory follows the suffixes that it indexes.
+    ranges = bits.repartition(shuffle_partitions(texts.sparkSession), "least").mapInArrow(_family_udf, "tkey binary, low bigint, high bigint")
     return ranges.groupBy("tkey").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
