@@ -19,7 +19,7 @@ US = "epoch_us(time) AS time"
 DAY = "local_day::VARCHAR AS local_day"
 SUM_S = " + ".join(f"{c} / {C.RESPONSE[c]}.0::DOUBLE * {C.WAVELENGTH[c]}.0::DOUBLE" for c in C.CHANNELS)
 GREATEST = f"greatest({', '.join(C.CHANNELS)})"
-MINUTE = "(extract(hour FROM time + INTERVAL 8 HOUR) * 60 + extract(minute FROM time + INTERVAL 8 HOUR))"
+MINUTE = "(extract(hour FROM time + INTERVAL 8 HOUR) * 60 + extract(minute FROM time + INTERVAL 8 HOUR))::INT"
 
 
 @query("p01_time_range", sql("air_long", f"SELECT device, field, value, {US} FROM air_long WHERE time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-30 12:00:00'"))

@@ -212,7 +212,7 @@ def _ticks(t):
 _TICKS = """tick AS (SELECT location, d + to_seconds(s) AS time FROM (SELECT DISTINCT date_trunc('day', time)::TIMESTAMP AS d FROM ev), unnest(range(0, 86400, 600)) AS u(s), (VALUES ('loc-1'), ('loc-2')) AS l(location)),
     flux AS (SELECT location, time, local_day, sum(coalesce(area, 0)) OVER (PARTITION BY location, local_day ORDER BY time) / 1e6 AS dli FROM (SELECT *, (lux / 54 + lag(lux / 54) OVER w) / 2 * ((epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6) AS area FROM air WINDOW w AS (PARTITION BY location, local_day ORDER BY time))),
     seen AS (SELECT t.location, t.time, CASE WHEN t.time - a.time <= INTERVAL 1 DAY THEN a.lux END AS lux, CASE WHEN t.time - a.time <= INTERVAL 1 DAY THEN (epoch_us(t.time) - epoch_us(a.time)) / 1e6 END AS lux_age_s FROM tick t ASOF LEFT JOIN air a ON t.location = a.location AND t.time >= a.time),
-    prep AS (SELECT s.*, extract(hour FROM s.time + INTERVAL 8 HOUR) * 60 + extract(minute FROM s.time + INTERVAL 8 HOUR) AS minute, CASE WHEN f.local_day = (s.time + INTERVAL 8 HOUR)::DATE THEN f.dli END AS dli FROM seen s ASOF LEFT JOIN flux f ON s.location = f.location AND s.time >= f.time)"""
+    prep AS (SELECT s.*, (extract(hour FROM s.time + INTERVAL 8 HOUR) * 60 + extract(minute FROM s.time + INTERVAL 8 HOUR))::INT AS minute, CASE WHEN f.local_day = (s.time + INTERVAL 8 HOUR)::DATE THEN f.dli END AS dli FROM seen s ASOF LEFT JOIN flux f ON s.location = f.location AND s.time >= f.time)"""
 
 
 @query("d21_prepare_ticks", sql("air", "SELECT location, epoch_us(time) AS time, lux, round(lux_age_s, 6) AS lux_age_s, minute, round(dli, 6) AS dli FROM prep", _TICKS))
