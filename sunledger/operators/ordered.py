@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SITE, Site
 
@@ -43,44 +47,91 @@ def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time
     return short.unionByName(long)
 
 
+@dataclass
+class Lamp:
+    """The controller's state at one location, and its rules."""
+
+    site: Site = SITE
+    on: bool = False
+    manual_until: float = -math.inf
+    last_switch: float = -math.inf
+    extend: bool = False
+    day: object = None
+
+    def command(self, t: float, state: str) -> str | None:
+        """A command acts at once and holds off automatic switching; every repeat extends that."""
+        self.manual_until = t + self.site.manual_hold_s
+        if (state == "ON") == self.on:
+            return None
+        self.on = not self.on
+        return state
+
+    def tick(self, t: float, lux: float | None, age: float | None, minute: int, day: object, dli: float | None) -> str | None:
+        """One automatic decision. The evening top-up is asked again at every tick, and starts anew each local day."""
+        site = self.site
+        lux, age, dli = (None if x is None or x != x else x for x in (lux, age, dli))
+        if day != self.day:
+            self.extend, self.day = False, day
+        if site.lamp_end <= minute < site.extend_end and dli is not None:
+            self.extend = dli < site.dli_target
+        if t < self.manual_until or t - self.last_switch < site.min_hold_s:
+            return None
+        inside = site.lamp_start <= minute < (site.extend_end if self.extend else site.lamp_end)
+        blind = lux is None or age is None or age > site.stale_s
+        want = inside and (blind or lux < site.lux_on_below or (self.on and lux <= site.lux_off_above))
+        if want == self.on:
+            return None
+        self.on, self.last_switch = want, t
+        return "ON" if want else "OFF"
+
+    def feed(self, rows: pd.DataFrame) -> Iterator[tuple[object, str, str]]:
+        """(time, state, source) of the switches that rows in time order cause."""
+        zone = rows["time"].dt.tz
+        seconds = (rows["time"] - pd.Timestamp(0, tz=zone)).dt.total_seconds()
+        for when, t, kind, lux, age, minute, day, dli, cmd in zip(rows["time"], seconds, *(rows[c] for c in ("kind", "lux", "lux_age_s", "minute", "local_day", "dli", "cmd")), strict=True):
+            state = self.command(t, cmd) if kind == "cmd" else self.tick(t, lux, age, minute, day, dli)
+            if state:
+                yield when, state, "manual" if kind == "cmd" else "auto"
+
+
 def replay_light(ticks: DataFrame, site: Site = SITE, location: str = "location") -> DataFrame:
     """Replays the lamp controller over prepared ticks, one sequence a location.
 
     Rows are ticks or commands: (location, time, kind 'tick'/'cmd', lux, lux_age_s, minute, local_day, dli,
-    cmd). Commands act at once and hold off automatic switching; every repeat extends that. Automatic switches are
-    held for min_hold_s; the evening top-up is asked again at every tick and starts anew each local day.
-    Switching always succeeds. Output: (location, time, state, source), one row a switch. A location's rows are
-    read in time order batch by batch, with the state carried, so no location has to fit in memory.
+    cmd). Switching always succeeds. Output: (location, time, state, source), one row a switch. A location's rows
+    are read in time order batch by batch, with the state carried, so no location has to fit in memory.
     """
     ordered = ticks.repartition(location).sortWithinPartitions(location, "time", "kind")
     schema = T.StructType([ticks.schema[location], T.StructField("time", T.TimestampType()), T.StructField("state", T.StringType()), T.StructField("source", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, on, manual_until, last_switch, extend, day = None, False, -np.inf, -np.inf, False, None
+        here, lamp = None, Lamp(site)
         for batch in batches:
             out = []
-            at = (batch["time"] - pd.Timestamp(0)).dt.total_seconds() if batch["time"].dt.tz is None else (batch["time"] - pd.Timestamp(0, tz="UTC")).dt.total_seconds()
-            for place, when, t, kind, lux, age, minute, today, dli, cmd in zip(batch[location], batch["time"], at, batch["kind"], batch["lux"], batch["lux_age_s"], batch["minute"], batch["local_day"], batch["dli"], batch["cmd"], strict=True):
+            for place, rows in batch.groupby(location, sort=False):
                 if place != here:
-                    here, on, manual_until, last_switch, extend, day = place, False, -np.inf, -np.inf, False, None
-                if kind == "cmd":
-                    manual_until = t + site.manual_hold_s
-                    if (cmd == "ON") != on:
-                        on = not on
-                        out.append((place, when, cmd, "manual"))
-                    continue
-                if today != day:
-                    extend, day = False, today
-                if site.lamp_end <= minute < site.extend_end and dli == dli and dli is not None:
-                    extend = dli < site.dli_target
-                if t < manual_until or t - last_switch < site.min_hold_s:
-                    continue
-                inside = site.lamp_start <= minute < (site.extend_end if extend else site.lamp_end)
-                blind = lux is None or lux != lux or age is None or age != age or age > site.stale_s
-                want = inside and (blind or lux < site.lux_on_below or (on and lux <= site.lux_off_above))
-                if want != on:
-                    on, last_switch = want, t
-                    out.append((place, when, "ON" if on else "OFF", "auto"))
+                    here, lamp = place, Lamp(site)
+                out += [(place, *switch) for switch in lamp.feed(rows)]
             yield pd.DataFrame(out, columns=[location, "time", "state", "source"])
 
     return ordered.mapInPandas(run, schema)
+
+
+def control_stream(ticks: DataFrame, site: Site = SITE, location: str = "location") -> DataFrame:
+    """The controller over a stream of prepared ticks and commands: its state is kept a location between batches.
+
+    Rows of a batch are taken in time order; rows that come after later ones of an earlier batch are taken when they come.
+    """
+    schema = f"{location} {ticks.schema[location].dataType.simpleString()}, time timestamp, state string, source string"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lamp = Lamp(site)
+        if state.exists:
+            on, manual, last, extend, day = state.get
+            lamp = Lamp(site, on, manual, last, extend, day and date.fromisoformat(day))
+        rows = pd.concat(list(batches)).sort_values(["time", "kind"], kind="stable")
+        out = [(*key, *switch) for switch in lamp.feed(rows)]
+        state.update((lamp.on, lamp.manual_until, lamp.last_switch, lamp.extend, lamp.day and str(lamp.day)))
+        yield pd.DataFrame(out, columns=[location, "time", "state", "source"])
+
+    return ticks.groupBy(location).applyInPandasWithState(step, schema, "on boolean, manual double, last double, extend boolean, day string", "append", GroupStateTimeout.NoTimeout)

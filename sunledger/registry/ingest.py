@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-
+from ..functions import time as T
+from ..operators.ordered import control_stream
 from ..sources import annotated_csv, line_protocol
 from ..sources import messages as I
 from ..sources import tables as B
-from ..functions import time as T
 from ..streaming import jobs as Q
 from .base import query, sql
 from .series import DAY
@@ -239,6 +239,18 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/weights").groupBy("device", "plant_id", "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CONTROL = f"c AS (SELECT 'loc-' || (user_id % 8) AS location, time, event_id FROM ev)"
+
+
+@query("t07_control_stream", sql("ev", """SELECT location, epoch_us(time) AS time, CASE WHEN event_id % 3 = 0 THEN 'ON' ELSE 'OFF' END AS state, 'manual' AS source FROM (SELECT *, lag(event_id % 3 = 0, 1, false) OVER (PARTITION BY location ORDER BY time) AS before FROM c) WHERE (event_id % 3 = 0) <> before""", _CONTROL))
+def _(t):
+    """Every event as a command. (Ticks and holds: d21_replay_light, by the same rules.)"""
+    none = {c: F.lit(None).cast(k) for c, k in (("lux", "double"), ("lux_age_s", "double"), ("minute", "int"), ("local_day", "date"), ("dli", "double"))}
+    location = F.concat(F.lit("loc-"), (F.regexp_extract("device", r"(\d+)", 1).cast("int") % 8).cast("string"))
+    live = _live(t).select(location.alias("location"), "time", F.lit("cmd").alias("kind"), F.when(F.col("event_id") % 3 == 0, "ON").otherwise("OFF").alias("cmd"), *(c.alias(k) for k, c in none.items()))
+    return _done(t, control_stream(live))
+
+
 @query("t09_upsert_batches", sql("ev", f"SELECT device, {DAY}, count(*) AS n FROM ev GROUP BY ALL"))
 def _(t):
     """The stream written twice over: the second pass changes nothing."""

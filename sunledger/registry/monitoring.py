@@ -172,7 +172,18 @@ def _(t):
     return J.daily_context(dli, weather)
 
 
-@query("f05_solar_noon")
+#: Solar noon of each local day, step by step as in the library.
+_SUN = """s1 AS (SELECT local_day, (local_day - DATE '1970-01-01')::BIGINT * 86400 - 28800 AS mid, ((local_day - DATE '1970-01-01')::BIGINT - 10957 - 0.5::DOUBLE + 4.0::DOUBLE / 24.0::DOUBLE) / 36525.0::DOUBLE AS t FROM (SELECT DISTINCT {day} AS local_day FROM ev)),
+    s2 AS (SELECT *, radians(357.52911::DOUBLE + t * (35999.05029::DOUBLE + t * -0.0001537::DOUBLE)) AS m, radians(125.04::DOUBLE + t * -1934.136::DOUBLE) AS node, 0.016708634::DOUBLE + t * (-0.000042037::DOUBLE + t * -0.0000001267::DOUBLE) AS ecc,
+                  radians((280.46646::DOUBLE + t * (36000.76983::DOUBLE + t * 0.0003032::DOUBLE)) % 360) AS lng, 21.448::DOUBLE + t * (-46.8150::DOUBLE + t * (-0.00059::DOUBLE + t * 0.001813::DOUBLE)) AS secs FROM s1),
+    s3 AS (SELECT *, radians(23.0::DOUBLE + (26.0::DOUBLE + secs / 60) / 60 + cos(node) * 0.00256::DOUBLE) AS tilt,
+                  lng + radians(sin(m) * (1.914602::DOUBLE + t * (-0.004817::DOUBLE + t * -0.000014::DOUBLE)) + sin(2 * m) * (0.019993::DOUBLE + t * -0.000101::DOUBLE) + sin(3 * m) * 0.000289::DOUBLE - 0.00569::DOUBLE - sin(node) * 0.00478::DOUBLE) AS seen FROM s2),
+    s4 AS (SELECT *, pow(tan(tilt / 2), 2) AS h, degrees(asin(sin(tilt) * sin(seen))) AS sun FROM s3),
+    s5 AS (SELECT *, 4 * degrees(h * sin(2 * lng) - 2 * ecc * sin(m) + 4 * ecc * h * sin(m) * cos(2 * lng) - h * h * sin(4 * lng) / 2 - ecc * ecc * sin(2 * m) * 1.25::DOUBLE) AS eq FROM s4),
+    solar AS (SELECT local_day, floor(mid + (720.0::DOUBLE - 4.0::DOUBLE * 121.46::DOUBLE - eq + 480.0::DOUBLE) * 60)::BIGINT AS noon, 90.0::DOUBLE - abs(25.01::DOUBLE - sun) AS noon_height FROM s5)"""
+
+
+@query("f05_solar_noon", sql("ev", f"SELECT {DAY}, noon * 1000000 AS noon, round(noon_height, 6) AS noon_height FROM solar", _SUN.replace("{day}", "time::DATE")))
 def _(t):
     days = t.events.select(F.to_date("time").alias("local_day")).distinct()
     return solar.with_solar_noon(days)
@@ -224,7 +235,19 @@ def _(t):
     return K.calibrate_window(t.air, t.spectrum, windows.union(absent), 300.0)
 
 
-@query("d10_ppfd_cal_daily")
+_NOON = _SUN.replace("{day}", "local_day") + """,
+    win AS (SELECT DISTINCT a.device, a.location, a.local_day, make_timestamp((noon - 900) * 1000000) AS start, make_timestamp((noon + 900) * 1000000) AS stop FROM air a JOIN solar USING (local_day)),
+    dark AS (SELECT w.device, w.start, median(a.lux_ref) AS ref FROM win w JOIN air a ON a.device = w.device AND a.time >= w.start - INTERVAL 125 MINUTE AND a.time < w.start - INTERVAL 120 MINUTE GROUP BY ALL),
+    checked AS (SELECT w.device, w.local_day, w.start, NOT coalesce(ref >= 1000, false) AS skip,
+        coalesce((SELECT arg_max(l."on", l.time) FROM lamp l WHERE l.location = w.location AND l.time < w.start AND l.time >= w.start - INTERVAL 7 DAY) = 0
+                 AND NOT EXISTS (SELECT 1 FROM lamp l WHERE l.location = w.location AND l.time >= w.start AND l.time < w.stop AND l."on" <> 0), false) AS held FROM win w LEFT JOIN dark USING (device, start))"""
+_UNLESS = ", ".join(f"round(CASE WHEN NOT skip AND enough THEN {m} END, 6) AS {m}" for m in K.METRICS)
+
+
+@query(
+    "d10_ppfd_cal_daily",
+    sql("air spectrum lamp", f"SELECT device, 'noon' AS window_mode, {DAY}, epoch_us(start) AS time, CASE WHEN skip THEN 0 ELSE n_kept END AS n_kept, {_UNLESS}, round(CASE WHEN NOT skip THEN lux_lo END, 6) AS lux_lo, round(CASE WHEN NOT skip THEN lux_hi END, 6) AS lux_hi, CASE WHEN NOT skip AND {_OUTCOME} = 'ok' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS valid, skip::INT::DOUBLE AS skipped, (NOT skip AND held)::INT::DOUBLE AS lamp_off_ok FROM every JOIN checked USING (device, start)", f"{_NOON}, {_FITTED}"),
+)
 def _(t):
     days = t.air.select("device", "location", T.local_day(F.col("time")).alias("local_day")).distinct()
     return K.ppfd_cal_daily(t.air, t.spectrum, t.lamp, days, "noon", 300.0, ref_min=1000.0)
