@@ -88,17 +88,12 @@ def state_held(windows: DataFrame, states: DataFrame, keys: Names, state: str, v
     True only if the last change before the window set it and none inside the window left it;
     without any change to go by it can't be verified, and is false.
     """
-    ids = [c for c in windows.columns]
-    entry = asof_join(windows.withColumn("time", F.col("start")), states, keys, [state], look_back, strict=True).withColumn("__before", F.col(state)).select(*ids, "__before")
-    inside = states.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("time").alias("__t"), F.col(state).alias("__s"))
-    span = F.explode(F.sequence(F.to_date("start"), F.to_date("stop")))
-    probe = windows.withColumn("__day", span)
-    on = (F.to_date("__t") == F.col("__day")) & (F.col("__t") >= F.col("start")) & (F.col("__t") < F.col("stop"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    broken = probe.join(inside.filter(F.col("__s") != value), on, "left_semi").select(*ids).distinct().withColumn("__broken", F.lit(True))
-    held = (F.col("__before") == value) & F.col("__broken").isNull()
-    return entry.join(broken, ids, "left").withColumn("held", F.coalesce(held, F.lit(False))).drop("__before", "__broken")
+    later = W.partitionBy(*keys).orderBy("time").rowsBetween(1, W.unboundedFollowing)
+    until = F.min(F.when(~F.col(state).eqNullSafe(F.lit(value)), F.col("time"))).over(later)
+    known = states.select(*keys, "time", F.col(state).alias("__state"), until.alias("__until"))
+    entry = asof_join(windows.withColumn("time", F.col("start")), known, keys, ["__state", "__until"], look_back, strict=True)
+    held = (F.col("__state") == value) & (F.col("__until").isNull() | (F.col("__until") >= F.col("stop")))
+    return entry.select(*windows.columns, F.coalesce(held, F.lit(False)).alias("held"))
 
 
 def weight_with_spectrum(weights: DataFrame, spectrum: DataFrame, plant: str = "plant_id", day: str = "local_day") -> DataFrame:

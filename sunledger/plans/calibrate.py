@@ -26,11 +26,13 @@ def cal_windows(days: DataFrame, mode: str = "pre-lamp", site: Site = SITE, span
     if mode == "pre-lamp":
         start, stop = T.pre_lamp_window(F.col("local_day"), site, span_min)
     elif mode == "noon":
-        days = solar.with_solar_noon(days, "local_day", site)
+        # Once a day, not once a device; the aggregate also keeps the optimizer from carrying the whole formula through every later predicate.
+        noons = solar.with_solar_noon(days.select("local_day").distinct(), "local_day", site).groupBy("local_day").agg(F.max("noon").alias("noon"))
+        days = days.join(noons, "local_day")
         start, stop = F.col("noon") - F.expr(f"INTERVAL {half_min} MINUTE"), F.col("noon") + F.expr(f"INTERVAL {half_min} MINUTE")
     else:
         raise ValueError(f"no such mode: {mode}")
-    return days.withColumns({"window_mode": F.lit(mode), "start": start, "stop": stop}).drop("noon", "noon_height")
+    return days.withColumns({"window_mode": F.lit(mode), "start": start, "stop": stop}).drop("noon")
 
 
 def window_minutes(air: DataFrame, spectrum: DataFrame, windows: DataFrame, saturation: str = "mean") -> DataFrame:
@@ -109,11 +111,16 @@ def ppfd_cal_daily(air: DataFrame, spectrum: DataFrame, light: DataFrame, days:
     """
     windows = cal_windows(days, mode, site)
     if mode == "noon":
-        probe = windows.select("device", "start", (F.col("start") - F.expr("INTERVAL 120 MINUTE")).alias("__at"))
-        on = (F.to_date("time") == F.to_date("__at")) & (air["device"] == F.col("__device"))
-        dark = probe.withColumnRenamed("device", "__device").join(air.select("device", "time", "lux_ref"), on, "left").filter("time >= __at - INTERVAL 5 MINUTE AND time < __at")
-        floor = dark.groupBy(F.col("__device").alias("device"), "start").agg(F.median("lux_ref").alias("__ref"))
-        windows = windows.join(floor, ["device", "start"], "left").withColumn("skipped", F.when(F.coalesce(F.col("__ref") >= ref_min, F.lit(False)), 0.0).otherwise(1.0)).drop("__ref")
+        ref = air.select(F.col("device").alias("__device"), F.col("time").alias("__time"), "lux_ref")
+        probe = F.col("start") - F.expr("INTERVAL 120 MINUTE")
+        early = probe - F.expr("INTERVAL 5 MINUTE")
+        # Equal on device and hour (of either end), then the range.
+        hours = F.explode(F.array_distinct(F.array(F.date_trunc("hour", early), F.date_trunc("hour", probe))))
+        near = windows.withColumn("__hour", hours).join(
+            ref.withColumn("__at", F.date_trunc("hour", "__time")), (F.col("device") == F.col("__device")) & (F.col("__hour") == F.col("__at")) & (F.col("__time") >= early) & (F.col("__time") < probe), "left"
+        )
+        floor = F.coalesce(F.median("lux_ref") >= ref_min, F.lit(False))
+        windows = near.groupBy(*windows.columns).agg(F.when(floor, 0.0).otherwise(1.0).alias("skipped"))
         windows = state_held(windows, light, ("location",), "on", 0.0).withColumn("lamp_off_ok", F.when((F.col("skipped") == 0) & F.col("held"), 1.0).otherwise(0.0)).drop("held")
     else:
         windows = windows.withColumns({"skipped": F.lit(0.0), "lamp_off_ok": F.lit(1.0)})
