@@ -27,26 +27,26 @@ def to_line_protocol(df: DataFrame, measurement: str, tags: Sequence[str], field
 def add_tag(line: Column, key: str, value: Column | str) -> Column:
     """Puts a tag at the end of the tag set: before the first space that no backslash escapes."""
     tag = F.concat(F.lit(","), X.escape_tag(F.lit(key)), F.lit("="), X.escape_tag(F.lit(value) if isinstance(value, str) else value))
-    head = F.regexp_extract(line, r"^((?:\\.|[^ \\])*)", 1)
+    head = F.regexp_extract(line, r"^((?:[^ \\]++|\\.)*+)", 1)
     return F.concat(head, tag, F.substr(line, F.length(head) + 1))
 
 
-#: head, body and time of a line; quoted strings may hold spaces.
-_LINE = r'^((?:\\.|[^ \\])*) ((?:[^ "]|"(?:\\.|[^"\\])*")*)(?: (-?\d+))?$'
+#: head, body and time of a line; quoted strings may hold spaces. Runs are taken whole, so long lines don't deepen the matcher's stack.
+_LINE = r'^((?:[^ \\]++|\\.)*+) ((?:[^ "]++|"(?:[^"\\]++|\\.)*+")*+)(?: (-?\d+))?$'
 
 
 def from_line_protocol(df: DataFrame, precision: str = "s", line: str = "line") -> DataFrame:
     """(measurement, tags, field, value, value_str, time) from lines; lines that don't parse are dropped."""
     head, body, stamp = (F.regexp_extract(line, _LINE, i) for i in (1, 2, 3))
-    parts = F.regexp_extract_all("__head", F.lit(r"((?:\\.|[^,\\])+)"), F.lit(1))
+    parts = F.regexp_extract_all("__head", F.lit(r"((?:[^,\\]++|\\.)++)"), F.lit(1))
     micros = F.col("__stamp") * 1_000_000 if precision == "s" else F.floor(F.col("__stamp") / 1000)
     pieces = df.filter(F.col(line).rlike(_LINE)).select(head.alias("__head"), body.alias("__body"), F.when(stamp != "", stamp.cast("bigint")).alias("__stamp")).withColumn("__parts", parts)
 
     def split(p: Column, i: int) -> Column:
-        return F.regexp_extract(p, r"^((?:\\.|[^=\\])*)=(.*)$", i)
+        return F.regexp_extract(p, r"^((?:[^=\\]++|\\.)*+)=(.*)$", i)
 
     tags = F.map_from_entries(F.transform(F.slice("__parts", 2, 1000), lambda p: F.struct(X.unescape(split(p, 1)), X.unescape(split(p, 2)))))
-    fields = F.regexp_extract_all("__body", F.lit(r'((?:\\.|[^,="\\])+=(?:"(?:\\.|[^"\\])*"|[^,"]*))'), F.lit(1))
+    fields = F.regexp_extract_all("__body", F.lit(r'((?:[^,="\\]++|\\.)++=(?:"(?:[^"\\]++|\\.)*+"|[^,"]*+))'), F.lit(1))
     rows = pieces.select(X.unescape(F.element_at("__parts", 1)).alias("measurement"), tags.alias("tags"), F.explode(fields).alias("__f"), F.timestamp_micros(micros.cast("bigint")).alias("time"))
     raw = split(F.col("__f"), 2)
     quoted = raw.startswith('"')

@@ -80,7 +80,7 @@ def validate_events(df: DataFrame, payload: str = "payload") -> tuple[DataFrame,
     number = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 
     def raw(key: str, kind: str) -> Column:  # the JSON text itself tells a number from a quoted one
-        body = r'("(?:[^"\\]|\\.)*")' if kind == "string" else r"([^,}\s\"]+)"
+        body = r'("(?:[^"\\]++|\\.)*+")' if kind == "string" else r"([^,}\s\"]+)"
         return F.regexp_extract(payload, rf'"{key}"\s*:\s*{body}', 1)
 
     ok = F.from_json(payload, "map<string,string>").isNotNull() & F.col("device").isNotNull() & raw("event_id", "number").rlike(number) & raw("weight_g", "number").rlike(number) & (raw("uid", "string") != "")

@@ -148,6 +148,12 @@ def test_lines_round_trip(spark):
         assert all(r["tags"] == {"device": 'a b,c="d"'} and seconds(r["time"]) == 7 for r in back)
 
 
+def test_long_lines_do_not_overflow(spark):
+    df = spark.createDataFrame([("d,\\ " * 3000, 'q"\\ ' * 20000, at(1))], "device string, note string, time timestamp")
+    back = line_protocol.from_line_protocol(line_protocol.to_line_protocol(df, "m", ("device",), (), ("note",))).collect()
+    assert [(r["tags"]["device"], r["value_str"]) for r in back] == [("d,\\ " * 3000, 'q"\\ ' * 20000)]
+
+
 def test_csv_blocks(spark, tmp_path):
     (tmp_path / "a.csv").write_text("#group\n#datatype\n,result,table,_value,x\n,_r,0,1,a\n,_r,0,2,b\n\n#group\n,result,table,_value,y,empty\n,_r,0,3,c,\n")
     got = annotated_csv.read_annotated_csv(spark, str(tmp_path)).drop("path").orderBy("row")
