@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
+#: Containers above a paragraph that get a share of its points; further ones would get next to nothing.
+LEVELS = 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 LEFT_OUT = frozenset("head script style noscript template iframe noembed noframes object svg math canvas audio video nav aside footer form button select textarea input dialog menu title xmp".split())
@@ -42,7 +44,7 @@ HINTS_AGAINST = frozenset(
 HINTS_FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 HEADER = frozenset(["header"])
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[a-z]+")
 
@@ -79,7 +81,8 @@ def parse(page: str) -> Node:
     root = here = Node("html", None)
     at, articles = 0, 0
     end_of_raw: dict[str, re.Pattern[str]] = {}
-    while m := TOKEN.search(page, at):
+    last = page.rfind(">")
+    while at <= last and (m := TOKEN.search(page, at)):
         if m.start() > at:
             here.children.append(page[at : m.start()])
         at = m.end()
@@ -124,7 +127,7 @@ def parse(page: str) -> Node:
             articles += tag in ("article", "main")
             here = node
     if at < len(page):
-        here.children.append(page[at:])
+        here.children.append(page[at:].partition("<!--")[0])
     return root
 
 
@@ -179,12 +182,9 @@ def _score(root: Node) -> tuple[Node | None, dict[Node, tuple[int, int]]]:
     for text, owner, linked in blocks([root]):
         points = 0.0 if owner.tag in HEADINGS else (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         node, step = owner if owner.tag in CONTAINERS and owner.tag not in PARAGRAPHS else owner.parent, 1
-        up = owner
-        while up is not None:
-            n, k = sizes.get(up, (0, 0))
-            sizes[up] = (n + len(text), k + linked)
-            up = up.parent
-        while node is not None:
+        n, k = sizes.get(owner, (0, 0))
+        sizes[owner] = (n + len(text), k + linked)
+        while node is not None and step <= LEVELS:
             if node.tag in CONTAINERS:
                 if not node.scored:
                     node.scored, node.points = True, 40.0 * (node.tag == "article") + 30.0 * (node.tag == "main") + 15.0 * node.liked
@@ -193,6 +193,14 @@ def _score(root: Node) -> tuple[Node | None, dict[Node, tuple[int, int]]]:
                 step += 1
             node = node.parent
 
+    order: list[Node] = [root]
+    for node in order:  # grows while it is read: parents before children
+        order.extend(c for c in node.children if isinstance(c, Node) and not c.against)
+    for node in reversed(order):
+        if node.parent is not None and node in sizes:
+            n, k = sizes.get(node.parent, (0, 0))
+            sizes[node.parent] = (n + sizes[node][0], k + sizes[node][1])
+
     def final(node: Node) -> float:
         n, k = sizes[node]
         return node.points * (1 - k / n)

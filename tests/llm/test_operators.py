@@ -181,6 +181,7 @@ PAGES = {
     "<p>a</p><!-- <p>no</p> --><p hidden>b</p>": "a",
     "<article><header><h1>Kept</h1></header><p>x</p></article><header>gone</header>": "Kept\nx",
     "<p>unclosed <a href='x>y'>link": "unclosed link",
+    "<p>x</p> <!-- never closed <p>y": "x",
     "": "", "<html></html>": "",
 }
 
@@ -201,6 +202,8 @@ def test_deep_and_broken_markup():
     assert html_text.main_text("<div>" * 5000 + "<p>deep, text</p>") == "deep, text"
     for junk in ("<", "<a", "</", "<!--", "<p <p>x", "<script>", "a < b", "&#xFFFFFFF;", "<![CDATA[x"):
         html_text.main_text(junk)
+    for slow in ("<a " + '" ' * 20_000, "<a " * 20_000, "<!--" * 20_000, "<p>" * 20_000 + "<b x='" * 5000 + "y>z", "<div>x, y" * 20_000):
+        html_text.main_text(slow)
 
 
 # -- 4: chat -------------------------------------------------------------------------------------------
