@@ -313,7 +313,11 @@ def _(t):
     return K.drift_diagnostics(t.air, t.spectrum, t.lamp)
 
 
-@query("s07_cal_lines")
+_FIELDS = " || ".join(f"coalesce(',{m}=' || printf('%.10g', {m}), '')" for m in (*K.METRICS, "lux_lo", "lux_hi"))
+_PUT = ", ".join(f"CASE WHEN enough THEN {m} END AS {m}" for m in K.METRICS)
+
+
+@query("s07_cal_lines", sql("air spectrum", f"SELECT 'ppfd_cal,device=' || device || ',window_mode=pre-lamp n_kept=' || n_kept || {_FIELDS} || ',valid=' || CASE WHEN {_OUTCOME} = 'ok' THEN 1 ELSE 0 END || ',skipped=0,lamp_off_ok=1 ' || epoch_us(start) * 1000 AS line FROM (SELECT device, start, n_kept, enough, lux_lo, lux_hi, {_PUT} FROM every)", f"{_PRELAMP}, {_FITTED}"))
 def _(t):
     days = t.air.select("device", "location", T.local_day(F.col("time")).alias("local_day")).distinct()
     return K.as_points(K.ppfd_cal_daily(t.air, t.spectrum, t.lamp, days))
