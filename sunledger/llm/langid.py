@@ -27,7 +27,7 @@ from .common import text_of
 SEGMENT = 40
 LETTER = re.compile(r"[^\W\d_]")
 #: Segments whose results a task remembers; when there are more, it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
