@@ -1,7 +1,10 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. Each works on all that its predecessor kept.
+of documents, extra ones included. Each works on all that its predecessor kept.
+
+Null and empty texts have no language and go in the first stage. Rows with a null id are documents like others; of rows
+repeated with one id one stays. Null sources are one source. An empty table passes through all stages.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ import corpus_pipeline
 from sunledger.llm import mixing, packing
 from sunledger.llm.queries import QUERIES, SQL
 
-from .test_operators import LOWER, slow_fingerprint
+from .test_operators import LOWER, awkward, slow_fingerprint  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parents[2]
@@ -60,6 +60,27 @@ def test_pipeline(spark):
     assert all(sum(n for _, n in parts) <= 2048 for parts in lines.values())
 
 
+@pytest.mark.parametrize("rows", [None, 0])
+def test_stages_on_awkward_rows(spark, awkward, tmp_path, rows):
+    """Nulls, empty and very long texts, copies, repeated rows, clashing columns; and an empty table."""
+    docs = awkward if rows is None else awkward.limit(rows)
+    columns, kept = docs.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, "unused")
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert k == 4 or docs.columns == columns
+        kept.append(docs.count())
+    if rows == 0:
+        assert kept == [0] * 5
+        return
+    left = {(r["doc_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "0")).collect()}
+    assert left == {(r["doc_id"], r["text"]) for r in awkward.collect() if r["text"] and re.search(r"[^\W\d_]", r["text"])}
+    texts = [r["text"].translate(LOWER) for r in spark.read.parquet(str(tmp_path / "1")).collect()]
+    assert sorted(texts) == sorted({t.translate(LOWER) for _, t in left})
+    assert 0 < kept[2] <= kept[1] and kept[3] > 0 and kept[4] >= kept[3]
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
