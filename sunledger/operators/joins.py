@@ -43,6 +43,7 @@ def orphan_tags(tag_map: DataFrame, registry: DataFrame) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, keys: Names, values: Names, tolerance: timedelta | None = None, strict: bool = False, time: str = "time") -> DataFrame:
     """Adds to each left row the values (and `asof_time`) of the last right row at or before it (before, if strict).
 
+    Of right rows at one time the one with the largest values counts, whatever the partitioning.
     Works a key and UTC day: inside a day by an ordered window, across days by one carried row a
     key and day, so a key with years of history is never sorted in one piece.
     """
@@ -51,7 +52,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Names, values: Names, tol
     l = left.select(*keys, time, F.struct(*extra, F.lit(1).alias("__l")).alias("__left"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("__right"))
     r = right.select(*keys, time, F.lit(None).cast(l.schema["__left"].dataType).alias("__left"), row.alias("__right"))
     both = l.unionByName(r).withColumn("__day", F.to_date(time)).withColumn("__side", F.col("__left").isNull() if not strict else F.col("__left").isNotNull())
-    w = W.partitionBy(*keys, "__day").orderBy(time, F.desc("__side")).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*keys, "__day").orderBy(time, F.desc("__side"), "__right").rowsBetween(W.unboundedPreceding, 0)
     inside = both.withColumn("__in", F.last("__right", ignorenulls=True).over(w)).filter("__left IS NOT NULL")
     days = both.groupBy(*keys, "__day").agg(F.max("__right").alias("__last"))
     carried = days.select(*keys, "__day", F.last("__last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
