@@ -16,6 +16,23 @@ from .base import query, sql
 from .series import DAY
 
 
+@query("s01_read_messages", sql("messages", "SELECT topic, payload, epoch_us(recv_ts) AS recv_ts, retained FROM messages"))
+def _(t):
+    """Messages landed as JSON lines in the shared folder, and read back."""
+    folder = _folder(t)
+    t.messages.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+    return I.read_messages(t.spark, folder)
+
+
+@query("s10_append_audit", sql("meter", "SELECT device, source, count(*) * 2 AS n FROM meter GROUP BY ALL"))
+def _(t):
+    """Appended twice, with a fixed header."""
+    folder = _folder(t)
+    for _ in range(2):
+        B.append_audit(t.meter, folder, ("source", "device"))
+    return t.spark.read.option("header", True).csv(folder).groupBy("device", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s02_parse_topic", sql("messages", "SELECT measurement, device, location, count(*) AS n FROM (SELECT CASE WHEN device = 'dev-3' THEN NULL WHEN device = 'dev-4' THEN 'light' ELSE 'air' END AS measurement, CASE WHEN device IN ('dev-3', 'dev-4') THEN NULL ELSE device END AS device, CASE WHEN device = 'dev-4' THEN device END AS location FROM messages) GROUP BY ALL"))
 def _(t):
     topic = F.when(F.col("topic").contains("dev-3/"), F.lit("site/dev-3/unknown")).when(F.col("topic").contains("dev-4/"), F.lit("site/dev-4/light/state")).otherwise(F.col("topic"))

@@ -93,6 +93,17 @@ def _(t):
     return messages.select("topic", back.alias("p")).select("topic", "p.plant_id", "p.sat_g", "p.anchor_day")
 
 
+@query("d15_untagged", sql("plant_weight tag_map", "SELECT DISTINCT plant_id FROM refs WHERE sat_g - dry_g > 5 AND plant_id NOT IN (SELECT plant_id FROM tag_map WHERE plant_id NOT IN ('tare-ref', 'cactus-3', 'cactus-4'))", _REFS.replace(">= 4", ">= 1")))
+def _(t):
+    tags = t.tag_map.filter("plant_id NOT IN ('cactus-3', 'cactus-4')")
+    return P.publish_refs(P.weight_refs(t.plant_weight, _REF_TIME, plants=1), tags, t.retained)[2]
+
+
+@query("d15_stale_topics", sql("plant_weight tag_map retained", "SELECT DISTINCT topic FROM retained WHERE topic NOT IN (SELECT 'ref/' || uid FROM refs JOIN tag_map USING (plant_id) WHERE sat_g - dry_g > 5)", _REFS.replace(">= 4", ">= 1")))
+def _(t):
+    return P.publish_refs(P.weight_refs(t.plant_weight, _REF_TIME, plants=1), t.tag_map, t.retained, "ref")[1]
+
+
 @query("d16_relabel", sql("plant_weight", "SELECT plant_id, quality, count(*) AS n FROM (SELECT plant_id, CASE WHEN plant_id = 'cactus-3' AND time >= TIMESTAMP '1998-01-01' AND time < TIMESTAMP '1999-01-01' THEN 'suspect' ELSE quality END AS quality FROM plant_weight) GROUP BY ALL"))
 def _(t):
     after, _ = P.relabel(t.plant_weight, datetime(1998, 1, 1, tzinfo=UTC), datetime(1999, 1, 1, tzinfo=UTC), "suspect", "cactus-3")
