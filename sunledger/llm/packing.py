@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,6 +39,7 @@ class Encoder:
 
     The file's vocabulary and merge order are run by tiktoken, which gives the same ids in a quarter of the
     time: in such a file a merged token's id grows with the rank of its merge. A file where it doesn't is refused.
+    As in that library, an added token (<|endoftext|>) in a text is its one id and parts the text, leftmost and longest first.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,17 +48,26 @@ class Encoder:
 
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError(f"{path}: added tokens that take more or less than their own letters")
+        self._added: dict[str, int] = {t["content"]: t["id"] for t in added}
+        self._parts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
         merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
         if merged != sorted(merged):
             raise ValueError(f"{path}: ids don't follow the order of merges")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self._added}
         self._encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        return self._encoding.encode_ordinary(text)
+        if not any(t in text for t in self._added):
+            return self._encoding.encode_ordinary(text)
+        ids: list[int] = []
+        for k, part in enumerate(self._parts.split(text)):
+            ids += [self._added[part]] if k % 2 else self._encoding.encode_ordinary(part)
+        return ids
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

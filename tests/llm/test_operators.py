@@ -407,6 +407,26 @@ def test_packing(awkward, documents):
     assert sum(len(r["ids"]) for r in whole) == 4 * packed.agg(F.sum("length")).first()[0]
 
 
+def check_ids(spark, texts):
+    """The ids are those of the tokenizers library as it comes, added tokens included."""
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(packing.default_tokenizer())
+    got = defaultdict(dict)
+    for r in rows(packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True)):
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"]
+        got[r["doc_id"]][r["start"]] = r["ids"]
+    for i, text in enumerate(texts):
+        want = np.array([*encoder.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert b"".join(part for _, part in sorted(got[i].items())) == want.tobytes(), text[:50]
+
+
+def test_packing_of_added_tokens(spark):
+    end = "<|endoftext|>"
+    check_ids(spark, [f"a {end} b", end, end * 3, f" {end}\n\n", f"x{end}y  {end}  z", f"<|{end}|>", "<|endoftext|", "<|endoftext |>", f"{words(3000, 9)} {end} {words(30, 10)}"])
+    assert packing.Encoder(packing.default_tokenizer())(f"a {end} b") == [64, 220, 50256, 275]
+
+
 def test_packs_hold_every_piece_once():
     rng = random.Random(3)
     for _ in range(20):
