@@ -26,6 +26,9 @@ from .common import cut, text_of
 CAPACITY = 2048
 #: Ranks are counted inside so many hash buckets of a length, so that one length may hold most pieces.
 BUCKETS = 256
+#: The pattern's white space. tiktoken's regex engine has a bounded stack and fails on runs of a million; longer runs than this don't go there.
+LONG_RUN = 100_000
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def default_tokenizer() -> str:
@@ -63,12 +66,22 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if not any(t in text for t in self._added):
-            return self._encoding.encode_ordinary(text)
+            return self._plain(text)
         ids: list[int] = []
         for k, part in enumerate(self._parts.split(text)):
-            ids += [self._added[part]] if k % 2 else self._encoding.encode_ordinary(part)
+            ids += [self._added[part]] if k % 2 else self._plain(part)
         return ids
 
+    def _plain(self, text: str) -> list[int]:
+        """The pattern makes a run of white space one piece, without its last character if something follows: long runs are cut out so."""
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text) if len(text) >= LONG_RUN else ():
+            stop = run.end() - (run.end() < len(text))
+            ids += self._encoding.encode_ordinary(text[at : run.start()])
+            ids += self._encoding._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return ids + self._encoding.encode_ordinary(text[at:]) if at else self._encoding.encode_ordinary(text)
+
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every document's tokens and end id, in pieces of at most `capacity`.

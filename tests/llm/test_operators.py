@@ -427,6 +427,11 @@ def test_packing_of_added_tokens(spark):
     assert packing.Encoder(packing.default_tokenizer())(f"a {end} b") == [64, 220, 50256, 275]
 
 
+def test_packing_of_long_white_space(spark):
+    n = packing.LONG_RUN
+    check_ids(spark, [" " * 2_000_000 + "a", "a" + "\n" * 2_000_000, "it's" + "\u3000 \t" * n + "'s", f"a{' ' * n}b {' ' * (n - 1)}c{' ' * (n - 2)}<|endoftext|>" + " " * n, "\x1c" * 2 * n + " 1", " " * n, " " * (n - 1) + "\x85\xa0x", "\r\n" * n + "\n!"])
+
+
 def test_packs_hold_every_piece_once():
     rng = random.Random(3)
     for _ in range(20):
