@@ -4,7 +4,8 @@ A page becomes a small tree. Every paragraph earns points for its length and its
 them to its ancestors, less at each step; a container's points are discounted by the share of its text
 that stands in links. The best container is kept with those of its siblings that look like part of
 the same text; parts of a page that are never article text (menus, forms, notices, comments ...) are
-left out before that, by their element or by the words of their class, id and role.
+left out before that, by their element or by the names in their class, id and role. Names (and forms and headers) only
+suggest: they don't leave out what holds the article or most of the text, nor anything if nothing would be left.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ HINTS_AGAINST = frozenset(
 )
 HINTS_FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 HEADER = frozenset(["header"])
+#: Characters from which on a part can be a page's text.
+SUBSTANTIAL = 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -55,25 +58,35 @@ class Node:
     parent: Node | None
     against: bool = False
     liked: bool = False
+    suggested: bool = False
     children: list = field(default_factory=list)
     points: float = 0.0
     scored: bool = False
 
 
-def _hints(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether its names speak for it."""
+def _hints(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is left out, whether that is only suggested, and whether its names speak for it.
+
+    A name speaks against an element as a whole or if all its words do: sidebar and cookie-banner, not has-sidebar.
+    """
+    forbidden = tag in LEFT_OUT and tag != "form"
+    bad = tag == "form" or tag == "header" and not inside_article
     if not attributes or attributes.isspace():
-        return tag in LEFT_OUT or tag == "header" and not inside_article, False
+        return forbidden or bad, bad, False
     words: set[str] = set()
+    against = HINTS_AGAINST if inside_article else HINTS_AGAINST | HEADER
     hidden = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
-            words.update(WORDS.findall(value.lower()))
+            for one in value.lower().split():
+                own = WORDS.findall(one)
+                words.update(own)
+                bad = bad or bool(own) and against.issuperset(own) and tag not in ("html", "body", "article", "main")
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    bad = words & HINTS_AGAINST or (words & HEADER or tag == "header") and not inside_article
-    return bool(hidden or tag in LEFT_OUT or bad and tag not in ("html", "body", "article", "main")), bool(words & HINTS_FOR)
+    forbidden = forbidden or hidden
+    return forbidden or bad, bad and not forbidden, bool(words & HINTS_FOR)
 
 
 def parse(page: str) -> Node:
@@ -114,8 +127,8 @@ def parse(page: str) -> Node:
             if node.tag in BLOCKS and node.tag not in ENDED_BY:
                 break
             node = node.parent
-        out, liked = _hints(tag, m[3], articles > 0)
-        node = Node(tag, here, out, liked)
+        out, suggested, liked = _hints(tag, m[3], articles > 0)
+        node = Node(tag, here, out, liked, suggested)
         here.children.append(node)
         if tag in RAW:
             close = end_of_raw.get(tag) or end_of_raw.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I))
@@ -175,12 +188,66 @@ def blocks(nodes: list[Node]) -> list[tuple[str, Node, int]]:
     return found
 
 
+def _points(text: str, owner: Node, linked: int) -> float:
+    return 0.0 if owner.tag in HEADINGS else (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def _below(root: Node) -> list[Node]:
+    """The nodes that aren't left out, parents before children."""
+    order = [root]
+    for node in order:  # grows while it is read
+        order.extend(c for c in node.children if isinstance(c, Node) and not c.against)
+    return order
+
+
+def _relent(root: Node) -> list[Node]:
+    """Takes back suggestions against what holds the article or most of the text; the suggestions that stay."""
+    asked, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, Node) and (not c.against or c.suggested):
+                stack.append(c)
+                if c.suggested:
+                    asked.append(c)
+    if not asked:
+        return []
+    for node in asked:
+        node.against = False
+    points: dict[Node, float] = {}
+    chars: dict[Node, int] = {}
+    for text, owner, linked in blocks([root]):
+        if n := _points(text, owner, linked):
+            points[owner] = points.get(owner, 0.0) + n
+            chars[owner] = chars.get(owner, 0) + len(text) - linked
+    own, holds, outside = dict(chars), set(), 0  # own: without what is below suggestions
+    for node in reversed(_below(root)):
+        article = node.tag in ("article", "main")
+        if node.parent is not None:
+            for sums in (points, chars) if node.suggested else (points, chars, own):
+                sums[node.parent] = sums.get(node.parent, 0) + sums.get(node, 0)
+            if article or node in holds:
+                holds.add(node.parent)
+    order = [root]
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, Node) and not c.against and not c.suggested)
+        if node.tag in ("article", "main"):
+            outside = max(outside, own.get(node, 0))
+    stay = []
+    for node in asked:
+        most = points.get(node, 0.0) > points.get(root, 0.0) / 2
+        if not (node in holds and (most or not outside) or most and chars[node] >= SUBSTANTIAL > outside):
+            node.against = True
+            stay.append(node)
+    return stay
+
+
 def _score(root: Node) -> tuple[Node | None, dict[Node, tuple[int, int]]]:
     """The best container, and (characters, characters in links) below each container."""
     sizes: dict[Node, tuple[int, int]] = {}
     candidates: list[Node] = []
     for text, owner, linked in blocks([root]):
-        points = 0.0 if owner.tag in HEADINGS else (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        points = _points(text, owner, linked)
         node, step = owner if owner.tag in CONTAINERS and owner.tag not in PARAGRAPHS else owner.parent, 1
         n, k = sizes.get(owner, (0, 0))
         sizes[owner] = (n + len(text), k + linked)
@@ -193,10 +260,7 @@ def _score(root: Node) -> tuple[Node | None, dict[Node, tuple[int, int]]]:
                 step += 1
             node = node.parent
 
-    order: list[Node] = [root]
-    for node in order:  # grows while it is read: parents before children
-        order.extend(c for c in node.children if isinstance(c, Node) and not c.against)
-    for node in reversed(order):
+    for node in reversed(_below(root)):
         if node.parent is not None and node in sizes:
             n, k = sizes.get(node.parent, (0, 0))
             sizes[node.parent] = (n + sizes[node][0], k + sizes[node][1])
@@ -211,6 +275,16 @@ def _score(root: Node) -> tuple[Node | None, dict[Node, tuple[int, int]]]:
 def main_text(page: str) -> str:
     """The article's blocks, one a line; empty if the page has no text."""
     root = parse(page)
+    stay = _relent(root)
+    text = _best_text(root)
+    if not text and stay:
+        for node in stay:
+            node.against = False
+        text = _best_text(root)
+    return text
+
+
+def _best_text(root: Node) -> str:
     best, sizes = _score(root)
     if best is None:
         return "\n".join(b[0] for b in blocks([root]))
@@ -221,15 +295,29 @@ def main_text(page: str) -> str:
         return "\n".join(b[0] for b in blocks([node]))
     if best.parent is None:
         return "\n".join(b[0] for b in blocks([best]))
-    limit, kept = max(10.0, best.points * 0.2), []
+    limit, kept, run = best.points * 0.2, [], []
+
+    def end_run() -> None:
+        """Text that stands between blocks stays unless it is mostly links."""
+        found = blocks(run)
+        if sum(b[2] for b in found) < 0.25 * sum(len(b[0]) for b in found):
+            kept.extend(run)
+        kept.append(Node("hr", None))
+        run.clear()
+
     for child in best.parent.children:
+        if isinstance(child, str) or child.tag not in BLOCKS and child is not best:
+            run.append(child)
+            continue
+        end_run()
         if child is best:
             kept.append(child)
-        elif isinstance(child, Node) and not child.against and child in sizes:
+        elif not child.against and child in sizes:
             n, k = sizes[child]
             text_like = child.tag in HEADINGS or child.tag in PARAGRAPHS and k / n < 0.25 and (n > 80 or k == 0)
             if child.scored and child.points * (1 - k / n) >= limit or text_like:
                 kept.append(child)
+    end_run()
     return "\n".join(b[0] for b in blocks(kept))
 
 

@@ -191,6 +191,37 @@ def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+STORY = "".join(f"<p>{' '.join(f'word{i}x{k}' for k in range(20))}, and more.</p>" for i in range(6))
+STORY_TEXT = html_text.main_text(f"<article>{STORY}</article>")
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-comments", "overflow-hidden", "page-with-menu", "sidebar", "comments", "banner header"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}"])
+def test_names_dont_lose_the_article(name, inner):
+    page = f'<body><nav>menu</nav><div class="{name}">{inner.format(STORY)}</div><div class="cookie-banner">We use, many, cookies</div></body>'
+    assert len(STORY_TEXT) > 600 and html_text.main_text(page) == STORY_TEXT
+
+
+def test_forms_dont_lose_the_article():
+    for inner in (f"<article>{STORY}</article>", f"<div>{STORY}</div>", STORY):
+        assert html_text.main_text(f"<body><form id=aspnet>{inner}<input name=x></form></body>") == STORY_TEXT
+    assert html_text.main_text(f"<main><p>Intro</p><form>{STORY}</form></main>") == "Intro\n" + STORY_TEXT
+    assert html_text.main_text(f"<article>{STORY}</article><form><p>Your, name, please</p></form>") == STORY_TEXT
+    assert html_text.main_text(f'<main>{STORY}<div class="related"><article><p>Other, story</p></article></div></main>') == STORY_TEXT
+
+
+def test_nothing_is_left_out_if_nothing_is_left():
+    assert html_text.main_text('<div class="sidebar"><p>few words</p></div>') == "few words"
+    assert html_text.main_text("<form><p>few words</p></form><script>x</script>") == "few words"
+    assert html_text.main_text("<p hidden>few words</p>") == ""
+
+
+def test_equal_siblings_stay():
+    page = "<div><p>one two.</p><p>three four.</p></div>"
+    assert html_text.main_text(f"<body>{page}{page}</body>") == "one two.\nthree four.\none two.\nthree four."
+    assert html_text.main_text(f"<body>Bare <b>text</b>.<div>{STORY}</div>more text<div>{'<p>one, two.</p>' * 3}</div><a href=x>Home</a> <a href=y>About</a></body>") == f"Bare text.\n{STORY_TEXT}\nmore text\none, two.\none, two.\none, two."
+
+
 def test_extract_text(spark):
     pages = spark.createDataFrame([(1, "u", "<p>\U0001f600 x</p>", "old"), (2, None, None, None), (2, None, None, None), (3, "u", "<p>" + LONG + "</p>", "")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in rows(html_text.extract_text(pages)))
