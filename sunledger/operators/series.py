@@ -162,10 +162,24 @@ def ingest_completeness(df: DataFrame, by: Names, interval_s: int, start: dateti
     return counted.withColumn("completeness", F.col("n") * F.lit(float(interval_s)) / length)
 
 
-def rank_quantile(value: str, q: float) -> Column:
-    """The value at index floor(q * (n - 1)) of the sorted group."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, (F.floor(F.lit(q) * (F.size(values) - 1)) + 1).cast("int"))
+def rank_quantiles(df: DataFrame, by: Names, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """A column each of `quantiles`: the value at index floor(q * (n - 1)) of the sorted group; null if a group has no values.
+
+    Counts of narrow value ranges (0.025 % wide) show in which range an index lies, so only the distinct values of that
+    range are put in order and no task gets a whole key.
+    """
+    x = F.col("__v")
+    place = F.when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).otherwise((F.signum(x) * (F.floor(F.log(F.least(F.abs(x), F.lit(1.7976931348623157e308))) * 4096) + (1 << 24))).cast("long"))
+    own = df.select(F.struct(*by).alias("__k"), F.col(value).alias(value), F.col(value).cast("double").alias("__v")).withColumn("__r", F.when(x.isNotNull(), place))
+    ordered = W.partitionBy("__k").orderBy("__r")
+    ranges = own.filter(x.isNotNull()).groupBy("__k", "__r").agg(F.count(F.lit(1)).alias("__n"))
+    ranges = ranges.withColumns({"__end": F.sum("__n").over(ordered.rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("__n").over(W.partitionBy("__k"))})
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("__q"), F.floor(F.lit(q) * (F.col("__all") - 1)).alias("__at")) for name, q in quantiles.items())))
+    hits = ranges.withColumn("__w", wanted).select("__k", "__r", "__w.__q", (F.col("__w.__at") - (F.col("__end") - F.col("__n"))).alias("__at"), "__n").filter("__at >= 0 AND __at < __n").drop("__n")
+    counts = own.join(hits, ["__k", "__r"]).groupBy("__k", "__q", "__at", value).agg(F.count(F.lit(1)).alias("__n"))
+    end = F.sum("__n").over(W.partitionBy("__k", "__q").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    found = counts.withColumn("__end", end).filter("__at < __end AND __at >= __end - __n").groupBy("__k").agg(*(F.max(F.when(F.col("__q") == name, F.col(value))).alias(name) for name in quantiles))
+    return own.select("__k").distinct().join(found, "__k", "left").select("__k.*", *quantiles)
 
 
 def variation(value: str) -> Column:

@@ -93,13 +93,20 @@ def _(t):
 
 @query("s09_annotated_csv", sql("air", 'SELECT device AS path, "column", count(*) AS n, round(sum(value), 6) AS total FROM (SELECT device, \'lux\' AS "column", round(lux, 2) AS value FROM air UNION ALL SELECT device, \'rssi\', rssi FROM air WHERE event_id % 2 = 0) GROUP BY ALL'))
 def _(t):
-    """One CSV of two blocks a device, as a store would print them."""
+    files = _csv_files(t.air)
+    cells = annotated_csv.cells(files).withColumn("path", F.regexp_replace("path", "/[0-9]+$", ""))
+    return cells.groupBy("path", "column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("double")).alias("total"))
+
+
+def _csv_files(air, rows=10_000):
+    """CSVs of two blocks, as a store would print them: of each device as many as hold some `rows` rows each."""
     head, short = F.lit("#datatype,string,long,double\n,result,table,lux\n"), F.lit("#datatype,string,long,double,double\n,result,table,rssi,lux\n")
     lux = F.format_string("%.2f", F.col("lux"))
     row = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(",_r,0,"), F.col("rssi").cast("string"), F.lit(","), lux)).otherwise(F.concat(F.lit(",_r,0,"), lux))
-    parts = t.air.withColumns({"row": row, "two": F.col("event_id") % 2 == 0}).groupBy("device").agg(F.collect_list(F.when(~F.col("two"), F.col("row"))).alias("a"), F.collect_list(F.when(F.col("two"), F.col("row"))).alias("b"))
-    files = parts.select(F.col("device").alias("path"), F.concat(head, F.array_join("a", "\n"), F.lit("\n\n"), short, F.array_join("b", "\n")).alias("value"))
-    return annotated_csv.cells(files).groupBy("path", "column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("double")).alias("total"))
+    sizes = air.groupBy(F.col("device").alias("whose")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("files"))
+    sliced = air.join(sizes, F.col("device").eqNullSafe(F.col("whose"))).withColumn("slice", F.pmod(F.xxhash64("event_id"), F.col("files")))
+    parts = sliced.withColumns({"row": row, "two": F.col("event_id") % 2 == 0}).groupBy("device", "slice").agg(F.collect_list(F.when(~F.col("two"), F.col("row"))).alias("a"), F.collect_list(F.when(F.col("two"), F.col("row"))).alias("b"))
+    return parts.select(F.concat("device", F.lit("/"), "slice").alias("path"), F.concat(head, F.array_join("a", "\n"), F.lit("\n\n"), short, F.array_join("b", "\n")).alias("value"))
 
 
 @query("s11_upsert_points", sql("plant_weight", "SELECT plant_id, device, epoch_us(time) AS time, CASE WHEN weight_g > 40 THEN 'heavy' ELSE quality END AS quality, CASE WHEN weight_g > 40 AND weight_g < 45 THEN weight_g + 1 ELSE weight_g END AS weight_g FROM plant_weight"))

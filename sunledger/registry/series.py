@@ -221,7 +221,7 @@ def _(t):
 
 @query("a08_rank_quantile", sql("air", "SELECT device, (list_sort(list(lux)))[floor(0.1 * (count(*) - 1))::INT + 1] AS p10, (list_sort(list(lux)))[floor(0.9 * (count(*) - 1))::INT + 1] AS p90 FROM air GROUP BY device"))
 def _(t):
-    return t.air.groupBy("device").agg(S.rank_quantile("lux", 0.1).alias("p10"), S.rank_quantile("lux", 0.9).alias("p90"))
+    return S.rank_quantiles(t.air, ("device",), "lux", {"p10": 0.1, "p90": 0.9})
 
 
 @query("a09_variation", sql("air", f"SELECT device, {_W10} AS window_start, round(CASE WHEN count(lux) < 2 OR avg(lux) = 0 THEN 0 ELSE stddev_pop(lux) / avg(lux) END, 6) AS cv FROM air GROUP BY ALL"))

@@ -1,5 +1,6 @@
 """Order-dependent operators against plain loops."""
 
+import math
 import random
 from datetime import UTC, datetime, timedelta
 
@@ -169,3 +170,24 @@ def test_stable_weigh(spark):
     assert got["late"] == ("UNSTABLE", None) and got["uid"][0] == "MEASURED"
     # 24 samples after the wobble ends, and held for 1.5 s more.
     assert (got["uid"][1].replace(tzinfo=UTC) - T0).total_seconds() == pytest.approx(5.3 + 1.5, abs=0.11)
+
+
+def test_rank_quantiles_equal_the_sorted_list(spark):
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(0, 1000) for _ in range(3000)], "b": [1.5], "c": [7.0] * 900 + [8.0] * 100, None: [-0.5, 0.0, 2e-300, math.inf, -math.inf], "d": [20 + rng.randint(0, 9) / 1e5 for _ in range(500)], "e": []}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "device string, lux double")
+    qs = {"low": 0.0, "p10": 0.1, "half": 0.5, "p90": 0.9, "high": 1.0}
+    out = S.rank_quantiles(df, ("device",), "lux", qs)
+    got = {r["device"]: [r[n] for n in qs] for r in out.collect()}
+    assert got == {k: [sorted(vs)[math.floor(q * (len(vs) - 1))] if vs else None for q in qs.values()] for k, vs in groups.items()}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_csv_cells_are_bounded(spark):
+    from sunledger.registry import ingest
+
+    air = spark.range(5000).selectExpr("id AS event_id", "IF(id % 3 = 0, 'dev-1', concat('dev-', id % 5)) AS device", "CAST(id % 100 AS double) AS lux", "CAST(-40 AS double) AS rssi")
+    files = ingest._csv_files(air, 100).cache()
+    assert files.count() == files.select("path").distinct().count() >= 40
+    assert files.agg(F.max(F.length("value"))).first()[0] < 200 * 25
+    assert annotated_csv.cells(files).filter("column = 'lux'").count() == 5000
