@@ -43,6 +43,14 @@ def _(t):
     return dedup_ttl(_few(t), ("device", "event_id"), ties=("uid", "weight_g")).select("device", "event_id", "uid", "weight_g", "recv_ts")
 
 
+@query("t02_dedup_ttl_all")
+def _dedup_all(t):
+    """Dedup over every device and id, with bursts as above; too many rows for the SQL's recursion, so tests use a loop."""
+    more = t.event_raw.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4 * 3).cast("int"))))
+    bursts = more.select("device", "event_id", "uid", "weight_g", F.timestamp_seconds(F.unix_seconds("recv_ts") + 25 * F.col("k")).alias("recv_ts")).distinct()
+    return dedup_ttl(bursts, ("device", "event_id"), ties=("uid", "weight_g")).select("device", "event_id", "uid", "weight_g", "recv_ts")
+
+
 @query(
     "d13_ingest_weights",
     sql("event_raw tag_map", "SELECT device, coalesce(plant_id, 'unknown') AS plant_id, CASE WHEN weight_g < 30 THEN 'empty' ELSE 'ok' END AS quality, count(*) AS n, round(sum(weight_g), 6) AS total FROM kept LEFT JOIN tag_map USING (uid) GROUP BY ALL",

@@ -191,3 +191,19 @@ def test_csv_cells_are_bounded(spark):
     assert files.count() == files.select("path").distinct().count() >= 40
     assert files.agg(F.max(F.length("value"))).first()[0] < 200 * 25
     assert annotated_csv.cells(files).filter("column = 'lux'").count() == 5000
+
+
+def test_dedup_of_every_device_equals_the_loop(spark):
+    from types import SimpleNamespace
+
+    from sunledger.registry import site
+
+    rng = random.Random(6)
+    raw = sorted({(f"st-{d}", i, "u", 1.0, rng.randrange(2000)) for d in range(1, 5) for i in range(9) for _ in range(4)})
+    t = SimpleNamespace(event_raw=spark.createDataFrame([(*r[:4], at(r[4])) for r in raw], "device string, event_id long, uid string, weight_g double, recv_ts timestamp"))
+    want, last = [], {}
+    for d, i, s in sorted({(d, i, s + 25 * k) for d, i, _, _, s in raw for k in range(i % 4 * 3 + 1)}):
+        if (d, i) not in last or s - last[d, i] > 60:
+            last[d, i] = s
+            want.append((d, i, s))
+    assert sorted((r["device"], r["event_id"], seconds(r["recv_ts"])) for r in site._dedup_all(t).collect()) == want
