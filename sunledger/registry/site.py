@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from ..config import CHANNELS
+from ..config import CHANNELS, SITE
 from ..functions import light as L
 from ..functions import reflect as R
 from ..functions import text as X
@@ -276,6 +276,35 @@ def _(t):
     return C.replay(_ticks(t), t.air, _commands(t))
 
 
+def _all_ticks(t):
+    """A tick every SITE.tick_s over the days of the events table, at every location that has readings."""
+    days = t.events.select(F.to_date("time").alias("d")).distinct()
+    grid = days.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(86399), F.lit(SITE.tick_s)))).crossJoin(t.air.select("location").distinct())
+    return grid.select("location", F.timestamp_seconds(F.unix_date("d").cast("long") * 86400 + F.col("s")).alias("time"))
+
+
+def _all_commands(t):
+    return t.events.select(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time", F.when(F.col("event_id") % 3 == 0, "ON").otherwise("off").alias("state"), (F.col("event_id") % 7 == 0).alias("retained"))
+
+
+# The same at every location and tick, with every command: too many rows for the SQL's recursion, so tests use a loop.
+
+
+@query("d21_prepare_ticks_all")
+def _(t):
+    return C.prepare_ticks(_all_ticks(t), t.air).drop("local_day")
+
+
+@query("t08_hysteresis_all")
+def _hysteresis_all(t):
+    return C.hysteresis(C.prepare_ticks(_all_ticks(t), t.air)).select("location", "time", "state")
+
+
+@query("d21_replay_light_all")
+def _replay_all(t):
+    return C.replay(_all_ticks(t), t.air, _all_commands(t))
+
+
 _WIN = "win AS (SELECT DISTINCT location, date_trunc('day', time)::TIMESTAMP + INTERVAL 22 HOUR AS start, date_trunc('day', time)::TIMESTAMP + INTERVAL 24 HOUR AS stop FROM air)"
 
 

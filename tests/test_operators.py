@@ -207,3 +207,54 @@ def test_dedup_of_every_device_equals_the_loop(spark):
             last[d, i] = s
             want.append((d, i, s))
     assert sorted((r["device"], r["event_id"], seconds(r["recv_ts"])) for r in site._dedup_all(t).collect()) == want
+
+
+def test_controller_at_every_location_equals_the_loop(spark):
+    from bisect import bisect_right
+    from types import SimpleNamespace
+
+    from sunledger.registry import site
+
+    rng = random.Random(8)
+    events = [(i, i % 4, rng.randrange(1000, 46_000)) for i in range(40)]
+    air = {f"loc-{p}": [(s, rng.uniform(0, top)) for s in range(p, 46_000, 50) if not 20_000 < s < 21_000] for p, top in ((0, 20_000), (1, 8_000), (5, 16_000))}
+    t = SimpleNamespace(
+        events=spark.createDataFrame([(i, u, at(s)) for i, u, s in events], "event_id long, user_id long, time timestamp"),
+        air=spark.createDataFrame([(p, at(s), v) for p, rows in air.items() for s, v in rows], "location string, time timestamp, lux double"),
+    )
+    want, states, withheld = [], [], 0
+    for place in ("loc-0", "loc-1", "loc-2", "loc-3", "loc-5"):
+        readings = air.get(place, [])
+        times, dli = [s for s, _ in readings], []
+        for k, (s, v) in enumerate(readings):  # all readings lie in one local day
+            dli.append(dli[-1] + (v + readings[k - 1][1]) / 108 * (s - readings[k - 1][0]) / 1e6 if k else 0.0)
+        rows = [(s, 0, i % 3 == 0) for i, u, s in events if f"loc-{u}" == place and i % 7]
+        rows += [(s, 1, None) for s in range(0, 86_400, 60)] if readings else []
+        on, simple, manual, switched, extend, day = False, "OFF", -1e18, -1e18, False, None
+        for s, kind, command in sorted(rows):
+            if kind == 0:
+                manual = s + 300
+                if command != on:
+                    on = command
+                    want.append((place, s, "ON" if on else "OFF", "manual"))
+                continue
+            k = bisect_right(times, s) - 1
+            minute, today = (s // 60 + 480) % 1440, s >= 57_600
+            blind = k < 0 or s - times[k] > 300
+            lux = None if blind else readings[k][1]
+            forced = "OFF" if not 480 <= minute < 1110 else "ON" if blind or lux < 5000 else "OFF" if lux > 15_000 else None
+            simple = forced or simple
+            states.append((place, s, simple))
+            if today != day:
+                extend, day = False, today
+            if 1110 <= minute < 1230 and k >= 0 and not today:
+                extend = dli[k] < 4
+            wish = 480 <= minute < (1230 if extend else 1110) and (blind or lux < 5000 or on and lux <= 15_000)
+            if s < manual or s - switched < 300:
+                withheld += wish != on and s >= manual
+            elif wish != on:
+                on, switched = wish, s
+                want.append((place, s, "ON" if on else "OFF", "auto"))
+    got = sorted((r["location"], seconds(r["time"]), r["state"], r["source"]) for r in site._replay_all(t).collect())
+    assert withheld > 10 and got == sorted(want)
+    assert sorted((r["location"], seconds(r["time"]), r["state"]) for r in site._hysteresis_all(t).collect()) == states
