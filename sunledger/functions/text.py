@@ -37,3 +37,8 @@ def number(x: Column) -> Column:
 
 def outside(x: Column, low: float, high: float) -> Column:
     return (x < low) | (x > high)
+
+
+def silence_text(device: Column, field: Column, age_min: Column, limit_min: int) -> Column:
+    """What an alert on a silent series says."""
+    return F.format_string(f"silent: %s/%s for %.0f min, limit {limit_min} min", device, field, age_min)

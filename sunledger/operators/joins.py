@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import config as C
+from .days import DAY, KEY, carried, dated
 
 Names = Sequence[str]
 
@@ -45,18 +46,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Names, values: Names, tol
 
     Of right rows at one time the one with the largest values counts, whatever the partitioning.
     Works a key and UTC day: inside a day by an ordered window, across days by one carried row a
-    key and day, so a key with years of history is never sorted in one piece.
+    key and day, so a key with years of history is never sorted in one piece. A null key is a key like others.
     """
     row = F.struct(F.col(time).alias("asof_time"), *values)
     extra = [c for c in left.columns if c not in (*keys, time)]
     l = left.select(*keys, time, F.struct(*extra, F.lit(1).alias("__l")).alias("__left"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("__right"))
     r = right.select(*keys, time, F.lit(None).cast(l.schema["__left"].dataType).alias("__left"), row.alias("__right"))
-    both = l.unionByName(r).withColumn("__day", F.to_date(time)).withColumn("__side", F.col("__left").isNull() if not strict else F.col("__left").isNotNull())
-    w = W.partitionBy(*keys, "__day").orderBy(time, F.desc("__side"), "__right").rowsBetween(W.unboundedPreceding, 0)
+    both = dated(l.unionByName(r), keys, time).withColumn("__side", F.col("__left").isNull() if not strict else F.col("__left").isNotNull())
+    w = W.partitionBy(KEY, DAY).orderBy(time, F.desc("__side"), "__right").rowsBetween(W.unboundedPreceding, 0)
     inside = both.withColumn("__in", F.last("__right", ignorenulls=True).over(w)).filter("__left IS NOT NULL")
-    days = both.groupBy(*keys, "__day").agg(F.max("__right").alias("__last"))
-    carried = days.select(*keys, "__day", F.last("__last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
-    found = inside.join(carried, [*keys, "__day"]).withColumn("__hit", F.coalesce("__in", "__carried"))
+    days = both.groupBy(KEY, DAY).agg(F.max("__right").alias("__last"))
+    earlier = days.select(KEY, DAY, F.last("__last", ignorenulls=True).over(W.partitionBy(KEY).orderBy(DAY).rowsBetween(W.unboundedPreceding, -1)).alias("__carried"))
+    found = inside.join(earlier, [KEY, DAY]).withColumn("__hit", F.coalesce("__in", "__carried"))
     if tolerance is not None:
         near = F.unix_micros(time) - F.unix_micros("__hit.asof_time") <= int(tolerance.total_seconds() * 1e6)
         found = found.withColumn("__hit", F.when(near, F.col("__hit")))
@@ -89,9 +90,8 @@ def state_held(windows: DataFrame, states: DataFrame, keys: Names, state: str, v
     True only if the last change before the window set it and none inside the window left it;
     without any change to go by it can't be verified, and is false.
     """
-    later = W.partitionBy(*keys).orderBy("time").rowsBetween(1, W.unboundedFollowing)
-    until = F.min(F.when(~F.col(state).eqNullSafe(F.lit(value)), F.col("time"))).over(later)
-    known = states.select(*keys, "time", F.col(state).alias("__state"), until.alias("__until"))
+    left_it = F.when(~F.col(state).eqNullSafe(F.lit(value)), F.col("time"))
+    known = carried(states.select(*keys, "time", F.col(state).alias("__state"), left_it.alias("__left_it")), keys, F.col("__left_it"), "__until", forward=False)
     entry = asof_join(windows.withColumn("time", F.col("start")), known, keys, ["__state", "__until"], look_back, strict=True)
     held = (F.col("__state") == value) & (F.col("__until").isNull() | (F.col("__until") >= F.col("stop")))
     return entry.select(*windows.columns, F.coalesce(held, F.lit(False)).alias("held"))

@@ -12,39 +12,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SITE, Site
+from .days import carried, with_neighbours
 
 
 def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = ()) -> DataFrame:
     """Keeps the first of each key and drops its repeats up to ttl_ms after the kept one; later ones are new.
 
     The time runs from the kept row, repeats don't extend it. A stretch without a pause longer than the ttl is an
-    island; islands don't affect each other, so an island is the group, however long a key's history. Only islands
-    that last longer than the ttl need the scan.
+    island; islands don't affect each other. An island's first row stays, and what follows within the ttl goes, so only rows
+    beyond that need the scan. It reads them in order, batch by batch, with the last kept time as its state: neither a
+    key's history nor an island has to fit in memory.
     """
-    order = [F.col(time), *map(F.col, ties)]
-    w = W.partitionBy(*keys).orderBy(*order)
-    gap = F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))
-    islands = events.withColumn("__new", F.coalesce((gap > ttl_ms * 1000).cast("int"), F.lit(1))).withColumn("__island", F.sum("__new").over(w))
-    group = W.partitionBy(*keys, "__island")
-    since = (F.unix_micros(time) - F.min(F.unix_micros(time)).over(group)) / 1000
-    marked = islands.withColumns({"__since": since, "__first": F.row_number().over(group.orderBy(*order)) == 1}).withColumn("__long", F.max("__since").over(group) > ttl_ms).drop("__new")
-    short = marked.filter("NOT __long AND __first").select(*events.columns)
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__since", *ties], kind="stable")
-        since, kept, last = rows["__since"].to_numpy(), np.zeros(len(rows), bool), -np.inf
-        i = 0
-        while i < len(rows):  # jumps from one kept row to the next
-            kept[i], last = True, since[i]
-            i = int(np.searchsorted(since, last + ttl_ms, "right"))
-        return rows.loc[kept, [c for c in rows.columns if not c.startswith("__")]]
-
-    long = marked.filter("__long").drop("__long", "__first").groupBy(*keys, "__island").applyInPandas(scan, events.schema)
-    return short.unionByName(long)
+    order = (time, *ties)
+    found = with_neighbours(events, keys, (time,), order, before="__before", time=time)
+    pause = F.unix_micros(time) - F.unix_micros(f"__before.{time}")
+    begun = found.withColumn("__new", F.coalesce(pause > ttl_ms * 1000, F.lit(True))).drop("__before")
+    islands = carried(begun, keys, F.when(F.col("__new"), F.col(time)), "__island", order, time)
+    late = islands.withColumn("__since", (F.unix_micros(time) - F.unix_micros("__island")) / 1000).filter(F.col("__since") > ttl_ms)
+    group = [*keys, "__island"]
+    spread, columns = late.repartition(*group).sortWithinPartitions(*group, "__since", *ties), events.columns
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, 0.0
+        for batch in batches:
+            run = batch.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+            edges = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+            since, kept = batch["__since"].to_numpy(), np.zeros(len(batch), bool)
+            for low, high in zip(edges, [*edges[1:], len(batch)], strict=True):
+                own = str(batch[group].iloc[low].tolist())
+                if own != here:
+                    here, last = own, 0.0
+                i = low + int(np.searchsorted(since[low:high], last + ttl_ms, "right"))
+                while i < high:  # jumps from one kept row to the next
+                    kept[i], last = True, float(since[i])
+                    i = low + int(np.searchsorted(since[low:high], last + ttl_ms, "right"))
+            yield batch.loc[kept, columns]
+
+    return islands.filter("__new").select(*events.columns).unionByName(spread.mapInPandas(scan, events.schema))
 
 
 @dataclass

@@ -18,6 +18,7 @@ from ..config import SITE, Site
 from ..functions import text as X
 from ..functions import time as T
 from ..functions.light import all_present, any_at_least, spectrum_sum
+from .days import in_parts, with_neighbours, without_parts
 
 Names = Sequence[str]
 
@@ -265,7 +266,8 @@ def latest_per(df: DataFrame, keys: Names, order: Names = ("time",)) -> DataFram
 
 def difference(df: DataFrame, by: Names, value: str = "value", order: Names = ("time",)) -> DataFrame:
     """Value minus the one before, stamped at the later row; the first row of a key goes."""
-    return df.withColumn(value, F.col(value) - F.lag(value).over(W.partitionBy(*by).orderBy(*order))).filter(F.col(value).isNotNull())
+    found = with_neighbours(df, by, (value,), order, before="__before", time=order[0])
+    return found.withColumn(value, F.col(value) - F.col(f"__before.{value}")).filter(F.col(value).isNotNull()).select(*df.columns)
 
 
 def daily_min(df: DataFrame, by: Names, value: str = "value", tz: str = SITE.tz) -> DataFrame:
@@ -286,38 +288,42 @@ def tail_n(df: DataFrame, by: Names, n: int, order: Names = ("time",)) -> DataFr
 
 def silent_gaps(df: DataFrame, by: Names, minutes: float, as_of: datetime, time: str = "time") -> DataFrame:
     """(by, gap_start, gap_stop, minutes): every stretch without a point that lasts longer than allowed, up to as_of."""
-    after = F.coalesce(F.lead(time).over(W.partitionBy(*by).orderBy(time)), T.instant(as_of))
-    length = (F.unix_micros("gap_stop") - F.unix_micros("gap_start")) / 6e7
-    gaps = df.filter(F.col(time) < T.instant(as_of)).select(*by, F.col(time).alias("gap_start"), after.alias("gap_stop"))
-    return gaps.withColumn("minutes", length).filter(F.col("minutes") > minutes)
+    found = with_neighbours(df.select(*by, time), by, (time,), (time,), after="__after", time=time).filter(F.col(time) < T.instant(as_of))
+    gaps = found.select(*by, F.col(time).alias("gap_start"), F.coalesce(F.col(f"__after.{time}"), T.instant(as_of)).alias("gap_stop"))
+    return gaps.withColumn("minutes", (F.unix_micros("gap_stop") - F.unix_micros("gap_start")) / 6e7).filter(F.col("minutes") > minutes)
 
 
 def rolling_stats(df: DataFrame, by: Names, n: int = 24, value: str = "grams", time: str = "time") -> DataFrame:
     """Adds mean, min, max, range, count and time span (s) over the last n samples."""
-    w = W.partitionBy(*by).orderBy(time).rowsBetween(1 - n, 0)
-    return df.withColumns(
+    parts, names = in_parts(df, by, n - 1, (time,), time)
+    w = W.partitionBy(*names).orderBy(time).rowsBetween(1 - n, 0)
+    found = parts.withColumns(
         {
             "mean_g": F.avg(value).over(w), "min_g": F.min(value).over(w), "max_g": F.max(value).over(w), "samples": F.count(value).over(w),
             "span_s": (F.unix_micros(time) - F.min(F.unix_micros(time)).over(w)) / 1e6,
         }
-    ).withColumn("range_g", F.col("max_g") - F.col("min_g"))
+    )
+    return without_parts(found).withColumn("range_g", F.col("max_g") - F.col("min_g"))
 
 
 def state_changes(df: DataFrame, by: Names, state: str, order: Names = ("time",)) -> DataFrame:
     """Rows whose state differs from the one before."""
-    before = F.lag(F.struct(state)).over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn("__before", before).filter(F.col("__before").isNull() | ~F.col("__before")[state].eqNullSafe(F.col(state))).drop("__before")
+    found = with_neighbours(df, by, (state,), order, before="__before", time=order[0])
+    return found.filter(F.col("__before").isNull() | ~F.col(f"__before.{state}").eqNullSafe(F.col(state))).select(*df.columns)
 
 
 def state_intervals(df: DataFrame, by: Names, state: str, end: datetime | None = None, order: Names = ("time",), time: str = "time") -> DataFrame:
     """(by, state, start, stop): how long each state lasts; the last one ends at `end`, or is open."""
-    stop = F.lead(time).over(W.partitionBy(*by).orderBy(*order))
-    return df.select(*by, F.col(state), F.col(time).alias("start"), F.coalesce(stop, T.instant(end) if end else F.lit(None).cast("timestamp")).alias("stop"))
+    found = with_neighbours(df.select(*dict.fromkeys([*by, state, time, *order])), by, (time,), order, after="__after", time=time)
+    stop = F.coalesce(F.col(f"__after.{time}"), T.instant(end) if end else F.lit(None).cast("timestamp"))
+    return found.select(*by, F.col(state), F.col(time).alias("start"), stop.alias("stop"))
 
 
 def baseline_drift(df: DataFrame, by: Names, value: str, n: int = 7, order: Names = ("time",)) -> DataFrame:
     """Adds the median of the n rows before, and the relative change against it."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(-n, -1)
+    parts, names = in_parts(df, by, n, order, order[0])
+    w = W.partitionBy(*names).orderBy(*order).rowsBetween(-n, -1)
     values = F.sort_array(F.collect_list(value).over(w))  # at most n values; the median of a frame has no other form
     low, high = (F.get(values, F.floor((F.size(values) - k) / 2).cast("int")) for k in (1, 0))
-    return df.withColumn("baseline", (low + high) / 2).withColumn("drift", F.try_divide(F.col(value) - F.col("baseline"), F.col("baseline")))
+    found = without_parts(parts.withColumn("baseline", (low + high) / 2))
+    return found.withColumn("drift", F.try_divide(F.col(value) - F.col("baseline"), F.col("baseline")))

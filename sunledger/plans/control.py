@@ -6,11 +6,11 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..config import SITE, Site
 from ..functions import time as T
 from ..functions.light import forced_state
+from ..operators.days import carried
 from ..operators.joins import asof_join, state_held
 from ..operators.ordered import replay_light
 from .light import running_dli
@@ -32,19 +32,20 @@ def prepare_ticks(ticks: DataFrame, air: DataFrame, site: Site = SITE) -> DataFr
 def hysteresis(prepared: DataFrame, site: Site = SITE) -> DataFrame:
     """The state at each tick without any hold: the last forced state stays through the band."""
     forced = forced_state(F.col("lux"), F.col("lux_age_s"), F.col("minute"), site.lamp_end, site)
-    w = W.partitionBy("location").orderBy("time").rowsBetween(W.unboundedPreceding, 0)
-    return prepared.withColumn("state", F.coalesce(F.last(forced, ignorenulls=True).over(w), F.lit("OFF")))
+    return carried(prepared, ("location",), forced, "state").withColumn("state", F.coalesce("state", F.lit("OFF")))
 
 
-def replay(ticks: DataFrame, air: DataFrame, commands: DataFrame, site: Site = SITE) -> DataFrame:
-    """Every switch of the lamp that the controller would have made, from ticks, readings and commands.
-
-    Retained commands are ignored, as is anything but ON and OFF.
-    """
+def controller_rows(ticks: DataFrame, air: DataFrame, commands: DataFrame, site: Site = SITE) -> DataFrame:
+    """What the controller is given, a row a tick or command. Retained commands are ignored, as is anything but ON and OFF."""
     prepared = prepare_ticks(ticks, air, site).withColumns({"kind": F.lit("tick"), "cmd": F.lit(None).cast("string")})
     state = F.upper("state")
     cmds = commands.filter(~F.coalesce("retained", F.lit(False)) & state.isin("ON", "OFF")).select("location", "time", F.lit("cmd").alias("kind"), state.alias("cmd"))
-    return replay_light(prepared.unionByName(cmds, allowMissingColumns=True), site)
+    return prepared.unionByName(cmds, allowMissingColumns=True)
+
+
+def replay(ticks: DataFrame, air: DataFrame, commands: DataFrame, site: Site = SITE) -> DataFrame:
+    """Every switch of the lamp that the controller would have made, from ticks, readings and commands."""
+    return replay_light(controller_rows(ticks, air, commands, site), site)
 
 
 def verify_lamp_off(windows: DataFrame, light: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..config import SITE, Site
 from ..functions import text as X
 from ..functions import time as T
 from ..operators import series as S
+from ..operators.days import carried, with_neighbours
 from ..operators.joins import join_on_window
 
 
@@ -25,7 +25,7 @@ def _deadman(df: DataFrame, keys: Sequence[str], as_of: datetime, limit_min: flo
     return last.withColumn("age_min", age).withColumn("state", F.when(F.col("last_seen").isNull(), "NoData").when(F.col("age_min") > limit_min, "Alerting").otherwise("Normal"))
 
 
-def deadman_air(air: DataFrame, as_of: datetime, known: DataFrame | None = None, skip_devices: Sequence[str] = ("sim", "staging-01"), skip_fields: Sequence[str] = ("weight_raw",), limit_min: float = 15, look_back: timedelta = timedelta(days=30), site: Site = SITE) -> DataFrame:
+def deadman_air(air: DataFrame, as_of: datetime, known: DataFrame | None = None, skip_devices: Sequence[str] = (), skip_fields: Sequence[str] = ("weight_raw",), limit_min: float = 15, look_back: timedelta = timedelta(days=30), site: Site = SITE) -> DataFrame:
     """Silence of each (device, field) of long air points; light fields count only while the lamp may run.
 
     `known` names series that must be there: those not seen in the look-back come out as NoData.
@@ -40,7 +40,7 @@ def deadman_feed(df: DataFrame, as_of: datetime, limit_min: float = 60, look_bac
     return seen.withColumn("age_min", T.age_minutes(F.col("last_seen"), as_of)).withColumn("state", F.when(F.col("last_seen").isNull(), "NoData").when(F.col("age_min") > limit_min, "Alerting").otherwise("Normal"))
 
 
-def deadman_spectrum(spectrum: DataFrame, as_of: datetime, known: DataFrame | None = None, skip_devices: Sequence[str] = ("sim", "staging-01"), limit_min: float = 15, look_back: timedelta = timedelta(days=30)) -> DataFrame:
+def deadman_spectrum(spectrum: DataFrame, as_of: datetime, known: DataFrame | None = None, skip_devices: Sequence[str] = (), limit_min: float = 15, look_back: timedelta = timedelta(days=30)) -> DataFrame:
     """Silence of `clear` in ambient mode, a device."""
     own = S.production_only(spectrum.filter("mode = 'ambient' AND clear IS NOT NULL"), skip_devices)
     return _deadman(own, ("device",), as_of, limit_min, look_back, known)
@@ -54,20 +54,24 @@ def delivery_failures(counters: DataFrame, as_of: datetime, series: Sequence[str
 
 def failing_hours(counters: DataFrame, series: Sequence[str] = ("integration",)) -> DataFrame:
     """(integration, hour, increase) of every hour with failures: what was missed, and when."""
-    step = F.col("counter") - F.lag("counter").over(W.partitionBy(*series).orderBy("time"))
-    hours = counters.withColumns({"__d": step, "hour": F.date_trunc("hour", "time")})
+    found = with_neighbours(counters, series, ("counter",), before="__before")
+    hours = found.withColumns({"__d": F.col("counter") - F.col("__before.counter"), "hour": F.date_trunc("hour", "time")})
     return hours.groupBy("integration", "hour").agg(F.sum(F.when(F.col("__d") >= 0, F.col("__d"))).alias("increase")).filter("increase > 0")
 
 
-def throughput_ratio(air: DataFrame, spectrum: DataFrame, as_of: datetime, low: float = 2.5, high: float = 12.0, look_back: timedelta = timedelta(hours=24), last: int = 6, site: Site = SITE) -> DataFrame:
-    """Median of the last ten-minute ratios clear / lux inside the lamp window, a device; outside the band alerts."""
+def throughput_ratio(air: DataFrame, spectrum: DataFrame, as_of: datetime, low: float = 2.5, high: float = 12.0, look_back: timedelta = timedelta(hours=24), last: int = 6, site: Site = SITE, known: DataFrame | None = None, known_days: int = 30) -> DataFrame:
+    """Median of the last ten-minute ratios clear / lux inside the lamp window, a device; outside the band alerts.
+
+    Devices are those of `known`, or else those with readings in the last known_days: a device without a ratio is NoData.
+    """
     window = T.in_local_window(F.col("time"), site.tz, site.lamp_start + 60, site.lamp_end - 30)
     inside = window & (F.col("time") >= T.instant(as_of - look_back)) & (F.col("time") < T.instant(as_of))
     lux = S.aggregate_window(air.filter(inside & F.col("lux").isNotNull()), "10m", "median", ("device",), "lux").drop("window_stop")
     clear = S.aggregate_window(S.unsaturated(spectrum.filter((F.col("mode") == "ambient") & inside)), "10m", "median", ("device",), "clear").drop("window_stop")
     ratios = join_on_window(lux, clear, ("device",)).filter("lux > 0").withColumn("ratio", F.col("clear") / F.col("lux"))
     found = S.tail_n(ratios, ("device",), last, ("window_start",)).groupBy("device").agg(F.median("ratio").alias("ratio"), F.count(F.lit(1)).alias("windows"))
-    devices = air.select("device").distinct()
+    recent = (F.col("time") >= T.instant(as_of - timedelta(days=known_days))) & (F.col("time") < T.instant(as_of))
+    devices = (air.filter(recent) if known is None else known).select("device").distinct()
     return devices.join(found, "device", "left").withColumn("windows", F.coalesce("windows", F.lit(0))).withColumn("state", F.when(F.col("ratio").isNull(), "NoData").when(X.outside(F.col("ratio"), low, high), "Alerting").otherwise("Normal"))
 
 
@@ -86,15 +90,14 @@ def alert_states(evals: DataFrame, by: Sequence[str], hold_s: float, condition:
     It fires once the condition has held for hold_s since the first true sample of its run; the
     first false sample after a run that fired is Resolved. A null condition counts as false.
     """
-    w = W.partitionBy(*by).orderBy(time)
-    on = F.coalesce(F.col(condition), F.lit(False))
-    flagged = evals.withColumn("__on", on).withColumn("__new", (~F.col("__on").eqNullSafe(F.lag("__on").over(w))).cast("int"))
-    runs = flagged.withColumn("__run", F.sum("__new").over(w))
-    first = F.first(time).over(W.partitionBy(*by, "__run").orderBy(time).rowsBetween(W.unboundedPreceding, 0))
-    held = runs.withColumn("held_s", F.when(F.col("__on"), (F.unix_micros(time) - F.unix_micros(first)) / 1e6).otherwise(0.0))
-    fires = held.withColumn("__fires", F.col("__on") & (F.col("held_s") >= hold_s))
-    state = F.when(F.col("__fires"), "Firing").when(F.col("__on"), "Pending").when(F.lag("__fires").over(w), "Resolved").otherwise("Normal")
-    return fires.withColumn("state", state).drop("__on", "__new", "__run", "__fires")
+    own = evals.withColumn("__on", F.coalesce(F.col(condition), F.lit(False)))
+    flagged = with_neighbours(own, by, ("__on",), (time,), before="__before", time=time)
+    begun = F.when(~F.col("__on").eqNullSafe(F.col("__before.__on")), F.col(time))
+    runs = carried(flagged, by, begun, "__since", (time,), time)
+    length = F.when(F.col("__on"), (F.unix_micros(time) - F.unix_micros("__since")) / 1e6).otherwise(0.0)
+    fires = with_neighbours(runs.withColumn("held_s", length).withColumn("__fires", F.col("__on") & (F.col("held_s") >= hold_s)), by, ("__fires",), (time,), before="__fired", time=time)
+    state = F.when(F.col("__fires"), "Firing").when(F.col("__on"), "Pending").when(F.col("__fired.__fires"), "Resolved").otherwise("Normal")
+    return fires.withColumn("state", state).drop("__on", "__before", "__since", "__fires", "__fired")
 
 
 #: Severities, most urgent first.

@@ -31,9 +31,9 @@ VIEWS = {
     "tag_map": "SELECT lpad(p_partkey::VARCHAR, 8, '0') AS uid, CASE WHEN p_partkey % 41 = 0 THEN 'tare-ref' ELSE 'cactus-' || (p_partkey % 22) END AS plant_id FROM part WHERE p_partkey % 5 <> 0",
     "registry": "SELECT DISTINCT 'cactus-' || (s_suppkey % 20) AS plant_id FROM supplier",
     "light": """SELECT 'loc-' || (o_custkey % 8) AS location, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS time, max(CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS "on" FROM orders GROUP BY ALL""",
-    "lamp": """SELECT 'loc-' || (user_id % 8) AS location, time, max(CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS "on" FROM ev WHERE epoch_us(time) % 5 = 0 GROUP BY ALL""",
+    "lamp": """SELECT 'loc-' || (user_id % 8) AS location, time, max(CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS "on" FROM ev GROUP BY ALL""",
     "counters": "SELECT 'notifications_failed_total' AS name, (user_id % 4)::VARCHAR AS integration, time, (floor(event_id / 3) % 1000)::DOUBLE AS counter FROM ev WHERE event_type = 'error'",
-    "meter": "SELECT device, time, (['daylight', 'lamp', 'mixed'])[(event_id // 200) % 3 + 1] AS source, value AS ppfd FROM ev WHERE event_id % 200 = 0",
+    "meter": "SELECT device, time, (['daylight', 'lamp', 'mixed'])[user_id % 3 + 1] AS source, value AS ppfd FROM ev WHERE event_type = 'purchase'",
     "reflect": f"SELECT 'cactus-' || label AS plant, (vec_id // 5)::VARCHAR AS request_id, make_timestamp((1704067200 + vec_id * 60) * 1000000) AS time, CASE WHEN vec_id % 9 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS nir_valid, {_bands}, vec_id FROM embeddings",
     "retained": "SELECT 'ref/' || conv_id AS topic, turn AS recv_ts, CASE WHEN turn % 5 = 0 THEN '' ELSE max(text) END AS payload FROM conversations GROUP BY conv_id, turn",
 }

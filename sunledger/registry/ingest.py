@@ -14,6 +14,7 @@ from ..sources import tables as B
 from ..streaming import jobs as Q
 from .base import query, sql
 from .series import DAY
+from .site import REPLAY, prepared_rows
 
 
 @query("s01_read_messages", sql("messages", "SELECT topic, payload, epoch_us(recv_ts) AS recv_ts, retained FROM messages"))
@@ -44,7 +45,9 @@ _POINTS = "SELECT device, site, field, v AS value, NULL::VARCHAR AS value_str, e
 
 @query("s03_json_to_points", sql("messages", _POINTS))
 def _(t):
-    return I.json_to_points(I.parse_topic(t.messages), ("site",), ("n",)).select("device", "site", "field", "value", "value_str", "recv_ts")
+    """Quoted numbers, booleans and NaN are strings like others, and go."""
+    quoted = F.regexp_replace("payload", r"\}$", ', "q": "350", "b": "true", "w": "NaN", "gone": null, "deep": {"x": 1}, "list": [1]}')
+    return I.json_to_points(I.parse_topic(t.messages.withColumn("payload", quoted)), ("site",), ("n",)).select("device", "site", "field", "value", "value_str", "recv_ts")
 
 
 _SLOT = "make_timestamp((epoch_us(time) // 900000000) * 900000000)"
@@ -177,13 +180,8 @@ def _stream(t, table="events"):
 
 
 def _folder(t) -> str:
-    try:
-        base = t.spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="sunledger-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared one."""
+    return f"{t.spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
 
 
 def _done(t, frame, mode="append"):
@@ -207,12 +205,11 @@ def _(t):
     return _done(t, Q.stream_ingest(live)).select("device", "field", "value", "recv_ts")
 
 
-@query("t02_dedup_stream", sql("ev", "SELECT device, event_type, event_id // 1000 AS block, count(*) AS n, min(event_id) AS first FROM ev GROUP BY ALL HAVING count(*) > 0"))
+@query("t02_dedup_stream", sql("ev", "SELECT device, event_type, event_id, epoch_us(time) // 1000000 * 1000000 + k * 1000000 AS recv_ts FROM ev, (VALUES (0), (70)) AS c(k)"))
 def _(t):
-    """Every event sent three times inside the watermark: one of each is left."""
-    live = _live(t).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(3), F.lit(6)))).withColumn("recv_ts", F.timestamp_seconds(F.unix_seconds("time") + F.col("copy")))
-    kept = _done(t, Q.dedup_stream(live, keys=("device", "event_id"))).withColumn("block", F.floor(F.col("event_id") / 1000))
-    return kept.groupBy("device", "event_type", "block").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    """Every event sent five times: three copies within the minute are one, the two after it another."""
+    live = _live(t).withColumn("copy", F.explode(F.array(*map(F.lit, (0, 3, 6, 70, 75))))).withColumn("recv_ts", F.timestamp_seconds(F.unix_seconds("time") + F.col("copy"))).drop("copy", "time")
+    return _done(t, Q.dedup_stream(live, keys=("device", "event_id"))).select("device", "event_type", "event_id", "recv_ts")
 
 
 @query("t05_stream_windows", sql("ev", "SELECT device, window_start, round(value, 6) AS value, n FROM (SELECT device, (epoch_us(time) // 600000000) * 600000000 AS window_start, avg(value) AS value, count(value) AS n FROM ev GROUP BY ALL)"))
@@ -233,10 +230,10 @@ def _(t):
     return _done(t, Q.burst_sessions(_flushed(t), ("device",), "1 hour")).filter("device <> 'end'")
 
 
-@query("t12_request_dedup", sql("reflect", "SELECT count(*) AS n, count(DISTINCT request_id) AS requests FROM (SELECT request_id FROM reflect GROUP BY request_id)"))
+@query("t12_request_dedup", sql("reflect", "SELECT request_id, 1::BIGINT AS kept FROM reflect GROUP BY request_id"))
 def _(t):
     live = _stream(t, "embeddings").select(F.floor(F.col("vec_id") / 5).cast("string").alias("request_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 60).alias("time"))
-    return _done(t, Q.request_dedup(live)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("request_id").alias("requests"))
+    return _done(t, Q.request_dedup(live)).groupBy("request_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 _SILENT = "g AS (SELECT device, epoch_us(time) AS t, epoch_us(lead(time) OVER (PARTITION BY device ORDER BY time)) AS nxt FROM ev)"
@@ -254,13 +251,18 @@ def _live_last(t):
     return t.events.groupBy("device").agg(F.max("time").alias("last"))
 
 
-@query("t04_weigh_batches", sql("event_raw tag_map", "SELECT e.device, coalesce(m.plant_id, 'unknown') AS plant_id, CASE WHEN weight_g < 30 THEN 'empty' ELSE 'ok' END AS quality, count(*) AS n FROM (SELECT 'st-' || l_linenumber AS device, min(l_orderkey % 50) AS event_id, lpad(arg_min(l_partkey, (l_shipdate, l_orderkey, l_partkey, l_suppkey, l_quantity))::VARCHAR, 8, '0') AS uid, arg_min(l_quantity, (l_shipdate, l_orderkey, l_partkey, l_suppkey, l_quantity)) * 10 AS weight_g FROM lineitem GROUP BY l_linenumber, l_orderkey) e LEFT JOIN tag_map m USING (uid) GROUP BY ALL"))
+_LOADS = "days AS (SELECT 'st-' || l_linenumber AS device, l_orderkey AS event_id, l_shipdate AS recv_ts, min(struct_pack(uid := lpad(l_partkey::VARCHAR, 8, '0'), g := l_quantity * 10)) AS e, count(*) AS n FROM lineitem GROUP BY ALL), loads AS (SELECT *, sum(n) OVER (PARTITION BY device, event_id)::BIGINT AS acks FROM days)"
+
+
+@query("t04_weigh_batches", sql("tag_map", "SELECT device, event_id, coalesce(plant_id, 'unknown') AS plant_id, CASE WHEN e.g < 30 THEN 'empty' ELSE 'ok' END AS quality, e.g AS weight_g, acks FROM loads LEFT JOIN tag_map ON uid = e.uid", _LOADS))
 def _(t):
-    order = F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    folder = _folder(t)
-    live = _stream(t, "lineitem").select(F.concat(F.lit("st-"), F.col("l_linenumber").cast("string")).alias("device"), F.col("l_orderkey").alias("event_id"), F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("uid"), (F.col("l_quantity") * 10).alias("weight_g"), order.alias("recv_ts"))
-    Q.each_batch(live, Q.weigh_batches(lambda _: t.tag_map, f"{folder}/weights", f"{folder}/acks"), f"{folder}/state").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/weights").groupBy("device", "plant_id", "quality").agg(F.count(F.lit(1)).alias("n"))
+    """Weights, stored once within a minute of first sight, beside the acknowledgements of their device and event: one a copy."""
+    folder, day = _folder(t), F.col("l_shipdate").cast("timestamp")
+    live = _stream(t, "lineitem").select(F.concat(F.lit("st-"), F.col("l_linenumber").cast("string")).alias("device"), F.col("l_orderkey").alias("event_id"), F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("uid"), (F.col("l_quantity") * 10).alias("weight_g"), day.alias("recv_ts"))
+    for running in Q.weigh_station(live, lambda _: t.tag_map, f"{folder}/weights", f"{folder}/acks", f"{folder}/state"):
+        running.awaitTermination()
+    told = t.spark.read.parquet(f"{folder}/acks").groupBy(F.regexp_extract("topic", "^[^/]+/([^/]+)/", 1).alias("device"), F.get_json_object("payload", "$.event_id").cast("bigint").alias("event_id")).agg(F.count(F.lit(1)).alias("acks"))
+    return t.spark.read.parquet(f"{folder}/weights").join(told, ["device", "event_id"]).select("device", "event_id", "plant_id", "quality", "weight_g", "acks")
 
 
 _CONTROL = f"c AS (SELECT 'loc-' || (user_id % 8) AS location, time, event_id FROM ev)"
@@ -275,6 +277,15 @@ def _(t):
     return _done(t, control_stream(live))
 
 
+@query("t07_control_ticks_stream", sql("air", "SELECT location, epoch_us(time) AS time, CASE WHEN is_on THEN 'ON' ELSE 'OFF' END AS state, said AS source FROM walk WHERE said IS NOT NULL", REPLAY))
+def _(t):
+    """Ticks, readings' ages and commands as a stream of files: holds and the evening top-up are the state between batches."""
+    folder, rows = _folder(t), prepared_rows(t)
+    rows.write.parquet(f"{folder}/ticks")
+    live = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/ticks")  # one batch: files come in no order of time
+    return _done(t, control_stream(live))
+
+
 @query("t09_upsert_batches", sql("ev", f"SELECT device, {DAY}, count(*) AS n FROM ev GROUP BY ALL"))
 def _(t):
     """The stream written twice over: the second pass changes nothing."""

@@ -165,10 +165,11 @@ def _(t):
     return P.dli_by_state(t.air, t.lamp)
 
 
-@query("j10_daily_context", sql("air", f"SELECT {DAY}, round(dli, 6) AS dli, round(rad, 6) AS rad FROM (SELECT local_day, coalesce(sum(area), 0) / 1e6 AS dli FROM (SELECT *, (lux / 54 + lag(lux / 54) OVER w) {_AREA} AS area FROM air WHERE device = 'dev-1' {_BYDAY}) GROUP BY ALL) FULL JOIN (SELECT local_day, avg(lux_ref) AS rad FROM air WHERE device = 'dev-2' GROUP BY ALL) USING (local_day)"))
+@query("j10_daily_context", sql("air", f"SELECT {DAY}, round(dli, 6) AS dli, round(rad, 6) AS rad FROM (SELECT local_day, sum(area) / 1e6 AS dli FROM (SELECT local_day, coalesce((lux / 54 + lag(lux / 54) OVER w) {_AREA}, 0) AS area FROM air {_BYDAY}) GROUP BY ALL) FULL JOIN (SELECT local_day, avg(lux_ref) AS rad FROM air GROUP BY ALL) USING (local_day)"))
 def _(t):
-    dli = P.dli_lux(t.air.filter("device = 'dev-1'")).select("local_day", "dli")
-    weather = S.aggregate_window(t.air.filter("device = 'dev-2'"), "1d", "mean", (), "lux_ref").withColumnRenamed("lux_ref", "rad")
+    """The light of all devices together, beside the day's mean of the shielded sensors."""
+    dli = P.dli_lux(t.air).groupBy("local_day").agg(F.sum("dli").alias("dli"))
+    weather = S.aggregate_window(t.air, "1d", "mean", (), "lux_ref").withColumnRenamed("lux_ref", "rad")
     return J.daily_context(dli, weather)
 
 

@@ -42,9 +42,9 @@ def _(t):
     return t.air_long.filter(T.in_local_window(F.col("time"), "Asia/Taipei", 540, 1080)).groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("p05_gate_fields", sql("air_long", "SELECT field, count(*) AS n FROM air_long WHERE field NOT IN ('lux', 'lux_ref') GROUP BY field"))
+@query("p05_gate_fields", sql("air_long", f"SELECT device, field, value, {US} FROM air_long WHERE field NOT IN ('lux', 'lux_ref')"))
 def _(t):  # 20:00 UTC is 04:00 local: outside the lamp window
-    return S.gate_fields_at(t.air_long, datetime(2024, 1, 30, 20, tzinfo=UTC)).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return S.gate_fields_at(t.air_long, datetime(2024, 1, 30, 20, tzinfo=UTC)).select("device", "field", "value", "time")
 
 
 @query("p06_unsaturated", sql("spectrum", f"SELECT device, {US}, round(clear, 6) AS clear FROM spectrum WHERE saturated = 0 AND clear < 65535"))
@@ -326,6 +326,20 @@ def _(t):
 # -- sorts, sets --------------------------------------------------------------------------------
 
 
+@query("o01_sorted", sql("plant_weight", f"SELECT plant_id, {US}, device, weight_g FROM plant_weight ORDER BY plant_id, time, device"))
+def _(t):
+    """Sorted at the sink: by ranges of the keys, so that no task sorts all rows."""
+    return t.plant_weight.select("plant_id", "time", "device", "weight_g").orderBy("plant_id", "time", "device")
+
+
+@query("o03_first_and_last", sql("plant_weight", f"(SELECT 'first' AS what, plant_id, device, {US}, weight_g FROM plant_weight ORDER BY plant_weight.time, plant_id, device LIMIT 1) UNION ALL (SELECT 'heaviest', plant_id, device, {US}, weight_g FROM plant_weight ORDER BY weight_g DESC, plant_weight.time, plant_id, device LIMIT 10)"))
+def _(t):
+    """The first record, and a top-k report."""
+    rows = t.plant_weight.select("plant_id", "device", "time", "weight_g")
+    parts = {"first": rows.orderBy("time", "plant_id", "device").limit(1), "heaviest": rows.orderBy(F.desc("weight_g"), "time", "plant_id", "device").limit(10)}
+    return U.union_labelled(**parts).withColumnRenamed("k", "what")
+
+
 @query("o02_latest_day", sql("plant_weight", "SELECT plant_id, count(*) AS n FROM plant_weight WHERE local_day = (SELECT max(local_day) FROM plant_weight WHERE weight_g > 45) GROUP BY plant_id"))
 def _(t):
     dated = t.plant_weight.withColumn("local_day", T.local_day(F.col("time")))
@@ -354,3 +368,49 @@ def _(t):
 @query("u04_distinct", sql("air_long", "SELECT DISTINCT device, field FROM air_long"))
 def _(t):
     return t.air_long.select("device", "field").distinct()
+
+
+# -- arguments and functions of functions -----------------------------------------------------------
+
+#: Ranges in every form of a time argument: now, relative, local wall clock, RFC 3339 with and without an offset.
+_FORMS = (("-8m", "now"), ("-36h", "-30m"), ("-2w", "-1d"), ("2024-01-10T06:30", "now()"), ("2024-01-10T00:00:00Z", "2024-01-20T12:00:00+02:00"), ("2024-01-15", "2024-01-16T08:00:00.500Z"))
+_BOUNDS = "('2024-01-30 23:52:00', '2024-01-31'), ('2024-01-29 12:00:00', '2024-01-30 23:30:00'), ('2024-01-17', '2024-01-30'), ('2024-01-09 22:30:00', '2024-01-31'), ('2024-01-10', '2024-01-20 10:00:00'), ('2024-01-14 16:00:00', '2024-01-16 08:00:00.5')"
+
+
+@query("f04_time_arguments", sql("air_long", f"SELECT form, device, count(*) AS n, min(epoch_us(time)) AS first FROM (SELECT row_number() OVER () - 1 AS form, a::TIMESTAMP AS a, b::TIMESTAMP AS b FROM (VALUES {_BOUNDS}) AS v(a, b)) JOIN air_long ON time >= a AND time < b GROUP BY ALL"))
+def _(t):
+    """Points a device in ranges whose ends are given in each form."""
+    found = [S.time_range(t.air_long, a, b, EVENTS_AS_OF).select(F.lit(k).cast("long").alias("form"), "device", "time") for k, (a, b) in enumerate(_FORMS)]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("form", "device").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("time")).alias("first"))
+
+
+@query("x01_row_functions", sql("air_long", f"SELECT device, event_id, ({MINUTE} >= 540 AND {MINUTE} < 1080) AS inside, CASE WHEN field = 'gas' THEN value / 1000.0::DOUBLE ELSE value END AS value FROM air_long"))
+def _(t):
+    """Row functions are functions that give columns, as built-in ones do."""
+
+    def in_window(time):
+        return T.in_local_window(time, "Asia/Taipei", 540, 1080)
+
+    def scaled(field, value):
+        return F.when(field == "gas", value / 1000.0).otherwise(value)
+
+    return t.air_long.select("device", "event_id", in_window(F.col("time")).alias("inside"), scaled(F.col("field"), F.col("value")).alias("value"))
+
+
+@query("x02_window_function", sql("air", f"SELECT device, {DAY}, round(max(lux) - min(lux) + count(lux), 6) AS lux FROM air GROUP BY ALL"))
+def _(t):
+    """A window's aggregate given as a function of the column's name."""
+    return S.aggregate_window(t.air, "1d", lambda c: F.max(c) - F.min(c) + F.count(c), ("device",), "lux")
+
+
+@query("x04_fit_report", sql("air spectrum", """SELECT f.device, f.n, f.slope, f.r2, p10, p90 FROM (SELECT device, count(*) AS n, round(any_value(b), 9) AS slope, round(1 - sum((y - b * x) * (y - b * x)) / nullif(sum(y * y), 0), 6) AS r2 FROM xy JOIN slope USING (device) GROUP BY device) f
+    JOIN (SELECT device, (list_sort(list(y / x)))[floor(0.1 * (count(*) - 1))::INT + 1] * 1e3 AS p10, (list_sort(list(y / x)))[floor(0.9 * (count(*) - 1))::INT + 1] * 1e3 AS p90 FROM xy WHERE x > 0 GROUP BY device) q USING (device)""".replace(" AS p10", " AS p10_").replace(" AS p90", " AS p90_").replace("p10, p90 FROM", "round(p10_, 6) AS p10, round(p90_, 6) AS p90 FROM"), _FIT))
+def _(t):
+    """What a script does with a query's rows, as one job: a fit through the origin and rank quantiles of the ratio, a device."""
+    xy = t.spectrum.join(t.air.select("event_id", "lux"), "event_id").select("device", L.spectrum_sum().alias("x"), L.lux_to_ppfd(F.col("lux")).alias("y"))
+    fits = S.fit_origin(xy, "x", "y", ("device",)).withColumn("slope", F.round("slope", 9))
+    spread = S.rank_quantiles(xy.filter("x > 0").withColumn("ratio", F.col("y") / F.col("x") * 1e3), ("device",), "ratio", {"p10": 0.1, "p90": 0.9})
+    return fits.join(spread, "device").select("device", "n", "slope", "r2", "p10", "p90")

@@ -11,44 +11,37 @@ from ..functions import light as L
 from ..functions import reflect as R
 from ..functions import text as X
 from ..functions import time as T
+from ..operators.joins import resolve_plant
 from ..operators.ordered import dedup_ttl
+from ..operators.series import label_quality
 from ..plans import control as C
 from ..plans import reflect as V
 from ..plans import weights as P
-from ..sources.adapters import REFLECT_BANDS
+from ..sources import messages as I
+from ..sources.adapters import EVENTS_AS_OF, REFLECT_BANDS
 from .base import query, sql
 from .series import DAY, MINUTE, SUM_S, _windows
 
 # -- weigh station --------------------------------------------------------------------------------
 
 
-def _few(t):
-    """Events of some keys, with bursts that last longer than the ttl."""
-    base = t.event_raw.filter("event_id < 4 AND device IN ('st-1', 'st-2')")
-    more = base.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") * 3).cast("int"))))
+def _bursts(t):
+    """Weigh events in bursts, some of which last longer than the ttl."""
+    more = t.event_raw.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4 * 3).cast("int"))))
     return more.select("device", "event_id", "uid", "weight_g", F.timestamp_seconds(F.unix_seconds("recv_ts") + 25 * F.col("k")).alias("recv_ts")).distinct()
 
 
-_FEW = "SELECT DISTINCT device, event_id, uid, weight_g, recv_ts + to_seconds(25 * k) AS recv_ts FROM event_raw, unnest(range((event_id * 3)::INT + 1)) AS u(k) WHERE event_id < 4 AND device IN ('st-1', 'st-2')"
-
-
-@query(
-    "t02_dedup_ttl",
-    sql("event_raw", "SELECT k.device, k.event_id, k.uid, k.weight_g, epoch_us(k.recv_ts) AS recv_ts FROM ranked k JOIN gaps USING (device, event_id, rn)", "few AS (" + _FEW + """),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY device, event_id ORDER BY recv_ts, uid, weight_g) AS rn FROM few),
-    nxt AS (SELECT device, event_id, rn, (SELECT min(b.rn) FROM ranked b WHERE b.device = a.device AND b.event_id = a.event_id AND b.recv_ts > a.recv_ts + INTERVAL 60 SECOND) AS after FROM ranked a),
-    gaps AS (WITH RECURSIVE walk AS (SELECT device, event_id, rn, after FROM nxt WHERE rn = 1 UNION ALL SELECT n.device, n.event_id, n.rn, n.after FROM walk w JOIN nxt n ON n.device = w.device AND n.event_id = w.event_id AND n.rn = w.after) SELECT device, event_id, rn FROM walk)"""),
-)
-def _(t):
-    return dedup_ttl(_few(t), ("device", "event_id"), ties=("uid", "weight_g")).select("device", "event_id", "uid", "weight_g", "recv_ts")
+#: Of one key and time the first row counts; from each kept time on to the first beyond the ttl, in steps of all keys at once.
+_WALK = """stamps AS (SELECT device, event_id, recv_ts, min(struct_pack(uid := uid, g := weight_g)) AS e FROM bursts GROUP BY ALL),
+    nxt AS (SELECT a.*, b.recv_ts AS after FROM stamps a ASOF LEFT JOIN stamps b ON a.device = b.device AND a.event_id = b.event_id AND a.recv_ts + INTERVAL 60 SECOND < b.recv_ts),
+    kept AS (WITH RECURSIVE walk AS (SELECT * FROM (SELECT * FROM nxt QUALIFY row_number() OVER (PARTITION BY device, event_id ORDER BY recv_ts) = 1)
+             UNION ALL SELECT n.* FROM walk w JOIN nxt n ON n.device = w.device AND n.event_id = w.event_id AND n.recv_ts = w.after) SELECT * FROM walk)"""
+_BURSTS = "bursts AS (SELECT DISTINCT device, event_id, uid, weight_g, recv_ts + to_seconds(25 * k) AS recv_ts FROM event_raw, unnest(range((event_id % 4 * 3)::INT + 1)) AS u(k))"
 
 
-@query("t02_dedup_ttl_all")
+@query("t02_dedup_ttl", sql("event_raw", "SELECT device, event_id, e.uid, e.g AS weight_g, epoch_us(recv_ts) AS recv_ts FROM kept", f"{_BURSTS}, {_WALK}"))
 def _dedup_all(t):
-    """Dedup over every device and id, with bursts as above; too many rows for the SQL's recursion, so tests use a loop."""
-    more = t.event_raw.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4 * 3).cast("int"))))
-    bursts = more.select("device", "event_id", "uid", "weight_g", F.timestamp_seconds(F.unix_seconds("recv_ts") + 25 * F.col("k")).alias("recv_ts")).distinct()
-    return dedup_ttl(bursts, ("device", "event_id"), ties=("uid", "weight_g")).select("device", "event_id", "uid", "weight_g", "recv_ts")
+    return dedup_ttl(_bursts(t), ("device", "event_id"), ties=("uid", "weight_g")).select("device", "event_id", "uid", "weight_g", "recv_ts")
 
 
 @query(
@@ -138,7 +131,7 @@ def _(t):
 
 _WEIGH = """smp AS (SELECT device, time, (300 + value / 1000.0::DOUBLE + CASE WHEN event_id % 40 = 0 THEN 5 ELSE 0 END) AS grams, row_number() OVER (PARTITION BY device ORDER BY time) AS rn, event_id FROM ev),
     rol AS (SELECT *, avg(grams) OVER w AS mean_g, max(grams) OVER w - min(grams) OVER w AS range_g, (epoch_us(time) - min(epoch_us(time)) OVER w) / 1e6 AS span_s FROM smp WINDOW w AS (PARTITION BY device ORDER BY time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
-    tap AS (SELECT device, time, event_id::VARCHAR AS uid FROM ev WHERE event_id % 100 = 7),
+    tap AS (SELECT device, time, event_id::VARCHAR AS uid FROM ev WHERE event_type = 'signup'),
     own AS (SELECT r.device, r.time, mean_g, range_g < 2 AND span_s >= 2 AS still, t.time AS tap_time FROM rol r ASOF JOIN tap t ON r.device = t.device AND r.time >= t.time WHERE r.time - t.time <= INTERVAL 24 HOUR),
     run AS (SELECT *, sum(CASE WHEN still IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY device, tap_time ORDER BY time) AS run FROM (SELECT *, lag(still) OVER (PARTITION BY device, tap_time ORDER BY time) AS prev FROM own)),
     ok AS (SELECT device, tap_time, min(time) AS time, arg_min(mean_g, time) AS weight_g FROM (SELECT *, epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY device, tap_time, run) AS held FROM run) WHERE still AND held >= 3600e6 AND epoch_us(time) - epoch_us(tap_time) >= 7200e6 GROUP BY ALL)"""
@@ -147,7 +140,7 @@ _WEIGH = """smp AS (SELECT device, time, (300 + value / 1000.0::DOUBLE + CASE WH
 @query("w08_stable_weighs", sql("ev", "SELECT t.device, epoch_us(t.time) AS tap_time, uid, epoch_us(ok.time) AS time, round(weight_g, 4) AS weight_g, CASE WHEN ok.time IS NULL THEN 'UNSTABLE' ELSE 'MEASURED' END AS result FROM tap t LEFT JOIN ok ON ok.device = t.device AND ok.tap_time = t.time", _WEIGH))
 def _(t):
     samples = t.events.select("device", "time", (300 + F.col("value") / 1000.0 + F.when(F.col("event_id") % 40 == 0, 5).otherwise(0)).alias("grams"))
-    taps = t.events.filter("event_id % 100 = 7").select("device", "time", F.col("event_id").cast("string").alias("uid"))
+    taps = t.events.filter("event_type = 'signup'").select("device", "time", F.col("event_id").cast("string").alias("uid"))
     return P.stable_weighs(samples, taps, 2.0, 2.0, 3600.0, 7200.0, 86400.0, 4).withColumn("weight_g", F.round("weight_g", 4))
 
 
@@ -221,38 +214,59 @@ def _(t):
 # -- lamp controller --------------------------------------------------------------------------------
 
 
-def _ticks(t):
-    """A tick every ten minutes over the days of the events table, at two locations."""
+def _ticks(t, step=600):
+    """A tick every `step` seconds over the days of the events table, at every location that has readings."""
     days = t.events.select(F.to_date("time").alias("d")).distinct()
-    grid = days.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(86399), F.lit(600)))).withColumn("location", F.explode(F.array(F.lit("loc-1"), F.lit("loc-2"))))
+    places = t.air.select("location").distinct().agg(F.collect_list("location").alias("places"))  # a column of names: no cross join of rows
+    grid = days.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(86399), F.lit(step)))).withColumn("location", F.explode(places.scalar()))
     return grid.select("location", F.timestamp_seconds(F.unix_date("d").cast("long") * 86400 + F.col("s")).alias("time"))
 
 
-_TICKS = """tick AS (SELECT location, d + to_seconds(s) AS time FROM (SELECT DISTINCT date_trunc('day', time)::TIMESTAMP AS d FROM ev), unnest(range(0, 86400, 600)) AS u(s), (VALUES ('loc-1'), ('loc-2')) AS l(location)),
+def _seen(step):
+    return f"""tick AS (SELECT location, d + to_seconds(s) AS time FROM (SELECT DISTINCT date_trunc('day', time)::TIMESTAMP AS d FROM ev), unnest(range(0, 86400, {step})) AS u(s), (SELECT DISTINCT location FROM air) AS l(location)),
     flux AS (SELECT location, time, local_day, sum(coalesce(area, 0)) OVER (PARTITION BY location, local_day ORDER BY time) / 1e6 AS dli FROM (SELECT *, (lux / 54 + lag(lux / 54) OVER w) / 2 * ((epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6) AS area FROM air WINDOW w AS (PARTITION BY location, local_day ORDER BY time))),
     seen AS (SELECT t.location, t.time, CASE WHEN t.time - a.time <= INTERVAL 1 DAY THEN a.lux END AS lux, CASE WHEN t.time - a.time <= INTERVAL 1 DAY THEN (epoch_us(t.time) - epoch_us(a.time)) / 1e6 END AS lux_age_s FROM tick t ASOF LEFT JOIN air a ON t.location = a.location AND t.time >= a.time),
     prep AS (SELECT s.*, (extract(hour FROM s.time + INTERVAL 8 HOUR) * 60 + extract(minute FROM s.time + INTERVAL 8 HOUR))::INT AS minute, CASE WHEN f.local_day = (s.time + INTERVAL 8 HOUR)::DATE THEN f.dli END AS dli FROM seen s ASOF LEFT JOIN flux f ON s.location = f.location AND s.time >= f.time)"""
 
 
-@query("d21_prepare_ticks", sql("air", "SELECT location, epoch_us(time) AS time, lux, round(lux_age_s, 6) AS lux_age_s, minute, round(dli, 6) AS dli FROM prep", _TICKS))
+_PREP = "SELECT location, epoch_us(time) AS time, lux, round(lux_age_s, 6) AS lux_age_s, minute, round(dli, 6) AS dli FROM prep"
+
+
+@query("d21_prepare_ticks", sql("air", _PREP, _seen(600)))
 def _(t):
     return C.prepare_ticks(_ticks(t), t.air).drop("local_day")
 
 
+@query("d21_prepare_ticks_all", sql("air", _PREP, _seen(SITE.tick_s)))
+def _(t):
+    return C.prepare_ticks(_ticks(t, SITE.tick_s), t.air).drop("local_day")
+
+
 _FORCED = "CASE WHEN NOT (minute >= 480 AND minute < 1110) THEN 'OFF' WHEN lux IS NULL OR lux_age_s > 300 THEN 'ON' WHEN lux < 5000 THEN 'ON' WHEN lux > 15000 THEN 'OFF' END"
+_BAND = f"SELECT location, epoch_us(time) AS time, coalesce(last_value({_FORCED} IGNORE NULLS) OVER (PARTITION BY location ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'OFF') AS state FROM prep"
 
 
-@query("t08_hysteresis", sql("air", f"SELECT location, epoch_us(time) AS time, coalesce(last_value({_FORCED} IGNORE NULLS) OVER (PARTITION BY location ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'OFF') AS state FROM prep", _TICKS))
+@query("t08_hysteresis", sql("air", _BAND, _seen(600)))
 def _(t):
     return C.hysteresis(C.prepare_ticks(_ticks(t), t.air)).select("location", "time", "state")
 
 
+@query("t08_hysteresis_all", sql("air", _BAND, _seen(SITE.tick_s)))
+def _hysteresis_all(t):
+    return C.hysteresis(C.prepare_ticks(_ticks(t, SITE.tick_s), t.air)).select("location", "time", "state")
+
+
 def _commands(t):
-    return t.events.filter("event_id % 50 = 3").select(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time", F.when(F.col("event_id") % 3 == 0, "ON").otherwise("off").alias("state"), (F.col("event_id") % 7 == 0).alias("retained")).filter("location IN ('loc-1', 'loc-2')")
+    """Every event as a command, some of them retained or in small letters."""
+    return t.events.select(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time", F.when(F.col("event_id") % 3 == 0, "ON").otherwise("off").alias("state"), (F.col("event_id") % 7 == 0).alias("retained"))
+
+
+def prepared_rows(t, step=600):
+    return C.controller_rows(_ticks(t, step), t.air, _commands(t))
 
 
 #: The controller as a recursion: one row a tick or command, the state carried along.
-_REPLAY = _TICKS.replace("tick AS", "cmds AS (SELECT 'loc-' || (user_id % 8) AS location, time, CASE WHEN event_id % 3 = 0 THEN 'ON' ELSE 'OFF' END AS cmd FROM ev WHERE event_id % 50 = 3 AND event_id % 7 <> 0 AND user_id % 8 IN (1, 2)), tick AS", 1) + """,
+REPLAY = "cmds AS (SELECT 'loc-' || (user_id % 8) AS location, time, CASE WHEN event_id % 3 = 0 THEN 'ON' ELSE 'OFF' END AS cmd FROM ev WHERE event_id % 7 <> 0), " + _seen(600) + """,
     rowz AS (SELECT location, time, 'tick' AS kind, lux, lux_age_s, minute, (time + INTERVAL 8 HOUR)::DATE AS day, dli, NULL AS cmd FROM prep UNION ALL SELECT location, time, 'cmd', NULL, NULL, NULL, NULL, NULL, cmd FROM cmds),
     seq AS (SELECT *, epoch_us(time) / 1e6 AS t, row_number() OVER (PARTITION BY location ORDER BY time, kind) AS rn FROM rowz),
     walk AS (WITH RECURSIVE w AS (
@@ -271,38 +285,16 @@ _REPLAY = _TICKS.replace("tick AS", "cmds AS (SELECT 'loc-' || (user_id % 8) AS
         SELECT * FROM w)"""
 
 
-@query("d21_replay_light", sql("air", "SELECT location, epoch_us(time) AS time, CASE WHEN is_on THEN 'ON' ELSE 'OFF' END AS state, said AS source FROM walk WHERE said IS NOT NULL", _REPLAY))
+@query("d21_replay_light", sql("air", "SELECT location, epoch_us(time) AS time, CASE WHEN is_on THEN 'ON' ELSE 'OFF' END AS state, said AS source FROM walk WHERE said IS NOT NULL", REPLAY))
 def _(t):
+    """Every location and command, a tick in ten minutes."""
     return C.replay(_ticks(t), t.air, _commands(t))
 
 
-def _all_ticks(t):
-    """A tick every SITE.tick_s over the days of the events table, at every location that has readings."""
-    days = t.events.select(F.to_date("time").alias("d")).distinct()
-    grid = days.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(86399), F.lit(SITE.tick_s)))).crossJoin(t.air.select("location").distinct())
-    return grid.select("location", F.timestamp_seconds(F.unix_date("d").cast("long") * 86400 + F.col("s")).alias("time"))
-
-
-def _all_commands(t):
-    return t.events.select(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time", F.when(F.col("event_id") % 3 == 0, "ON").otherwise("off").alias("state"), (F.col("event_id") % 7 == 0).alias("retained"))
-
-
-# The same at every location and tick, with every command: too many rows for the SQL's recursion, so tests use a loop.
-
-
-@query("d21_prepare_ticks_all")
-def _(t):
-    return C.prepare_ticks(_all_ticks(t), t.air).drop("local_day")
-
-
-@query("t08_hysteresis_all")
-def _hysteresis_all(t):
-    return C.hysteresis(C.prepare_ticks(_all_ticks(t), t.air)).select("location", "time", "state")
-
-
 @query("d21_replay_light_all")
 def _replay_all(t):
-    return C.replay(_all_ticks(t), t.air, _all_commands(t))
+    """The same at every tick: too many rows for the SQL's recursion, so tests use a loop."""
+    return C.replay(_ticks(t, SITE.tick_s), t.air, _commands(t))
 
 
 _WIN = "win AS (SELECT DISTINCT location, date_trunc('day', time)::TIMESTAMP + INTERVAL 22 HOUR AS start, date_trunc('day', time)::TIMESTAMP + INTERVAL 24 HOUR AS stop FROM air)"
@@ -339,9 +331,9 @@ def _(t):
     return rows.groupBy("gain", (F.round("cal", 9) * 1e6).alias("cal_e6"), (F.lit(0.0017469) / F.col("cal")).between(0.5, 2.0).alias("agrees")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f10_recalibrate", sql("meter", "SELECT device, epoch_us(time) AS time, round(2.0 * ppfd / nullif(ppfd + 1, 0), 6) AS cal FROM meter"))
+@query("f10_recalibrate", sql("ev", "SELECT event_id, round(2.0 * value / nullif(value + 1, 0), 6) AS cal FROM ev"))
 def _(t):
-    return t.meter.select("device", "time", L.recalibrate(F.lit(2.0), F.col("ppfd"), F.col("ppfd") + 1).alias("cal"))
+    return t.events.select("event_id", L.recalibrate(F.lit(2.0), F.col("value"), F.col("value") + 1).alias("cal"))
 
 
 @query("f16_top_up", sql("ev", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 10 < 4 END, event_id % 2 = 0) AS go FROM ev"))
@@ -349,9 +341,11 @@ def _(t):
     return t.events.select("event_id", L.top_up(F.when(F.col("event_id") % 3 != 0, F.col("value") / 10), F.col("event_id") % 2 == 0).alias("go"))
 
 
-@query("f18_escapes", sql("", "SELECT p_partkey, replace(replace(p_name, ' ', '\\ '), '=', '\\=') AS tag, replace(p_name || chr(10) || 'x', chr(10), ' ') AS line FROM part WHERE p_name NOT LIKE '%,%'"))
+@query("f18_escapes", sql("", r"""SELECT p_partkey, replace(replace(replace(replace(n, '\', '\\'), ' ', '\ '), ',', '\,'), '=', '\=') AS tag, replace(n || chr(10) || 'x', chr(10), ' ') AS line FROM (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ',a=b' WHEN 1 THEN '\ c' ELSE '' END AS n FROM part)"""))
 def _(t):
-    return t.read("part").filter("p_name NOT LIKE '%,%'").select("p_partkey", X.escape_tag(F.col("p_name")).alias("tag"), X.one_line(F.concat("p_name", F.lit("\n"), F.lit("x"))).alias("line"))
+    """Names with commas, equals signs and backslashes, too."""
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ",a=b").when(F.col("p_partkey") % 3 == 1, "\\ c").otherwise(""))
+    return t.read("part").withColumn("n", name).select("p_partkey", X.escape_tag(F.col("n")).alias("tag"), X.one_line(F.concat("n", F.lit("\n"), F.lit("x"))).alias("line"))
 
 
 @query("f19_outside", sql("air", "SELECT device, count(*) FILTER (WHERE lux < 2500 OR lux > 12000) AS n FROM air GROUP BY device"))
@@ -362,3 +356,41 @@ def _(t):
 @query("f21_tags_of_plant", sql("tag_map", "SELECT plant_id, list_sort(list(uid)) AS uids FROM tag_map GROUP BY plant_id"))
 def _(t):
     return t.tag_map.groupBy("plant_id").agg(F.array_sort(F.collect_list("uid")).alias("uids"))
+
+
+@query("f02_local_day", sql("light", """SELECT location, epoch_us(time) AS time, (timezone('Europe/Berlin', timezone('UTC', time)))::DATE::VARCHAR AS local_day, epoch_us(timezone('UTC', timezone('Europe/Berlin', (timezone('Europe/Berlin', timezone('UTC', time)))::DATE::TIMESTAMP))) AS midnight,
+    (extract(hour FROM timezone('Europe/Berlin', timezone('UTC', time))) * 60 + extract(minute FROM timezone('Europe/Berlin', timezone('UTC', time))))::INT AS minute FROM light"""))
+def _(t):
+    """Local days of a zone with summer time, over years: each day's midnight and the minute of the day."""
+    zone, day = "Europe/Berlin", T.local_day(F.col("time"), "Europe/Berlin")
+    return t.light.select("location", "time", day.alias("local_day"), T.day_start(day, zone).alias("midnight"), T.minute_of_day(F.col("time"), zone).alias("minute"))
+
+
+@query("f07_light_units", sql("air", "SELECT event_id, round(lux / 54.0::DOUBLE, 6) AS ppfd, round(lux / 54.0::DOUBLE / 1e6::DOUBLE * 3600.0::DOUBLE, 6) AS moles_an_hour FROM air"))
+def _(t):
+    ppfd = L.lux_to_ppfd(F.col("lux"))
+    return t.air.select("event_id", ppfd.alias("ppfd"), L.micromoles_to_moles(ppfd * 3600.0).alias("moles_an_hour"))
+
+
+@query("f17_ref_payloads", sql("plant_weight tag_map", """SELECT 'site/plant_ref/' || uid AS topic, '{"plant_id":"' || plant_id || '","sat_g":' || round(sat_g, 1)::DOUBLE || ',"dry_g":' || round(dry_g, 1)::DOUBLE || ',"anchor_day":"' || anchor_day || '"}' AS payload FROM refs JOIN tag_map USING (plant_id) WHERE sat_g - dry_g > 5""", _REFS.replace(">= 4", ">= 1")))
+def _(t):
+    """Topics and JSON texts as they are published."""
+    return P.publish_refs(P.weight_refs(t.plant_weight, _REF_TIME, plants=1), t.tag_map, t.retained)[0]
+
+
+@query("f20_alert_text", sql("air_long", "SELECT device, field, CASE WHEN age_min > 60 THEN 'silent: ' || device || '/' || field || ' for ' || printf('%.0f', age_min) || ' min, limit 60 min' END AS text FROM (SELECT device, field, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(time))) / 6e7 AS age_min FROM air_long GROUP BY ALL)"))
+def _(t):
+    ages = t.air_long.groupBy("device", "field").agg(F.max("time").alias("t")).withColumn("age_min", T.age_minutes(F.col("t"), EVENTS_AS_OF))
+    return ages.select("device", "field", F.when(F.col("age_min") > 60, X.silence_text(F.col("device"), F.col("field"), F.col("age_min"), 60)).alias("text"))
+
+
+@query("x03_station_nodes", sql("event_raw tag_map", "SELECT device, event_id, coalesce(plant_id, 'unknown') AS plant_id, CASE WHEN e.g < 30 THEN 'empty' ELSE 'ok' END AS quality, e.g AS weight_g, epoch_us(recv_ts) AS time FROM kept LEFT JOIN tag_map ON uid = e.uid", f"bursts AS (SELECT * FROM event_raw), {_WALK}"))
+def _(t):
+    """The station's steps from the raw JSON on: validate, drop repeats, resolve the tag, label."""
+    body = F.to_json(F.struct("event_id", "uid", "weight_g"))
+    raw = t.event_raw.select("device", body.alias("payload"), "recv_ts")
+    broken = raw.withColumn("payload", F.regexp_replace("payload", '"weight_g":', '"weight":'))
+    good, _ = I.validate_events(raw.unionByName(broken))
+    once = dedup_ttl(good.drop("payload"), ("device", "event_id"), ties=("uid", "weight_g"))
+    named = label_quality(resolve_plant(once, t.tag_map))
+    return named.select("device", "event_id", "plant_id", "quality", "weight_g", F.col("recv_ts").alias("time"))

@@ -93,7 +93,7 @@ class Tables:
     @property
     def lamp(self) -> DataFrame:
         """Lamp changes over the time of the events table."""
-        return self.events.groupBy(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time").agg(F.max((F.col("event_id") % 3 == 0).cast("double")).alias("on")).filter(F.unix_micros("time") % 5 == 0)
+        return self.events.groupBy(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time").agg(F.max((F.col("event_id") % 3 == 0).cast("double")).alias("on"))
 
     @property
     def counters(self) -> DataFrame:
@@ -102,8 +102,9 @@ class Tables:
 
     @property
     def meter(self) -> DataFrame:
-        source = F.element_at(F.array(F.lit("daylight"), F.lit("lamp"), F.lit("mixed")), (F.col("event_id") / 200 % 3).cast("int") + 1)
-        return self.events.filter("event_id % 200 = 0").select("device", "time", source.alias("source"), F.col("value").alias("ppfd"))
+        """Readings of a handheld meter: the purchases."""
+        source = F.element_at(F.array(F.lit("daylight"), F.lit("lamp"), F.lit("mixed")), (F.col("user_id") % 3).cast("int") + 1)
+        return self.events.filter("event_type = 'purchase'").select("device", "time", source.alias("source"), F.col("value").alias("ppfd"))
 
     @property
     def reflect(self) -> DataFrame:

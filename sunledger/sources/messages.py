@@ -43,16 +43,18 @@ def parse_topic(df: DataFrame, routes: Mapping[str, tuple[str, str]] = ROUTES) -
 def json_to_points(df: DataFrame, tag_keys: Sequence[str] = (), string_fields: Sequence[str] = (), payload: str = "payload") -> DataFrame:
     """One row a field: (other columns, tags as columns, field, value, value_str).
 
-    Every number is a double, true and false are 1 and 0, named string fields are kept as they are, other
-    strings and nulls are dropped. A payload that is no JSON object gives no rows.
+    Every JSON number is a double, true and false are 1 and 0, named string fields are kept as they are; other
+    strings, quoted numbers included, and nulls, arrays and objects are dropped. Numbers in named string fields and tags count as
+    their text. A payload that is no JSON object gives no rows.
     """
-    parsed = df.withColumn("__map", F.from_json(payload, "map<string,string>"))
-    tags = {k: F.col("__map")[k] for k in tag_keys}
+    parsed = df.withColumn("__map", F.from_json(payload, "map<string,variant>"))
+    tags = {k: F.expr(f"try_variant_get(element_at(__map, '{k}'), '$', 'string')") for k in tag_keys}
     rows = parsed.withColumns(tags).select(*[c for c in df.columns if c != payload], *tags, F.explode("__map").alias("field", "__raw"))
-    value = F.when(F.col("__raw") == "true", 1.0).when(F.col("__raw") == "false", 0.0).otherwise(F.expr("try_cast(__raw AS double)"))
+    kind = F.expr("schema_of_variant(__raw)")
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
     text = F.col("field").isin(*string_fields) if string_fields else F.lit(False)
     out = rows.filter(~F.col("field").isin(*tag_keys)) if tag_keys else rows
-    out = out.withColumns({"value": F.when(~text, value), "value_str": F.when(text, F.col("__raw"))}).drop("__raw")
+    out = out.withColumns({"value": F.when(~text & number, F.expr("try_variant_get(__raw, '$', 'double')")), "value_str": F.when(text, F.expr("try_variant_get(__raw, '$', 'string')"))}).drop("__raw")
     return out.filter(F.col("value").isNotNull() | F.col("value_str").isNotNull())
 
 

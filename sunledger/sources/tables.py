@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.time import instant
 
 
-def upsert_points(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merges field by field: a new value replaces the old one, a field that the new row lacks stays."""
+def upsert_points(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Merges field by field: a new value replaces the old one, a field that the new row lacks stays.
+
+    Of several new rows of one key the last by `order` counts, then the one with the largest fields: one and the same for all
+    fields that it has, whatever the partitioning.
+    """
     fields = [c for c in dict.fromkeys([*base.columns, *new.columns]) if c not in keys]
     both = base.withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)), allowMissingColumns=True)
-    return both.groupBy(*keys).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("__seq"))).alias(f) for f in fields))
+    ranked = [c for c in dict.fromkeys([*order, *fields]) if both.schema[c].dataType.typeName() not in ("map", "variant")]
+    rank = F.struct("__seq", *ranked)
+    return both.groupBy(*keys).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), rank)).alias(f) for f in fields))
 
 
 def write_days(df: DataFrame, path: str, day: str = "local_day", partition: Sequence[str] = ("measurement",)) -> None:

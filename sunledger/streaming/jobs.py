@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +36,31 @@ def stream_ingest(messages: DataFrame, tag_keys: Sequence[str] = (), string_fiel
     return json_to_points(routed, tag_keys, string_fields)
 
 
-def dedup_stream(events: DataFrame, ttl: str = "60 seconds", keys: Sequence[str] = ("device", "event_id"), time: str = "recv_ts") -> DataFrame:
-    """One event a key within the watermark: state lives a little over the ttl. The batch form is exact to the millisecond."""
-    return events.withWatermark(time, ttl).dropDuplicatesWithinWatermark(list(keys))
+def dedup_stream(events: DataFrame, ttl_ms: int = 60_000, keys: Sequence[str] = ("device", "event_id"), time: str = "recv_ts", late: str = "60 seconds", buckets: int = 64) -> DataFrame:
+    """Keeps the first of each key and drops its repeats up to ttl_ms after the kept one, in whatever batch they come; later ones are new.
+
+    As dedup_ttl, over a stream. Keys are dealt over hash buckets, and a bucket's state has the kept times that a row above the
+    watermark can still repeat. A row that comes after later ones of its key repeats a kept row that is up to ttl_ms away on either side.
+    """
+    names, schema, columns = list(keys), events.schema, events.columns
+    marked = events.withWatermark(time, late).withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept: dict[str, list[int]] = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat([b for b in batches if len(b)]).sort_values([time, *(c for c in columns if c != time and schema[c].dataType.typeName() in ("string", "long", "integer", "double"))], kind="stable")
+        micros = rows[time].astype("int64") // {"ns": 1000, "us": 1}[rows[time].dt.unit]
+        stay = np.zeros(len(rows), bool)
+        for i, (key, t) in enumerate(zip(map(str, zip(*(rows[k] for k in names), strict=True)), micros.tolist(), strict=True)):
+            seen = kept.setdefault(key, [])
+            at = bisect(seen, t)
+            if all(abs(t - s) > ttl_ms * 1000 for s in seen[max(0, at - 1) : at + 1]):
+                seen.insert(at, t)
+                stay[i] = True
+        low = (state.getCurrentWatermarkMs() - ttl_ms) * 1000
+        state.update((json.dumps({k: left for k, v in kept.items() if (left := [t for t in v if t >= low])}),))
+        yield rows.loc[stay, columns]
+
+    return marked.groupBy("__bucket").applyInPandasWithState(step, schema, "kept string", "append", GroupStateTimeout.NoTimeout)
 
 
 def request_dedup(commands: DataFrame, time: str = "time", delay: str = "1 day") -> DataFrame:
@@ -43,26 +68,30 @@ def request_dedup(commands: DataFrame, time: str = "time", delay: str = "1 day")
     return commands.withWatermark(time, delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def weigh_batches(read_map: Callable[[SparkSession], DataFrame], weights_path: str, acks_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over valid events: acknowledges every copy, then stores one weight an event.
+def store_weights(read_map: Callable[[SparkSession], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over events without repeats (dedup_stream): names plants, labels and stores the weights.
 
-    The tag map is read anew for every batch; a map that can't be read leaves plants unknown, it stops nothing.
+    The tag map is read anew for every batch; a map that can't be read leaves plants unknown, it stops nothing. A batch has a folder
+    of its own, batch=N, so a batch that is run again replaces what it wrote before.
     """
 
-    def work(batch: DataFrame, _: int) -> None:
+    def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        acks(batch).write.mode("append").parquet(acks_path)
         try:
             tags = read_map(spark)
             tags.schema["uid"], tags.schema["plant_id"]
         except Exception:
             tags = spark.createDataFrame([], "uid string, plant_id string")
-        once = batch.groupBy("device", "event_id").agg(F.min_by(F.struct("uid", "weight_g", "recv_ts"), "recv_ts").alias("e")).select("device", "event_id", "e.*")
-        label_quality(resolve_plant(once, tags)).write.mode("append").parquet(weights_path)
+        label_quality(resolve_plant(batch, tags)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return work
 
 
+def weigh_station(events: DataFrame, read_map: Callable[[SparkSession], DataFrame], weights: str, acknowledged: str, checkpoint: str, once: bool = True) -> tuple[StreamingQuery, StreamingQuery]:
+    """Valid events, live: every copy is acknowledged, one weight an event is stored. Each sink has its own query and checkpoint."""
+    return start(acks(events), acknowledged, f"{checkpoint}/acks", once=once), each_batch(dedup_stream(events), store_weights(read_map, weights), f"{checkpoint}/weights", once=once)
+
+
 def windowed(points: DataFrame, every: str, by: Sequence[str], value: str = "value", late: str = "10 minutes", median: bool = False, time: str = "time") -> DataFrame:
     """Tumbling means and counts (or approximate medians) that wait for late points."""
     fn = F.percentile_approx(value, 0.5, 10_000) if median else F.avg(value)
@@ -112,20 +141,30 @@ def deadman_stream(points: DataFrame, keys: Sequence[str], minutes: float, late:
     return points.withWatermark(time, late).groupBy(*keys).applyInPandasWithState(step, schema, "last bigint, silent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_batches(path: str, keys: Sequence[str], day: str = "local_day") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merges a batch into a table partitioned by day, rewriting the days that it touches only."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    def work(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        days = batch.select(day).distinct()
-        try:
-            old = spark.read.parquet(path).join(days, day, "left_semi")
-        except Exception:  # the first batch: no table yet
-            old = batch.limit(0)
-        merged = upsert_points(old, batch, [*keys, day])
-        # Writing over what is being read needs the merge to be stored first.
-        merged.persist().count()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-        merged.unpersist()
+
+def upsert_batches(path: str, keys: Sequence[str], day: str = "local_day", order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merges a batch into a table partitioned by day, rewriting the days that it touches only.
+
+    The merge is written beside the table first and read from there when it replaces the days: nothing is computed from files
+    that are being overwritten, whatever is lost meanwhile. A table that is there but can't be read stops the batch. A batch that
+    is run again merges the same rows again, which changes nothing.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark, staged = batch.sparkSession, f"{path}.staged/{number}"
+        old = spark.read.parquet(path).join(batch.select(day).distinct(), day, "left_semi") if exists(spark, path) else batch.limit(0)
+        upsert_points(old, batch, [*keys, day], order).write.mode("overwrite").parquet(staged)
+        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+        remove(spark, staged)
 
     return work
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sunledger.operators import days as D
 from sunledger.operators import joins as J
 from sunledger.operators import series as S
 from sunledger.operators import sets as U
@@ -258,3 +259,44 @@ def test_controller_at_every_location_equals_the_loop(spark):
     got = sorted((r["location"], seconds(r["time"]), r["state"], r["source"]) for r in site._replay_all(t).collect())
     assert withheld > 10 and got == sorted(want)
     assert sorted((r["location"], seconds(r["time"]), r["state"]) for r in site._hysteresis_all(t).collect()) == states
+
+
+def test_windows_over_days_equal_the_loop(spark):
+    """Neighbours, carried values and parts: over empty days, days of one row, null keys, rows without time."""
+    rng = random.Random(9)
+    rows = sorted({(rng.choice(["a", "b", None]), rng.choice([0, 1, 2, 9, 30]) * 86_400 + rng.randrange(86_400)) for _ in range(90)} | {("c", 5)}, key=str)
+    rows = [(k, s, rng.choice([None, 1.0, 2.0]), float(i)) for i, (k, s) in enumerate(rows)]
+    df = spark.createDataFrame([(k, at(s), v, x) for k, s, v, x in rows], "device string, time timestamp, v double, grams double").repartition(3)
+    found = D.with_neighbours(df, ("device",), ("grams",), before="b", after="a")
+    found = D.carried(D.carried(found, ("device",), F.col("v"), "last"), ("device",), F.col("v"), "next", forward=False)
+    got = {r["grams"]: (r["b"] and r["b"][0], r["a"] and r["a"][0], r["last"], r["next"]) for r in found.collect()}
+    assert len(got) == len(rows)
+    for k in ("a", "b", "c", None):
+        own = sorted((s, v, x) for kk, s, v, x in rows if kk == k)
+        for i, (_, v, x) in enumerate(own):
+            past, coming = [q[1] for q in own[: i + 1] if q[1] is not None], [q[1] for q in own[i + 1 :] if q[1] is not None]
+            assert got[x] == (own[i - 1][2] if i else None, own[i + 1][2] if i + 1 < len(own) else None, past[-1] if past else None, coming[0] if coming else None)
+    for n in (2, 5):
+        parts, names = D.in_parts(df, ("device",), n - 1, rows=7)
+        assert parts.groupBy(*names).count().agg(F.max("count")).first()[0] <= 7 + n - 1
+        sums = {r["grams"]: r["s"] for r in D.without_parts(parts.withColumn("s", F.sum("grams").over(D.W.partitionBy(*names).orderBy("time").rowsBetween(1 - n, 0)))).collect()}
+        assert len(sums) == len(rows)
+        for k in ("a", "b", "c", None):
+            own = [x for _, x in sorted((s, x) for kk, s, _, x in rows if kk == k)]
+            assert all(sums[x] == sum(own[max(0, i + 1 - n) : i + 1]) for i, x in enumerate(own))
+
+
+def test_no_window_holds_a_whole_history(spark):
+    """Windows over rows have the day or the part among their keys; those without are over one row a day."""
+    import re
+
+    df = spark.createDataFrame([("a", at(1), 1.0, True, 1.0)], "device string, time timestamp, value double, firing boolean, counter double").withColumn("integration", F.col("device"))
+    frames = [
+        S.difference(df, ("device",)), S.silent_gaps(df, ("device",), 1, at(9)), S.rolling_stats(df, ("device",), 24, "value"), S.state_changes(df, ("device",), "value"), S.state_intervals(df, ("device",), "value"),
+        S.baseline_drift(df, ("device",), "value"), M.alert_states(df, ("device",), 5), M.failing_hours(df), dedup_ttl(df, ("device",), time="time"),
+        J.state_held(df.withColumns({"start": F.col("time"), "stop": F.col("time")}), df, ("device",), "value", 1.0),
+    ]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", plan)
+        assert windows and all("__day" in keys or "__part" in keys or "__day" in order for keys, order in windows), plan

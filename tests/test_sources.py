@@ -116,3 +116,48 @@ def test_controller_stream_carries_state(spark, tmp_path):
         live = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         Q.start(control_stream(live), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted((r["time"], r["state"], r["source"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_quoted_values_are_strings(spark):
+    df = spark.createDataFrame([('{"lux":"350","ok":"true","w":"NaN","a":1,"b":2.5,"c":true,"d":null,"e":{"x":1},"f":1e3,"g":[1],"s":7}',), ("[1]",), ("{",), (None,)], "payload string")
+    got = {r["field"]: (r["value"], r["value_str"]) for r in I.json_to_points(df, (), ("s",)).collect()}
+    assert got == {"a": (1.0, None), "b": (2.5, None), "c": (1.0, None), "f": (1000.0, None), "s": (None, "7")}
+
+
+EVENTS = "device string, event_id long, uid string, weight_g double, recv_ts timestamp"
+
+
+def test_repeats_over_batches_are_stored_once(spark, tmp_path):
+    """Copies in one batch, in the next, after the minute, and a batch that is run again."""
+    files = [[(1, 0), (1, 3), (2, 0)], [(1, 6), (2, 59), (1, 61), (3, 5)], [(1, 100), (2, 60), (2, 200), (3, 4)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame([("st", i, "u1", 50.0, at(s)) for i, s in rows], EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        live = spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        tags = spark.createDataFrame([("u1", "cactus-1")], "uid string, plant_id string")
+        for q in Q.weigh_station(live, lambda _: tags if k else tags.select("uid"), str(tmp_path / "w"), str(tmp_path / "acks"), str(tmp_path / "state")):
+            q.awaitTermination()
+    weights = spark.read.parquet(str(tmp_path / "w"))
+    got = sorted((r["event_id"], int((r["recv_ts"].replace(tzinfo=UTC) - T0).total_seconds()), r["plant_id"]) for r in weights.collect())
+    assert got == [(1, 0, "unknown"), (1, 61, "cactus-1"), (2, 0, "unknown"), (2, 200, "cactus-1"), (3, 5, "cactus-1")]
+    assert spark.read.parquet(str(tmp_path / "acks")).count() == sum(map(len, files))
+    again = Q.store_weights(lambda _: tags, str(tmp_path / "w"))
+    batch = spark.createDataFrame([("st", 1, "u1", 50.0, at(0)), ("st", 2, "u1", 50.0, at(0))], EVENTS)
+    again(batch, 0)
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 5
+
+
+def test_upserts_by_batches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    work = Q.upsert_batches(path, ("k",), "day", ("seq",))
+    first = spark.createDataFrame([("a", "1", 1.0, None, 1), ("b", "2", 2.0, 5.0, 1)], "k string, day string, x double, y double, seq int")
+    second = spark.createDataFrame([("b", "2", 7.0, None, 2), ("b", "2", 3.0, 4.0, 3), ("c", "2", 9.0, None, 1)], first.schema)
+    for number, batch in enumerate((first, second, second)):
+        work(batch, number)
+    got = sorted((r["k"], r["x"], r["y"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 1.0, None), ("b", 3.0, 4.0), ("c", 9.0, None)]
+    assert not Q.exists(spark, f"{path}.staged/1")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/part-0.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):  # a table that can't be read is never written over
+        Q.upsert_batches(str(tmp_path / "broken"), ("k",), "day")(first, 0)
+    assert (tmp_path / "broken/part-0.parquet").read_text() == "no table"
