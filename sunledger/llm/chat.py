@@ -1,9 +1,9 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered once, as a whole, and the character span of every turn's text is noted. The
-rendered text is encoded once, with offsets; the sorted turn spans meet the sorted token spans by binary
-search, which gives the tokens under the loss and, where a token reaches over a turn's edge or two tokens
-share a character, the exact characters.
+A conversation is rendered once, as a whole, and the span of every turn's text is noted, in bytes. The
+rendered text is encoded once, with offsets: the tokens of a byte-level vocabulary are pieces of the bytes, so their ends are
+running sums of their lengths. The sorted turn spans meet the sorted token spans by binary search, which gives the tokens
+under the loss and, where a token reaches over a turn's edge, the exact part of it.
 
 Template: <s> + turns, a turn being [INST]role[/INST]text</s>. Inside roles and texts a backslash
 becomes two, and a control string gets a backslash after its first character, so none is left
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import Encoder, default_tokenizer
+
 #: The template's control strings.
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 _CONTROL = re.compile("|".join(map(re.escape, (BEGIN, END, OPEN, CLOSE))))
@@ -29,6 +31,8 @@ _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(CLOSE) + "(.*?)" + re.e
 
 
 def escape(text: str) -> str:
+    if not any(c in text for c in "\\<["):
+        return text
     return _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\"))
 
 
@@ -37,11 +41,12 @@ def unescape(text: str) -> str:
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The formatted conversation, and the span of each turn's (escaped) text in it."""
+    """The formatted conversation, and the span of each turn's (escaped) text in its UTF-8 bytes."""
     parts, spans, at = [BEGIN], [], len(BEGIN)
     for role, text in turns:
         head, body = f"{OPEN}{escape(role)}{CLOSE}", escape(text)
-        spans.append((at + len(head), at + len(head) + len(body)))
+        low = at + (len(head) if head.isascii() else len(head.encode()))
+        spans.append((low, low + (len(body) if body.isascii() else len(body.encode()))))
         parts += (head, body, END)
         at = spans[-1][1] + len(END)
     return "".join(parts), spans
@@ -77,12 +82,6 @@ def align(tokens: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, list[list[
     return under, covered
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def format_chats(rows: DataFrame, tokenizer: str | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, n_turns, formatted, ids, loss_mask, loss_spans): one row a conversation.
 
@@ -95,31 +94,45 @@ def format_chats(rows: DataFrame, tokenizer: str | None = None, learn: tuple[str
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     schema = f"conv_id {chats.schema['conv_id'].dataType.simpleString()}, n_turns bigint, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<low:int,high:int>>"
-    span = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(path)
-        encoder.encode_special_tokens = True
+        encode = Encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                chats = [[(t["role"], t["text"]) for t in turns] for turns in part.column(1).to_pylist()]
-                rendered = [render(c) for c in chats]
-                encoded = encoder.encode_batch([r[0] for r in rendered], add_special_tokens=False)
-                masks, loss = [], []
-                for chat, (_, spans), e in zip(chats, rendered, encoded, strict=True):
+                formatted, counts, ids, masks, pieces = [], [], [], [], []
+                for turns in part.column(1).to_pylist():
+                    chat = [(t["role"], t["text"]) for t in turns]
+                    text, spans = render(chat)
+                    own = np.array(encode(text), np.int32)
+                    ends = np.cumsum(encode.lengths[own])
                     wanted = np.array([s for s, (role, _) in zip(spans, chat, strict=True) if role in learn], np.int64).reshape(-1, 2)
-                    mask, pieces = align(np.array(e.offsets, np.int64).reshape(-1, 2), wanted)
-                    masks.append(mask.tolist())
-                    loss.append([{"low": a, "high": b} for one in pieces for a, b in one])
-                cols = [part.column(0), pa.array([len(c) for c in chats], pa.int64()), pa.array([r[0] for r in rendered]), pa.array([e.ids for e in encoded], pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array(loss, span)]
+                    mask, found = align(np.stack([ends - encode.lengths[own], ends], 1), wanted)
+                    found = np.array([p for one in found for p in one], np.int64).reshape(-1, 2)
+                    if not text.isascii():  # bytes to characters
+                        first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+                        found = np.concatenate([[0], np.cumsum(first)])[found]
+                    formatted.append(text)
+                    counts.append(len(chat))
+                    ids.append(own)
+                    masks.append(mask)
+                    pieces.append(found)
+                low, high = np.concatenate([*pieces, np.zeros((0, 2), np.int64)]).astype(np.int32).T
+                spans = pa.StructArray.from_arrays([pa.array(low), pa.array(high)], ["low", "high"])
+                cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(formatted, pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_()), pa.ListArray.from_arrays(_offsets(pieces), spans)]
                 yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "n_turns", "formatted", "ids", "loss_mask", "loss_spans"])
 
     return chats.mapInArrow(run, schema)
 
 
+def _offsets(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(_offsets(parts), pa.array(np.concatenate(parts), kind))
+
+
 def read_back_digest(formatted: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read from the formatted output."""
     schema = f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"

@@ -29,18 +29,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints, from spark.checkpoint.dir.
-
-    Only a session without one (as in tests) gets a folder of its own.
-    """
+    """The cluster's shared folder for checkpoints, from spark.checkpoint.dir. A session without one is refused: a local folder would not be shared."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        try:
-            folder = spark.conf.get("spark.checkpoint.dir")
-        except Exception:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="sunledger-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -49,3 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_sizes(spark: SparkSession, folder: str, prefix: str) -> list[tuple[str, int]]:
+    """(path, bytes) of what lies in a folder and whose name begins so; nothing if there is no such folder."""
+    where, system = _at(spark, folder)
+    found = system.listStatus(where) if system.exists(where) else []
+    own = [f.getPath() for f in found if f.getPath().getName().startswith(prefix)]
+    return [(p.toString(), system.getContentSummary(p).getLength()) for p in own]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, system = _at(spark, path)
+    system.delete(where, True)

@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from .common import cut, text_of
 
 CAPACITY = 2048
-#: Ranks are counted inside so many hash buckets of a length, so that one length may hold most pieces.
-BUCKETS = 256
+#: Ranks are counted inside hash buckets of a length, about so many pieces each, so that one length may hold most pieces.
+BUCKET = 20_000
 #: The pattern's white space. tiktoken's regex engine has a bounded stack and fails on runs of a million; longer runs than this don't go there.
 LONG_RUN = 100_000
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
@@ -62,6 +62,10 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self._added}
+        #: Bytes of each id.
+        self.lengths = np.zeros(max([*ranks.values(), *self._added.values()]) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
+        self.lengths[list(self._added.values())] = [len(t.encode()) for t in self._added]
         self._encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
@@ -161,10 +165,11 @@ def slots(packs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, start and length. Equal rows are interchangeable."""
     histogram = [(r["length"], r["n"]) for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most `capacity` rows
     table = slots(shortest_pack_first(histogram, capacity))
+    buckets = max(256, max((n for _, n in histogram), default=0) // bucket)
     keyed = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     before = W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = keyed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n")).select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))

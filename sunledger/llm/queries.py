@@ -52,7 +52,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,31 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_text, op4_chat_format, op5_sharding, op6_langid, op7_suffix_dedup, op8_packing, op9_mixing, op10_audio)}
 
+#: A control string of the chat template.
+_CONTROL = r"</?s>|\[/?INST\]"
+
 SQL = {
+    "op4_chat_format": f"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, n, who, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, who)),
+        e AS (SELECT *, len(role) + len(regexp_extract_all(role, '\\\\|{_CONTROL}')) + len(text) + len(regexp_extract_all(text, '\\\\|{_CONTROL}')) + len('[INST][/INST]</s>') AS n FROM r),
+        c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+                     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n) + len('<s>') AS formatted FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(told) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars FROM c""",
+    "op7_suffix_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        blocks AS (SELECT k, b, substr(x, b * 2 + 1, (1000 + 399) * 2) AS x FROM (SELECT k, x, unnest(range(0, greatest(len(x) // 2 - 399, 0), 1000)) AS b FROM d)),
+        wins AS (SELECT k, b + i AS p, hash(substr(x, i * 2 + 1, 800)) AS h FROM (SELECT k, b, x, unnest(range(0, least(1000, len(x) // 2 - 399))) AS i FROM blocks)),
+        hits AS (SELECT k, p FROM wins WHERE h IN (SELECT h FROM wins GROUP BY h HAVING count(*) > 1)),
+        runs AS (SELECT k, p, sum(new) OVER (PARTITION BY k ORDER BY p) AS run FROM (SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM hits)),
+        spans AS (SELECT k, run, min(p) AS low, max(p) + 400 AS high FROM runs GROUP BY ALL),
+        marks AS (SELECT k, high AS a, lead(low) OVER (PARTITION BY k ORDER BY low) AS b FROM spans UNION ALL SELECT d.k, 0, min(low) FROM d LEFT JOIN spans USING (k) GROUP BY d.k),
+        parts AS (SELECT k, a, substr(x, a * 2 + 1, (coalesce(b, len(x) // 2) - a) * 2) AS x FROM marks JOIN d USING (k)),
+        kept AS (SELECT k, coalesce(string_agg(x, '' ORDER BY a), '') AS x,
+                        coalesce(string_agg(regexp_extract(regexp_replace(x, '^(?:[89AB][0-9A-F])+', ''), '^(?:[0-7].|[CD].[89AB].|E.(?:[89AB].){2}|F.(?:[89AB].){3})*'), '' ORDER BY a), '') AS whole FROM parts GROUP BY k),
+        sums AS (SELECT k, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
+        SELECT doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256, decode(unhex(whole)) AS text
+        FROM d JOIN kept USING (k) LEFT JOIN sums USING (k)""",
     "op1_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,

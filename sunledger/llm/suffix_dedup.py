@@ -8,36 +8,39 @@ few segments, each with one minimum; only segments whose minimum occurs in anoth
 twice in their own, can hold a repeated string, and only those are sent on, to the task that owns the
 minimum.
 
-There, batches of segments arrive one after the other. The suffixes of a batch (window starts, cut at 400
-bytes) get a suffix array; the array is merge-scanned against the levels that exist to find
-suffixes that agree on 400 bytes; then it becomes a level, and levels of about equal size merge, so
-there are only logarithmically many and each suffix is moved logarithmically often. A level keeps one
-entry a distinct suffix, so a passage with a million copies costs one. Suffixes are ordered by a 128-bit
-digest of their 400 bytes instead of alphabetically: it keeps equal suffixes adjacent, which is
-all that the scan needs, and makes a comparison constant time.
-
-A minimum that very many segments share (a passage in a third of all documents) would bring all the
-different surroundings of that passage to one task. Such segments go on as the digests of their
-suffixes, dealt over PARTS tasks by digest.
+There, batches of segments arrive one after the other. Segments of equal bytes, as copies have them, are found by a dictionary of
+the segments themselves; the rest of a batch gets a suffix array: its window starts in alphabetical order of their 400 bytes, by
+doubling ranks of 8, 16, ... 256 and then 400 bytes, so equality is that of bytes, not of hashes. The array is merge-scanned
+against the levels that exist: in the joint order, suffixes that agree on 400 bytes are neighbours. Then it becomes a level, and
+levels of about equal size merge, so there are only logarithmically many and each suffix is moved logarithmically often. A level
+keeps one entry a distinct suffix, so a passage with a million copies costs one.
+
+A minimum that very many segments share (a passage in a third of all documents) would bring all the different surroundings of
+that passage to one task. Such segments go on as 128-bit digests of their suffixes, dealt over tasks by digest; there equal
+digests count as equal suffixes.
+
+The family also lives on disk (add_batch): a batch of documents is judged against all batches before it, whose segments lie in
+levels of the shared folder, and becomes a level there itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_of
+from .common import cut, list_sizes, remove, shuffle_partitions, text_of
 
 LENGTH, GRAM = 400, 64
 #: Bytes hashed at once; longer texts go in slices that overlap by LENGTH - 1 bytes.
 SLICE = 1 << 20
 #: Bytes of segments that make one batch of the index family.
-BATCH = 1 << 20
+BATCH = 1 << 21
 
 
 class Rolling:
@@ -84,8 +87,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-#: A minimum with more segments than this is dealt over so many parts by the suffixes' digests.
-HOT, PARTS = 20_000, 32
+#: A minimum with more segments than this is dealt over tasks by the suffixes' digests.
+HOT = 20_000
 
 #: Nearly every minimum of LENGTH - GRAM + 1 hashes is below this; the rest are counted one by one.
 USUAL = np.uint64(2**64 * 8 // (LENGTH - GRAM + 1))
@@ -138,29 +141,103 @@ def segments(texts: Iterable[bytes], roll: Rolling) -> Iterator[tuple[np.ndarray
         yield flush()
 
 
+def suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start at `at`, by their first LENGTH bytes; and for each place in it whether it equals the one before.
+
+    Ranks of ever longer strings by doubling: that of 2 h bytes is the pair of the ranks of its halves of h bytes.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
+    words = np.zeros(n + LENGTH - 7, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | padded[k : k + len(words)]
+    rank, held = np.unique(words, return_inverse=True)[1], 8
+    while 2 * held < LENGTH:
+        pair = rank[:-held] * np.int64(len(rank)) + rank[held:]
+        rank, held = np.unique(pair, return_inverse=True)[1], 2 * held
+    pair = rank[at] * np.int64(len(rank)) + rank[at + LENGTH - held]
+    order = np.argsort(pair, kind="stable")
+    same = np.zeros(len(at), bool)
+    same[1:] = pair[order[1:]] == pair[order[:-1]]
+    return order, same
+
+
+class Level:
+    """A suffix array: bytes, and the starts in them of distinct suffixes in alphabetical order, with the text and place each comes from."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, told: np.ndarray) -> None:
+        cover = np.zeros(len(data) + 1, np.int32)  # bytes of no suffix that is left are left out
+        np.add.at(cover, at, 1)
+        np.add.at(cover, np.minimum(at + LENGTH, len(data)), -1)
+        held = np.cumsum(cover[:-1]) > 0
+        self.data, self.at = data[held], (np.cumsum(held) - 1)[at]
+        self.owner, self.start, self.told = owner, start, told  # told: reported as repeated
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def take(self, which: np.ndarray) -> Level:
+        return Level(self.data, self.at[which], self.owner[which], self.start[which], self.told[which])
+
+    def joined(self, other: Level) -> tuple[Level, np.ndarray, np.ndarray]:
+        """Both in one order; which of them come from `other`, and which equal the one before."""
+        data, at = np.concatenate([self.data, other.data]), np.concatenate([self.at, other.at + len(self.data)])
+        order, same = suffix_order(data, at)
+        both = Level(data, at[order], *(np.concatenate([getattr(self, k), getattr(other, k)])[order] for k in ("owner", "start", "told")))
+        return both, order >= len(self), same
+
+
 class IndexFamily:
-    """Levels of sorted distinct suffixes. Sizes fall geometrically from level to level."""
+    """Levels whose sizes fall geometrically."""
 
     def __init__(self) -> None:
-        self.levels: list[list[np.ndarray]] = []  # digest, second digest, owner, start, reported
+        self.levels: list[Level] = []
 
-    @staticmethod
-    def _merge(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
-        return [np.concatenate(x)[order] for x in zip(a, b, strict=True)]
+    def add(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, start) of suffixes found repeated now: those of the batch, and those of earlier batches that had no match before."""
+        order, same = suffix_order(data, at)
+        at, owner, start = at[order], owner[order], start[order]
+        matched = same.copy()
+        matched[:-1] |= same[1:]
+        out = [(owner[matched], start[matched])]
+        new = Level(data, at[~same], owner[~same], start[~same], matched[~same])
+        for level in self.levels:
+            both, mine, equal = level.joined(new)  # of equal neighbours the older is first: the order is stable
+            pairs = np.flatnonzero(equal)
+            old, fresh = pairs - 1, pairs
+            for side in (old, fresh):
+                quiet = side[~both.told[side]]
+                out.append((both.owner[quiet], both.start[quiet]))
+            where = np.empty(len(both), np.int64)
+            where[~mine], where[mine] = np.arange(len(level)), np.arange(len(new))
+            level.told[where[old]] = True
+            left = np.ones(len(new), bool)
+            left[where[fresh]] = False
+            if not left.all():
+                new = new.take(left)
+            if not len(new):
+                break
+        if len(new):
+            while self.levels and len(self.levels[-1]) <= 2 * len(new):
+                new = self.levels.pop().joined(new)[0]
+            self.levels.append(new)
+        return np.concatenate([o for o, _ in out]), np.concatenate([s for _, s in out])
+
+
+class DigestFamily:
+    """The same over digests of suffixes, in the order of the digests: for the parts of hot minima."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[np.ndarray]] = []  # digest, second digest, owner, start, reported
 
     def add(self, first: np.ndarray, second: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, start) of suffixes found repeated now: those of the batch, and those of earlier batches that had no match before."""
-        order = np.argsort(first, kind="stable")
+        order = np.lexsort((second, first))
         batch = [x[order] for x in (first, second, owner, start)]
-        n = len(order)
-        same = np.zeros(n + 1, bool)
-        same[1:n] = (batch[0][1:] == batch[0][:-1]) & (batch[1][1:] == batch[1][:-1])
-        matched = same[:n] | same[1:]
-        kept = ~same[:n]
-        fresh = kept.copy()
-        out_owner, out_start = [], []
-        for level in self.levels:  # the merge scan: both sides are sorted
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = (batch[0][1:] == batch[0][:-1]) & (batch[1][1:] == batch[1][:-1])
+        matched, fresh = same[:-1] | same[1:], ~same[:-1]
+        found = []
+        for level in self.levels:
             at = np.minimum(np.searchsorted(level[0], batch[0]), len(level[0]) - 1)
             hit = (level[0][at] == batch[0]) & (level[1][at] == batch[1])
             matched |= hit
@@ -168,16 +245,16 @@ class IndexFamily:
             old = np.unique(at[hit])
             old = old[~level[4][old]]
             level[4][old] = True
-            out_owner.append(level[2][old])
-            out_start.append(level[3][old])
-        out_owner.append(batch[2][matched])
-        out_start.append(batch[3][matched])
+            found.append((level[2][old], level[3][old]))
+        found.append((batch[2][matched], batch[3][matched]))
         if fresh.any():
             new = [x[fresh] for x in batch] + [matched[fresh]]
             while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-                new = self._merge(self.levels.pop(), new)
+                both = [np.concatenate(x) for x in zip(self.levels.pop(), new, strict=True)]
+                by = np.argsort(both[0], kind="stable")
+                new = [x[by] for x in both]
             self.levels.append(new)
-        return np.concatenate(out_owner), np.concatenate(out_start)
+        return np.concatenate([o for o, _ in found]), np.concatenate([s for _, s in found])
 
 
 def _runs(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +325,7 @@ def _shared_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _WINDOW = np.dtype([("first", "<u8"), ("second", "<u8"), ("start", "<i8")])
 
 
-def _cut_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Cuts the wanted segments out of their texts; hot ones become packed suffix digests, a row a part."""
     one, two = Rolling(2), Rolling(3)
     names = ["tkey", "least", "low", "bits", "hot"]
@@ -265,7 +342,7 @@ def _cut_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = np.frombuffer(bits, np.uint8)
                 found = np.empty(high - low + 1, _WINDOW)
                 found["first"], found["second"], found["start"] = one(data, LENGTH), two(data, LENGTH), np.arange(low, high + 1)
-                part = found["first"] % np.uint64(PARTS)
+                part = found["first"] % np.uint64(parts)
                 rows += [((least * 31 + int(k) + 2**63) % 2**64 - 2**63, low, found[part == k].tobytes(), True) for k in np.unique(part)]
             cols = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
@@ -277,18 +354,19 @@ def _family_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Whole segments and parts of hot ones have a family each: the first hot segments come as both.
     """
-    whole, parts, one, two = IndexFamily(), IndexFamily(), Rolling(2), Rolling(3)
+    whole, parts = IndexFamily(), DigestFamily()
     names: dict[bytes, int] = {}
     keys: list[bytes] = []
+    known: dict[bytes, list] = {}  # segments by their bytes: first owner, its start, whether it is reported
+    copies: list[tuple[int, int, int]] = []
     pending: list[tuple[int, int, bytes]] = []
     packed: list[tuple[int, bytes]] = []
     held = {False: 0, True: 0}
 
-    def told(owner: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        own, low, high = _runs(owner, start)
-        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["tkey", "low", "high"])
+    def ranges(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in owner], pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["tkey", "low", "high"])
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(p[2] for p in pending), np.uint8)
         sizes = np.array([len(p[2]) for p in pending])
         begin = np.cumsum(sizes) - sizes
@@ -296,41 +374,58 @@ def _family_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.arange(len(owner)) + LENGTH <= (begin + sizes)[owner])
         who = owner[at]
         start = at - begin[who] + np.array([p[1] for p in pending])[who]
-        text = np.array([p[0] for p in pending])[who]
-        return told(*whole.add(one(data, LENGTH)[at], two(data, LENGTH)[at], text, start))
+        yield ranges(*_runs(*whole.add(data, at, np.array([p[0] for p in pending])[who], start)))
+
+    def flush_copies() -> Iterator[pa.RecordBatch]:
+        if copies:
+            yield ranges(*map(list, zip(*copies, strict=True)))
+            copies.clear()
 
     def flush_parts() -> pa.RecordBatch:
         found = np.frombuffer(b"".join(p[1] for p in packed), _WINDOW)
         owner = np.repeat([p[0] for p in packed], [len(p[1]) // _WINDOW.itemsize for p in packed])
-        return told(*parts.add(found["first"].copy(), found["second"].copy(), owner, found["start"].copy()))
+        return ranges(*_runs(*parts.add(found["first"].copy(), found["second"].copy(), owner, found["start"].copy())))
 
     for batch in batches:
-        for key, low, bits, hot in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-            if key not in names:
-                names[key] = len(keys)
+        for key, low, bits, hot in zip(*(batch.column(c).to_pylist() for c in ("tkey", "low", "bits", "hot")), strict=True):
+            own = names.get(key)
+            if own is None:
+                own = names[key] = len(keys)
                 keys.append(key)
             if hot:
-                packed.append((names[key], bits))
+                packed.append((own, bits))
                 held[True] += len(bits)
                 if held[True] >= BATCH:
                     yield flush_parts()
                     packed, held[True] = [], 0
                 continue
+            if (first := known.get(bits)) is not None:
+                if not first[2]:
+                    copies.append((first[0], first[1], first[1] + len(bits)))
+                    first[2] = True
+                copies.append((own, low, low + len(bits)))
+                continue
+            known[bits] = [own, low, False]
             for cut in range(0, len(bits) - LENGTH + 1, BATCH):  # a long segment goes in overlapping slices
-                pending.append((names[key], low + cut, bits[cut : cut + BATCH + LENGTH - 1]))
+                pending.append((own, low + cut, bits[cut : cut + BATCH + LENGTH - 1]))
                 held[False] += len(pending[-1][2])
                 if held[False] >= BATCH:
-                    yield flush()
+                    yield from flush()
                     pending, held[False] = [], 0
+        yield from flush_copies()
     if pending:
-        yield flush()
+        yield from flush()
     if packed:
         yield flush_parts()
 
 
+_SPANS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+
 def _remove_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tkey, n_bytes, spans, n_removed, n_spans, kept_sha256): merges each text's ranges and cuts them out."""
-    span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    """(tkey, n_bytes, spans, n_removed, n_spans, kept_sha256, kept): merges each text's ranges and cuts them out."""
+    names = ["tkey", "n_bytes", "spans", "n_removed", "n_spans", "kept_sha256", "kept"]
+    types = (pa.binary(), pa.int64(), _SPANS, pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
         rows = []
         texts = batch.column(1).cast(pa.binary())
@@ -344,14 +439,36 @@ def _remove_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1]["high"] = max(spans[-1]["high"], r["high"])
                 else:
                     spans.append(dict(r))
-            kept, at = hashlib.sha256(), 0
-            for r in spans:
-                kept.update(text[at : r["low"]])
-                at = r["high"]
-            kept.update(text[at:])
-            rows.append((batch.column(0)[i].as_py(), len(text), spans, sum(r["high"] - r["low"] for r in spans), len(spans), kept.hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), span, pa.int64(), pa.int64(), pa.string()), strict=True)], names=["tkey", "n_bytes", "spans", "n_removed", "n_spans", "kept_sha256"])
+            edges = [0, *(e for r in spans for e in (r["low"], r["high"])), len(text)]
+            left = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            kept = "".join(p.decode("utf-8", "ignore") for p in left)
+            rows.append((batch.column(0)[i].as_py(), len(text), spans, sum(r["high"] - r["low"] for r in spans), len(spans), hashlib.sha256(b"".join(left)).hexdigest(), kept))
+        cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+_FOUND = "tkey binary, least bigint, low bigint, high bigint, twice boolean"
+_BITS = "tkey binary, least bigint, low bigint, bits binary, hot boolean"
+
+
+def _task_count(spark: SparkSession) -> int:
+    """As many tasks as configured, never merged: a task's memory follows the suffixes that it indexes."""
+    return shuffle_partitions(spark)
+
+
+def _cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    parts = max(32, shuffle_partitions(texts.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut(batches, parts)
+
+    return texts.join(wanted, "tkey").select("tkey", "text", "copies", "wanted").mapInArrow(run, _BITS)
+
+
+def _match(bits: DataFrame) -> DataFrame:
+    """(tkey, ranges): each text's repeated byte ranges, from segments."""
+    ranges = bits.repartition(_task_count(bits.sparkSession), "least").mapInArrow(_family_udf, "tkey binary, low bigint, high bigint")
+    return ranges.groupBy("tkey").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -359,28 +476,68 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     Every use of `texts` takes the same columns, so that Spark shuffles the texts once and reuses that.
     """
-    found = texts.select("tkey", "text", "copies").mapInArrow(_segments_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean")
-    shared = found.repartition("least").sortWithinPartitions("least").mapInArrow(_shared_udf, "tkey binary, least bigint, low bigint, high bigint, twice boolean, hot boolean")
-    wanted = shared.groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least", "hot")).alias("wanted"))
-    bits = texts.select("tkey", "text", "copies").join(wanted, "tkey").select("tkey", "text", "copies", "wanted").mapInArrow(_cut_udf, "tkey binary, least bigint, low bigint, bits binary, hot boolean")
-    # As many tasks as configured, never merged: a task's memory follows the suffixes that it indexes.
-    ranges = bits.repartition(shuffle_partitions(texts.sparkSession), "least").mapInArrow(_family_udf, "tkey binary, low bigint, high bigint")
-    return ranges.groupBy("tkey").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    own = texts.select("tkey", "text", "copies")
+    found = own.mapInArrow(_segments_udf, _FOUND)
+    shared = found.repartition("least").sortWithinPartitions("least").mapInArrow(_shared_udf, _FOUND + ", hot boolean")
+    return _match(_cut_out(own, shared.groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least", "hot")).alias("wanted"))))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key of their text; the distinct texts with their number."""
+    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    keyed = own.withColumn("tkey", F.unhex(F.sha2("text", 256)))
+    # The filter holds for all rows; joins would add it to some uses of `texts` only, and so prevent the reuse.
+    return keyed, keyed.filter("tkey IS NOT NULL").groupBy("tkey").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+
+
+def _judge(keyed: DataFrame, texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    judged = texts.join(ranges, "tkey", "left").select("tkey", "text", "copies", "ranges")
+    schema = "tkey binary, n_bytes bigint, spans array<struct<low:bigint,high:bigint>>, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
+    results = judged.mapInArrow(_remove_udf, schema)
+    return keyed.select("doc_id", "tkey").join(results, "tkey").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of `docs`.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, spans) for every row of `docs`.
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes if a 400-byte string over it starts anywhere
     else too, in the same document or another; strings that overlap count, and are judged on the input. Shorter
-    texts keep all. Equal texts are handled once, with their number; rows repeated or without id are
-    rows like others. An empty table gives an empty result; other columns are ignored.
+    texts keep all. kept_sha256 is of the bytes that are left; `text` is what they say, without the halves of characters at
+    cuts. Equal texts are handled once, with their number; rows repeated or without id are rows like others. An empty table
+    gives an empty result; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    keyed = own.withColumn("tkey", F.unhex(F.sha2("text", 256)))
-    # The filter holds for all rows; joins would add it to some uses of `texts` only, and so prevent the reuse.
-    texts = keyed.filter("tkey IS NOT NULL").groupBy("tkey").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    judged = texts.join(repeated_spans(texts), "tkey", "left").select("tkey", "text", "copies", "ranges")
-    schema = "tkey binary, n_bytes bigint, spans array<struct<low:bigint,high:bigint>>, n_removed bigint, n_spans bigint, kept_sha256 string"
-    results = judged.mapInArrow(_remove_udf, schema)
-    return keyed.select("doc_id", "tkey").join(results, "tkey").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    keyed, texts = _keyed(docs, id_col, text_col)
+    return _judge(keyed, texts, repeated_spans(texts))
+
+
+def add_batch(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As remove_repeats, for a batch of documents against itself and all batches added to `folder` before; then adds it there.
+
+    The folder, a shared one, holds levels: tables of all segments of some batches. A batch becomes a level, and the two smallest
+    levels are written as one while they are of about equal size, so a segment is rewritten logarithmically often. Documents of earlier
+    batches aren't judged again. A level that is there twice, as after a loss between writing and deleting, counts once.
+    """
+    spark = docs.sparkSession
+    keyed, texts = _keyed(docs, id_col, text_col)
+    texts = cut(texts)
+    wanted = texts.select("tkey", "text", "copies").mapInArrow(_segments_udf, _FOUND).groupBy("tkey").agg(F.collect_list(F.struct("low", "high", "least", F.lit(False).alias("hot"))).alias("wanted"))
+    bits = cut(_cut_out(texts, wanted))
+    levels = list_sizes(spark, folder, "level-")
+    if levels:
+        old = spark.read.parquet(*(path for path, _ in levels)).dropDuplicates(["tkey", "least", "low"]).select(*bits.columns)
+        rivals = old.join(bits.select("least").distinct(), "least", "left_semi").select(*bits.columns)
+        seen = old.select("tkey").distinct().withColumn("seen", F.lit(1))
+        texts = texts.join(seen, "tkey", "left").select("tkey", "text", (F.col("copies") + F.coalesce("seen", F.lit(0))).alias("copies"))
+        fresh = bits.join(old.select("tkey").distinct(), "tkey", "left_anti").select(*bits.columns)
+        out = cut(_judge(keyed, texts, _match(fresh.unionByName(rivals))))
+    else:
+        fresh, out = bits, cut(_judge(keyed, texts, _match(bits)))
+    fresh.write.parquet(f"{folder}/level-{uuid.uuid4().hex}")
+    levels = sorted(list_sizes(spark, folder, "level-"), key=lambda x: x[1])
+    while len(levels) > 1 and levels[1][1] <= 2 * max(1, levels[0][1]):
+        pair = [path for path, _ in levels[:2]]
+        spark.read.parquet(*pair).dropDuplicates(["tkey", "least", "low"]).write.parquet(f"{folder}/level-{uuid.uuid4().hex}")
+        for path in pair:
+            remove(spark, path)
+        levels = sorted(list_sizes(spark, folder, "level-"), key=lambda x: x[1])
+    return out

@@ -260,12 +260,25 @@ def test_chat_round_trip(spark):
 
 
 def test_masked_tokens_cover_the_span():
-    tokens = np.array([(0, 3), (3, 5), (5, 5), (4, 6), (6, 9)])
+    tokens = np.array([(0, 3), (3, 5), (5, 5), (5, 6), (6, 9)])
     under, pieces = chat.align(tokens, np.array([(4, 7), (9, 9)]))
     assert under.tolist()[1] and under.tolist()[4] and not under.tolist()[0]
     assert pieces == [[(4, 7)], []]
 
 
+def test_token_ends_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    encode, library = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for text in ("plain words, and 123", chat.render([("user", "<s> \\ x"), ("assistant", "\u4f60\u597d \U0001f600 \u00e9t\u00e9 [/INST]")])[0], "a <|endoftext|> b"):
+        ids = encode(text)
+        told = library.encode(text, add_special_tokens=False)
+        assert ids == told.ids
+        if text.isascii():
+            assert np.cumsum(encode.lengths[ids]).tolist() == [b for _, b in told.offsets]
+        assert encode.lengths[ids].sum() == len(text.encode())
+
+
 # -- 5: shards --------------------------------------------------------------------------------------------
 
 
@@ -371,14 +384,14 @@ def local_spans(texts, rows_a_batch):
     wanted = [[{k: r[k] for k in ("low", "high", "least", "hot")} for r in shared if r["tkey"] == key] for key in table["tkey"].to_pylist()]
     own = [i for i, w in enumerate(wanted) if w]
     asked = table.take(own).append_column("wanted", pa.array([wanted[i] for i in own])).to_batches()
-    bits = pa.Table.from_batches(suffix_dedup._cut_udf(asked)).sort_by("low").to_batches(rows_a_batch) if own else []
+    bits = pa.Table.from_batches(suffix_dedup._cut(asked, 5)).sort_by("low").to_batches(rows_a_batch) if own else []
     spans = defaultdict(list)
     for r in (r for b in suffix_dedup._family_udf(bits) for r in b.to_pylist()):
         spans[int(r["tkey"])] += range(r["low"], r["high"])
     return {k: set(v) for k, v in spans.items()}, any(r["hot"] for r in shared)
 
 
-@pytest.mark.parametrize(("limits", "rows_a_batch", "hot"), [({"SLICE": 900, "BATCH": 1200}, 5, False), ({"HOT": 1, "BATCH": 3000}, 3, True), ({"HOT": 2}, 1, True), ({"HOT": 5}, 1000, True), ({"HOT": 7, "PARTS": 3, "BATCH": 500}, 2, True), ({"HOT": 8}, 4, True), ({"HOT": 9}, 4, None)])
+@pytest.mark.parametrize(("limits", "rows_a_batch", "hot"), [({"SLICE": 900, "BATCH": 1200}, 5, False), ({"HOT": 1, "BATCH": 3000}, 3, True), ({"HOT": 2}, 1, True), ({"HOT": 5}, 1000, True), ({"HOT": 7, "BATCH": 500}, 2, True), ({"HOT": 8}, 4, True), ({"HOT": 9}, 4, None)])
 def test_repeats_over_slices_batches_and_hot_minima(monkeypatch, limits, rows_a_batch, hot):
     for name, value in limits.items():
         monkeypatch.setattr(suffix_dedup, name, value)
@@ -391,8 +404,8 @@ def test_repeats_over_slices_batches_and_hot_minima(monkeypatch, limits, rows_a_
     assert hot is None or was_hot == hot
 
 
-def test_levels_stay_logarithmic():
-    family, rng = suffix_dedup.IndexFamily(), np.random.default_rng(1)
+def test_digest_levels_stay_logarithmic():
+    family, rng = suffix_dedup.DigestFamily(), np.random.default_rng(1)
     for k in range(64):
         x = rng.integers(0, 2**63, 100).astype(np.uint64)
         family.add(x, x, np.full(100, k), np.arange(100))
@@ -400,6 +413,55 @@ def test_levels_stay_logarithmic():
     assert sum(len(level[0]) for level in family.levels) == 6400
 
 
+def test_suffix_arrays_are_alphabetical():
+    rng = np.random.default_rng(2)
+    for letters in (2, 200):
+        data = rng.integers(0, letters, 3000).astype(np.uint8)
+        data[1000:1700] = data[:700]
+        data[2100:2600] = 7
+        at = np.arange(len(data) - 399)
+        order, same = suffix_dedup.suffix_order(data, at)
+        told = [data[i : i + 400].tobytes() for i in at[order]]
+        assert told == sorted(told) and sorted(order.tolist()) == at.tolist()
+        assert same.tolist() == [False, *(a == b for a, b in zip(told, told[1:]))]
+
+
+def test_family_of_suffix_arrays():
+    """Batches against levels: what is told is what occurs twice, once each; levels are distinct, alphabetical and few."""
+    rng, family, told, texts = random.Random(12), suffix_dedup.IndexFamily(), [], []
+    for k in range(24):
+        base = texts[rng.randrange(len(texts))] if texts and rng.random() < 0.6 else ""
+        text = (words(90, 300 + k)[: rng.randrange(400, 520)] + base[rng.randrange(50) :][: rng.randrange(300, 900)]).ljust(400, "x")
+        texts.append(text)
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.arange(len(data) - 399)
+        told += zip(*(x.tolist() for x in family.add(data, at, np.full(len(at), k), at)))
+        assert len(family.levels) <= 6 and all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:]))
+    starts = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    assert sorted(told) == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 399) if starts[t[i : i + 400]] > 1]
+    held = [[level.data[i : i + 400].tobytes() for i in level.at] for level in family.levels]
+    assert all(h == sorted(h) for h in held) and sorted(x for h in held for x in h) == sorted(x.encode() for x in starts)
+
+
+def test_batches_on_disk(spark, tmp_path):
+    """Each batch is judged against those before it; levels stay few; a level left over from a loss changes nothing."""
+    import shutil
+
+    folder, texts, before = str(tmp_path / "index"), [(i, f"{words(70 + i, 400 + i)} {PASSAGE} {words(60, 500 + i // 3)}") for i in range(10)], []
+    texts[7] = (7, texts[1][1])
+    for k, part in enumerate((texts[:3], [*texts[3:5], (90, None), (91, "short")], texts[5:8], texts[8:])):
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in rows(suffix_dedup.add_batch(spark.createDataFrame(part, "doc_id long, text string"), folder))}
+        if k == 1:  # as if the merge had not come to deleting
+            level = next((tmp_path / "index").iterdir())
+            shutil.copytree(level, level.with_name("level-again"))
+        starts = Counter(t[i : i + 400] for _, t in [*before, *part] for i in range(len(t or "") - 399))
+        for i, t in part:
+            hit = {j for a in range(len(t or "") - 399) if starts[t[a : a + 400]] > 1 for j in range(a, a + 400)}
+            assert got[i] == (len(hit), sum(j - 1 not in hit for j in hit)), (k, i)
+        before += part
+    assert 1 <= len(list((tmp_path / "index").iterdir())) <= 3
+
+
 # -- 8: packing ----------------------------------------------------------------------------------------------
 
 

@@ -85,7 +85,8 @@ def test_stages_on_awkward_rows(spark, awkward, tmp_path, rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
     result = db.execute(SQL[name])
