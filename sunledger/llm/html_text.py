@@ -1,9 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a small tree. Every paragraph earns points for its length and its commas and passes
-them to its ancestors, less at each step; a container's points are discounted by the share of its text
+them to its ancestors, half as many at each further container; a container's points are discounted by the share of its text
 that stands in links. The best container is kept with those of its siblings that look like part of
-the same text; parts of a page that are never article text (menus, forms, notices, comments ...) are
+the same text, and inside an article with what stands beside its ancestors there; parts of a page that are never article text (menus, forms, notices, comments ...) are
 left out before that, by their element or by the names in their class, id and role. Names (and forms and headers) only
 suggest: they don't leave out what holds the article or most of the text, nor anything if nothing would be left.
 """
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Containers above a paragraph that get a share of its points; further ones would get next to nothing.
-LEVELS = 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 LEFT_OUT = frozenset("head script style noscript template iframe noembed noframes object svg math canvas audio video nav aside footer form button select textarea input dialog menu title xmp".split())
@@ -61,7 +59,6 @@ class Node:
     suggested: bool = False
     children: list = field(default_factory=list)
     points: float = 0.0
-    scored: bool = False
 
 
 def _hints(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
@@ -243,33 +240,30 @@ def _relent(root: Node) -> list[Node]:
 
 
 def _score(root: Node) -> tuple[Node | None, dict[Node, tuple[int, int]]]:
-    """The best container, and (characters, characters in links) below each container."""
+    """The best container, the first in the page of equal ones, and (characters, characters in links) below each element.
+
+    Points are summed once, from the leaves up, so a page of any depth takes time in proportion to its length.
+    """
     sizes: dict[Node, tuple[int, int]] = {}
-    candidates: list[Node] = []
+    order = _below(root)
     for text, owner, linked in blocks([root]):
-        points = _points(text, owner, linked)
-        node, step = owner if owner.tag in CONTAINERS and owner.tag not in PARAGRAPHS else owner.parent, 1
         n, k = sizes.get(owner, (0, 0))
         sizes[owner] = (n + len(text), k + linked)
-        while node is not None and step <= LEVELS:
-            if node.tag in CONTAINERS:
-                if not node.scored:
-                    node.scored, node.points = True, 40.0 * (node.tag == "article") + 30.0 * (node.tag == "main") + 15.0 * node.liked
-                    candidates.append(node)
-                node.points += points / (1 if step == 1 else 2 if step == 2 else 3 * step)
-                step += 1
-            node = node.parent
-
-    for node in reversed(_below(root)):
-        if node.parent is not None and node in sizes:
-            n, k = sizes.get(node.parent, (0, 0))
-            sizes[node.parent] = (n + sizes[node][0], k + sizes[node][1])
-
-    def final(node: Node) -> float:
+        owner.points += _points(text, owner, linked)
+    best, most = None, -1.0
+    for node in reversed(order):
+        if node not in sizes:
+            continue
         n, k = sizes[node]
-        return node.points * (1 - k / n)
-
-    return max(candidates, key=final, default=None), sizes
+        if node.tag in CONTAINERS or node is root:
+            final = (node.points + 15 * node.liked * (node.points > 0)) * (1 - k / n)
+            if final >= most:
+                best, most = node, final
+        if node.parent is not None:
+            above = sizes.get(node.parent, (0, 0))
+            sizes[node.parent] = (above[0] + n, above[1] + k)
+            node.parent.points += node.points / (2 if node.tag in CONTAINERS else 1)
+    return best, sizes
 
 
 def main_text(page: str) -> str:
@@ -284,18 +278,13 @@ def main_text(page: str) -> str:
     return text
 
 
-def _best_text(root: Node) -> str:
-    best, sizes = _score(root)
-    if best is None:
-        return "\n".join(b[0] for b in blocks([root]))
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is not None:
-        return "\n".join(b[0] for b in blocks([node]))
-    if best.parent is None:
-        return "\n".join(b[0] for b in blocks([best]))
-    limit, kept, run = best.points * 0.2, [], []
+def _kept_siblings(node: Node, sizes: dict[Node, tuple[int, int]], inner: list, inside: bool) -> list:
+    """The children of the node's parent that stay, in order; the node itself is `inner`.
+
+    A sibling needs a fifth of the node's points, or to be a heading or paragraph beside a node that is no article; inside an
+    article it only must not be a list of links.
+    """
+    limit, kept, run, whole = node.points * 0.2, [], [], node.tag in ("article", "main")
 
     def end_run() -> None:
         """Text that stands between blocks stays unless it is mostly links."""
@@ -305,19 +294,36 @@ def _best_text(root: Node) -> str:
         kept.append(Node("hr", None))
         run.clear()
 
-    for child in best.parent.children:
-        if isinstance(child, str) or child.tag not in BLOCKS and child is not best:
+    for child in node.parent.children:
+        if child is not node and (isinstance(child, str) or child.tag not in BLOCKS):
             run.append(child)
             continue
         end_run()
-        if child is best:
-            kept.append(child)
+        if child is node:
+            kept.extend(inner)
         elif not child.against and child in sizes:
             n, k = sizes[child]
-            text_like = child.tag in HEADINGS or child.tag in PARAGRAPHS and k / n < 0.25 and (n > 80 or k == 0)
-            if child.scored and child.points * (1 - k / n) >= limit or text_like:
+            text_like = child.tag == "h1" if whole else child.tag in HEADINGS or child.tag in PARAGRAPHS and k / n < 0.25 and (n > 80 or k == 0)
+            if text_like or child.points > 0 and child.points * (1 - k / n) >= limit or inside and k / n < 0.5:
                 kept.append(child)
     end_run()
+    return kept
+
+
+def _best_text(root: Node) -> str:
+    node, sizes = _score(root)
+    if node is None:
+        return "\n".join(b[0] for b in blocks([root]))
+    article = node
+    while article is not None and article.tag not in ("article", "main"):
+        article = article.parent
+    kept = [node]
+    while node.parent is not None:
+        inside = article is not None and node is not article
+        kept = _kept_siblings(node, sizes, kept, inside)
+        node = node.parent
+        if not inside or node is article:
+            break
     return "\n".join(b[0] for b in blocks(kept))
 
 

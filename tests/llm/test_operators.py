@@ -222,6 +222,84 @@ def test_equal_siblings_stay():
     assert html_text.main_text(f"<body>Bare <b>text</b>.<div>{STORY}</div>more text<div>{'<p>one, two.</p>' * 3}</div><a href=x>Home</a> <a href=y>About</a></body>") == f"Bare text.\n{STORY_TEXT}\nmore text\none, two.\none, two.\none, two."
 
 
+def test_siblings_inside_an_article():
+    """A best section doesn't lose the rest of its article, nor does it bring a list of links."""
+    links = "<ul>" + "".join(f"<li><a href=/{i}>story number {i}</a></li>" for i in range(9)) + "</ul>"
+    page = f"<body><h2>Site</h2><main><h1>Head</h1><section>{STORY}{STORY}</section><div><section><p>Short, part.</p></section></div><div>{links}</div><section><h2>End</h2>last words</section></main><p>Imprint, and more.</p></body>"
+    assert html_text.main_text(page) == f"Head\n{STORY_TEXT}\n{STORY_TEXT}\nShort, part.\nEnd\nlast words"
+    nested = f"<body><div><div><div>{links}</div><article><div><div>{STORY}</div></div></article></div></div></body>"
+    assert html_text.main_text(nested) == STORY_TEXT
+
+
+def slow_best(root):
+    """The best container by definition: every block's points walk up to the root, halved after each container."""
+    seen = html_text.blocks([root])
+    points, chars, linked = defaultdict(float), defaultdict(int), defaultdict(int)
+    for text, owner, k in seen:
+        own = 0.0 if owner.tag in html_text.HEADINGS else (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - k / len(text))
+        node = owner
+        while node is not None:
+            points[node] += own
+            chars[node] += len(text)
+            linked[node] += k
+            own /= 2 if node.tag in html_text.CONTAINERS else 1
+            node = node.parent
+    fit = [n for n in chars if n.tag in html_text.CONTAINERS or n is root]
+    return {n: (points[n] + 15 * n.liked * (points[n] > 0)) * (1 - linked[n] / chars[n]) for n in fit}
+
+
+def random_page(rng, depth=0):
+    tags = ["div", "section", "p", "ul", "li", "span", "a href=x", "article", "table", "td", "h2", 'div class="entry"', 'div class="sidebar"', "blockquote"]
+    if depth > 5 or rng.random() < 0.25:
+        return " ".join(rng.choice(["word", "and, so", "x" * 40]) for _ in range(rng.randrange(12)))
+    return "".join(f"<{t}>{random_page(rng, depth + 1)}</{t.split()[0]}>" for t in (rng.choice(tags) for _ in range(rng.randrange(1, 5))))
+
+
+def test_scores_equal_the_definition(spark):
+    rng = random.Random(15)
+    pages = [f"<body>{random_page(rng)}</body>" for _ in range(150)]
+    if DATA.exists():
+        pages += [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    for page in pages:
+        root = html_text.parse(page or "")
+        html_text._relent(root)
+        best, _ = html_text._score(root)
+        scores = slow_best(root)
+        assert (best is None) == (not scores)
+        assert best is None or scores[best] == pytest.approx(max(scores.values()), abs=1e-9)
+
+
+def test_supplied_pages_by_another_parser(spark):
+    """On pages whose text is all in one article: the same lines by Python's own parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.lines = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            self.lines += [""] if tag in ("p", "h1", "h2", "li") else []
+            self.lines[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            self.lines += [""] if tag in ("p", "h1", "h2", "li") else []
+
+        def handle_data(self, data):
+            self.lines[-1] += data if self.inside else ""
+
+    if not DATA.exists():
+        pytest.skip("no test data")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in rows(html_text.extract_text(pages))}
+    for r in rows(pages):
+        parser = Article()
+        parser.feed(r["html"] or "")
+        assert got[r["page_id"]] == "\n".join(t for line in parser.lines if (t := " ".join(line.split())))
+
+
 def test_extract_text(spark):
     pages = spark.createDataFrame([(1, "u", "<p>\U0001f600 x</p>", "old"), (2, None, None, None), (2, None, None, None), (3, "u", "<p>" + LONG + "</p>", "")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in rows(html_text.extract_text(pages)))
