@@ -157,21 +157,21 @@ def decoded(batch: list[bytes]) -> Iterator[tuple[str, memoryview, np.ndarray]]:
         yield codec, payload, resample(pcm)
 
 
-def read_media(media: DataFrame, with_pcm: bool = True) -> DataFrame:
-    """Adds payload_bytes, payload_sha256, tail_crc32, feature and, if wanted, pcm (16-bit, 16 kHz) to rows with a column `media`."""
-    more = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string" + ", pcm binary" * with_pcm
-    kept = [c for c in media.columns if c != "media"] + ["media"] * with_pcm
+def read_media(media: DataFrame, with_media: bool = True) -> DataFrame:
+    """Adds payload_bytes, payload_sha256, tail_crc32, feature and pcm (16-bit, 16 kHz) to rows with a column `media`, which stays if wanted."""
+    more = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string, pcm binary"
+    kept = [c for c in media.columns if c != "media"] + ["media"] * with_media
     names = [*kept, *(x.split()[0] for x in more.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(batch: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[], [], [], [], []]
             for codec, payload, pcm in decoded(batch.column("media").to_pylist()):
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), _features(codec, pcm), pcm.tobytes() if with_pcm else None)
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), _features(codec, pcm), pcm.tobytes())
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-            found = [pa.array(c, t) for c, t in zip(cols, types, strict=True)][: 4 + with_pcm]
+            found = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + found, names=names)
 
         for batch in batches:
@@ -186,12 +186,17 @@ def read_media(media: DataFrame, with_pcm: bool = True) -> DataFrame:
     return media.mapInArrow(run, f"{schema}, {more}")
 
 
+def store_audio(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes a table of the media: each file, its resampled PCM and features. Rows as in audio_digest."""
+    read_media(to_media(docs, id_col, text_col)).write.parquet(path)
+
+
 def audio_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What each stored file holds when it is read back, one row for every row of `docs`.
+    """What each stored file holds when it is read back, and its resampled PCM (16-bit, 16 kHz), one row for every row of `docs`.
 
     Null and empty texts are one block of spaces. Rows repeated or without id are rows like others;
     equal texts give equal values. An empty table gives an empty result. Other columns are ignored.
     """
     media = to_media(docs, id_col, text_col)
     stored = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    return read_media(stored, with_pcm=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read_media(stored, with_media=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")

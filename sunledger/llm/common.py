@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +32,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints, from spark.checkpoint.dir. A session without one is refused: a local folder would not be shared."""
+    """The cluster's shared folder for checkpoints, from spark.checkpoint.dir.
+
+    Only a session in one process, where any folder is shared, gets one of its own if it has none.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="sunledger-")
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -16,10 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import lower_ascii, text_of
+from .common import cut, lower_ascii, text_of
 
-#: At least 400 characters, then up to the next vowel + one of "ndrst" + a separator; at most 4096.
-CHUNK = r"(?s).{400,4096}?(?:[aeiou][ndrst][ ,.\n]|\z)|.{1,4096}"
+
+def _some(low: int, high: int, step: int, width: int) -> str:
+    """A character class: the first `width` code points of every `step` from low to high."""
+    return "".join(f"\\u{a:04x}-\\u{a + width - 1:04x}" for a in range(low, high, step))
+
+
+#: Where a chunk may end. In Latin prose after vowel + one of "ndrst" + separator; in codes and numbers after some digits before a letter; in
+#: other alphabets after an eighth of the letters before a separator; in scripts without spaces after a 32nd of the characters.
+CUTS = rf"[aeiou][ndrst][ ,.\n]|[048][A-Za-z]|(?=[^\x00-\x7f])(?:[{_some(0x370, 0x1100, 64, 8)}][\s\p{{P}}]|[{_some(0x3040, 0xD7A0, 1024, 32)}])"
+#: At least 400 characters, then up to the next place to cut; at most 4096.
+CHUNK = rf"(?s).{{400,4096}}?(?:{CUTS}|\z)|.{{1,4096}}"
 
 
 def chunks_of(text: Column, pattern: str = CHUNK) -> Column:
@@ -43,6 +52,15 @@ def clashes(store: DataFrame) -> DataFrame:
     return store.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
 
 
+def spelled_recipes(texts: DataFrame, bad: DataFrame, pattern: str = CHUNK) -> DataFrame:
+    """(doc_id, text_sha256, recipe) where chunks whose identifiers clash are spelled out. Only texts that hold such a chunk move."""
+    pieces = texts.select("text", F.posexplode(chunks_of(F.col("text"), pattern)).alias("at", "chunk")).withColumn("id", identifier(F.col("chunk")))
+    hits = pieces.join(bad.select(F.struct("a", "b").alias("id")), "id", "left_semi").distinct()
+    spelled = hits.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("at", "chunk"))).alias("spelled"))
+    entry = F.transform(chunks_of(F.col("text"), pattern), lambda chunk, i: F.struct(identifier(chunk).alias("id"), F.try_element_at("spelled", i).alias("chunk")))
+    return texts.join(spelled, "text", "left").select("doc_id", F.sha2("text", 256).alias("text_sha256"), entry.alias("recipe"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = CHUNK) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for every row of `docs`.
 
@@ -53,15 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clash. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(text_of(text_col)).alias("text"))
-    bad = clashes(chunk_store(texts, pattern)).agg(F.collect_list(F.struct("a", "b")).alias("bad")).scalar()
-
-    def entry(chunk: Column) -> Column:
-        own = identifier(chunk)
-        return F.struct(own.alias("id"), F.when(F.array_contains(F.col("bad"), own), chunk).alias("spelled"))
-
-    recipes = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), chunks_of(F.col("text"), pattern).alias("chunks"), bad.alias("bad")).select(
-        "doc_id", "text_sha256", F.transform("chunks", entry).alias("recipe")
-    )
+    sha = F.sha2("text", 256).alias("text_sha256")
+    # Stored, some 16 bytes a chunk: what follows reads recipes, not texts.
+    recipes = cut(texts.select("doc_id", sha, F.transform(chunks_of(F.col("text"), pattern), identifier).alias("recipe")))
+    bad = cut(clashes(chunk_store(texts, pattern)))
+    if not bad.isEmpty():
+        recipes = spelled_recipes(texts, bad, pattern)
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # The second join key gives the groups an exchange of their own: only then does adaptive execution split a recipe that a third of all rows share.
     digest = F.xxhash64("recipe").alias("digest")
@@ -71,10 +86,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    # Ids as text, null as empty: plain equality, so that the join's partitioning serves the window too and texts move once.
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumns({"__sha": F.sha2(lower_ascii(text_of(text_col)), 256), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
-    kept = own.join(found, ["__sha", "__id"], "left_semi")
-    turn = F.row_number().over(W.partitionBy("__sha", "__id").orderBy("__sha"))
-    return kept.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    """The rows of `docs` that stay, with all their columns. Of rows with one id and text, the one whose columns come first as JSON stays."""
+    # Plain equality, not that of nulls, so that the join's partitioning serves the window too and texts move once.
+    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = docs.withColumns({"__sha": F.sha2(lower_ascii(text_of(text_col)), 256), "__id": named})
+    return first_of(own.join(found, ["__sha", "__id"], "left_semi"), ["__sha", "__id"], docs.columns, text_col)
+
+
+def first_of(rows: DataFrame, keys: list[str], columns: list[str], text_col: str) -> DataFrame:
+    """One row a key: that whose other columns, then whose text, come first. Ties are equal rows."""
+    others = F.to_json(F.struct(*(c for c in columns if c != text_col)))
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy(others, F.sha2(text_of(text_col), 256)))
+    return rows.withColumn("__turn", turn).filter("__turn = 1").select(*columns)

@@ -1,11 +1,10 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a white-space-delimited segment in both directions, labels every byte with
-log probabilities of the languages, and a document's label pools those of all its bytes. Its state starts
-anew at each segment (long ones are cut), so a segment's labels depend on nothing else: the same segment is
-evaluated once and its result used wherever it stands, which makes whole texts affordable.
+A text is cut into pieces of some bytes, whole code points each; the network reads a piece in both directions, over
+spaces and all, labels every byte with log probabilities of the languages, and a document's label pools those of all its
+bytes. Pieces of many documents go through the network together, a byte position of all of them at a time.
 
-It is trained in numpy by backpropagation through time, on a bounded, balanced sample of segments.
+It is trained in numpy by backpropagation through time, on a bounded, balanced sample of the same kind of pieces.
 """
 
 from __future__ import annotations
@@ -16,28 +15,44 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import text_of
-
-#: Bytes of a segment; longer ones are cut.
-SEGMENT = 40
+#: Bytes of a piece.
+PIECE = 120
 LETTER = re.compile(r"[^\W\d_]")
-#: Segments whose results a task remembers; when there are more, it starts anew.
-REMEMBERED = 400_000
+#: Bytes of texts, about, that go through the network together.
+TOGETHER = 1 << 20
+#: Documents whose pooled probability is lower have no recognisable language: the pipeline's stage rejects them.
+LEAST_SCORE = 0.5
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by the exponential, which numpy vectorises everywhere; the argument is clipped where the result is 1."""
+    np.clip(x, -9, 9, out=x)
+    x *= -2
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+    x *= 2
+    x -= 1
+    return x
 
 
 class ByteGru:
-    """Weights and passes of the network. Segments of a batch are sorted by falling length, so step t works on the first rows only."""
+    """Weights and passes of the network. Pieces of a batch are sorted by falling length, so step t works on the first rows only."""
 
-    def __init__(self, languages: list[str], hidden: int = 16, seed: int = 5) -> None:
+    def __init__(self, languages: list[str], hidden: int = 12, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.languages, self.hidden, k = languages, hidden, len(languages)
         self.w: dict[str, np.ndarray] = {}
@@ -47,25 +62,30 @@ class ByteGru:
             self.w[f"v{d}"] = rng.normal(0, hidden**-0.5, (hidden, k)).astype(np.float32)
         self.w["c"] = np.zeros(k, np.float32)
 
-    def _direction(self, d: str, data: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    def _direction(self, d: str, data: np.ndarray, active: np.ndarray, keep: bool) -> tuple[np.ndarray, list[tuple]]:
         """States (steps, rows, hidden) over left-aligned bytes (rows, steps), and what the way back needs."""
         n, h = self.hidden, np.zeros((len(data), self.hidden), np.float32)
         states, kept = np.zeros((data.shape[1], len(data), n), np.float32), []
-        x, u = self.w[f"x{d}"], self.w[f"u{d}"]
+        x, u, v = self.w[f"x{d}"], np.ascontiguousarray(self.w[f"u{d}"][:, : 2 * n]), np.ascontiguousarray(self.w[f"u{d}"][:, 2 * n :])
+        columns = np.ascontiguousarray(data.T)
         for t, m in enumerate(active):
             before = h[:m]
-            gate = x[data[:m, t]]
-            zr = _sigmoid(gate[:, : 2 * n] + before @ u[:, : 2 * n])
+            gate = x.take(columns[t, :m], axis=0)
+            zr = _sigmoid(gate[:, : 2 * n] + before @ u)
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gate[:, 2 * n :] + (r * before) @ u[:, 2 * n :])
-            kept.append((before.copy(), z, r, new))
-            h[:m] = before + z * (new - before)
-            states[t, :m] = h[:m]
+            new = _tanh(gate[:, 2 * n :] + (r * before) @ v)
+            now = new - before
+            now *= z
+            now += before
+            if keep:
+                kept.append((before.copy(), z, r, new))
+            states[t, :m] = now
+            h[:m] = now
         return states, kept
 
     def _back(self, d: str, data: np.ndarray, active: np.ndarray, kept: list[tuple], given: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         n, u = self.hidden, self.w[f"u{d}"]
-        gx, gu = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u)
+        gx, gu, flows = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u), []
         flow = np.zeros((len(data), n), np.float32)
         for t in range(len(active) - 1, -1, -1):
             m = active[t]
@@ -78,8 +98,12 @@ class ByteGru:
             dzr = np.concatenate([dz, dr], 1)
             gu[:, : 2 * n] += before.T @ dzr
             gu[:, 2 * n :] += (r * before).T @ dnew
-            np.add.at(gx, data[:m, t], np.concatenate([dzr, dnew], 1))
+            flows.append(np.concatenate([dzr, dnew], 1))
             flow[:m] = dh * (1 - z) + drb * r + dzr @ u[:, : 2 * n].T
+        letters, flows = np.concatenate([data[: active[t], t] for t in range(len(active) - 1, -1, -1)]), np.concatenate(flows)
+        order = np.argsort(letters, kind="stable")
+        first = np.flatnonzero(np.diff(letters[order].astype(np.int64), prepend=-1))
+        gx[letters[order][first]] = np.add.reduceat(flows[order], first, axis=0)
         grads[f"x{d}"], grads[f"u{d}"] = gx, gu
 
     @staticmethod
@@ -92,10 +116,10 @@ class ByteGru:
         active = np.searchsorted(-sizes, -np.arange(steps), "left")
         return ahead, np.take_along_axis(ahead, place, 1), sizes, active, place
 
-    def _run(self, laid: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    def _run(self, laid: tuple[np.ndarray, ...], keep: bool = True) -> tuple[np.ndarray, ...]:
         ahead, behind, sizes, active, place = laid
-        hf, kf = self._direction("f", ahead, active)
-        hb, kb = self._direction("b", behind, active)
+        hf, kf = self._direction("f", ahead, active, keep)
+        hb, kb = self._direction("b", behind, active, keep)
         rows = np.arange(len(sizes))[None, :]
         scores = hf @ self.w["vf"] + (hb @ self.w["vb"])[place.T, rows] + self.w["c"]
         scores -= scores.max(axis=2, keepdims=True)
@@ -103,17 +127,18 @@ class ByteGru:
         inside = np.arange(ahead.shape[1])[:, None] < sizes
         return logs, inside, hf, kf, hb, kb
 
-    def label(self, segments: list[bytes]) -> np.ndarray:
-        """Summed log probabilities of all byte labels (segments, languages)."""
-        out = np.zeros((len(segments), len(self.languages)), np.float32)
-        order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
+    def label(self, pieces: list[bytes]) -> np.ndarray:
+        """Summed log probabilities of all byte labels (pieces, languages)."""
+        out = np.zeros((len(pieces), len(self.languages)), np.float32)
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
         for at in range(0, len(order), 2048):
             own = order[at : at + 2048]
-            logs, inside, *_ = self._run(self.layout([segments[i] for i in own]))
-            out[own] = (logs * inside[:, :, None]).sum(axis=0)
+            logs, inside, *_ = self._run(self.layout([pieces[i] for i in own]), keep=False)
+            logs *= inside[:, :, None]
+            out[own] = logs.sum(axis=0)
         return out
 
-    def train(self, segments: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 384, rate: float = 0.02, seed: int = 6) -> None:
+    def train(self, segments: list[bytes], labels: np.ndarray, steps: int = 110, batch: int = 256, rate: float = 0.02, seed: int = 6) -> None:
         """Adam on the mean cross-entropy of all byte labels."""
         rng, moments = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.w.items()}
         for step in range(1, steps + 1):
@@ -141,37 +166,49 @@ class ByteGru:
                 self.w[k] -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
 
 
-def cut_segments(text: bytes) -> list[bytes]:
-    parts = text.split()
-    if len(text) > SEGMENT and any(len(p) > SEGMENT for p in parts):
-        return [p[i : i + SEGMENT] for p in parts for i in range(0, len(p), SEGMENT)]
-    return parts
+def cut_pieces(text: bytes, size: int = PIECE) -> list[bytes]:
+    """Pieces of at most `size` bytes that end where a code point does; together they are the text."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end] & 0xC0 == 0x80 and end > at + size - 3:
+            end -= 1
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def training_segments(labelled: DataFrame, per_language: int = 6000, documents: int = 240, languages: int = 200) -> list[tuple[str, bytes]]:
-    """A bounded, balanced sample of (lang, segment), the same on every run.
+def training_pieces(labelled: DataFrame, per_language: int = 1500, documents: int = 240) -> list[tuple[str, bytes]]:
+    """A bounded, balanced sample of (lang, piece), the same on every run; every language that occurs is in it.
 
-    Of the `languages` most frequent languages, about `documents` documents each are drawn by a hash of id and text, and of
-    their segments `per_language` by a hash of what they hold. Only this sample reaches the driver.
+    Of each language about `documents` documents are drawn by a hash of id and text, and of their pieces `per_language` by a hash
+    of what they hold. Only this sample, and the number of documents of each language, reach the driver.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    rate = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, documents / n))) for k, n in counts.items()))[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate * F.lit(float(1 << 30))
-    sample = labelled.filter(drawn).select("lang", "doc_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("at", "segment")).filter("segment <> ''")
-    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("segment", "doc_id", "at"), "segment", "doc_id"))
-    rows = sample.withColumn("segment", F.substring("segment", 1, SEGMENT)).withColumn("turn", turn).filter(F.col("turn") <= per_language).orderBy("lang", "turn").select("lang", "segment").collect()
-    return [(r["lang"], r["segment"].encode()[:SEGMENT]) for r in rows]
+    rate = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, documents / n))) for k, n in sorted(counts.items())))[F.col("lang")]
+    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate * F.lit(float(1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                parts = cut_pieces(text.encode()) if LETTER.search(text) else []
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(parts), pa.string()), pa.array(parts, pa.binary())], names=["lang", "piece"])
+
+    sample = drawn.select("lang", "text").mapInArrow(run, "lang string, piece binary").distinct()
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece"))
+    rows = sample.withColumn("turn", turn).filter(F.col("turn") <= per_language).orderBy("lang", "turn").select("lang", "piece").collect()
+    return [(r["lang"], bytes(r["piece"])) for r in rows]
 
 
 def fit(labelled: DataFrame, **sample) -> ByteGru | None:
     """Trains on rows of (doc_id, text, lang); None if there are none."""
-    rows = training_segments(labelled, **sample)
+    rows = training_pieces(labelled, **sample)
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -180,35 +217,48 @@ def fit(labelled: DataFrame, **sample) -> ByteGru | None:
     return model
 
 
+def save_model(spark: SparkSession, model: ByteGru, path: str) -> None:
+    """Stores the weights as a table, so that a model that is fitted once serves many jobs."""
+    rows = [(name, list(w.shape), w.ravel().tolist(), model.languages) for name, w in model.w.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, weights array<float>, languages array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> ByteGru:
+    rows = spark.read.parquet(path).collect()  # a row a weight matrix
+    model = ByteGru(list(rows[0]["languages"]))
+    model.w = {r["name"]: np.array(r["weights"], np.float32).reshape(r["shape"]) for r in rows}
+    model.hidden = model.w["uf"].shape[0]
+    return model
+
+
 def predict(docs: DataFrame, model: ByteGru | None, carry: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `carry` of `docs`, and label and score of every row; `und` and 0 for a text that is null or has no letter, or without a model."""
     own = docs.select(*dict.fromkeys([*carry, text_col]))
     schema = T.StructType([*(own.schema[c] for c in carry), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
+    def judged(rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.encode() if model and t and LETTER.search(t) else b"" for t in rows.column(text_col).to_pylist()]
+        parts = [cut_pieces(t) for t in texts]
+        pieces = list(chain.from_iterable(parts))
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        sums = np.zeros((len(texts), len(model.languages) if model else 1))
+        if pieces:
+            np.add.at(sums, owner, model.label(pieces))
+        mean = sums / np.maximum([[len(t)] for t in texts], 1)
+        odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+        best, sure = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
+        langs = [model.languages[b] if t else "und" for t, b in zip(texts, best, strict=True)]
+        scores = [float(p) if t else 0.0 for t, p in zip(texts, sure, strict=True)]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*carry, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        labels = np.zeros((0, len(model.languages) if model else 1), np.float32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                parts = [cut_segments(t.encode()) if model and t and LETTER.search(t) else [] for t in rows.column(text_col).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known, labels = {}, labels[:0]
-                if fresh := sorted(set(chain.from_iterable(parts)) - known.keys()):
-                    known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-                    labels = np.concatenate([labels, model.label(fresh)])
-                langs, scores = [], []
-                for part in parts:
-                    if not part:
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    sums = labels[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64) / sum(map(len, part))
-                    odds = np.exp(sums - sums.max())
-                    best = int(odds.argmax())
-                    langs.append(model.languages[best])
-                    scores.append(float(odds[best] / odds.sum()))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*carry, *names])
+            sizes = np.cumsum([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(text_col)])
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER)))
+                yield judged(batch.slice(at, end - at))
+                at = end
 
     return own.mapInArrow(run, schema)
 
@@ -229,7 +279,14 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
     return predict(docs, fit_on(docs, **sample), ["doc_id"]).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, **sample) -> DataFrame:
-    """The rows of `docs` that get a language, with all their columns; those labelled `und` go."""
-    labelled = predict(docs, fit_on(docs, **sample), docs.columns, names=("__lang_pred", "__score"))
-    return labelled.filter("__lang_pred <> 'und'").select(*docs.columns)
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **sample) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang) in which the network recognises a language, with all their columns.
+
+    Rows without a letter and rows whose score is below `least_score` go; where lang is null, the label takes its place. If
+    no row has a language to learn from, no row can be judged by one: those with a letter stay as they are.
+    """
+    model = fit_on(docs, **sample)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    labelled = predict(docs, model, docs.columns, names=("__lang_pred", "__score"))
+    return labelled.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least_score)).withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)

@@ -82,13 +82,15 @@ def number_rows(df: DataFrame, order: list[str], to: str = "row_number", buckets
 
 
 def assign_shards(df: DataFrame, order: list[str], shards: int = 24, seed: int = 7) -> DataFrame:
-    """Adds row_number, shard and slot to the columns of `df`, which must not have these names.
+    """Adds row_number, shard and slot to the columns of `df`; columns that have these names already are replaced.
 
     Shard sizes differ by one at most (the law `rows`); slots are gapless from 0 in each shard. Nulls
     in any column are ordinary values. Repeated rows get numbers of their own. An empty table
     gives an empty result.
     """
-    numbered = number_rows(df, order)
+    if clash := {"row_number", "shard", "slot"} & set(order):
+        raise ValueError(f"rows can't be ordered by columns that are replaced: {sorted(clash)}")
+    numbered = number_rows(df.drop("row_number", "shard", "slot"), order)
     permute = Feistel(max(1, df.count()), seed)
     schema = T.StructType([*numbered.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut
+from .common import UPPER, cut, text_of
 from .components import connected_components
+from .exact_dedup import first_of
 
 BITS, LIMIT = 64, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -53,17 +54,17 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with fp as a signed 64-bit number; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
+    """(doc_id, [sha,] fp) with fp as a signed 64-bit number and sha of the text as it is; a null text counts as empty."""
+    own = docs.select(F.col(id_col).alias("doc_id"), *[F.sha2(text_of(text_col), 256).alias("sha")] * with_sha, F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column("text").cast(pa.binary())
             found = [fingerprint(t.as_py() or b"") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {'sha string, ' * with_sha}fp bigint")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -165,6 +166,14 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "a bigint, b bigint").distinct()
 
 
+def _components(prints: DataFrame, rank: Column) -> tuple[DataFrame, DataFrame]:
+    """((fp, least, root) of every distinct fingerprint; (root, least) of every component), least being the smallest rank."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(rank).alias("least")))
+    roots = connected_components(near_links(nodes))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return placed, placed.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
@@ -174,14 +183,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids are null. Repeated rows give repeated results; an empty table an empty one. Other columns are ignored.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(nodes))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    placed, components = _components(prints, F.col("doc_id"))
+    # The second join key gives both sides exchanges of their own: only then does adaptive execution split a component with very many fingerprints.
+    salt = F.xxhash64("root").alias("salt")
+    named = placed.select("fp", "root", salt).join(components.select("root", salt, F.col("least").alias("component_id")), ["root", "salt"]).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id names their component: one document of each group stays."""
-    found = near_dedup(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left_semi")
+    """One row of each component, with all its columns: that with the smallest id, null ids last.
+
+    Of rows with that id the one whose fingerprint, then whose text's SHA-256, then whose other columns as JSON come first stays.
+    """
+    prints = cut(fingerprints(docs, id_col, text_col, with_sha=True))
+    _, components = _components(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "sha"))
+    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    winners = components.select(F.coalesce(F.concat(F.lit("="), F.col("least.doc_id").cast("string")), F.lit("")).alias("__id"), F.col("least.sha").alias("__sha"))
+    own = docs.withColumns({"__sha": F.sha2(text_of(text_col), 256), "__id": named})
+    return first_of(own.join(winners, ["__sha", "__id"], "left_semi"), ["__sha", "__id"], docs.columns, text_col)

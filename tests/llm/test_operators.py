@@ -80,10 +80,23 @@ def test_chunks_are_the_text(awkward):
     assert parts.filter("length(t) > 100000").agg(F.min("n")).first()[0] > 20
 
 
+def test_chunks_follow_content_in_every_script():
+    """A passage put in front moves the cuts of later text only near it: in Latin, Cyrillic and Chinese prose, and in codes."""
+    rng = random.Random(8)
+    scripts = {"latin": LONG[:30_000], "cyrillic": " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(2, 9))) for _ in range(4000)), "han": "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(20_000)), "base64": "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(20_000))}
+    return_ = exact_dedup.CHUNK.replace("\\z", "\\Z")
+    import regex
+
+    for name, text in scripts.items():
+        one, two = (set(regex.findall(return_, t)) for t in (text, "something new " + text))
+        sizes = [len(c) for c in regex.findall(return_, text)]
+        assert len(one & two) > 0.8 * len(one) and max(sizes[:-1]) < 4096, name
+
+
 def test_clashing_identifiers_do_not_merge(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "identifier", lambda chunk: F.struct(F.lit(1).cast("bigint").alias("a"), F.length(chunk).cast("bigint").alias("b")))
-    docs = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "abc")], "doc_id long, text string")
-    assert {r["doc_id"]: r["keep_id"] for r in rows(exact_dedup.exact_dedup(docs))} == {1: 3, 2: 2, 3: 3}
+    docs = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "abc"), (4, "x" * 5000 + "abc"), (5, "x" * 5000 + "abd")], "doc_id long, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in rows(exact_dedup.exact_dedup(docs))} == {1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
 
 
 def test_exact_keep_one(awkward):
@@ -130,7 +143,34 @@ def check_near(docs):
 def test_near_dedup(awkward, documents):
     check_near(awkward)
     check_near(documents)
-    assert simhash.keep_one(awkward).columns == awkward.columns
+    check_survivors(awkward)
+    check_survivors(documents)
+
+
+def check_survivors(docs):
+    """Exactly one row of each component stays: the smallest id, null last, then by fingerprint and text."""
+    source = [(r["doc_id"], slow_fingerprint(r["text"]), r["text"] or "") for r in rows(docs)]
+    left, want = set(f for _, f, _ in source), []
+    while left:
+        stack, group = [left.pop()], set()
+        while stack:
+            x = stack.pop()
+            group.add(x)
+            close = {y for y in left if (x ^ y).bit_count() <= 4}
+            left -= close
+            stack += close
+        rank = min((i is None, i or 0, f - (1 << 64) if f >> 63 else f, hashlib.sha256(t.encode()).hexdigest()) for i, f, t in source if f in group)
+        want.append((None if rank[0] else rank[1], rank[3]))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows(kept)) == Counter(want)
+
+
+def test_one_of_each_near_group_stays(spark):
+    a, b = words(200, 31), words(200, 32)
+    docs = spark.createDataFrame([(0, b), (1, a), (1, b + " zz"), (None, a + " yy"), (None, words(90, 33)), (None, words(90, 33)), (7, ""), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in rows(simhash.keep_one(docs))), key=str)
+    assert got == sorted([(0, b), (1, a), (None, words(90, 33)), (7, "")], key=str)
 
 
 def test_chain_links_equal_all_pairs(spark):
@@ -380,6 +420,10 @@ def test_shards(spark, awkward, documents, tmp_path):
         again = rows(shards.shard_digest(docs.repartition(5)))
         assert Counter(map(str, got)) == Counter(map(str, again))
     assert shards.shard_digest(awkward.limit(0)).count() == 0
+    again = shards.assign_shards(awkward.select("doc_id", "text", "slot", "shard", F.lit("z").alias("row_number")), ["doc_id", "text"], 5)
+    assert again.columns == ["doc_id", "text", "row_number", "shard", "slot"] and sorted(r["row_number"] for r in rows(again)) == list(range(awkward.count()))
+    with pytest.raises(ValueError, match="slot"):
+        shards.assign_shards(awkward, ["slot"])
     shards.write_shards(awkward.select("doc_id", "text"), str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == awkward.count()
 
@@ -397,8 +441,35 @@ def test_language(awkward, documents):
     assert {r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 10, 11)} == {"und"}
     assert {r["lang_pred"] for r in rows(langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
     assert langid.identify(awkward.limit(0)).count() == 0
-    kept = langid.keep_identified(documents)
-    assert kept.columns == documents.columns and kept.count() == documents.filter(r"text rlike '\\p{L}'").count()
+    some = documents.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    kept = langid.keep_identified(some)
+    assert kept.columns == documents.columns and kept.filter("lang IS NULL").count() == 0
+    assert kept.count() == documents.filter(r"text rlike '\\p{L}'").count()
+    truth = {r["doc_id"]: r["lang"] for r in rows(documents)}
+    filled = [r for r in rows(kept) if r["doc_id"] % 4 == 0]
+    assert sum(truth[r["doc_id"]] == r["lang"] for r in filled) >= 0.95 * len(filled) > 0
+    assert langid.keep_identified(some, least_score=0.999999).count() < kept.count() / 2
+    unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unlabelled).count() == kept.count()
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i * 3 + k, f"{chr(0x4e00 + i)} " * 9 + words(3, i), f"l{i:03d}") for i in range(230) for k in range(3)], "doc_id long, text string, lang string")
+    assert len({lang for lang, _ in langid.training_pieces(docs, 3, 3)}) == 230
+
+
+def test_pieces_are_the_text():
+    for text in ("", "a" * 500, "\u00e9" * 301, "\U0001f600 " * 99, LONG[:5000], "x" + "\u4f60" * 200):
+        parts = langid.cut_pieces(text.encode())
+        assert b"".join(parts) == text.encode() and all(0 < len(p) <= langid.PIECE for p in parts)
+        assert "".join(p.decode() for p in parts) == text
+
+
+def test_stored_model(spark, tmp_path):
+    model = langid.ByteGru(["a", "b"], hidden=5)
+    langid.save_model(spark, model, str(tmp_path / "m"))
+    again = langid.load_model(spark, str(tmp_path / "m"))
+    assert again.languages == ["a", "b"] and np.array_equal(model.label([b"some text", b"x"]), again.label([b"some text", b"x"]))
 
 
 def test_gradients():
@@ -410,6 +481,20 @@ def test_gradients():
         logs, inside, *_ = model._run(laid)
         return -sum(float(logs[t, i, labels[i]]) for i in range(3) for t in range(len(segments[i]))) / 9
 
+    grads, told = {}, {}
+    logs, inside, hf, kf, hb, kb = model._run(laid)
+    miss = np.exp(logs)
+    miss[:, np.arange(3), labels] -= 1
+    miss *= (inside / 9)[:, :, None]
+    model._back("f", laid[0], laid[3], kf, (miss @ model.w["vf"].T), grads)
+    for name in ("xf", "uf"):
+        for at in ((0, 0), (1, 4), (2, 8)) if name == "uf" else ((ord("l"), 1), (ord("a"), 7)):
+            model.w[name][at] += 1e-2
+            up = loss()
+            model.w[name][at] -= 2e-2
+            told[name, at] = (up - loss()) / 2e-2
+            model.w[name][at] += 1e-2
+            assert grads[name][at] == pytest.approx(told[name, at], abs=2e-4)
     before = {k: v.copy() for k, v in model.w.items()}
     first = loss()
     model.train(segments, labels, steps=60, batch=8, rate=0.05)
@@ -662,7 +747,7 @@ def test_taken_words_come_near(spark):
 # -- 10: audio ---------------------------------------------------------------------------------------------------
 
 
-def test_audio_round_trip(awkward, documents):
+def test_audio_round_trip(spark, awkward, documents, tmp_path):
     for docs in (awkward, documents):
         got = rows(audio.audio_digest(docs))
         want = Counter()
@@ -676,8 +761,10 @@ def test_audio_round_trip(awkward, documents):
             features[r["payload_sha256"]].add((r["feature"], r["media_sha256"]))
         assert all(len(f) == 1 for f in features.values())
     assert audio.audio_digest(awkward.limit(0)).count() == 0
-    pcm = rows(audio.read_media(audio.to_media(awkward)))
-    assert all(len(r["pcm"]) > 0 and len(r["pcm"]) % 4 == 0 for r in pcm)
+    audio.store_audio(awkward, str(tmp_path / "media"))
+    for r in rows(spark.read.parquet(str(tmp_path / "media"))):
+        codec, payload = audio.from_wav(bytes(r["media"]))
+        assert bytes(r["pcm"]) == audio.resample(audio.decode(codec, np.frombuffer(payload, np.uint8))).tobytes()
 
 
 def test_g711_tables():
