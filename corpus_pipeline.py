@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents, extra ones included. Each works on all that its predecessor kept.
 
-Null and empty texts have no language and go in the first stage. Rows with a null id are documents like others; of rows
-repeated with one id one stays. Null sources are one source. An empty table passes through all stages.
+Null and empty texts, and texts in which the network recognises no language, go in the first stage; where lang is null,
+its label takes the place. Rows with a null id are documents like others; of rows repeated with one id one stays. Null sources
+are one source. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sunledger.llm import exact_dedup, langid, mixing, packing, simhash
-from sunledger.llm.common import read, shared_folder
+from sunledger.llm.common import read, remove, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language go."""
+    """Documents in which the network recognises no language go."""
     return langid.keep_identified(docs)
 
 
@@ -62,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(path)
+            if k:  # what the stage has read is needed no more
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
