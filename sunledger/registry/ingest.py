@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -180,8 +182,13 @@ def _stream(t, table="events"):
 
 
 def _folder(t) -> str:
-    """A new folder below the cluster's shared one."""
-    return f"{t.spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared one. Only a session in one process, where any folder is shared, may be without."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", t.spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sunledger-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
 
 
 def _done(t, frame, mode="append"):

@@ -11,5 +11,6 @@ def session(name: str = "sunledger", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
