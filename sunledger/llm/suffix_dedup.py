@@ -141,24 +141,56 @@ def segments(texts: Iterable[bytes], roll: Rolling) -> Iterator[tuple[np.ndarray
         yield flush()
 
 
+def _sorted_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys): with the place of each key in its low bits where they fit, so that plain values are sorted."""
+    if bits + max(1, len(keys) - 1).bit_length() <= 64:
+        low = np.uint64(max(1, len(keys) - 1).bit_length())
+        packed = (keys << low) | np.arange(len(keys), dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+        packed >>= low
+        return order, packed
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
 def suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes that start at `at`, by their first LENGTH bytes; and for each place in it whether it equals the one before.
 
-    Ranks of ever longer strings by doubling: that of 2 h bytes is the pair of the ranks of its halves of h bytes.
+    Ranks of ever longer strings by doubling: that of 2 h bytes is the pair of the ranks of its halves of h bytes. A rank is the
+    place of the first of its equals, so a string that equals no other keeps it, and only the others are sorted again.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
-    words = np.zeros(n + LENGTH - 7, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(words)]
-    rank, held = np.unique(words, return_inverse=True)[1], 8
-    while 2 * held < LENGTH:
-        pair = rank[:-held] * np.int64(len(rank)) + rank[held:]
-        rank, held = np.unique(pair, return_inverse=True)[1], 2 * held
-    pair = rank[at] * np.int64(len(rank)) + rank[at + LENGTH - held]
-    order = np.argsort(pair, kind="stable")
+    bits = (n + 1).bit_length()
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.zeros(n, np.uint64)
+    for k in range(5):
+        words = (words << np.uint64(8)) | padded[k : k + n]
+    rank, held = np.zeros(n + LENGTH, np.int64), 5  # 0 beyond the end
+    open_, key, known = np.arange(n), words, None
+    while True:
+        order, key = _sorted_keys(key, 40 if known is None else 2 * bits)
+        open_ = open_[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        places = np.arange(len(key))
+        if known is not None:  # places count from the first of what was equal so far
+            base = key >> np.uint64(bits)
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = base[1:] != base[:-1]
+            places = places - np.maximum.accumulate(np.where(fresh, places, 0)) + base.astype(np.int64) - 1
+        rank[open_] = np.maximum.accumulate(np.where(new, places, 0)) + 1
+        equal = ~new
+        equal[:-1] |= ~new[1:]
+        open_ = np.sort(open_[equal])
+        if held == LENGTH or not len(open_):
+            break
+        step = min(held, LENGTH - held)
+        held, known = held + step, True
+        key = (rank[open_].astype(np.uint64) << np.uint64(bits)) | rank[open_ + step].astype(np.uint64)
+    order, key = _sorted_keys(rank[at].astype(np.uint64), bits)
     same = np.zeros(len(at), bool)
-    same[1:] = pair[order[1:]] == pair[order[:-1]]
+    same[1:] = key[1:] == key[:-1]
     return order, same
 
 
@@ -166,10 +198,8 @@ class Level:
     """A suffix array: bytes, and the starts in them of distinct suffixes in alphabetical order, with the text and place each comes from."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, told: np.ndarray) -> None:
-        cover = np.zeros(len(data) + 1, np.int32)  # bytes of no suffix that is left are left out
-        np.add.at(cover, at, 1)
-        np.add.at(cover, np.minimum(at + LENGTH, len(data)), -1)
-        held = np.cumsum(cover[:-1]) > 0
+        edges = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + LENGTH, minlength=len(data) + 1)
+        held = np.cumsum(edges[:-1]) > 0  # bytes of no suffix that is left are left out
         self.data, self.at = data[held], (np.cumsum(held) - 1)[at]
         self.owner, self.start, self.told = owner, start, told  # told: reported as repeated
 
@@ -179,13 +209,6 @@ class Level:
     def take(self, which: np.ndarray) -> Level:
         return Level(self.data, self.at[which], self.owner[which], self.start[which], self.told[which])
 
-    def joined(self, other: Level) -> tuple[Level, np.ndarray, np.ndarray]:
-        """Both in one order; which of them come from `other`, and which equal the one before."""
-        data, at = np.concatenate([self.data, other.data]), np.concatenate([self.at, other.at + len(self.data)])
-        order, same = suffix_order(data, at)
-        both = Level(data, at[order], *(np.concatenate([getattr(self, k), getattr(other, k)])[order] for k in ("owner", "start", "told")))
-        return both, order >= len(self), same
-
 
 class IndexFamily:
     """Levels whose sizes fall geometrically."""
@@ -194,33 +217,36 @@ class IndexFamily:
         self.levels: list[Level] = []
 
     def add(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, start) of suffixes found repeated now: those of the batch, and those of earlier batches that had no match before."""
+        """(owner, start) of suffixes found repeated now: those of the batch, and those of earlier batches that had no match before.
+
+        A level is scanned, and merged if it is of about equal size, in one joint order with what is new, the smallest first.
+        """
         order, same = suffix_order(data, at)
         at, owner, start = at[order], owner[order], start[order]
         matched = same.copy()
         matched[:-1] |= same[1:]
         out = [(owner[matched], start[matched])]
-        new = Level(data, at[~same], owner[~same], start[~same], matched[~same])
-        for level in self.levels:
-            both, mine, equal = level.joined(new)  # of equal neighbours the older is first: the order is stable
-            pairs = np.flatnonzero(equal)
-            old, fresh = pairs - 1, pairs
-            for side in (old, fresh):
-                quiet = side[~both.told[side]]
-                out.append((both.owner[quiet], both.start[quiet]))
-            where = np.empty(len(both), np.int64)
-            where[~mine], where[mine] = np.arange(len(level)), np.arange(len(new))
-            level.told[where[old]] = True
-            left = np.ones(len(new), bool)
-            left[where[fresh]] = False
-            if not left.all():
-                new = new.take(left)
-            if not len(new):
-                break
-        if len(new):
-            while self.levels and len(self.levels[-1]) <= 2 * len(new):
-                new = self.levels.pop().joined(new)[0]
-            self.levels.append(new)
+        new, larger = Level(data, at[~same], owner[~same], start[~same], matched[~same]), []
+        while self.levels:
+            level = self.levels.pop()
+            size = len(level)
+            starts = np.concatenate([level.at, new.at + len(level.data)])
+            order, same = suffix_order(np.concatenate([level.data, new.data]), starts)
+            fresh = np.flatnonzero(same)  # of equal neighbours the older is first: the order is stable
+            old, own = order[fresh - 1], order[fresh] - size
+            for side, which in ((level, old), (new, own)):
+                quiet = which[~side.told[which]]
+                out.append((side.owner[quiet], side.start[quiet]))
+            level.told[old] = True
+            if size <= 2 * len(new):
+                order = order[~same]
+                new = Level(np.concatenate([level.data, new.data]), starts[order], *(np.concatenate([getattr(level, k), getattr(new, k)])[order] for k in ("owner", "start", "told")))
+            else:
+                left = np.ones(len(new), bool)
+                left[own] = False
+                new = new if left.all() else new.take(left)
+                larger.append(level)
+        self.levels = larger[::-1] + [new] * bool(len(new))
         return np.concatenate([o for o, _ in out]), np.concatenate([s for _, s in out])
 
 
