@@ -142,15 +142,16 @@ def segments(texts: Iterable[bytes], roll: Rolling) -> Iterator[tuple[np.ndarray
 
 
 def _sorted_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, sorted keys): with the place of each key in its low bits where they fit, so that plain values are sorted."""
+    """(order, sorted keys): with the place of each key in its low bits where they fit, so that plain values are sorted, in place."""
     if bits + max(1, len(keys) - 1).bit_length() <= 64:
         low = np.uint64(max(1, len(keys) - 1).bit_length())
-        packed = (keys << low) | np.arange(len(keys), dtype=np.uint64)
-        packed.sort()
-        order = (packed & np.uint64((1 << int(low)) - 1)).astype(np.int64)
-        packed >>= low
-        return order, packed
-    order = np.argsort(keys, kind="stable")
+        keys <<= low
+        keys |= np.arange(len(keys), dtype=np.uint64)
+        keys.sort()
+        order = (keys & np.uint64((1 << int(low)) - 1)).astype(np.int32)
+        keys >>= low
+        return order, keys
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     return order, keys[order]
 
 
@@ -163,22 +164,23 @@ def suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     bits = (n + 1).bit_length()
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.zeros(n, np.uint64)
+    key = np.zeros(n, np.uint64)
     for k in range(5):
-        words = (words << np.uint64(8)) | padded[k : k + n]
-    rank, held = np.zeros(n + LENGTH, np.int64), 5  # 0 beyond the end
-    open_, key, known = np.arange(n), words, None
+        key <<= np.uint64(8)
+        key |= padded[k : k + n]
+    rank, held = np.zeros(n + LENGTH, np.int32), 5  # 0 beyond the end
+    open_, known = np.arange(n, dtype=np.int32), None
     while True:
         order, key = _sorted_keys(key, 40 if known is None else 2 * bits)
         open_ = open_[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        places = np.arange(len(key))
+        places = np.arange(len(key), dtype=np.int32)
         if known is not None:  # places count from the first of what was equal so far
             base = key >> np.uint64(bits)
             fresh = np.ones(len(key), bool)
             fresh[1:] = base[1:] != base[:-1]
-            places = places - np.maximum.accumulate(np.where(fresh, places, 0)) + base.astype(np.int64) - 1
+            places = places - np.maximum.accumulate(np.where(fresh, places, 0)) + base.astype(np.int32) - 1
         rank[open_] = np.maximum.accumulate(np.where(new, places, 0)) + 1
         equal = ~new
         equal[:-1] |= ~new[1:]
