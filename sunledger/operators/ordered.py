@@ -38,17 +38,20 @@ def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, last = None, 0.0
         for batch in batches:
+            if batch.empty:
+                continue
             run = batch.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
             edges = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
             since, kept = batch["__since"].to_numpy(), np.zeros(len(batch), bool)
+            if str(batch[group].iloc[0].tolist()) != here:  # only the first island can go on from the batch before
+                last = 0.0
             for low, high in zip(edges, [*edges[1:], len(batch)], strict=True):
-                own = str(batch[group].iloc[low].tolist())
-                if own != here:
-                    here, last = own, 0.0
+                last = 0.0 if low else last
                 i = low + int(np.searchsorted(since[low:high], last + ttl_ms, "right"))
                 while i < high:  # jumps from one kept row to the next
                     kept[i], last = True, float(since[i])
                     i = low + int(np.searchsorted(since[low:high], last + ttl_ms, "right"))
+            here = str(batch[group].iloc[-1].tolist())
             yield batch.loc[kept, columns]
 
     return islands.filter("__new").select(*events.columns).unionByName(spread.mapInPandas(scan, events.schema))

@@ -129,7 +129,7 @@ def _(t):
     return P.scale_calibration(raw, 250.0)
 
 
-_WEIGH = """smp AS (SELECT device, time, (300 + value / 1000.0::DOUBLE + CASE WHEN event_id % 40 = 0 THEN 5 ELSE 0 END) AS grams, row_number() OVER (PARTITION BY device ORDER BY time) AS rn, event_id FROM ev),
+_WEIGH = """smp AS (SELECT device, time, (300 + value / 100.0::DOUBLE + CASE WHEN event_id % 40 = 0 THEN 5 ELSE 0 END) AS grams, row_number() OVER (PARTITION BY device ORDER BY time) AS rn, event_id FROM ev),
     rol AS (SELECT *, avg(grams) OVER w AS mean_g, max(grams) OVER w - min(grams) OVER w AS range_g, (epoch_us(time) - min(epoch_us(time)) OVER w) / 1e6 AS span_s FROM smp WINDOW w AS (PARTITION BY device ORDER BY time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
     tap AS (SELECT device, time, event_id::VARCHAR AS uid FROM ev WHERE event_type = 'signup'),
     own AS (SELECT r.device, r.time, mean_g, range_g < 2 AND span_s >= 2 AS still, t.time AS tap_time FROM rol r ASOF JOIN tap t ON r.device = t.device AND r.time >= t.time WHERE r.time - t.time <= INTERVAL 24 HOUR),
@@ -137,11 +137,11 @@ _WEIGH = """smp AS (SELECT device, time, (300 + value / 1000.0::DOUBLE + CASE WH
     ok AS (SELECT device, tap_time, min(time) AS time, arg_min(mean_g, time) AS weight_g FROM (SELECT *, epoch_us(time) - min(epoch_us(time)) OVER (PARTITION BY device, tap_time, run) AS held FROM run) WHERE still AND held >= 3600e6 AND epoch_us(time) - epoch_us(tap_time) >= 7200e6 GROUP BY ALL)"""
 
 
-@query("w08_stable_weighs", sql("ev", "SELECT t.device, epoch_us(t.time) AS tap_time, uid, epoch_us(ok.time) AS time, round(weight_g, 4) AS weight_g, CASE WHEN ok.time IS NULL THEN 'UNSTABLE' ELSE 'MEASURED' END AS result FROM tap t LEFT JOIN ok ON ok.device = t.device AND ok.tap_time = t.time", _WEIGH))
+@query("w08_stable_weighs", sql("ev", "SELECT t.device, epoch_us(t.time) AS tap_time, uid, epoch_us(ok.time) AS time, round(weight_g, 6) AS weight_g, CASE WHEN ok.time IS NULL THEN 'UNSTABLE' ELSE 'MEASURED' END AS result FROM tap t LEFT JOIN ok ON ok.device = t.device AND ok.tap_time = t.time", _WEIGH))
 def _(t):
-    samples = t.events.select("device", "time", (300 + F.col("value") / 1000.0 + F.when(F.col("event_id") % 40 == 0, 5).otherwise(0)).alias("grams"))
+    samples = t.events.select("device", "time", (300 + F.col("value") / 100.0 + F.when(F.col("event_id") % 40 == 0, 5).otherwise(0)).alias("grams"))
     taps = t.events.filter("event_type = 'signup'").select("device", "time", F.col("event_id").cast("string").alias("uid"))
-    return P.stable_weighs(samples, taps, 2.0, 2.0, 3600.0, 7200.0, 86400.0, 4).withColumn("weight_g", F.round("weight_g", 4))
+    return P.stable_weighs(samples, taps, 2.0, 2.0, 3600.0, 7200.0, 86400.0, 4)
 
 
 # -- reflectance ----------------------------------------------------------------------------------

@@ -42,6 +42,15 @@ def test_dedup_ttl_equals_the_loop(spark, rows):
     assert got == sorted(want)
 
 
+def test_long_islands_go_on_over_batches(spark):
+    rows = [(f"d{k}", at(25 * i + k)) for k in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "device string, recv_ts timestamp")
+    want, before = sorted((f"d{k}", 75 * i + k) for k in range(3) for i in range(134)), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted((r["device"], seconds(r["recv_ts"])) for r in dedup_ttl(df, ("device",)).collect()) == want
+
+
 def test_asof_equals_the_loop(spark):
     rng = random.Random(3)
     left = [(f"k{rng.randrange(3)}", rng.randrange(0, 400_000), i) for i in range(200)]
