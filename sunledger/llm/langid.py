@@ -25,8 +25,8 @@ PIECE = 120
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of texts, about, that go through the network together.
 TOGETHER = 1 << 20
-#: Documents whose pooled probability is lower have no recognisable language: the pipeline's stage rejects them.
-LEAST_SCORE = 0.5
+#: Documents whose best pooled probability is below so many times chance have no recognisable language: the pipeline's stage rejects them.
+OVER_CHANCE = 1.2
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -279,14 +279,16 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
     return predict(docs, fit_on(docs, **sample), ["doc_id"]).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **sample) -> DataFrame:
+def keep_identified(docs: DataFrame, over_chance: float = OVER_CHANCE, **sample) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang) in which the network recognises a language, with all their columns.
 
-    Rows without a letter and rows whose score is below `least_score` go; where lang is null, the label takes its place. If
+    Rows without a letter and rows whose score is below `over_chance` times that of a guess go; where lang is null, the label takes its place. If
     no row has a language to learn from, no row can be judged by one: those with a letter stay as they are.
     """
     model = fit_on(docs, **sample)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
+    k = len(model.languages)
+    least_score = min(over_chance / k, 1.0)
     labelled = predict(docs, model, docs.columns, names=("__lang_pred", "__score"))
     return labelled.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least_score)).withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)

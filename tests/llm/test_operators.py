@@ -448,7 +448,7 @@ def test_language(awkward, documents):
     truth = {r["doc_id"]: r["lang"] for r in rows(documents)}
     filled = [r for r in rows(kept) if r["doc_id"] % 4 == 0]
     assert sum(truth[r["doc_id"]] == r["lang"] for r in filled) >= 0.95 * len(filled) > 0
-    assert langid.keep_identified(some, least_score=0.999999).count() < kept.count() / 2
+    assert langid.keep_identified(some, over_chance=3.99999).count() < kept.count() / 2
     unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
     assert langid.keep_identified(unlabelled).count() == kept.count()
 
