@@ -40,7 +40,7 @@ LENGTH, GRAM = 400, 64
 #: Bytes hashed at once; longer texts go in slices that overlap by LENGTH - 1 bytes.
 SLICE = 1 << 20
 #: Bytes of segments that make one batch of the index family.
-BATCH = 1 << 21
+BATCH = 1 << 22
 
 
 class Rolling:
