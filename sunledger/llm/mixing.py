@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, shuffle_partitions, text_of
 
 WEIGHTS = (3, 1, 2)
-#: Up to so many sources (a few MB) their targets are broadcast.
+#: Up to so many sources (a few MB) one task puts them in order and their targets are broadcast; beyond, both go by ranges and shuffles, with the same result.
 FEW_SOURCES = 20_000
 
 
@@ -24,27 +24,44 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, target, rate) from rows of (source, size): one row a source."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row a source: the windows below run over that small table only.
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double")
-    level = W.orderBy("fills_at", F.col("source").asc_nulls_last())
-    below, rest = level.rowsBetween(W.unboundedPreceding, -1), level.rowsBetween(W.currentRow, W.unboundedFollowing)
-    every = W.partitionBy(F.lit(1))
-    ranked = (
-        totals.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * F.lit(most))
-        .withColumn("fills_at", F.col("cap") / F.col("weight"))
-        .withColumn("wanted", F.sum("source_size").over(every) * F.lit(share))
-        .withColumn("level", (F.col("wanted") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("weight").over(rest))
-        .withColumn("open", F.col("fills_at") > F.col("level"))
-        .withColumn("at", F.max(F.when(F.col("open"), F.col("level"))).over(every))
-    )
-    target = F.when(F.col("open"), F.least(F.col("weight") * F.col("at"), F.col("cap"))).otherwise(F.col("cap"))
+def sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column], ranges: int | None) -> DataFrame:
+    """Adds, for each name, the sum of a column over all rows before this one in `order`, which has no ties.
+
+    With `ranges` no task gets all rows: they are dealt by ranges of the order, summed inside a range, and the table of what lies
+    before a range has a row a range. Without, one task sums them.
+    """
+    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    if ranges is None:
+        return rows.withColumns({name: F.coalesce(F.sum(x).over(before), F.lit(0)) for name, x in sums.items()})
+    dealt = cut(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    inside, ahead = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1), W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    each = dealt.groupBy("__range").agg(*(F.sum(x).alias(name) for name, x in sums.items()))
+    starts = each.select("__range", *(F.coalesce(F.sum(name).over(ahead), F.lit(0)).alias(f"__{name}") for name in sums))
+    found = dealt.join(F.broadcast(starts), "__range").withColumns({name: F.col(f"__{name}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for name, x in sums.items()})
+    return found.drop("__range", *(f"__{name}" for name in sums))
+
+
+def _targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, int]:
+    """The table of source_targets, and its number of rows."""
+    totals = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n, words = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    ranges, by_name, turns = shuffle_partitions(sizes.sparkSession) if n > FEW_SOURCES else None, F.col("source").asc_nulls_last(), len(weights)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % turns + 1).cast("int")).cast("double")
+    weighed = sums_before(totals, [by_name], {"turn": F.lit(1)}, ranges).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
+    weighed = weighed.withColumn("fills_at", F.col("cap") / F.col("weight"))
+    all_weights = float(sum(weights) * (n // turns) + sum(weights[: n % turns]))
+    level = (F.lit(words * share) - F.col("cap_below")) / (F.lit(all_weights) - F.col("weight_below"))
+    ranked = sums_before(weighed, [F.col("fills_at").asc(), by_name], {"cap_below": F.col("cap"), "weight_below": F.col("weight")}, ranges).withColumn("level", level)
+    still_open = F.col("fills_at") > F.col("level")
+    at = F.lit(ranked.filter(still_open).agg(F.max("level")).first()[0]).cast("double")
+    target = F.when(still_open, F.least(F.col("weight") * at, F.col("cap"))).otherwise(F.col("cap"))
     done = ranked.withColumn("target", target)
-    return done.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"))
+    return done.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")), n
+
+
+def source_targets(sizes: DataFrame, **targets) -> DataFrame:
+    """(source, source_size, target, rate) from rows of (source, size): one row a source."""
+    return _targets(sizes, **targets)[0]
 
 
 def drawn(id_col: str, seed: str) -> Column:
@@ -61,11 +78,10 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the same id share one draw. An empty table gives an empty result.
     """
     sized = docs.withColumn("__size", words_in(text_of(text_col)))
-    found = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), **targets)
+    found, n = _targets(sized.select(F.col(source_col).alias("source"), F.col("__size").alias("size")), **targets)
     found = found.select(*(F.col(c).alias(f"__{c}") for c in found.columns))
-    # The targets are known before the join, and broadcast only if they are few; more sources are joined by a shuffle, which adaptive execution splits where one source is hot.
-    found = cut(found)
-    if found.count() <= FEW_SOURCES:
+    # The targets are broadcast only if they are few; more sources are joined by a shuffle, which adaptive execution splits where one source is hot.
+    if n <= FEW_SOURCES:
         found = F.broadcast(found)
     rate = F.col("__rate")
     copies = (F.floor(rate) + (drawn(id_col, seed) < rate - F.floor(rate)).cast("long")).cast("long")

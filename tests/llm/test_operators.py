@@ -738,6 +738,14 @@ def test_many_sources_are_joined_by_a_shuffle(documents, monkeypatch):
     assert Counter(r["doc_id"] for r in rows(mixing.mix(documents))) == want
 
 
+def test_targets_by_ranges_are_the_same(spark, monkeypatch):
+    source = F.when(F.col("id") % 97 != 5, F.concat(F.lit("s"), (F.col("id") % 97).cast("string")))
+    sizes = spark.range(3000).select(source.alias("source"), (F.col("id") % 97 * (F.col("id") % 11) % 40).alias("size"))
+    want = sorted(map(str, rows(mixing.source_targets(sizes))))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert len(want) == 97 and sorted(map(str, rows(mixing.source_targets(sizes)))) == want
+
+
 def test_taken_words_come_near(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"))
     planned = mixing.with_copies(docs).groupBy("source").agg(F.sum(F.col("__copies") * F.col("__size")).alias("taken"), F.first("__target").alias("target"))
