@@ -76,7 +76,49 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_text, op4_chat_format, op5_sharding, op6_langid, op7_suffix_dedup, op8_packing, op9_mixing, op10_audio)}
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_k import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_text, op4_chat_format, op5_sharding, op6_langid, op7_suffix_dedup, op8_packing, op9_mixing, op10_audio, op11_top_k, op12_filter_audit, op13_clustering)}
+
+#: Vectors that take part, as integers: a place for the scale and one for a further condition.
+_VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0{more}"
+
+
+def _clusters(rounds: int) -> str:
+    """Each round as two common tables: the nearest centroid of every vector, and the floors of their means."""
+    told = [
+        f"""v AS (SELECT *, row_number() OVER () AS r FROM ({_VECTORS.format(scale=64, more=" AND len(embedding) = 64")}))""",
+        "c0 AS (SELECT v, row_number() OVER (ORDER BY h, v) - 1 AS cluster FROM (SELECT v, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, v LIMIT 16))",
+    ]
+    for i in range(rounds + 1):
+        told.append(f"""a{i} AS (SELECT r, vec_id, v, cluster, distance FROM (SELECT v.r, v.vec_id, v.v, c.cluster,
+                list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v, c{i} AS c)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            told.append(f"""m{i} AS (SELECT cluster, list(m ORDER BY p) AS v FROM (SELECT cluster, p, (s - ((s % n) + n) % n) // n AS m FROM (
+                SELECT cluster, p, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY ALL)) GROUP BY cluster),
+            c{i + 1} AS (SELECT coalesce(m.v, c.v) AS v, c.cluster FROM c{i} AS c LEFT JOIN m{i} AS m USING (cluster))""")
+    return "WITH " + ", ".join(told) + f"""
+        SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+               (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} AS a JOIN c{rounds} AS c USING (cluster)"""
+
 
 #: A control string of the chat template.
 _CONTROL = r"</?s>|\[/?INST\]"
@@ -123,4 +165,26 @@ SQL = {
                (d.size * (floor(r.rate) + CASE WHEN ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE
                                                     < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken, d.source
         FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+    "op11_top_k": f"""
+        WITH v AS (SELECT *, row_number() OVER () AS r FROM ({_VECTORS.format(scale=1024, more="")})),
+        s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+              FROM v AS q, v AS c WHERE q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10""",
+    "op12_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS smallest FROM t),
+        f AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                     + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > smallest, false)::INT AS mask FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM o, unnest(range(1, 6)) AS u(step)),
+        r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (bit | earlier) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+                     coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+              FROM m, s GROUP BY ALL)
+        SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op13_clustering": _clusters(3),
 }
