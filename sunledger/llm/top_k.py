@@ -57,28 +57,34 @@ class BallTree:
         e, self.ids, self.none = e[kept], i[kept], m[kept]
         self.vectors = vectors[first].astype(np.float64)
         order, leaves, nodes = np.arange(len(first)), [], []
-        stack = [(0, len(first), -1)] if len(first) else []
+        stack = [(0, len(first))] if len(first) else []
         while stack:
-            low, high, _ = stack.pop()
+            low, high = stack.pop()
             own = self.vectors[order[low:high]]
             centre = own.mean(axis=0)
             away = np.sqrt(((own - centre) ** 2).sum(axis=1))
-            nodes.append((low, high, centre, away.max()))
+            nodes.append((low, high, centre, away.max(), -1))
             if high - low <= LEAF:
                 leaves.append(len(nodes) - 1)
                 continue
+            # Two vectors far from each other; the rest go to the nearer one, or by halves where one of them would get next to nothing.
             one = own[away.argmax()]
-            axis = own[((own - one) ** 2).sum(axis=1).argmax()] - one
-            middle = (high - low) // 2
-            order[low:high] = order[low:high][np.argpartition(own @ axis, middle)]
-            stack += [(low + middle, high, 0), (low, low + middle, 0)]
+            other = own[((own - one) ** 2).sum(axis=1).argmax()]
+            along = own @ (other - one)
+            nearer = along < (other @ other - one @ one) / 2
+            middle = int(nearer.sum())
+            if min(middle, high - low - middle) * 16 < high - low:
+                middle = (high - low) // 2
+            order[low:high] = order[low:high][np.argpartition(along, middle)]
+            nodes[-1] = (*nodes[-1][:4], low + middle)
+            stack += [(low + middle, high), (low, low + middle)]
         self.centres, self.radii = np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes])
         self.spans = np.array([n[:2] for n in nodes], np.int64).reshape(-1, 2)
         self.leaf = np.zeros(len(nodes), bool)
         self.leaf[leaves] = True
         # Children: nodes are in preorder, so the first child follows at once and the second where the first one's span ends.
-        at = {(int(a), int(b)): n for n, (a, b) in enumerate(self.spans)}
-        self.second = np.array([-1 if self.leaf[n] else at[(int(a) + (int(b) - int(a)) // 2, int(b))] for n, (a, b) in enumerate(self.spans)], np.int64)
+        at = {n[:2]: i for i, n in enumerate(nodes)}
+        self.second = np.array([-1 if n[4] < 0 else at[n[4], n[1]] for n in nodes], np.int64)
         self.order, self.entry_at = order, np.searchsorted(e, np.arange(len(first) + 1))
         self.largest = float(np.abs(self.vectors).max(initial=0))
 
