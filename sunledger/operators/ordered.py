@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SITE, Site
-from .days import carried, with_neighbours
+from .days import KEY, carried, with_neighbours
 
 
 def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = ()) -> DataFrame:
@@ -104,25 +105,68 @@ class Lamp:
                 yield when, state, "manual" if kind == "cmd" else "auto"
 
 
-def replay_light(ticks: DataFrame, site: Site = SITE, location: str = "location") -> DataFrame:
-    """Replays the lamp controller over prepared ticks, one sequence a location.
+def night_cut(site: Site = SITE, settle_s: int = 0) -> int | None:
+    """The minute after local midnight at which days of the controller are cut: deep in the night, with `settle_s` and an hour (for
+    clock changes) of night on either side. None if the night is too short for that, or if a command doesn't outlast a hold.
+    """
+    begun = max(site.lamp_end, site.extend_end)
+    night = 1440 + site.lamp_start - begun
+    if begun > 1440 or site.min_hold_s > site.manual_hold_s or night < 120 + settle_s / 60:
+        return None
+    return begun + int(night + settle_s / 60) // 2 - 1440
+
+
+def in_stretches(rows: DataFrame, site: Site = SITE, location: str = "location", settle_s: int | None = None) -> DataFrame:
+    """Cuts each location's rows where the lamp's state is known whatever came before.
+
+    At night the lamp is off once holds are over, and a command sets it whatever it was. So of a day's start at the
+    cut, the `settle_s` before it tell all: either a command lies in there, or a tick after the last possible hold that is itself a
+    hold away from the cut. A day without both goes on with the one before. Adds `__from` (a stretch's start, null for a
+    location's first) and `__warm` (a copy of a row before the start, fed but not told).
+    """
+    hold = max(site.manual_hold_s, site.min_hold_s)
+    settle_s = 2 * hold + 20 * site.tick_s if settle_s is None else settle_s
+    cut = night_cut(site, settle_s)
+    if cut is None:
+        return rows.withColumns({"__from": F.lit(None).cast("timestamp"), "__warm": F.lit(False)})
+    of = lambda at: F.to_date(F.from_utc_timestamp(at - F.expr(f"INTERVAL {cut} MINUTES"), site.tz))
+    start_of = lambda day: F.to_utc_timestamp(day.cast("timestamp"), site.tz) + F.expr(f"INTERVAL {cut} MINUTES")
+    own = rows.withColumns({KEY: F.struct(location), "__day": of(F.col("time"))})
+    # A row shortly before the next day's start also counts for that one.
+    ahead = start_of(F.date_add("__day", 1))
+    left = (F.unix_micros(ahead) - F.unix_micros("time")) / 1e6
+    tells = F.when(left <= settle_s, (F.col("kind") == "cmd") | left.between(site.min_hold_s, settle_s - hold))
+    days = own.groupBy(KEY, "__day").agg(F.coalesce(F.bool_or(tells), F.lit(False)).alias("__tells"))
+    over = W.partitionBy(KEY).orderBy("__day")
+    fresh = F.coalesce(F.lag("__tells").over(over) & (F.lag("__day").over(over) == F.date_sub("__day", 1)), F.lit(False))
+    days = days.withColumn("__fresh", fresh)
+    begins = F.last(F.when(F.col("__fresh"), start_of(F.col("__day"))), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, 0))
+    days = days.select(KEY, "__day", begins.alias("__from"), F.lead("__fresh").over(over).alias("__next"))
+    placed = own.join(days, [KEY, "__day"]).withColumn("__warm", F.explode(F.when((left <= settle_s) & F.col("__next"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return placed.withColumn("__from", F.when(F.col("__warm"), ahead).otherwise(F.col("__from"))).drop(KEY, "__day", "__next")
+
+
+def replay_light(ticks: DataFrame, site: Site = SITE, location: str = "location", settle_s: int | None = None) -> DataFrame:
+    """Replays the lamp controller over prepared ticks, one sequence a stretch: a location's rows are cut every night (in_stretches).
 
     Rows are ticks or commands: (location, time, kind 'tick'/'cmd', lux, lux_age_s, minute, local_day, dli,
-    cmd). Switching always succeeds. Output: (location, time, state, source), one row a switch. A location's rows
-    are read in time order batch by batch, with the state carried, so no location has to fit in memory.
+    cmd). Switching always succeeds. Output: (location, time, state, source), one row a switch. A stretch's rows
+    are read in time order batch by batch, with the state carried, so nothing has to fit in memory.
     """
-    ordered = ticks.repartition(location).sortWithinPartitions(location, "time", "kind")
+    parts = [location, "__from"]
+    ordered = in_stretches(ticks, site, location, settle_s).repartition(*parts).sortWithinPartitions(*parts, "time", "kind")
     schema = T.StructType([ticks.schema[location], T.StructField("time", T.TimestampType()), T.StructField("state", T.StringType()), T.StructField("source", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, lamp = None, Lamp(site)
         for batch in batches:
             out = []
-            for place, rows in batch.groupby(location, sort=False):
-                if place != here:
-                    here, lamp = place, Lamp(site)
-                out += [(place, *switch) for switch in lamp.feed(rows)]
-            yield pd.DataFrame(out, columns=[location, "time", "state", "source"])
+            for (place, start), rows in batch.groupby(parts, sort=False, dropna=False):
+                if (str(place), str(start)) != here:
+                    here, lamp = (str(place), str(start)), Lamp(site)
+                name = rows[location].iloc[0] if pd.notna(place) else None
+                out += [(name, *switch) for switch in lamp.feed(rows) if start is pd.NaT or switch[0] >= start]
+            yield pd.DataFrame({c: pd.Series(list(v), dtype="datetime64[us]" if c == "time" else object) for c, v in zip([location, "time", "state", "source"], zip(*out) if out else [()] * 4)})
 
     return ordered.mapInPandas(run, schema)
 

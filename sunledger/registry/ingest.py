@@ -14,9 +14,10 @@ from ..sources import annotated_csv, line_protocol
 from ..sources import messages as I
 from ..sources import tables as B
 from ..streaming import jobs as Q
+from ..streaming.control import control_live
 from .base import query, sql
 from .series import DAY
-from .site import REPLAY, prepared_rows
+from .site import FOLD, REPLAY, REPLAYED, prepared_rows, raw_commands
 
 
 @query("s01_read_messages", sql("messages", "SELECT topic, payload, epoch_us(recv_ts) AS recv_ts, retained FROM messages"))
@@ -293,6 +294,28 @@ def _(t):
     return _done(t, control_stream(live))
 
 
+def _by_time(t, frame, time, parts=4, more=None):
+    """The frame as a stream of files that come one a batch, in order of time: cut at quantiles, written one after the other."""
+    folder, cuts = f"{_folder(t)}/in", frame.select(F.percentile_approx(F.unix_micros(time), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        at = F.unix_micros(time)
+        frame.filter((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)).coalesce(1).write.mode("append").parquet(folder)
+    if more is not None:
+        more.coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("t07_control_live", sql("air", REPLAYED, FOLD))
+def _(t):
+    """Readings and commands alone, in five batches: ticks are timers of the job. The last row only says how late it is."""
+    folder, rows = _folder(t), raw_commands(t).unionByName(t.air.select("location", "time", "lux"), allowMissingColumns=True)
+    end = rows.agg(F.max(F.to_date("time")).alias("d")).select(F.lit("end").alias("location"), (F.date_add("d", 1).cast("timestamp") - F.expr("INTERVAL 1 SECOND")).alias("time"), F.lit(0.0).alias("lux"), F.lit(None).cast("string").alias("state"), F.lit(True).alias("retained"))
+    live = control_live(_by_time(t, rows, "time", more=end.select(rows.columns)), late="0 seconds")
+    Q.start_typed(live, f"{folder}/out", f"{folder}/state").awaitTermination()
+    last = rows.groupBy("location").agg(F.max(F.to_date("time")).alias("d"))
+    return t.spark.read.parquet(f"{folder}/out").join(last, "location").filter(F.to_date("time") <= F.col("d")).drop("d")
+
+
 @query("t09_upsert_batches", sql("ev", f"SELECT device, {DAY}, count(*) AS n FROM ev GROUP BY ALL"))
 def _(t):
     """The stream written twice over: the second pass changes nothing."""

@@ -215,15 +215,14 @@ def _(t):
 
 
 def _ticks(t, step=600):
-    """A tick every `step` seconds over the days of the events table, at every location that has readings."""
-    days = t.events.select(F.to_date("time").alias("d")).distinct()
-    places = t.air.select("location").distinct().agg(F.collect_list("location").alias("places"))  # a column of names: no cross join of rows
-    grid = days.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(86399), F.lit(step)))).withColumn("location", F.explode(places.scalar()))
+    """A tick every `step` seconds at each location, over the days from its first reading to its last."""
+    days = t.air.groupBy("location").agg(F.min(F.to_date("time")).alias("a"), F.max(F.to_date("time")).alias("b")).select("location", F.explode(F.sequence("a", "b")).alias("d"))
+    grid = days.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(86399), F.lit(step))))
     return grid.select("location", F.timestamp_seconds(F.unix_date("d").cast("long") * 86400 + F.col("s")).alias("time"))
 
 
 def _seen(step):
-    return f"""tick AS (SELECT location, d + to_seconds(s) AS time FROM (SELECT DISTINCT date_trunc('day', time)::TIMESTAMP AS d FROM ev), unnest(range(0, 86400, {step})) AS u(s), (SELECT DISTINCT location FROM air) AS l(location)),
+    return f"""tick AS (SELECT location, a + to_seconds(s) AS time FROM (SELECT location, date_trunc('day', min(time))::TIMESTAMP AS a, date_diff('day', min(time), max(time)) AS n FROM air GROUP BY location), unnest(range(0, 86400 * (n + 1), {step})) AS u(s)),
     flux AS (SELECT location, time, local_day, sum(coalesce(area, 0)) OVER (PARTITION BY location, local_day ORDER BY time) / 1e6 AS dli FROM (SELECT *, (lux / 54 + lag(lux / 54) OVER w) / 2 * ((epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6) AS area FROM air WINDOW w AS (PARTITION BY location, local_day ORDER BY time))),
     seen AS (SELECT t.location, t.time, CASE WHEN t.time - a.time <= INTERVAL 1 DAY THEN a.lux END AS lux, CASE WHEN t.time - a.time <= INTERVAL 1 DAY THEN (epoch_us(t.time) - epoch_us(a.time)) / 1e6 END AS lux_age_s FROM tick t ASOF LEFT JOIN air a ON t.location = a.location AND t.time >= a.time),
     prep AS (SELECT s.*, (extract(hour FROM s.time + INTERVAL 8 HOUR) * 60 + extract(minute FROM s.time + INTERVAL 8 HOUR))::INT AS minute, CASE WHEN f.local_day = (s.time + INTERVAL 8 HOUR)::DATE THEN f.dli END AS dli FROM seen s ASOF LEFT JOIN flux f ON s.location = f.location AND s.time >= f.time)"""
@@ -256,13 +255,13 @@ def _hysteresis_all(t):
     return C.hysteresis(C.prepare_ticks(_ticks(t, SITE.tick_s), t.air)).select("location", "time", "state")
 
 
-def _commands(t):
+def raw_commands(t):
     """Every event as a command, some of them retained or in small letters."""
     return t.events.select(F.concat(F.lit("loc-"), (F.col("user_id") % 8).cast("string")).alias("location"), "time", F.when(F.col("event_id") % 3 == 0, "ON").otherwise("off").alias("state"), (F.col("event_id") % 7 == 0).alias("retained"))
 
 
 def prepared_rows(t, step=600):
-    return C.controller_rows(_ticks(t, step), t.air, _commands(t))
+    return C.controller_rows(_ticks(t, step), t.air, raw_commands(t))
 
 
 #: The controller as a recursion: one row a tick or command, the state carried along.
@@ -288,13 +287,31 @@ REPLAY = "cmds AS (SELECT 'loc-' || (user_id % 8) AS location, time, CASE WHEN e
 @query("d21_replay_light", sql("air", "SELECT location, epoch_us(time) AS time, CASE WHEN is_on THEN 'ON' ELSE 'OFF' END AS state, said AS source FROM walk WHERE said IS NOT NULL", REPLAY))
 def _(t):
     """Every location and command, a tick in ten minutes."""
-    return C.replay(_ticks(t), t.air, _commands(t))
-
-
-@query("d21_replay_light_all")
+    return C.replay(_ticks(t), t.air, raw_commands(t))
+
+
+#: The same as a fold over a list a location, for which a tick a minute isn't too much. The evening's answer needs no state of the lamp.
+_HELD = "x.us < a.manual_until OR x.us - a.last_switch < 300000000"
+_WANT = "CASE WHEN a.lamp THEN x.stay_on ELSE x.start_on END"
+FOLD = "cmds AS (SELECT 'loc-' || (user_id % 8) AS location, time, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS cmd FROM ev WHERE event_id % 7 <> 0), " + _seen(SITE.tick_s) + f""",
+    rowz AS (SELECT location, time, 'tick' AS kind, NULL::INT AS cmd, minute >= 480 AND minute < CASE WHEN ext THEN 1230 ELSE 1110 END AS inside, lux IS NULL OR lux_age_s > 300 OR lux < 5000 AS dark, coalesce(lux <= 15000, false) AS band
+             FROM (SELECT *, coalesce(last_value(CASE WHEN minute >= 1110 AND minute < 1230 THEN dli < 4 END IGNORE NULLS) OVER (PARTITION BY location, (time + INTERVAL 8 HOUR)::DATE ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS ext FROM prep)
+             UNION ALL SELECT location, time, 'cmd', cmd, false, false, false FROM cmds),
+    lists AS (SELECT location, list(struct_pack(us := epoch_us(time), cmd := cmd, start_on := inside AND dark, stay_on := inside AND (dark OR band), lamp := false, manual_until := 0::BIGINT, last_switch := 0::BIGINT, said := []::STRUCT(us BIGINT, lamp BOOLEAN, source VARCHAR)[]) ORDER BY time, kind) AS l FROM rowz GROUP BY location),
+    folded AS (SELECT location, unnest(list_reduce(l, lambda a, x: struct_pack(us := x.us, cmd := x.cmd, start_on := x.start_on, stay_on := x.stay_on,
+            lamp := CASE WHEN x.cmd IS NOT NULL THEN x.cmd = 1 WHEN {_HELD} THEN a.lamp ELSE {_WANT} END,
+            manual_until := CASE WHEN x.cmd IS NOT NULL THEN x.us + 300000000 ELSE a.manual_until END,
+            last_switch := CASE WHEN x.cmd IS NOT NULL OR {_HELD} OR a.lamp = {_WANT} THEN a.last_switch ELSE x.us END,
+            said := CASE WHEN x.cmd IS NOT NULL AND (x.cmd = 1) <> a.lamp THEN list_append(a.said, struct_pack(us := x.us, lamp := x.cmd = 1, source := 'manual'))
+                         WHEN x.cmd IS NULL AND NOT ({_HELD}) AND a.lamp <> {_WANT} THEN list_append(a.said, struct_pack(us := x.us, lamp := NOT a.lamp, source := 'auto')) ELSE a.said END),
+            struct_pack(us := 0::BIGINT, cmd := NULL::INT, start_on := false, stay_on := false, lamp := false, manual_until := 0::BIGINT, last_switch := 0::BIGINT, said := []::STRUCT(us BIGINT, lamp BOOLEAN, source VARCHAR)[])).said) AS s FROM lists)"""
+REPLAYED = "SELECT location, s.us AS time, CASE WHEN s.lamp THEN 'ON' ELSE 'OFF' END AS state, s.source FROM folded"
+
+
+@query("d21_replay_light_all", sql("air", REPLAYED, FOLD))
 def _replay_all(t):
-    """The same at every tick: too many rows for the SQL's recursion, so tests use a loop."""
-    return C.replay(_ticks(t, SITE.tick_s), t.air, _commands(t))
+    """The same at every tick of the controller."""
+    return C.replay(_ticks(t, SITE.tick_s), t.air, raw_commands(t))
 
 
 _WIN = "win AS (SELECT DISTINCT location, date_trunc('day', time)::TIMESTAMP + INTERVAL 22 HOUR AS start, date_trunc('day', time)::TIMESTAMP + INTERVAL 24 HOUR AS stop FROM air)"

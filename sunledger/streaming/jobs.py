@@ -19,6 +19,21 @@ from ..sources.messages import acks, json_to_points, parse_topic
 from ..sources.tables import upsert_points
 
 
+#: Keeps typed state and timers in a store of its own beside the checkpoint, not on the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start_typed(df: DataFrame, path: str, checkpoint: str, mode: str = "append", format: str = "parquet", once: bool = True) -> StreamingQuery:
+    """As start, for queries with typed state and timers, which need another state store. The session's own setting is left as it was."""
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)
+    try:
+        return start(df, path, checkpoint, mode, format, once)
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
+
+
 def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", format: str = "parquet", once: bool = True) -> StreamingQuery:
     """Writes a stream to files; `once` works off what is there and ends."""
     writer = df.writeStream.outputMode(mode).format(format).option("path", path).option("checkpointLocation", checkpoint)
