@@ -163,11 +163,11 @@ def ingest_completeness(df: DataFrame, by: Names, interval_s: int, start: dateti
     return counted.withColumn("completeness", F.col("n") * F.lit(float(interval_s)) / length)
 
 
-def rank_quantiles(df: DataFrame, by: Names, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """A column each of `quantiles`: the value at index floor(q * (n - 1)) of the sorted group; null if a group has no values.
+def at_ranks(df: DataFrame, by: Names, value: str, places: dict[str, Callable[[Column], Column]], count: str | None = None) -> DataFrame:
+    """(by, a column for each of `places`, and the number of values as `count`): the values at given indices (from 0) of a sorted key.
 
-    Counts of narrow value ranges (0.025 % wide) show in which range an index lies, so only the distinct values of that
-    range are put in order and no task gets a whole key.
+    A place is a function from the number of values. Null if a key has no values. Counts of narrow value ranges (0.025 % wide) show in
+    which range an index lies, so only the distinct values of that range are put in order and no task gets a whole key.
     """
     x = F.col("__v")
     place = F.when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).otherwise((F.signum(x) * (F.floor(F.log(F.least(F.abs(x), F.lit(1.7976931348623157e308))) * 4096) + (1 << 24))).cast("long"))
@@ -175,12 +175,18 @@ def rank_quantiles(df: DataFrame, by: Names, value: str, quantiles: dict[str, fl
     ordered = W.partitionBy("__k").orderBy("__r")
     ranges = own.filter(x.isNotNull()).groupBy("__k", "__r").agg(F.count(F.lit(1)).alias("__n"))
     ranges = ranges.withColumns({"__end": F.sum("__n").over(ordered.rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("__n").over(W.partitionBy("__k"))})
-    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("__q"), F.floor(F.lit(q) * (F.col("__all") - 1)).alias("__at")) for name, q in quantiles.items())))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("__q"), at(F.col("__all")).cast("long").alias("__at")) for name, at in places.items())))
     hits = ranges.withColumn("__w", wanted).select("__k", "__r", "__w.__q", (F.col("__w.__at") - (F.col("__end") - F.col("__n"))).alias("__at"), "__n").filter("__at >= 0 AND __at < __n").drop("__n")
     counts = own.join(hits, ["__k", "__r"]).groupBy("__k", "__q", "__at", value).agg(F.count(F.lit(1)).alias("__n"))
     end = F.sum("__n").over(W.partitionBy("__k", "__q").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    found = counts.withColumn("__end", end).filter("__at < __end AND __at >= __end - __n").groupBy("__k").agg(*(F.max(F.when(F.col("__q") == name, F.col(value))).alias(name) for name in quantiles))
-    return own.select("__k").distinct().join(found, "__k", "left").select("__k.*", *quantiles)
+    found = counts.withColumn("__end", end).filter("__at < __end AND __at >= __end - __n").groupBy("__k").agg(*(F.max(F.when(F.col("__q") == name, F.col(value))).alias(name) for name in places))
+    keys = own.groupBy("__k").agg(F.count("__v").alias(count or "__n"))
+    return keys.join(found, "__k", "left").select("__k.*", *places, *([count] if count else []))
+
+
+def rank_quantiles(df: DataFrame, by: Names, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """A column each of `quantiles`: the value at index floor(q * (n - 1)) of the sorted group; null if a group has no values."""
+    return at_ranks(df, by, value, {name: lambda n, q=q: F.floor(F.lit(q) * (n - 1)) for name, q in quantiles.items()})
 
 
 def variation(value: str) -> Column:
@@ -235,21 +241,6 @@ def fit_origin(df: DataFrame, x: str, y: str, by: Names) -> DataFrame:
     )
 
 
-def equal_bins(df: DataFrame, by: Names, order: Names, bins: int = 5, to: str = "bin") -> DataFrame:
-    """Adds the number (from 0) of the bin that cuts the ordered group into nearly equal runs."""
-    w = W.partitionBy(*by).orderBy(*order)
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
-    return df.withColumn(to, F.floor((F.row_number().over(w) * bins - 1) / n).cast("int"))
-
-
-def bin_drift(df: DataFrame, by: Names, order: Names, ratio: str = "ratio", bins: int = 5) -> DataFrame:
-    """(by, drift_pct): spread of the bins' mean ratios, in percent of the group's median ratio."""
-    means = equal_bins(df, by, order, bins).groupBy(*by, "bin").agg(F.avg(ratio).alias("__m"))
-    spread = means.groupBy(*by).agg((F.max("__m") - F.min("__m")).alias("__spread"))
-    middle = df.groupBy(*by).agg(F.median(ratio).alias("__med"))
-    return spread.join(middle, list(by)).select(*by, F.try_divide(F.col("__spread") * 100, F.col("__med")).alias("drift_pct"))
-
-
 def pivot_fields(df: DataFrame, keys: Names, fields: Names, value: str = "value") -> DataFrame:
     """Fields to columns by conditional aggregates: one shuffle, and the columns are known beforehand."""
     return df.groupBy(*keys).agg(*(F.max(F.when(F.col("field") == f, F.col(value))).alias(f) for f in fields))

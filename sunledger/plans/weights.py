@@ -13,6 +13,7 @@ from ..config import SITE
 from ..functions import time as T
 from ..operators import joins as J
 from ..operators import series as S
+from ..operators.ranked import percentiles
 from ..operators.ordered import dedup_ttl
 from ..operators.sets import stale_refs
 from ..sources.messages import acks
@@ -79,7 +80,8 @@ def weight_refs(weights: DataFrame, as_of: datetime, tz: str = SITE.tz, plants:
     placed = recent.withColumn("anchor_day", anchor)
     since = F.col("time") >= T.day_start(F.col("anchor_day"), tz)
     dry = F.col("time") >= T.instant(as_of - timedelta(days=60))
-    refs = placed.groupBy("plant_id").agg(F.max(F.when(since, F.col("weight_g"))).alias("sat_g"), F.percentile(F.when(dry, F.col("weight_g")), F.lit(0.1)).alias("dry_g"), F.first("anchor_day").alias("anchor_day"))
+    sat = placed.groupBy("plant_id").agg(F.max(F.when(since, F.col("weight_g"))).alias("sat_g"), F.first("anchor_day").alias("anchor_day"))
+    refs = sat.join(percentiles(recent.filter(dry), ("plant_id",), "weight_g", {"dry_g": 0.1}), "plant_id").select("plant_id", "sat_g", "dry_g", "anchor_day")
     return refs.filter(F.col("sat_g") - F.col("dry_g") > span_g)
 
 

@@ -10,8 +10,10 @@ from .. import config as C
 from ..functions import light as L
 from ..functions import time as T
 from ..operators import joins as J
-from ..operators import sets as U
+from ..operators import ranked as R
 from ..operators import series as S
+from ..operators import sets as U
+from ..operators import summaries as Y
 from ..sources.adapters import EVENTS_AS_OF, FIELDS
 from .base import query, sql
 
@@ -211,12 +213,48 @@ def _(t):
 
 @query("a06_median", sql("air_long", "SELECT device, field, round(median(value), 6) AS middle FROM air_long GROUP BY ALL"))
 def _(t):
-    return t.air_long.groupBy("device", "field").agg(F.median("value").alias("middle"))
+    return R.medians(t.air_long, ("device", "field"), "value", "middle")
 
 
 @query("a07_quantile", sql("plant_weight", "SELECT plant_id, round(quantile_cont(weight_g, 0.1), 6) AS dry FROM plant_weight GROUP BY plant_id"))
 def _(t):
-    return t.plant_weight.groupBy("plant_id").agg(F.percentile("weight_g", F.lit(0.1)).alias("dry"))
+    return R.percentiles(t.plant_weight, ("plant_id",), "weight_g", {"dry": 0.1})
+
+
+@query("a06_median_sketch", sql("air_long", "SELECT device, field, count(*) AS n, true AS near FROM air_long WHERE time >= TIMESTAMP '2024-01-03 16:00:00' AND time < TIMESTAMP '2024-01-24 16:00:00' GROUP BY ALL"))
+def _(t):
+    """The median of three weeks from sketches of its days: is its exact rank as near the middle as the bound says?"""
+    days = Y.sketch_days(t.air_long, ("device", "field"), ("value",)).filter("local_day BETWEEN DATE'2024-01-04' AND DATE'2024-01-24'")
+    found = Y.merge_sketches(days.drop("local_day"), ("device", "field")).select("device", "field", "value_n", Y.sketched_quantile("value", 0.5).alias("middle"))
+    local = T.local_day(F.col("time"))
+    rows = t.air_long.filter((local >= "2024-01-04") & (local <= "2024-01-24")).join(found, ["device", "field"])
+    ranks = rows.groupBy("device", "field", "value_n").agg(F.count_if(F.col("value") < F.col("middle")).alias("below"), F.count_if(F.col("value") <= F.col("middle")).alias("upto"))
+    slack = F.lit(Y.rank_error()) * F.col("value_n") + 1
+    return ranks.select("device", "field", F.col("value_n").alias("n"), ((F.col("below") <= F.col("value_n") / 2 + slack) & (F.col("upto") >= F.col("value_n") / 2 - slack)).alias("near"))
+
+
+@query("a05_distinct_sketch", sql("plant_weight", f"SELECT quality, date_trunc('month', local_day)::DATE::VARCHAR AS month, count(DISTINCT plant_id) AS plants FROM plant_weight GROUP BY ALL"))
+def _(t):
+    """Different plants a month, from sketches of days: exact for so few."""
+    days = Y.sketch_days(t.plant_weight, ("quality",), (), ("plant_id",))
+    months = Y.merge_sketches(days.withColumn("month", F.trunc("local_day", "month")).drop("local_day"), ("quality", "month"))
+    return months.select("quality", "month", Y.sketched_distinct("plant_id").alias("plants"))
+
+
+_AREA = "SELECT device, local_day::VARCHAR AS local_day, round(coalesce(sum(area), 0) / 1e6, 6) AS lux, count(*) AS n FROM (SELECT *, (lux + lag(lux) OVER w) / 2 * ((epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6) AS area FROM air{} WINDOW w AS (PARTITION BY device, local_day ORDER BY time)) GROUP BY ALL"
+
+
+@query("a10_integral_hours", sql("air", _AREA.format("")))
+def _(t):
+    """Daily integrals from summaries of hours."""
+    return Y.integral_days(Y.integral_hours(t.air, ("device",), "lux"), ("device",)).select("device", "local_day", (F.col("area") / 1e6).alias("lux"), "n")
+
+
+@query("a10_integral_range", sql("air", _AREA.format(" WHERE time >= TIMESTAMP '2024-01-05 03:17:09' AND time < TIMESTAMP '2024-01-20 19:44:51'")))
+def _(t):
+    """A range that cuts hours: whole hours from summaries, the two cut ones from points."""
+    found = Y.integral_between(Y.integral_hours(t.air, ("device",), "lux"), t.air, ("device",), datetime(2024, 1, 5, 3, 17, 9, tzinfo=UTC), datetime(2024, 1, 20, 19, 44, 51, tzinfo=UTC), "lux")
+    return found.select("device", "local_day", (F.col("area") / 1e6).alias("lux"), "n")
 
 
 @query("a08_rank_quantile", sql("air", "SELECT device, (list_sort(list(lux)))[floor(0.1 * (count(*) - 1))::INT + 1] AS p10, (list_sort(list(lux)))[floor(0.9 * (count(*) - 1))::INT + 1] AS p90 FROM air GROUP BY device"))
@@ -251,7 +289,7 @@ def _(t):
 @query("a13_bin_drift", sql("air", "SELECT device, round((max(m) - min(m)) / any_value(med) * 100, 6) AS drift_pct FROM (SELECT device, bin, avg(ratio) AS m, any_value(med) AS med FROM (SELECT device, ratio, floor((row_number() OVER (PARTITION BY device ORDER BY lux, event_id) * 5 - 1) / count(*) OVER (PARTITION BY device)) AS bin, median(ratio) OVER (PARTITION BY device) AS med FROM (SELECT *, 1.0::DOUBLE + (event_id % 13) / 100.0::DOUBLE + lux / 100000 AS ratio FROM air)) GROUP BY ALL) GROUP BY device"))
 def _(t):
     rows = t.air.withColumn("ratio", F.lit(1.0) + F.col("event_id") % 13 / F.lit(100.0) + F.col("lux") / 100000)
-    return S.bin_drift(rows, ("device",), ("lux", "event_id"))
+    return R.bin_drift(rows, ("device",), ("lux", "event_id"))
 
 
 @query("a15_window_report", sql("air spectrum", f"SELECT device, count(*) AS n, round(min(lux), 6) AS lo, round(max(lux), 6) AS hi, round(avg(lux), 6) AS mean, {', '.join(f'''count(*) FILTER (WHERE reason = '{r}') AS n_{r}''' for r in S.REASONS)} FROM (SELECT *, {_REASON} AS reason FROM both_) GROUP BY device", _JOINED))

@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import time as T
 from ..operators.joins import resolve_plant
 from ..operators.ordered import dedup_ttl
+from ..operators.ranked import ranked
 from ..operators.series import label_quality
 from ..plans import control as C
 from ..plans import reflect as V
@@ -370,9 +371,10 @@ def _(t):
     return t.air.groupBy("device").agg(F.count_if(X.outside(F.col("lux"), 2500, 12000)).alias("n"))
 
 
-@query("f21_tags_of_plant", sql("tag_map", "SELECT plant_id, list_sort(list(uid)) AS uids FROM tag_map GROUP BY plant_id"))
+@query("f21_tags_of_plant", sql("tag_map", "SELECT plant_id, uid, row_number() OVER (PARTITION BY plant_id ORDER BY uid) AS place, count(*) OVER (PARTITION BY plant_id) AS tags FROM tag_map"))
 def _(t):
-    return t.tag_map.groupBy("plant_id").agg(F.array_sort(F.collect_list("uid")).alias("uids"))
+    """A row a tag, in order: a plant may have any number."""
+    return ranked(t.tag_map.select("plant_id", "uid"), ("plant_id",), ("uid",), "place", "tags")
 
 
 @query("f02_local_day", sql("light", """SELECT location, epoch_us(time) AS time, (timezone('Europe/Berlin', timezone('UTC', time)))::DATE::VARCHAR AS local_day, epoch_us(timezone('UTC', timezone('Europe/Berlin', (timezone('Europe/Berlin', timezone('UTC', time)))::DATE::TIMESTAMP))) AS midnight,

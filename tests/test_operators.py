@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sunledger.operators import days as D
 from sunledger.operators import joins as J
+from sunledger.operators import ranked as R
 from sunledger.operators import series as S
 from sunledger.operators import sets as U
 from sunledger.operators.ordered import dedup_ttl
@@ -88,7 +89,7 @@ def test_state_held_fails_closed(spark):
 @pytest.mark.parametrize("n", [20, 23, 57, 100])
 def test_bins_equal_slices(spark, n):
     df = spark.createDataFrame([("k", i) for i in range(n)], "k string, i int")
-    bins = {r["i"]: r["bin"] for r in S.equal_bins(df, ("k",), ("i",)).collect()}
+    bins = {r["i"]: r["bin"] for r in R.equal_bins(df, ("k",), ("i",)).collect()}
     assert all(bins[i] == b for b in range(5) for i in range(b * n // 5, (b + 1) * n // 5))
 
 
