@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..operators.ordered import control_stream
-from ..sources import annotated_csv, line_protocol
+from ..sources import annotated_csv, line_protocol, points_source
 from ..sources import messages as I
 from ..sources import tables as B
 from ..streaming import jobs as Q
@@ -97,6 +97,54 @@ def _(t):
     return back.select("measurement", F.col("tags")["device"].alias("device"), F.col("tags")["note tag"].alias("note_tag"), "field", F.round("value", 2).alias("value"), "value_str", "time")
 
 
+@query("s08_points_source", sql("ev", "SELECT 'air' AS measurement, device, field, CASE WHEN field = 'lux' THEN round(value * 100, 6) END AS value, CASE WHEN field = 'note' THEN 'a, b' END AS value_str, epoch_us(time) AS time FROM ev, (VALUES ('lux'), ('note')) AS f(field) WHERE time >= TIMESTAMP '2024-01-08' AND time < TIMESTAMP '2024-01-15 06:00:00'"))
+def _(t):
+    """Written by the source's writer, read back by its reader: a file a day or two, of which the filter leaves few."""
+    path = _written(t, f"{_folder(t)}/lines")
+    back = t.spark.read.format("lineprotocol").option("splitBytes", 1 << 20).load(path).filter("time >= '2024-01-08' AND time < '2024-01-15 06:00:00'")
+    return back.select("measurement", F.col("tags")["device"].alias("device"), "field", "value", "value_str", "time")
+
+
+def _written(t, path):
+    return [*_commits(t, path, 1)][0]
+
+
+def _commits(t, path, parts):
+    """Writes the readings as line protocol, in `parts` commits in order of time, each of some files by ranges of time; the path after each."""
+    points_source.register(t.spark)
+    note = F.struct(F.lit("note").alias("field"), F.lit(None).cast("double").alias("value"), F.lit("a, b").alias("value_str"))
+    fields = F.array(F.struct(F.lit("lux").alias("field"), F.col("lux").alias("value"), F.lit(None).cast("string").alias("value_str")), note)
+    rows = t.air.select(F.lit("air").alias("measurement"), F.create_map(F.lit("device"), "device").alias("tags"), F.explode(fields).alias("f"), "time").select("measurement", "tags", "f.*", "time")
+    for k in range(parts):
+        day = F.dayofmonth("time")
+        rows.filter(F.floor((day - 1) * parts / 31) == k).repartitionByRange(8, "time").write.format("lineprotocol").mode("append").save(path)
+        yield path
+
+
+@query("s08_points_stream", sql("ev", "SELECT device, field, count(*) AS n, round(sum(value * 100) FILTER (field = 'lux'), 3) AS total FROM ev, (VALUES ('lux'), ('note')) AS f(field) GROUP BY ALL"))
+def _(t):
+    """The same as a stream that is stopped and goes on: three commits, read after each, a batch a commit."""
+    folder = _folder(t)
+    for path in _commits(t, f"{folder}/lines", 3):
+        live = t.spark.readStream.format("lineprotocol").load(path).select(F.col("tags")["device"].alias("device"), "field", "value")
+        Q.start(live, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").groupBy("device", "field").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("s09_csv_source", sql("air", "SELECT device, epoch_us(time) AS time, round(lux, 2) AS lux, CASE WHEN event_id % 2 = 0 THEN rssi END AS rssi FROM air WHERE time >= TIMESTAMP '2024-01-20'"))
+def _(t):
+    """Annotated CSV of two kinds of blocks, read into typed columns; the time filter reaches the reader."""
+    points_source.register(t.spark)
+    path, stamp = f"{_folder(t)}/csv", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    lux = F.format_string("%.2f", F.col("lux"))
+    block = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("#group,false\n,result,table,_time,device,rssi,lux\n,_r,0,"), stamp, F.lit(","), F.col("device"), F.lit(","), F.col("rssi").cast("string"), F.lit(","), lux, F.lit("\n"))).otherwise(
+        F.concat(F.lit("#group,false\n,result,table,_time,device,lux\n,_r,0,"), stamp, F.lit(","), F.col("device"), F.lit(","), lux, F.lit("\n"))
+    )
+    t.air.select(block.alias("value")).write.text(path)
+    back = t.spark.read.format("annotatedcsv").schema("_time timestamp, device string, lux double, rssi double").load(path).filter("_time >= '2024-01-20'")
+    return back.select("device", F.col("_time").alias("time"), "lux", "rssi")
+
+
 @query("s09_annotated_csv", sql("air", 'SELECT device AS path, "column", count(*) AS n, round(sum(value), 6) AS total FROM (SELECT device, \'lux\' AS "column", round(lux, 2) AS value FROM air UNION ALL SELECT device, \'rssi\', rssi FROM air WHERE event_id % 2 = 0) GROUP BY ALL'))
 def _(t):
     files = _csv_files(t.air)

@@ -32,7 +32,7 @@ def add_tag(line: Column, key: str, value: Column | str) -> Column:
 
 
 #: head, body and time of a line; quoted strings may hold spaces. Runs are taken whole, so long lines don't deepen the matcher's stack.
-_LINE = r'^((?:[^ \\]++|\\.)*+) ((?:[^ "]++|"(?:[^"\\]++|\\.)*+")*+)(?: (-?\d+))?$'
+_LINE = r'^((?:[^ \\]++|\\.)*+) ((?:[^ "\\]++|\\.|"(?:[^"\\]++|\\.)*+")*+)(?: (-?\d+))?$'
 
 
 def from_line_protocol(df: DataFrame, precision: str = "s", line: str = "line") -> DataFrame:
