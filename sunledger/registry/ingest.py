@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from ..operators.ordered import control_stream
 from ..sources import annotated_csv, line_protocol, points_source
 from ..sources import messages as I
 from ..sources import tables as B
+from ..sources.snapshots import SnapshotTable, upsert_snapshots
 from ..streaming import jobs as Q
 from ..streaming.control import control_live
+from ..streaming.matching import pair_live, requests_live
 from .base import query, sql
 from .series import DAY
 from .site import FOLD, REPLAY, REPLAYED, prepared_rows, raw_commands
@@ -364,6 +367,44 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/out").join(last, "location").filter(F.to_date("time") <= F.col("d")).drop("d")
 
 
+def _end(schema, **values):
+    """One row far later than all others: it moves the watermark past them."""
+    return [F.lit(values[f.name]).cast(f.dataType).alias(f.name) if f.name in values else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+
+
+def _ended(t, frame, key):
+    end = t.spark.range(1).select(*_end(frame.schema, **{key: "end", "time": "2030-01-01 00:00:00"}))
+    return _by_time(t, frame, "time", more=end)
+
+
+@query("j06_pair_live", sql("meter air", "SELECT m.device, epoch_us(m.time) AS time, m.ppfd, count(a.lux) AS n, round(avg(a.lux), 6) AS lux FROM meter m LEFT JOIN air a ON a.device = m.device AND a.time >= m.time - INTERVAL 1 HOUR AND a.time < m.time + INTERVAL 1 HOUR GROUP BY ALL"))
+def _(t):
+    """Meter readings and messages as two streams of five batches."""
+    live = pair_live(_ended(t, t.meter.select("device", "time", "ppfd"), "device"), _ended(t, t.air.select("device", "time", "lux"), "device"), ("device",), timedelta(hours=1), "0 seconds")
+    return _done(t, live).filter("device <> 'end'").groupBy("device", "time", "ppfd").agg(F.count("lux").alias("n"), F.avg("lux").alias("lux"))
+
+
+@query("j12_requests_live", sql("reflect", "SELECT r.request_id, plant, coalesce(s.status, 'missing') AS status, coalesce(n, 0) AS messages FROM (SELECT request_id, arg_min(plant, time) AS plant FROM reflect GROUP BY ALL) AS r LEFT JOIN (SELECT request_id, count(*) AS n, arg_max(status, (done, time)) AS status FROM (SELECT *, CASE WHEN vec_id % 5 = 4 THEN 'ok' ELSE 'started' END AS status, vec_id % 5 = 4 AS done FROM reflect WHERE vec_id % 7 <> 0 AND (vec_id // 5) % 3 <> 0) GROUP BY request_id) AS s USING (request_id)"))
+def _(t):
+    """Commands and results as two streams of five batches; requests that stay without a result are told as well."""
+    results = t.reflect.filter("vec_id % 7 <> 0 AND floor(vec_id / 5) % 3 <> 0").select("request_id", "time", F.when(F.col("vec_id") % 5 == 4, "ok").otherwise("started").alias("status"))
+    commands = t.reflect.groupBy("request_id").agg(F.min("time").alias("time"), F.min_by("plant", "time").alias("plant"))
+    live = requests_live(_ended(t, commands, "request_id"), _ended(t, results, "request_id"), timedelta(minutes=30), "0 seconds")
+    return _done(t, live).filter("request_id <> 'end'").select("request_id", "plant", "status", "messages")
+
+
+@query("t09_snapshots", sql("ev", f"SELECT device, {DAY}, count(*) AS n, round(sum(value), 6) AS total FROM ev WHERE local_day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY ALL"))
+def _(t):
+    """The stream in four batches, each one commit, written twice over: the second pass changes nothing. Readers ask for days."""
+    folder = _folder(t)
+    rows = t.events.withColumn("local_day", T.local_day(F.col("time")).cast("string")).select("device", "event_id", "local_day", "value", "time")
+    live = _by_time(t, rows, "time").drop("time")
+    for k in range(2):
+        Q.each_batch(live, upsert_snapshots(f"{folder}/points", ("device", "event_id")), f"{folder}/state-{k}").awaitTermination()
+    table = SnapshotTable(t.spark, f"{folder}/points")
+    return table.read(days=("2024-01-05", "2024-01-25")).groupBy("device", "local_day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("t09_upsert_batches", sql("ev", f"SELECT device, {DAY}, count(*) AS n FROM ev GROUP BY ALL"))
 def _(t):
     """The stream written twice over: the second pass changes nothing."""
