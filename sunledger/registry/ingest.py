@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..operators.ordered import control_stream
-from ..sources import annotated_csv, line_protocol, points_source
+from ..sources import annotated_csv, feed, line_protocol, points_source
 from ..sources import messages as I
 from ..sources import tables as B
 from ..sources.snapshots import SnapshotTable, upsert_snapshots
@@ -205,6 +205,33 @@ def _(t):
     return I.type_conflicts(rows)
 
 
+def _mixed(t):
+    """A feed whose fields change: a number is a text from some devices, a flag becomes a word in the second half of the month."""
+    name = F.when(F.col("event_id") % 3 == 0, "lux").otherwise("temp")
+    number = F.round(F.col("value") * 100).cast("bigint")
+    value = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit('"'), number.cast("string"), F.lit('x"'))).when(F.col("event_id") % 3 == 1, F.concat(number.cast("string"), F.lit(".5"))).otherwise(number.cast("string"))
+    flag = F.when(F.col("time") < F.lit("2024-01-21").cast("timestamp"), "true").otherwise('"yes"')
+    payload = F.concat(F.lit('{"'), name, F.lit('":'), value, F.lit(',"ok":'), flag, F.lit(',"at.site":{"n":'), (F.col("event_id") % 3).cast("string"), F.lit("}}"))
+    return t.events.select("device", "event_id", F.col("time").alias("recv_ts"), F.when(F.col("event_id") % 50 == 7, F.lit("oops")).otherwise(payload).alias("payload"))
+
+
+_MIXED = "mixed AS (SELECT device, event_id, time, CASE WHEN event_id % 3 = 0 THEN 'lux' ELSE 'temp' END AS name, round(value * 100)::BIGINT AS v, event_id % 10 = 0 AS words, time < TIMESTAMP '2024-01-21' AS early FROM ev WHERE event_id % 50 <> 7)"
+
+
+@query("s14_typed_feed", sql("ev", "SELECT ev.device, ev.event_id, CASE WHEN name = 'lux' AND NOT words THEN v END AS lux, CASE WHEN name = 'temp' AND NOT words THEN (v + CASE WHEN ev.event_id % 3 = 1 THEN 0.5 ELSE 0 END)::DOUBLE END AS temp, CASE WHEN early THEN true END AS ok, CASE WHEN name IS NOT NULL THEN '{\"n\":' || (ev.event_id % 3) || '}' END AS site, CASE WHEN words THEN '\"' || v || 'x\"' END AS word, CASE WHEN NOT early THEN '\"yes\"' END AS said FROM ev LEFT JOIN mixed USING (event_id)", _MIXED))
+def _(t):
+    """Every message in typed columns, no field named beforehand; what doesn't fit is kept beside."""
+    found, _ = feed.read_feed(_mixed(t))
+    apart = F.col("conflicting")
+    return found.select("device", "event_id", "lux", "temp", "ok", F.col("`at.site`").alias("site"), F.coalesce(F.try_element_at(apart, F.lit("lux")), F.try_element_at(apart, F.lit("temp"))).alias("word"), F.try_element_at(apart, F.lit("ok")).alias("said"))
+
+
+@query("s15_feed_conflicts", sql("ev", "SELECT name, kind, count(*) AS n, epoch_us(min(time)) AS first, epoch_us(max(time)) AS last FROM (SELECT name, time, CASE WHEN words THEN 'string' WHEN name = 'temp' AND event_id % 3 = 1 THEN 'double' ELSE 'bigint' END AS kind FROM mixed UNION ALL SELECT 'ok', time, CASE WHEN early THEN 'boolean' ELSE 'string' END FROM mixed) GROUP BY ALL", _MIXED))
+def _(t):
+    """Fields whose kind changed, with how often and when."""
+    return feed.read_feed(_mixed(t))[1]
+
+
 @query("p10_validate_events", sql("event_raw", "SELECT device, event_id % 7 NOT IN (0, 3, 5) AS ok, count(*) AS n FROM event_raw GROUP BY ALL"))
 def _(t):
     e = F.col("event_id")
