@@ -6,7 +6,7 @@ rows are put in order over all days of a key. Rows without a time come before al
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,13 @@ Names = Sequence[str]
 KEY, DAY = "__key", "__day"
 
 
-def dated(df: DataFrame, by: Names, time: str) -> DataFrame:
-    """Adds the key as one column, so that nulls in it join, and the UTC day."""
-    return df.withColumns({KEY: F.struct(*by), DAY: F.coalesce(F.to_date(time), F.lit("0001-01-01").cast("date"))})
+def dated(df: DataFrame, by: Names, time: str, days: int = 1) -> DataFrame:
+    """Adds the key as one column, so that nulls in it join, and the UTC day, or the first of each stretch of so many days.
+
+    Keys with a row now and then take long stretches: with one row a day, a table of days would be no smaller than the rows.
+    """
+    day = F.to_date(time) if days == 1 else F.date_from_unix_date((F.floor(F.unix_date(F.to_date(time)) / days) * days).cast("int"))
+    return df.withColumns({KEY: F.struct(*by), DAY: F.coalesce(day, F.lit("0001-01-01").cast("date"))})
 
 
 def with_neighbours(df: DataFrame, by: Names, columns: Names, order: Names = ("time",), before: str | None = None, after: str | None = None, time: str = "time") -> DataFrame:
@@ -56,6 +60,26 @@ def carried(df: DataFrame, by: Names, value: Column, to: str, order: Names = ("t
     return joined.withColumn(to, F.coalesce(near, "__far")).drop(KEY, DAY, "__value", "__far")
 
 
+def with_runs(df: DataFrame, by: Names, columns: Names, new: Callable[[Column, Column], Column], order: Names = ("time",), time: str = "time", days: int = 1) -> DataFrame:
+    """Adds `__before` (the struct of `columns` of the row before, null for a key's first), `__new` (whether a run begins here), `__since`
+    (when this row's run began) and `__since_before` (when that of the row before did).
+
+    A run begins where `new` says so of the row before and this one, given as such structs, and with a key's first row. `columns` include
+    the time. One table of a row a key and day (its first and last row, and its last beginning) carries all of it over days, so the
+    rows are dealt once, by key and day.
+    """
+    row, rank, inside, over = F.struct(*columns), F.struct(*order), W.partitionBy(KEY, DAY).orderBy(*order), W.partitionBy(KEY).orderBy(DAY)
+    marked = dated(df, by, time, days).withColumn("__prev", F.lag(row).over(inside)).withColumn("__break", F.when(F.col("__prev").isNotNull(), F.coalesce(new(F.col("__prev"), row), F.lit(False))))
+    edges = marked.groupBy(KEY, DAY).agg(F.min_by(row, rank).alias("__first"), F.max_by(row, rank).alias("__last"), F.max(F.when(F.col("__break"), F.col(time))).alias("__broke"))
+    edges = edges.withColumn("__earlier", F.lag("__last").over(over)).withColumn("__opens", F.coalesce(F.when(F.col("__earlier").isNotNull(), F.coalesce(new(F.col("__earlier"), F.col("__first")), F.lit(False))), F.lit(True)))
+    ends = F.coalesce("__broke", F.when(F.col("__opens"), F.col(f"__first.{time}")))
+    edges = edges.select(KEY, DAY, "__earlier", "__opens", F.last(ends, ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("__entry"))
+    joined = marked.join(edges, [KEY, DAY]).withColumn("__new", F.coalesce("__break", "__opens"))
+    begun = F.coalesce(F.last(F.when(F.col("__new"), F.col(time)), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "__entry")
+    found = joined.withColumn("__since", begun).withColumns({"__since_before": F.coalesce(F.lag("__since").over(inside), "__entry"), "__before": F.coalesce("__prev", "__earlier")})
+    return found.drop(KEY, DAY, "__prev", "__break", "__earlier", "__opens", "__entry")
+
+
 #: Rows of a key that make one part.
 PART = 50_000
 

@@ -16,22 +16,20 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SITE, Site
-from .days import KEY, carried, with_neighbours
+from .days import KEY, with_runs
 
 
-def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = ()) -> DataFrame:
+def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = (), days: int = 1) -> DataFrame:
     """Keeps the first of each key and drops its repeats up to ttl_ms after the kept one; later ones are new.
 
     The time runs from the kept row, repeats don't extend it. A stretch without a pause longer than the ttl is an
     island; islands don't affect each other. An island's first row stays, and what follows within the ttl goes, so only rows
     beyond that need the scan. It reads them in order, batch by batch, with the last kept time as its state: neither a
-    key's history nor an island has to fit in memory.
+    key's history nor an island has to fit in memory. A key's rows of `days` days are put in order together.
     """
     order = (time, *ties)
-    found = with_neighbours(events, keys, (time,), order, before="__before", time=time)
-    pause = F.unix_micros(time) - F.unix_micros(f"__before.{time}")
-    begun = found.withColumn("__new", F.coalesce(pause > ttl_ms * 1000, F.lit(True))).drop("__before")
-    islands = carried(begun, keys, F.when(F.col("__new"), F.col(time)), "__island", order, time)
+    pause = lambda a, b: F.unix_micros(b[time]) - F.unix_micros(a[time]) > ttl_ms * 1000
+    islands = with_runs(events, keys, (time,), pause, order, time, days).withColumnRenamed("__since", "__island").drop("__before", "__since_before")
     late = islands.withColumn("__since", (F.unix_micros(time) - F.unix_micros("__island")) / 1000).filter(F.col("__since") > ttl_ms)
     group = [*keys, "__island"]
     spread, columns = late.repartition(*group).sortWithinPartitions(*group, "__since", *ties), events.columns

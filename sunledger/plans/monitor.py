@@ -12,7 +12,7 @@ from ..config import SITE, Site
 from ..functions import text as X
 from ..functions import time as T
 from ..operators import series as S
-from ..operators.days import carried, with_neighbours
+from ..operators.days import with_neighbours, with_runs
 from ..operators.joins import join_on_window
 
 
@@ -91,13 +91,12 @@ def alert_states(evals: DataFrame, by: Sequence[str], hold_s: float, condition:
     first false sample after a run that fired is Resolved. A null condition counts as false.
     """
     own = evals.withColumn("__on", F.coalesce(F.col(condition), F.lit(False)))
-    flagged = with_neighbours(own, by, ("__on",), (time,), before="__before", time=time)
-    begun = F.when(~F.col("__on").eqNullSafe(F.col("__before.__on")), F.col(time))
-    runs = carried(flagged, by, begun, "__since", (time,), time)
-    length = F.when(F.col("__on"), (F.unix_micros(time) - F.unix_micros("__since")) / 1e6).otherwise(0.0)
-    fires = with_neighbours(runs.withColumn("held_s", length).withColumn("__fires", F.col("__on") & (F.col("held_s") >= hold_s)), by, ("__fires",), (time,), before="__fired", time=time)
-    state = F.when(F.col("__fires"), "Firing").when(F.col("__on"), "Pending").when(F.col("__fired.__fires"), "Resolved").otherwise("Normal")
-    return fires.withColumn("state", state).drop("__on", "__before", "__since", "__fires", "__fired")
+    runs = with_runs(own, by, (time, "__on"), lambda a, b: a["__on"] != b["__on"], (time,), time)
+    held = lambda at, since: (F.unix_micros(at) - F.unix_micros(since)) / 1e6
+    length = F.when(F.col("__on"), held(F.col(time), F.col("__since"))).otherwise(0.0)
+    fired = F.col("__before.__on") & (held(F.col(f"__before.{time}"), F.col("__since_before")) >= hold_s)
+    state = F.when(F.col("__on") & (F.col("held_s") >= hold_s), "Firing").when(F.col("__on"), "Pending").when(fired, "Resolved").otherwise("Normal")
+    return runs.withColumn("held_s", length).withColumn("state", state).drop("__on", "__before", "__new", "__since", "__since_before")
 
 
 #: Severities, most urgent first.

@@ -13,8 +13,8 @@ from ..config import SITE
 from ..functions import time as T
 from ..operators import joins as J
 from ..operators import series as S
-from ..operators.ranked import percentiles
 from ..operators.ordered import dedup_ttl
+from ..operators.ranked import percentiles
 from ..operators.sets import stale_refs
 from ..sources.messages import acks
 from ..sources.tables import delete_where, upsert_points
@@ -54,7 +54,8 @@ def stable_weighs(samples: DataFrame, taps: DataFrame, range_g: float = 2.0, spa
 
 def ingest_weights(events: DataFrame, tag_map: DataFrame, ttl_ms: int = 60_000) -> tuple[DataFrame, DataFrame]:
     """(weights, acknowledgements) of valid events: every copy is acknowledged, one is stored, nothing is dropped for its value."""
-    once = dedup_ttl(events, ("device", "event_id"), ttl_ms, ties=("uid", "weight_g"))
+    # An event id of a scale comes now and then: months of it are put in order together.
+    once = dedup_ttl(events, ("device", "event_id"), ttl_ms, ties=("uid", "weight_g"), days=64)
     named = S.label_quality(J.resolve_plant(once, tag_map))
     return named.select("device", "plant_id", "quality", F.col("recv_ts").alias("time"), "weight_g", "uid"), acks(events)
 
