@@ -27,6 +27,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of `docs` as one struct: beside it an operator's own columns can't clash with any name."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns))
+
+
+def row_again(docs: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of such a struct, as they were."""
+    return [F.col(f"{row}.{quoted(c)}").alias(c) for c in docs.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, lower_ascii, text_of
+from .common import as_row, cut, lower_ascii, quoted, row_again, text_of
 
 
 def _some(low: int, high: int, step: int, width: int) -> str:
@@ -88,14 +88,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Of rows with one id and text, the one whose columns come first as JSON stays."""
     # Plain equality, not that of nulls, so that the join's partitioning serves the window too and texts move once.
-    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumns({"__sha": F.sha2(lower_ascii(text_of(text_col)), 256), "__id": named})
-    return first_of(own.join(found, ["__sha", "__id"], "left_semi"), ["__sha", "__id"], docs.columns, text_col)
+    found = exact_dedup(docs, id_col, text_col).filter("kept").select(name_of("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    own = docs.select(as_row(docs).alias("row"), name_of(id_col).alias("id"), F.sha2(lower_ascii(text_of(text_col)), 256).alias("sha"))
+    return first_of(own.join(found, ["sha", "id"], "left_semi"), docs, text_col)
 
 
-def first_of(rows: DataFrame, keys: list[str], columns: list[str], text_col: str) -> DataFrame:
-    """One row a key: that whose other columns, then whose text, come first. Ties are equal rows."""
-    others = F.to_json(F.struct(*(c for c in columns if c != text_col)))
-    turn = F.row_number().over(W.partitionBy(*keys).orderBy(others, F.sha2(text_of(text_col), 256)))
-    return rows.withColumn("__turn", turn).filter("__turn = 1").select(*columns)
+def name_of(id_col: str) -> Column:
+    """An id as text that is never null; that of a null id differs from all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+
+
+def first_of(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Of rows (row, id, sha) one an id and sha, with the columns of `docs`: that whose other columns, then whose text, come first. Ties are equal rows."""
+    others = F.to_json(F.struct(*(x for c, x in zip(docs.columns, row_again(docs)) if c != text_col)))
+    turn = F.row_number().over(W.partitionBy("sha", "id").orderBy(others, F.sha2(text_of(F.col(f"row.{quoted(text_col)}")), 256)))
+    return rows.withColumn("turn", turn).filter("turn = 1").select(*row_again(docs))

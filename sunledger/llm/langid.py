@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .common import as_row, quoted, row_again
+
 #: Bytes of a piece.
 PIECE = 120
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of texts, about, that go through the network together.
 TOGETHER = 1 << 20
-#: Documents whose best pooled probability is below so many times chance have no recognisable language: the pipeline's stage rejects them.
-OVER_CHANCE = 1.2
+#: The name of the class for what is no language. It comes before all others.
+JUNK = "\x00"
+#: A byte's neighbours say much the same, so the evidence of so many bytes counts once.
+ALIKE = 8
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -206,17 +210,57 @@ def training_pieces(labelled: DataFrame, per_language: int = 1500, documents: in
     return [(r["lang"], bytes(r["piece"])) for r in rows]
 
 
-def fit(labelled: DataFrame, **sample) -> ByteGru | None:
-    """Trains on rows of (doc_id, text, lang); None if there are none."""
+def scrambled(pieces: list[bytes], seed: int = 7) -> list[bytes]:
+    """What is no language, made from the pieces of languages: their letters in any order, over the piece or inside words, and random
+    signs, digits and consonants of the same lengths."""
+    rng, out = np.random.default_rng(seed), []
+    signs, hard = list("!#$%&()*+,-./:;<=>?@[]^_{|}~0123456789"), list("bcdfghjklmnpqrstvwxz")
+    mixed = signs + hard + list("aeiouAEIOUBCDFGHJKLMNPQRSTVWXZ")
+    for n, piece in enumerate(pieces):
+        text = piece.decode("utf-8", "ignore")
+        if n % 4 == 0:
+            made = "".join(rng.permutation(list(text)))
+        elif n % 4 == 1:
+            made = " ".join("".join(rng.permutation(list(w))) for w in text.split(" "))
+        else:
+            pool, spaced = (signs, hard, mixed)[n // 4 % 3], n % 4 == 2
+            made = "".join(rng.choice(pool, len(text)))
+            made = "".join(" " if spaced and a == " " else b for a, b in zip(text, made))
+        out.append(made.encode()[:PIECE] or b"?")
+    return out
+
+
+def fit(labelled: DataFrame, junk: bool = False, **sample) -> ByteGru | None:
+    """Trains on rows of (doc_id, text, lang); None if there are none. With `junk` there is a class more, learned from scrambled pieces."""
     rows = training_pieces(labelled, **sample)
     if not rows:
         return None
+    if junk:
+        made = scrambled([s for _, s in rows])
+        # As many as of languages: what the class costs a clean text is small beside what the words of its language say.
+        rows = [(JUNK, s) for s in made] + rows
     languages = sorted({lang for lang, _ in rows})
     model = ByteGru(languages)
-    model.train([s for _, s in rows], np.searchsorted(languages, [lang for lang, _ in rows]))
+    model.train([s for _, s in rows], np.searchsorted(languages, [lang for lang, _ in rows]), **({"steps": 220} if junk else {}))
     return model
 
 
+def junk_evidence(sums: np.ndarray) -> np.ndarray:
+    """How much more a text's bytes look like no language than like the best one, from summed log probabilities (junk first)."""
+    return (sums[:, 0] - sums[:, 1:].max(axis=1)) / ALIKE if sums.shape[1] > 1 else np.zeros(len(sums))
+
+
+def learned_limit(model: ByteGru, pieces: list[bytes], sizes: tuple[int, ...] = (8, 16, 32, 64, PIECE), share: float = 0.999, spare: float = 2.5) -> float:
+    """The evidence above which a text is junk: `spare` times what all but one in a thousand of the known pieces stay below, at whatever length they are cut.
+
+    Known pieces hold addresses, numbers and shouting too, hence not the highest of all. A whole text is many pieces, so one that is of a
+    language stays far below; short ones give little evidence either way and stay.
+    """
+    cuts = [p[:n].decode("utf-8", "ignore").encode() for p in pieces for n in sizes]
+    cuts = [c for c in cuts if LETTER.search(c.decode())]
+    return spare * max(1.0, float(np.quantile(junk_evidence(model.label(cuts)), share))) if cuts else np.inf
+
+
 def save_model(spark: SparkSession, model: ByteGru, path: str) -> None:
     """Stores the weights as a table, so that a model that is fitted once serves many jobs."""
     rows = [(name, list(w.shape), w.ravel().tolist(), model.languages) for name, w in model.w.items()]
@@ -231,10 +275,14 @@ def load_model(spark: SparkSession, path: str) -> ByteGru:
     return model
 
 
-def predict(docs: DataFrame, model: ByteGru | None, carry: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns `carry` of `docs`, and label and score of every row; `und` and 0 for a text that is null or has no letter, or without a model."""
+def predict(docs: DataFrame, model: ByteGru | None, carry: list[str], text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `carry` of `docs`, and label and score of every row; `und` and 0 for a text that is null or has no letter, or without a model.
+
+    With a third name, also the evidence that a text is in no language; the model then has a class for it, which is never a label.
+    """
     own = docs.select(*dict.fromkeys([*carry, text_col]))
-    schema = T.StructType([*(own.schema[c] for c in carry), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*(own.schema[c] for c in carry), T.StructField(names[0], T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
+    junk = int(bool(model and model.languages[0] == JUNK))
 
     def judged(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.encode() if model and t and LETTER.search(t) else b"" for t in rows.column(text_col).to_pylist()]
@@ -244,12 +292,14 @@ def predict(docs: DataFrame, model: ByteGru | None, carry: list[str], text_col:
         sums = np.zeros((len(texts), len(model.languages) if model else 1))
         if pieces:
             np.add.at(sums, owner, model.label(pieces))
+        against, sums = junk_evidence(sums) if junk else np.zeros(len(sums)), sums[:, junk:]
         mean = sums / np.maximum([[len(t)] for t in texts], 1)
         odds = np.exp(mean - mean.max(axis=1, keepdims=True))
         best, sure = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
-        langs = [model.languages[b] if t else "und" for t, b in zip(texts, best, strict=True)]
+        langs = [model.languages[b + junk] if t else "und" for t, b in zip(texts, best, strict=True)]
         scores = [float(p) if t else 0.0 for t, p in zip(texts, sure, strict=True)]
-        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*carry, *names])
+        found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(against, pa.float64())]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in carry), *found[: len(names)]], names=[*carry, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,10 +313,14 @@ def predict(docs: DataFrame, model: ByteGru | None, carry: list[str], text_col:
     return own.mapInArrow(run, schema)
 
 
-def fit_on(docs: DataFrame, **sample) -> ByteGru | None:
-    """Fits on the rows of `docs` (doc_id, text, lang) that have a language and aren't held out."""
+def to_learn(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang) that have a language and aren't held out."""
     out = F.coalesce(held_out(), F.lit(False))
-    return fit(docs.filter(~out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), **sample)
+    return docs.filter(~out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+
+
+def fit_on(docs: DataFrame, **sample) -> ByteGru | None:
+    return fit(to_learn(docs), **sample)
 
 
 def identify(docs: DataFrame, **sample) -> DataFrame:
@@ -279,16 +333,19 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
     return predict(docs, fit_on(docs, **sample), ["doc_id"]).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, over_chance: float = OVER_CHANCE, **sample) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang) in which the network recognises a language, with all their columns.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **sample) -> DataFrame:
+    """The rows of `docs` in which the network recognises a language, with all their columns; where the language is null, the label takes its place.
 
-    Rows without a letter and rows whose score is below `over_chance` times that of a guess go; where lang is null, the label takes its place. If
-    no row has a language to learn from, no row can be judged by one: those with a letter stay as they are.
+    Rows without a letter go, and those that look more like scrambled letters and signs than like any language, by more than any
+    known piece of a language does (learned_limit). If no row has a language to learn from, no row can be judged by
+    one: those with a letter stay as they are. Columns may have any names: a row is carried as one.
     """
-    model = fit_on(docs, **sample)
+    has = F.col(text_col).rlike(r"\p{L}")
+    packed = docs.select(as_row(docs).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    model = fit(to_learn(packed), junk=True, **sample)
     if model is None:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    k = len(model.languages)
-    least_score = min(over_chance / k, 1.0)
-    labelled = predict(docs, model, docs.columns, names=("__lang_pred", "__score"))
-    return labelled.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least_score)).withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+        return docs.filter(has)
+    limit = learned_limit(model, [s for _, s in training_pieces(to_learn(packed), **sample)])
+    found = predict(packed.filter(F.col("text").isNotNull()), model, ["row"], names=("lang_pred", "score", "junk")).filter((F.col("lang_pred") != "und") & (F.col("junk") <= limit))
+    filled = F.coalesce(F.col(f"row.{quoted(lang_col)}"), "lang_pred").alias(lang_col)
+    return found.select(*(filled if c == lang_col else x for c, x in zip(docs.columns, row_again(docs))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut, shuffle_partitions, text_of
+from .common import WORD, as_row, cut, row_again, shuffle_partitions, text_of
 
 WEIGHTS = (3, 1, 2)
 #: Up to so many sources (a few MB) one task puts them in order and their targets are broadcast; beyond, both go by ranges and shuffles, with the same result.
@@ -88,8 +88,9 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sized.join(found, sized[source_col].eqNullSafe(found["__source"])).withColumn("__copies", copies).drop("__source", "__rate")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows, copies repeated, with the columns of `docs`."""
-    planned = with_copies(docs, **options)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed rows, copies repeated, with the columns of `docs`, whatever their names."""
+    packed = docs.select(as_row(docs).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    planned = with_copies(packed, **options)
     repeated = planned.filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    return repeated.select(*row_again(docs))

@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut, text_of
+from .common import UPPER, as_row, cut, text_of
 from .components import connected_components
-from .exact_dedup import first_of
+from .exact_dedup import first_of, name_of
 
 BITS, LIMIT = 64, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -197,7 +197,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prints = cut(fingerprints(docs, id_col, text_col, with_sha=True))
     _, components = _components(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "sha"))
-    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
-    winners = components.select(F.coalesce(F.concat(F.lit("="), F.col("least.doc_id").cast("string")), F.lit("")).alias("__id"), F.col("least.sha").alias("__sha"))
-    own = docs.withColumns({"__sha": F.sha2(text_of(text_col), 256), "__id": named})
-    return first_of(own.join(winners, ["__sha", "__id"], "left_semi"), ["__sha", "__id"], docs.columns, text_col)
+    winners = components.select(name_of("least.doc_id").alias("id"), F.col("least.sha").alias("sha"))
+    own = docs.select(as_row(docs).alias("row"), name_of(id_col).alias("id"), F.sha2(text_of(text_col), 256).alias("sha"))
+    return first_of(own.join(winners, ["sha", "id"], "left_semi"), docs, text_col)
