@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents, extra ones included. Each works on all that its predecessor kept.
 
-Null and empty texts, and texts in which the network recognises no language, go in the first stage; where lang is null,
-its label takes the place. Rows with a null id are documents like others; of rows repeated with one id one stays. Null sources
+Null and empty texts, and texts that the network finds more like scrambled letters and signs than like any language, go in the
+first stage; where lang is null, its label takes the place. Rows with a null id are documents like others; of rows repeated with one id one stays. Null sources
 are one source. An empty table passes through all stages.
 """
 
