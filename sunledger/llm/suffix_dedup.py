@@ -10,9 +10,9 @@ minimum.
 
 There, batches of segments arrive one after the other. Segments of equal bytes, as copies have them, are found by a dictionary of
 the segments themselves; the rest of a batch gets a suffix array: its window starts in alphabetical order of their 400 bytes, by
-doubling ranks of 8, 16, ... 256 and then 400 bytes, so equality is that of bytes, not of hashes. The array is merge-scanned
-against the levels that exist: in the joint order, suffixes that agree on 400 bytes are neighbours. Then it becomes a level, and
-levels of about equal size merge, so there are only logarithmically many and each suffix is moved logarithmically often. A level
+doubling ranks of 5, 10, ... 320 and then 400 bytes, so equality is that of bytes, not of hashes. Its suffixes are searched in
+the levels that exist, by binary search over their bytes; those that are in none become a level, and levels of about equal size merge in
+one pass without a sort. So only the batch is ever sorted, there are only logarithmically many levels, and each suffix is moved logarithmically often. A level
 keeps one entry a distinct suffix, so a passage with a million copies costs one.
 
 A minimum that very many segments share (a passage in a third of all documents) would bring all the different surroundings of
@@ -198,20 +198,66 @@ def suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, same
 
 
+def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers of the same order."""
+    return np.ndarray(max(0, len(data) - 7), ">u8", data, strides=(1,))[at].astype(np.uint64)
+
+
+def _compare(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 for each pair of suffixes, by their first LENGTH bytes; in blocks, so that few bytes are held at once."""
+    out = np.zeros(len(a_at), np.int8)
+    for k in range(0, len(a_at), 4096):
+        x, y = (np.lib.stride_tricks.sliding_window_view(d, LENGTH)[at[k : k + 4096]] for d, at in ((a, a_at), (b, b_at)))
+        first = (np.arange(len(x)), (x != y).argmax(axis=1))
+        out[k : k + 4096] = (x[first] > y[first]).astype(np.int8) - (x[first] < y[first])
+    return out
+
+
 class Level:
-    """A suffix array: bytes, and the starts in them of distinct suffixes in alphabetical order, with the text and place each comes from."""
+    """A suffix array: bytes, and the starts in them of distinct suffixes in alphabetical order, with the text and place each comes from.
+
+    `word` holds the first eight bytes of each suffix, so most searches end without a look at the bytes.
+    """
 
     def __init__(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray, told: np.ndarray) -> None:
         edges = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + LENGTH, minlength=len(data) + 1)
         held = np.cumsum(edges[:-1]) > 0  # bytes of no suffix that is left are left out
         self.data, self.at = data[held], (np.cumsum(held) - 1)[at]
         self.owner, self.start, self.told = owner, start, told  # told: reported as repeated
+        self.word = _words(self.data, self.at)
 
     def __len__(self) -> int:
         return len(self.at)
 
-    def take(self, which: np.ndarray) -> Level:
-        return Level(self.data, self.at[which], self.owner[which], self.start[which], self.told[which])
+    def find(self, data: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of each suffix of `data` among those of the level, whether it is there), by binary search."""
+        low, high = np.searchsorted(self.word, word, "left"), np.searchsorted(self.word, word, "right")
+        equal, left = np.zeros(len(at), bool), np.flatnonzero(low < high)
+        second = _words(data, at[left] + 8)
+        while len(left):
+            middle = (low[left] + high[left]) >> 1
+            there = _words(self.data, self.at[middle] + 8)
+            sign = (second > there).astype(np.int8) - (second < there)
+            tied = np.flatnonzero(sign == 0)
+            sign[tied] = _compare(data, at[left[tied]], self.data, self.at[middle[tied]])
+            low[left], high[left] = np.where(sign > 0, middle + 1, np.where(sign, low[left], middle)), np.where(sign > 0, high[left], middle)
+            equal[left[sign == 0]] = True
+            on = low[left] < high[left]
+            left, second = left[on], second[on]
+        return low, equal
+
+    def merge(self, other: Level) -> None:
+        """Takes in another level, none of whose suffixes is here: one pass over both, without a sort."""
+        place = self.find(other.data, other.at, other.word)[0] + np.arange(len(other))
+        ours = np.ones(len(self) + len(other), bool)
+        ours[place] = False
+        other.at = other.at + len(self.data)
+        for name in ("at", "owner", "start", "told", "word"):
+            x, y = getattr(self, name), getattr(other, name)
+            both = np.empty(len(ours), np.result_type(x, y))
+            both[ours], both[place] = x, y
+            setattr(self, name, both)
+        self.data = np.concatenate([self.data, other.data])
 
 
 class IndexFamily:
@@ -223,34 +269,31 @@ class IndexFamily:
     def add(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, start) of suffixes found repeated now: those of the batch, and those of earlier batches that had no match before.
 
-        A level is scanned, and merged if it is of about equal size, in one joint order with what is new, the smallest first.
+        Only the batch itself is sorted. Its distinct suffixes are searched in each level; those that are in none become a
+        level, which merges with those of about equal size, the smallest first.
         """
         order, same = suffix_order(data, at)
         at, owner, start = at[order], owner[order], start[order]
         matched = same.copy()
         matched[:-1] |= same[1:]
         out = [(owner[matched], start[matched])]
-        new, larger = Level(data, at[~same], owner[~same], start[~same], matched[~same]), []
-        while self.levels:
-            level = self.levels.pop()
-            size = len(level)
-            starts = np.concatenate([level.at, new.at + len(level.data)])
-            order, same = suffix_order(np.concatenate([level.data, new.data]), starts)
-            fresh = np.flatnonzero(same)  # of equal neighbours the older is first: the order is stable
-            old, own = order[fresh - 1], order[fresh] - size
-            for side, which in ((level, old), (new, own)):
-                quiet = which[~side.told[which]]
-                out.append((side.owner[quiet], side.start[quiet]))
+        at, owner, start, told = (x[~same] for x in (at, owner, start, matched))
+        word, fresh = _words(data, at), np.ones(len(at), bool)
+        for level in self.levels:
+            place, own = level.find(data, at, word)
+            old, quiet = place[own], own & ~told
+            out.append((owner[quiet], start[quiet]))
+            old = old[~level.told[old]]
+            out.append((level.owner[old], level.start[old]))
             level.told[old] = True
-            if size <= 2 * len(new):
-                order = order[~same]
-                new = Level(np.concatenate([level.data, new.data]), starts[order], *(np.concatenate([getattr(level, k), getattr(new, k)])[order] for k in ("owner", "start", "told")))
-            else:
-                left = np.ones(len(new), bool)
-                left[own] = False
-                new = new if left.all() else new.take(left)
-                larger.append(level)
-        self.levels = larger[::-1] + [new] * bool(len(new))
+            fresh &= ~own
+        if fresh.any():
+            new = Level(data, *(x[fresh] for x in (at, owner, start, told)))
+            while self.levels and len(self.levels[-1]) <= 2 * len(new):
+                large, small = sorted((self.levels.pop(), new), key=len, reverse=True)
+                large.merge(small)
+                new = large
+            self.levels.append(new)
         return np.concatenate([o for o, _ in out]), np.concatenate([s for _, s in out])
 
 

@@ -645,6 +645,41 @@ def test_family_of_suffix_arrays():
     assert all(h == sorted(h) for h in held) and sorted(x for h in held for x in h) == sorted(x.encode() for x in starts)
 
 
+def test_family_sorts_only_what_is_new(monkeypatch):
+    """Over 64 batches each batch sorts its own bytes, whatever the levels hold, and moves each suffix logarithmically often."""
+    family, rng, sorted_bytes, moved = suffix_dedup.IndexFamily(), np.random.default_rng(3), [], []
+    order, merge = suffix_dedup.suffix_order, suffix_dedup.Level.merge
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda data, at: sorted_bytes.append(len(data)) or order(data, at))
+    monkeypatch.setattr(suffix_dedup.Level, "merge", lambda self, other: moved.append(len(self) + len(other)) or merge(self, other))
+    for k in range(64):
+        data = rng.integers(97, 123, 3000).astype(np.uint8)
+        at = np.arange(len(data) - 399)
+        family.add(data, at, np.full(len(at), k), at)
+    assert sorted_bytes == [3000] * 64
+    assert sum(moved) <= 64 * 2601 * 8 and len(family.levels) <= 7
+    assert sum(len(level) for level in family.levels) == 64 * 2601
+
+
+def test_search_in_levels():
+    """Few letters and long common beginnings: places and equality are those of plain byte strings."""
+    import bisect
+
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(97, 99, 1500), np.full(900, 97), np.tile(rng.integers(97, 99, 7), 150)]
+    data = np.concatenate(parts).astype(np.uint8)
+    at = np.arange(len(data) - 399)
+    order, same = suffix_dedup.suffix_order(data, at)
+    at = at[order][~same]
+    level = suffix_dedup.Level(data, at, at, at, np.zeros(len(at), bool))
+    held = [data[i : i + 400].tobytes() for i in at]
+    asked = np.concatenate([parts[2][3:], rng.integers(97, 99, 500), np.full(600, 97), parts[0][100:1200]]).astype(np.uint8)
+    places = np.arange(len(asked) - 399)
+    low, equal = level.find(asked, places, suffix_dedup._words(asked, places))
+    told = [asked[i : i + 400].tobytes() for i in places]
+    assert low.tolist() == [bisect.bisect_left(held, x) for x in told]
+    assert equal.tolist() == [x in set(held) for x in told] and equal.any() and not equal.all()
+
+
 def test_batches_on_disk(spark, tmp_path):
     """Each batch is judged against those before it; levels stay few; a level left over from a loss changes nothing."""
     import shutil
