@@ -5,7 +5,8 @@ them to its ancestors, half as many at each further container; a container's poi
 that stands in links. The best container is kept with those of its siblings that look like part of
 the same text, and inside an article with what stands beside its ancestors there; parts of a page that are never article text (menus, forms, notices, comments ...) are
 left out before that, by their element or by the names in their class, id and role. Names (and forms and headers) only
-suggest: they don't leave out what holds the article or most of the text, nor anything if nothing would be left.
+suggest: they don't leave out what holds the article or most of the text, nor anything if nothing would be left. Inside an article, a name that
+can also be the subject of one of its parts (tags, rating ...) leaves out only what looks the part: links, form fields, short labels.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ CONTAINERS = frozenset("article body blockquote center details div dl main ol se
 #: An open element that ends when one of the given elements starts.
 ENDED_BY = {
     "p": BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
-    "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body", *(BLOCKS - {"html"})]),
+    "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["head", "body", *(BLOCKS - {"html"})]),
 }
 #: Elements that an implied end or a stray end tag doesn't reach through.
 FENCE = {"p": frozenset("table td th button object".split()), "li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
@@ -42,6 +43,15 @@ HINTS_AGAINST = frozenset(
 )
 HINTS_FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 HEADER = frozenset(["header"])
+#: Of those that speak against, names that parts of an article have for their subject or looks too.
+SUBJECTS = frozenset("menu rating search skip social tags teaser tracking".split())
+#: The same for headings, which are no notices.
+SUBJECTS_OF_HEADINGS = SUBJECTS | frozenset("alert banner masthead notice notification".split())
+FIELDS = frozenset("button form input select textarea".split())
+TABLE_PARTS = frozenset("tbody td tfoot th thead tr".split())
+SENTENCE_ENDS = tuple(".!?\u2026\u3002\uff01\uff1f\"'\u201d\u00bb)")
+#: Characters up to which a text that is no sentence is a label.
+LABEL = 80
 #: Characters from which on a part can be a page's text.
 SUBSTANTIAL = 200
 
@@ -57,87 +67,97 @@ class Node:
     against: bool = False
     liked: bool = False
     suggested: bool = False
+    subject: bool = False
+    names: str = ""
     children: list = field(default_factory=list)
     points: float = 0.0
 
 
-def _hints(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is left out, whether that is only suggested, and whether its names speak for it.
+def _element(tag: str, attributes: str, parent: Node, inside_article: bool) -> Node:
+    """A new node: whether it is left out, whether that is only suggested (by a subject's name, in an article), and whether its names speak for it.
 
     A name speaks against an element as a whole or if all its words do: sidebar and cookie-banner, not has-sidebar.
     """
     forbidden = tag in LEFT_OUT and tag != "form"
     bad = tag == "form" or tag == "header" and not inside_article
     if not attributes or attributes.isspace():
-        return forbidden or bad, bad, False
+        return Node(tag, parent, forbidden or bad, suggested=bad)
     words: set[str] = set()
     against = HINTS_AGAINST if inside_article else HINTS_AGAINST | HEADER
-    hidden = False
+    subjects = frozenset() if not inside_article else SUBJECTS_OF_HEADINGS if tag in HEADINGS else SUBJECTS
+    hidden, subject, names = False, not bad, ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
+            names = value.lower() if name == "class" else names
             for one in value.lower().split():
                 own = WORDS.findall(one)
                 words.update(own)
-                bad = bad or bool(own) and against.issuperset(own) and tag not in ("html", "body", "article", "main")
+                if own and against.issuperset(own) and tag not in ("html", "body", "article", "main"):
+                    bad, subject = True, subject and subjects.issuperset(own)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
     forbidden = forbidden or hidden
-    return forbidden or bad, bad and not forbidden, bool(words & HINTS_FOR)
+    suggested = bad and not forbidden
+    return Node(tag, parent, forbidden or bad, bool(words & HINTS_FOR), suggested, suggested and subject, names)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Broken markup never fails: what isn't a tag is text."""
-    root = here = Node("html", None)
-    at, articles = 0, 0
+    """The tree of a page. Broken markup never fails: what isn't a tag is text.
+
+    Where the open elements of each name stand is kept, so no tag walks over what is open: time follows the page's length.
+    """
+    root = Node("html", None)
+    opened = [root]
+    places: dict[str, list[int]] = {}  # in `opened`, of each name
+    ending: list[int] = []  # in `opened`, of elements that end at others' starts or shield what is around them
+    at = 0
     end_of_raw: dict[str, re.Pattern[str]] = {}
     last = page.rfind(">")
+
+    def close(place: int) -> None:
+        while len(opened) > place:
+            places[opened.pop().tag].pop()
+            if ending and ending[-1] == len(opened):
+                ending.pop()
+
     while at <= last and (m := TOKEN.search(page, at)):
         if m.start() > at:
-            here.children.append(page[at : m.start()])
+            opened[-1].children.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            fence, node = FENCE.get(tag, frozenset()), here
-            while node.parent is not None and node.tag != tag and node.tag not in fence:
-                node = node.parent
-            if node.tag == tag and node.parent is not None:
-                step = here
-                while step is not node.parent:
-                    articles -= step.tag in ("article", "main")
-                    step = step.parent
-                here = node.parent
+            own = places.get(tag)
+            if own and not any(places[f][-1] > own[-1] for f in FENCE.get(tag, ()) if places.get(f)):
+                close(own[-1])
             continue
-        if tag in ("html", "body") and (tag == "html" or here.tag == "body"):
+        if tag in ("html", "body") and (tag == "html" or opened[-1].tag == "body"):
             continue
-        node = here  # what the new element ends
-        while node.parent is not None:
-            if tag in ENDED_BY.get(node.tag, ()):
-                step, here = here, node.parent
-                while step is not here:
-                    articles -= step.tag in ("article", "main")
-                    step = step.parent
-                node = here
-                continue
-            if node.tag in BLOCKS and node.tag not in ENDED_BY:
+        k = len(ending) - 1  # from here inwards out: what the new element ends, up to what shields the rest
+        while k >= 0:
+            name = opened[ending[k]].tag
+            if tag in ENDED_BY.get(name, ()):
+                close(ending[k])
+            elif name in BLOCKS and name not in ENDED_BY:
                 break
-            node = node.parent
-        out, suggested, liked = _hints(tag, m[3], articles > 0)
-        node = Node(tag, here, out, liked, suggested)
-        here.children.append(node)
+            k -= 1
+        node = _element(tag, m[3], opened[-1], bool(places.get("article") or places.get("main")))
+        opened[-1].children.append(node)
         if tag in RAW:
-            close = end_of_raw.get(tag) or end_of_raw.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I))
-            found = close.search(page, at)
+            end = end_of_raw.get(tag) or end_of_raw.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I))
+            found = end.search(page, at)
             if not node.against:
                 node.children.append(page[at : found.start() if found else len(page)])
             at = found.end() if found else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCKS and tag not in VOID:
-            articles += tag in ("article", "main")
-            here = node
+            if tag in BLOCKS or tag in ENDED_BY:
+                ending.append(len(opened))
+            places.setdefault(tag, []).append(len(opened))
+            opened.append(node)
     if at < len(page):
-        here.children.append(page[at:].partition("<!--")[0])
+        opened[-1].children.append(page[at:].partition("<!--")[0])
     return root
 
 
@@ -213,14 +233,23 @@ def _relent(root: Node) -> list[Node]:
         node.against = False
     points: dict[Node, float] = {}
     chars: dict[Node, int] = {}
+    looks: dict[Node, list[int]] = {}  # characters, those in links, those of texts that are no labels, fields
     for text, owner, linked in blocks([root]):
+        look = looks.setdefault(owner, [0, 0, 0, 0])
+        for i, n in enumerate((len(text), linked, len(text) * (len(text) >= LABEL or text.endswith(SENTENCE_ENDS)))):
+            look[i] += n
         if n := _points(text, owner, linked):
             points[owner] = points.get(owner, 0.0) + n
             chars[owner] = chars.get(owner, 0) + len(text) - linked
     own, holds, outside = dict(chars), set(), 0  # own: without what is below suggestions
     for node in reversed(_below(root)):
         article = node.tag in ("article", "main")
+        look = looks.setdefault(node, [0, 0, 0, 0])
+        look[3] += node.tag == "form" or any(isinstance(c, Node) and c.tag in FIELDS for c in node.children)
         if node.parent is not None:
+            above = looks.setdefault(node.parent, [0, 0, 0, 0])
+            for i in range(4):
+                above[i] += look[i]
             for sums in (points, chars) if node.suggested else (points, chars, own):
                 sums[node.parent] = sums.get(node.parent, 0) + sums.get(node, 0)
             if article or node in holds:
@@ -232,6 +261,10 @@ def _relent(root: Node) -> list[Node]:
             outside = max(outside, own.get(node, 0))
     stay = []
     for node in asked:
+        if node.subject and node.tag in BLOCKS:
+            n, linked, prose, fields = looks[node]
+            if node.tag in HEADINGS or 3 * linked < n and 2 * prose >= n and not fields:
+                continue
         most = points.get(node, 0.0) > points.get(root, 0.0) / 2
         if not (node in holds and (most or not outside) or most and chars[node] >= SUBSTANTIAL > outside):
             node.against = True
@@ -281,8 +314,8 @@ def main_text(page: str) -> str:
 def _kept_siblings(node: Node, sizes: dict[Node, tuple[int, int]], inner: list, inside: bool) -> list:
     """The children of the node's parent that stay, in order; the node itself is `inner`.
 
-    A sibling needs a fifth of the node's points, or to be a heading or paragraph beside a node that is no article; inside an
-    article it only must not be a list of links.
+    A sibling needs a fifth of the node's points, or to be a heading or paragraph beside a node that is no article, or an element
+    like it (the same tag and class) that says a sentence without links; inside an article it only must not be a list of links.
     """
     limit, kept, run, whole = node.points * 0.2, [], [], node.tag in ("article", "main")
 
@@ -304,12 +337,19 @@ def _kept_siblings(node: Node, sizes: dict[Node, tuple[int, int]], inner: list,
         elif not child.against and child in sizes:
             n, k = sizes[child]
             text_like = child.tag == "h1" if whole else child.tag in HEADINGS or child.tag in PARAGRAPHS and k / n < 0.25 and (n > 80 or k == 0)
-            if text_like or child.points > 0 and child.points * (1 - k / n) >= limit or inside and k / n < 0.5:
+            alike = not whole and child.tag == node.tag and child.names == node.names and not k and _sentence(child)
+            if text_like or alike or child.points > 0 and child.points * (1 - k / n) >= limit or inside and k / n < 0.5:
                 kept.append(child)
     end_run()
     return kept
 
 
+def _sentence(node: Node) -> bool:
+    """Whether the text ends as sentences do, and isn't a copyright line."""
+    found = blocks([node])
+    return bool(found) and found[-1][0].endswith(SENTENCE_ENDS) and not any("\u00a9" in b[0] for b in found)
+
+
 def _best_text(root: Node) -> str:
     node, sizes = _score(root)
     if node is None:
@@ -322,7 +362,7 @@ def _best_text(root: Node) -> str:
         inside = article is not None and node is not article
         kept = _kept_siblings(node, sizes, kept, inside)
         node = node.parent
-        if not inside or node is article:
+        if node is article or not inside and node.tag not in TABLE_PARTS:
             break
     return "\n".join(b[0] for b in blocks(kept))
 

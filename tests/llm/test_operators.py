@@ -271,6 +271,35 @@ def test_siblings_inside_an_article():
     assert html_text.main_text(nested) == STORY_TEXT
 
 
+LONGER = "It is a whole sentence, and it belongs to what the article says about its subject."
+
+
+def test_subjects_inside_an_article_stay():
+    """A name that can be a part's subject needs links, fields or labels beside it; adverts, notices and comments go by name alone."""
+    for part in (f'<section class="tags"><p>{LONGER}</p></section>', f'<div class="rating review"><p>{LONGER}</p></div>', f'<div class="search"><h3>On search</h3><p>{LONGER}</p></div>', '<h2 class="banner">A heading</h2>', '<div class="rating"><p>Brief.</p></div>'):
+        told = "\n".join(b[0] for b in html_text.blocks([html_text.parse(part.replace("class=", "x="))]))
+        assert html_text.main_text(f"<article>{STORY}{part}{STORY}</article>") == f"{STORY_TEXT}\n{told}\n{STORY_TEXT}", part
+    for part in ('<div class="tags"><a href=x>one</a> <a href=y>two</a></div>', '<div class="rating">4 of 5</div>', f'<div class="search"><p>{LONGER}</p><input name=q></div>', f'<div class="ad"><p>{LONGER}</p></div>', f'<div class="comments"><p>{LONGER}</p></div>', f'<div class="cookie-banner"><p>{LONGER}</p></div>', f'<div class="tags ad"><p>{LONGER}</p></div>', f'<div class="tags" hidden><p>{LONGER}</p></div>', "<h3 class=comments>Comments</h3>", f"<div class=notice><p>{LONGER}</p></div>"):
+        assert html_text.main_text(f"<article>{STORY}{part}{STORY}</article>") == f"{STORY_TEXT}\n{STORY_TEXT}", part
+
+
+def test_short_parts_of_the_story_stay():
+    assert html_text.main_text(f"<body><div>{STORY}</div><div>Brief end.</div></body>") == STORY_TEXT + "\nBrief end."
+    assert html_text.main_text(f"<body><div class=c>{STORY}</div><div class=c>Brief end.</div><div class=d>Other site.</div></body>") == STORY_TEXT + "\nBrief end."
+    assert html_text.main_text(f"<body><div>Log in</div><div>{STORY}</div><div>\u00a9 2024 Site.</div><div>See <a href=x>more</a>.</div></body>") == STORY_TEXT
+    for rows_ in ("<tr><td>{0}</td></tr><tr><td>Brief end.</td></tr>", "<tbody><tr><td>{0}</td></tr></tbody><tbody><tr><td>Brief end.</td></tr></tbody>"):
+        assert html_text.main_text(f"<body><table>{rows_.format(STORY)}</table><div><a href=x>Home</a></div></body>") == STORY_TEXT + "\nBrief end."
+
+
+@pytest.mark.parametrize("unit", ["<font><span>y</p>", "<b>x</i>", "<b><td>x", "<head>x", "<li><b>x</ul>", "<p><td><b>x</p>", '<div class="tags">x', "<option><b>x</select>"])
+def test_unclosed_markup_takes_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<article>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 10
+
+
 def slow_best(root):
     """The best container by definition: every block's points walk up to the root, halved after each container."""
     seen = html_text.blocks([root])
