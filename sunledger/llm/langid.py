@@ -250,7 +250,7 @@ def junk_evidence(sums: np.ndarray) -> np.ndarray:
     return (sums[:, 0] - sums[:, 1:].max(axis=1)) / ALIKE if sums.shape[1] > 1 else np.zeros(len(sums))
 
 
-def learned_limit(model: ByteGru, pieces: list[bytes], sizes: tuple[int, ...] = (8, 16, 32, 64, PIECE), share: float = 0.999, spare: float = 2.5) -> float:
+def learned_limit(model: ByteGru, pieces: list[bytes], sizes: tuple[int, ...] = (8, 16, 32, 64, PIECE), share: float = 0.999, spare: float = 4.0) -> float:
     """The evidence above which a text is junk: `spare` times what all but one in a thousand of the known pieces stay below, at whatever length they are cut.
 
     Known pieces hold addresses, numbers and shouting too, hence not the highest of all. A whole text is many pieces, so one that is of a
