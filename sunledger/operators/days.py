@@ -49,13 +49,11 @@ def carried(df: DataFrame, by: Names, value: Column, to: str, order: Names = ("t
     rank = F.when(F.col("__value").isNotNull(), F.struct(*order))
     edge = (F.max_by if forward else F.min_by)("__value", rank)
     days = own.groupBy(KEY, DAY).agg(edge.alias("__edge"))
-    across, inside = W.partitionBy(KEY).orderBy(DAY), W.partitionBy(KEY, DAY).orderBy(*order)
-    if forward:
-        far = F.last("__edge", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))
-        near = F.last("__value", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    else:
-        far = F.first("__edge", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing))
-        near = F.first("__value", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing))
+    # Looking ahead is looking back in the opposite order: a frame that shrinks from row to row would be read anew for each of them.
+    turn = F.asc if forward else F.desc
+    across, inside = W.partitionBy(KEY).orderBy(turn(DAY)), W.partitionBy(KEY, DAY).orderBy(*map(turn, order))
+    far = F.last("__edge", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))
+    near = F.last("__value", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0 if forward else -1))
     joined = own.join(days.select(KEY, DAY, far.alias("__far")), [KEY, DAY])
     return joined.withColumn(to, F.coalesce(near, "__far")).drop(KEY, DAY, "__value", "__far")
 

@@ -310,3 +310,10 @@ def test_no_window_holds_a_whole_history(spark):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", plan)
         assert windows and all("__day" in keys or "__part" in keys or "__day" in order for keys, order in windows), plan
+
+
+def test_no_frame_shrinks_from_row_to_row(spark):
+    """A frame that ends with the key is read anew for every row: time in the square of a key's rows."""
+    df = spark.createDataFrame([("a", at(1), 1.0)], "device string, time timestamp, value double")
+    frames = [D.carried(df, ("device",), F.col("value"), "next", forward=False), J.state_held(df.withColumns({"start": F.col("time"), "stop": F.col("time")}), df, ("device",), "value", 1.0)]
+    assert not any("unboundedfollowing" in f._jdf.queryExecution().optimizedPlan().toString().lower() for f in frames)
