@@ -84,6 +84,38 @@ def pair_within(left: DataFrame, right: DataFrame, keys: Names, half: timedelta,
     return hits.unionByName(alone, allowMissingColumns=True)
 
 
+def pair_stats(left: DataFrame, right: DataFrame, keys: Names, half: timedelta, values: Names, spread: Names = (), time: str = "time") -> DataFrame:
+    """What pair_within and an aggregate over its pairs would give, without the pairs: a row a distinct left row, with n_<v>, avg_<v> and,
+    for those of `spread`, dev_<v> (population deviation) of the right values in [t - half, t + half). Counts are those of all copies of the left row.
+
+    Buckets are as wide as the interval, so it is the end of one bucket and the beginning of the next: a running sum from
+    either side, no differences. Time and memory are those of a sort by key and bucket, however many rows pair.
+    """
+    width = 2 * (half // timedelta(microseconds=1))
+    probe = F.col("__left").isNotNull()
+    own = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    ends = F.explode(F.array(*(F.struct((F.unix_micros(time) + d).alias("at"), F.lit(high).alias("high")) for d, high in ((-width // 2, False), (width // 2, True)))))
+    probes = own.select(*keys, F.struct(*own.columns).alias("__left"), ends.alias("__end")).select(*keys, "__left", F.coalesce("__end.at", F.lit(0)).alias("__at"), F.col("__end.high").alias("__high"))
+    known = right.dropna(subset=[*keys, time]).select(*keys, F.unix_micros(time).alias("__at"), *(F.col(v).cast("double").alias(f"__v_{v}") for v in values))
+    both = probes.unionByName(known, allowMissingColumns=True).withColumn("__bucket", F.floor(F.col("__at") / width))
+    part = W.partitionBy(*keys, "__bucket")
+    up = part.orderBy("__at", F.col("__left").isNull()).rowsBetween(W.unboundedPreceding, 0)  # a probe comes before rows of its own instant
+    down = part.orderBy(F.desc("__at"), F.col("__left").isNull().desc()).rowsBetween(W.unboundedPreceding, 0)  # and after them
+    found = {f"__{n}_{v}": F.when(probe, F.when(F.col("__high"), f(f"__v_{v}").over(up)).otherwise(f(f"__v_{v}").over(down))) for v in values for n, f in (("n", F.count), ("s", F.sum), *((("q", F.var_pop),) if v in spread else ()))}
+    halves = both.withColumns(found).filter(probe).select("__left", "__high", *found)
+    side = lambda c, high: F.coalesce(F.max(F.when(F.col("__high") == high, F.col(c))), F.lit(0))
+    both_sides = halves.groupBy("__left").agg(*(side(c, high).alias(f"{c}_{int(high)}") for c in found for high in (False, True)))
+    out = {}
+    for v in values:
+        (n0, n1), (s0, s1) = ([F.col(f"__{x}_{v}_{i}") for i in (0, 1)] for x in "ns")
+        out |= {f"n_{v}": (n0 + n1) * F.col("__left.__copies"), f"avg_{v}": F.try_divide(s0 + s1, n0 + n1)}
+        if v in spread:
+            q0, q1 = F.col(f"__q_{v}_0"), F.col(f"__q_{v}_1")
+            apart = F.coalesce(F.try_divide(s0, n0) - F.try_divide(s1, n1), F.lit(0.0))
+            out[f"dev_{v}"] = F.sqrt(F.try_divide(q0 * n0 + q1 * n1 + apart * apart * F.try_divide(n0 * n1, n0 + n1), n0 + n1))
+    return both_sides.select(*(F.col("__left")[c].alias(c) for c in left.columns), *(c.alias(k) for k, c in out.items()))
+
+
 def state_held(windows: DataFrame, states: DataFrame, keys: Names, state: str, value: float, look_back: timedelta = timedelta(days=7)) -> DataFrame:
     """Adds `held`: whether the state was `value` throughout [start, stop).
 

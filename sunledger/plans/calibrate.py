@@ -14,7 +14,7 @@ from ..functions import light as L
 from ..functions import solar
 from ..functions import time as T
 from ..operators import series as S
-from ..operators.joins import pair_within, state_held
+from ..operators.joins import pair_stats, state_held
 
 #: Gates: usable minutes, brightness span, drift.
 MIN_MINUTES, MIN_SPAN, MAX_DRIFT = 20, 2.0, 30.0
@@ -141,14 +141,16 @@ def cal_adoption(ppfd_cal: DataFrame, current: float, days: int = 5, stable_pct:
 
 def pair_meter(readings: DataFrame, air: DataFrame, spectrum: DataFrame, cal: float, half: timedelta = timedelta(minutes=2), least: int = 3, max_cv: float = 0.25) -> DataFrame:
     """Meter readings (device, time, ppfd, ...) with the means of co-timed samples; -1 where they don't pair."""
-    lux = pair_within(readings, air.select("device", "time", "lux", "lux_ref"), ("device",), half)
+    lux = pair_stats(readings, air.select("device", "time", "lux", "lux_ref"), ("device",), half, ("lux", "lux_ref"), ("lux",))
     names = list(readings.columns)
-    stats = lux.groupBy(*names).agg(F.count("lux").alias("n_lux"), F.avg("lux").alias("lux_at"), F.avg("lux_ref").alias("lux_ref_at"), S.variation("lux").alias("lux_cv"))
+    cv = F.when((F.col("n_lux") < 2) | (F.col("avg_lux") == 0), F.lit(0.0)).otherwise(F.try_divide("dev_lux", "avg_lux"))
+    stats = lux.select(*names, "n_lux", F.col("avg_lux").alias("lux_at"), F.col("avg_lux_ref").alias("lux_ref_at"), cv.alias("lux_cv"))
     full = L.all_present()
     clipped = L.any_at_least(C.FULL_SCALE)
     samples = spectrum.filter((F.col("mode") == "ambient") & full & ~clipped).select("device", "time", *C.CHANNELS, L.spectrum_ppfd(cal).alias("sample_ppfd"))
-    spec = pair_within(readings, samples, ("device",), half).groupBy(*names).agg(F.count("sample_ppfd").alias("n"), F.avg("sample_ppfd").alias("spec_ppfd_at"), *(F.avg(c).alias(c) for c in C.CHANNELS))
-    both = stats.join(spec, names)
+    spec = pair_stats(readings.select("device", "time"), samples, ("device",), half, ("sample_ppfd", *C.CHANNELS))
+    spec = spec.select("device", "time", F.col("n_sample_ppfd").alias("n"), F.col("avg_sample_ppfd").alias("spec_ppfd_at"), *(F.col(f"avg_{c}").alias(c) for c in C.CHANNELS))
+    both = stats.join(spec, ["device", "time"]).select(*names, "n_lux", "lux_at", "lux_ref_at", "lux_cv", "n", "spec_ppfd_at", *C.CHANNELS)
     paired = (F.col("n") >= least) & (F.col("n_lux") >= 1) & (F.coalesce("lux_cv", F.lit(0.0)) <= max_cv)
     marked = both.withColumn("paired", F.when(paired, 1.0).otherwise(0.0))
     return marked.withColumns({c: F.when(F.col("paired") == 1, F.coalesce(c, F.lit(-1.0))).otherwise(-1.0) for c in ("spec_ppfd_at", "lux_at", "lux_ref_at", *C.CHANNELS)}).withColumn("cal_at", F.lit(cal))

@@ -132,8 +132,8 @@ def _(t):
 
 @query("j06_pair_within", sql("meter air", "SELECT m.device, epoch_us(m.time) AS time, m.ppfd, count(a.lux) AS n, round(avg(a.lux), 6) AS lux FROM meter m LEFT JOIN air a ON a.device = m.device AND a.time >= m.time - INTERVAL 1 HOUR AND a.time < m.time + INTERVAL 1 HOUR GROUP BY ALL"))
 def _(t):
-    paired = J.pair_within(t.meter.select("device", "time", "ppfd"), t.air.select("device", "time", "lux"), ("device",), timedelta(hours=1))
-    return paired.groupBy("device", "time", "ppfd").agg(F.count("lux").alias("n"), F.avg("lux").alias("lux"))
+    paired = J.pair_stats(t.meter.select("device", "time", "ppfd"), t.air.select("device", "time", "lux"), ("device",), timedelta(hours=1), ("lux",))
+    return paired.select("device", "time", "ppfd", F.col("n_lux").alias("n"), F.col("avg_lux").alias("lux"))
 
 
 @query("j07_asof_join", sql("air lamp", """SELECT a.location, epoch_us(a.time) AS time, a.event_id, CASE WHEN a.time - l.time <= INTERVAL 7 DAY THEN l."on" END AS "on" FROM air a ASOF LEFT JOIN lamp l ON a.location = l.location AND a.time >= l.time"""))

@@ -317,3 +317,22 @@ def test_no_frame_shrinks_from_row_to_row(spark):
     df = spark.createDataFrame([("a", at(1), 1.0)], "device string, time timestamp, value double")
     frames = [D.carried(df, ("device",), F.col("value"), "next", forward=False), J.state_held(df.withColumns({"start": F.col("time"), "stop": F.col("time")}), df, ("device",), "value", 1.0)]
     assert not any("unboundedfollowing" in f._jdf.queryExecution().optimizedPlan().toString().lower() for f in frames)
+
+
+def test_pair_stats_equal_the_loop(spark):
+    """Copies of left rows count, borders are half-open, null keys pair with nothing; no step has a row a pair."""
+    rng = random.Random(14)
+    left = [(rng.choice(["a", "b", None]), rng.choice([rng.randrange(3000), 240 * rng.randrange(9)]), float(i % 4)) for i in range(60)]
+    left += left[:7] + [("alone", 7, 0.0)]
+    right = [(rng.choice(["a", "b", None]), rng.choice([rng.randrange(3000), 120 * rng.randrange(20)]), rng.choice([None, 1e6 + rng.random()])) for _ in range(300)]
+    l = spark.createDataFrame([(k, at(s), x) for k, s, x in left], "device string, time timestamp, x double")
+    r = spark.createDataFrame([(k, at(s), v) for k, s, v in right], "device string, time timestamp, v double")
+    found = J.pair_stats(l, r, ("device",), timedelta(minutes=2), ("v",), ("v",))
+    got = {(x["device"], seconds(x["time"]), x["x"]): (x["n_v"], x["avg_v"], x["dev_v"]) for x in found.collect()}
+    assert set(got) == set(left)
+    for k, s, x in set(left):
+        hits = [v for kk, t, v in right if v is not None and k is not None and kk == k and s - 120 <= t < s + 120]
+        n, mean, dev = got[k, s, x]
+        assert n == len(hits) * left.count((k, s, x))
+        assert (mean, dev) == (None, None) if not hits else (mean == pytest.approx(sum(hits) / len(hits), abs=1e-8) and dev == pytest.approx((sum((h - sum(hits) / len(hits)) ** 2 for h in hits) / len(hits)) ** 0.5, abs=1e-8))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
