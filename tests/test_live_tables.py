@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sunledger.operators import joins as J
 from sunledger.sources.snapshots import Conflict, SnapshotTable, upsert_snapshots
 from sunledger.streaming import jobs as Q
-from sunledger.streaming.matching import pair_live, requests_live
+from sunledger.streaming.matching import pair_live, pair_stats_live, requests_live
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -46,6 +46,21 @@ def test_pairs_of_two_streams_equal_the_batch_job(spark, tmp_path):
     assert max(state) < 100 and state[-1] <= 2  # what the bound has passed leaves the state
 
 
+def test_means_of_two_streams_equal_the_batch_job(spark, tmp_path):
+    """As many rows out as readings come in, in four rounds; the state holds lists a key and window, not rows."""
+    rng = random.Random(5)
+    left = spark.createDataFrame([(rng.choice(["a", "b"]), at(t), float(t)) for t in sorted(rng.sample(range(9000), 60))], "k string, time timestamp, x double")
+    right = spark.createDataFrame([(rng.choice(["a", "b"]), at(t), float(t)) for t in sorted(rng.sample(range(9000), 300))], "k string, time timestamp, y double")
+    end = spark.createDataFrame([("end", at(10**6), 0.0)], left.schema)
+    half = timedelta(seconds=100)
+    part = lambda k: (F.unix_seconds("time") >= F.lit(int(T0.timestamp()) + 3000 * k)) & (F.unix_seconds("time") < F.lit(int(T0.timestamp()) + (3000 * (k + 1) if k < 3 else 10**7)))
+    found, state = run(lambda l, r: pair_stats_live(l, r, ("k",), half, "y", timedelta(0)), [(left.union(end), part), (right.union(end.select("k", "time", F.lit(None).cast("double"))), part)], str(tmp_path), 4)
+    want = J.pair_within(left, right, ("k",), half).groupBy("k", "time", "x").agg(F.count("y").alias("n"), F.avg("y").alias("avg_y"))
+    key = lambda r: (r["k"], str(r["time"]), r["x"], r["n"], round(r["avg_y"] or -1.0, 6))
+    assert sorted(map(key, found.filter("k <> 'end'").collect())) == sorted(map(key, want.collect()))
+    assert max(state) < 60
+
+
 def test_requests_live_equal_the_batch_job(spark, tmp_path):
     rng = random.Random(2)
     asked = [(f"r{i}", at(600 * i), f"plant-{i % 3}") for i in range(20)]
