@@ -9,6 +9,8 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,19 +18,119 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SITE, Site
-from .days import KEY, with_runs
+from .days import DAY, KEY, dated, with_runs
 
 
 def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = (), days: int = 1) -> DataFrame:
     """Keeps the first of each key and drops its repeats up to ttl_ms after the kept one; later ones are new.
 
-    The time runs from the kept row, repeats don't extend it. A stretch without a pause longer than the ttl is an
-    island; islands don't affect each other. An island's first row stays, and what follows within the ttl goes, so only rows
-    beyond that need the scan. It reads them in order, batch by batch, with the last kept time as its state: neither a
-    key's history nor an island has to fit in memory. A key's rows of `days` days are put in order together.
+    The time runs from the kept row, repeats don't extend it. Rows are dealt once, by key and day (or stretch of `days` days), and read in order,
+    batch by batch, with the last kept time as state: neither a key's history nor a day has to fit in memory. After a pause longer
+    than the ttl all begins anew, so only a day's rows before its first pause depend on the day before. Those few, and
+    each day's last kept row, are put in order over the days in a second step. Rows without a time count as one instant before all others.
+    """
+    ttl = ttl_ms * 1000
+    names, columns, schema = [*keys, DAY], events.columns, T.StructType([*events.schema.fields, T.StructField("__kind", T.IntegerType())])
+    own = dated(events, keys, time, days).drop(KEY).withColumn("__us", F.coalesce(F.unix_micros(time), F.lit(-(1 << 62))))
+    ordered = own.repartition(*names).sortWithinPartitions(*names, "__us", *ties)
+    scanned = ordered.mapInArrow(lambda batches: _scan(batches, names, columns, ttl), schema)
+    # What is kept for certain, and what the second step decides with a day's last kept row before it.
+    sure, open_ = scanned.filter(F.col("__kind") == SURE).select(*columns), scanned.filter(F.col("__kind") != SURE).select(*columns)
+    return sure.unionByName(_dedup_islands(open_, keys, ttl_ms, time, ties, days))
+
+
+SURE, LAST, FIRST = 0, 1, 2
+
+
+def _scan(batches: Iterator[pa.RecordBatch], names: Sequence[str], columns: Sequence[str], ttl: int) -> Iterator[pa.RecordBatch]:
+    """Of rows in order by key, day and time: kept ones (`LAST`: a day's last), and all before a day's first pause (`FIRST`)."""
+
+    def told(rows: pa.RecordBatch, kinds: np.ndarray) -> pa.RecordBatch:
+        picked = rows.select(list(columns))
+        return pa.RecordBatch.from_arrays([*picked.columns, pa.array(kinds.astype("int32"))], names=[*columns, "__kind"])
+
+    here, first, before, last, held = None, True, 0, 0, None  # of the day so far: its name, whether no pause came, last time, last kept time and row
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        t = batch.column("__us").to_numpy(zero_copy_only=False)
+        starts = np.zeros(n, bool)
+        for c in names:
+            column = batch.column(c)
+            a, b = column.slice(0, n - 1), column.slice(1)
+            differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+            starts[1:] |= differs.to_numpy(zero_copy_only=False)
+        head = tuple(batch.column(c)[0].as_py() for c in names)
+        starts[0] = head != here
+        pause = ~starts
+        pause[1:] &= np.diff(t) > ttl
+        pause[0] &= t[0] - before > ttl
+        day = np.cumsum(starts)  # 0: the day of the batch before
+        paused = np.cumsum(pause)
+        base = np.where(starts, paused, 0)
+        np.maximum.accumulate(base, out=base)
+        unsure = (paused == base) & ((day > 0) | first)
+        # From a kept row to the first beyond the ttl, all islands at once; one that began in the batch before goes on from its last kept row.
+        edges = np.append(np.flatnonzero(starts | pause), n)
+        rank = np.searchsorted(edges, np.arange(n), "right")
+        flat = t - t[np.append(0, edges)[rank]] + rank * (1 << 45)  # over a year apart
+        follow = np.searchsorted(flat, flat + ttl, "right")
+        follow = np.where(rank[np.minimum(follow, n - 1)] == rank, follow, n)
+        kept = np.zeros(n + 1, bool)
+        front = edges[:-1]
+        if not (starts[0] or pause[0]):
+            i = int(np.searchsorted(t[: edges[0]], last + ttl, "right"))
+            front = np.append(front, i) if i < edges[0] else front
+        while len(front):
+            kept[front] = True
+            front = follow[front]
+            front = front[front < n]
+        kept = kept[:n] & ~unsure
+        # A day's last kept row is told when the next day comes.
+        if held is not None and starts[0]:
+            yield told(held, np.array([LAST]))
+            held = None
+        final = np.zeros(n, int)
+        picks = np.flatnonzero(kept)
+        if len(picks):
+            if held is not None and day[picks[0]] == 0:
+                yield told(held, np.array([SURE]))
+                held = None
+            ends = np.append(day[picks[1:]] != day[picks[:-1]], False)
+            final[picks[ends]] = LAST
+        if held is not None and day[-1] > 0:
+            yield told(held, np.array([LAST]))
+            held = None
+        keep = None
+        if len(picks):
+            if day[picks[-1]] == day[-1]:
+                keep = int(picks[-1])
+                held = pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array([keep])) for c in batch.schema.names}, schema=batch.schema)
+            else:
+                final[picks[-1]] = LAST
+        out = kept | unsure
+        if keep is not None:
+            out[keep] = False
+        final[unsure] = FIRST
+        if out.any():
+            yield told(batch.filter(pa.array(out)), final[out])
+        here, before, first = tuple(batch.column(c)[n - 1].as_py() for c in names), int(t[-1]), bool(unsure[-1])
+        if len(picks) and day[picks[-1]] == day[-1]:
+            last = int(t[picks[-1]])
+        elif day[-1] > 0:
+            last = -(1 << 62)
+    if held is not None:
+        yield told(held, np.array([LAST]))
+
+
+def _dedup_islands(events: DataFrame, keys: Sequence[str], ttl_ms: int, time: str, ties: Sequence[str], days: int) -> DataFrame:
+    """The same over whole histories of keys: a stretch without a pause longer than the ttl is an island, and islands don't affect each other.
+
+    An island's first row stays, and what follows within the ttl goes, so only rows beyond that need the scan.
     """
     order = (time, *ties)
-    pause = lambda a, b: F.unix_micros(b[time]) - F.unix_micros(a[time]) > ttl_ms * 1000
+    pause = lambda a, b: F.coalesce(F.unix_micros(b[time]) - F.unix_micros(a[time]) > ttl_ms * 1000, b[time].isNotNull())
     islands = with_runs(events, keys, (time,), pause, order, time, days).withColumnRenamed("__since", "__island").drop("__before", "__since_before")
     late = islands.withColumn("__since", (F.unix_micros(time) - F.unix_micros("__island")) / 1000).filter(F.col("__since") > ttl_ms)
     group = [*keys, "__island"]

@@ -336,3 +336,21 @@ def test_pair_stats_equal_the_loop(spark):
         assert n == len(hits) * left.count((k, s, x))
         assert (mean, dev) == (None, None) if not hits else (mean == pytest.approx(sum(hits) / len(hits), abs=1e-8) and dev == pytest.approx((sum((h - sum(hits) / len(hits)) ** 2 for h in hits) / len(hits)) ** 0.5, abs=1e-8))
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dedup_ttl_deals_rows_once(spark):
+    """Over midnights, days without a pause, repeats of one instant, null keys and rows without time; only what hangs on the day before is dealt again."""
+    rng = random.Random(15)
+    rows = [(k, s) for k in ("a", None) for s in [*(86_400 * d + rng.randrange(-400, 400) for d in range(1, 4) for _ in range(25)), *range(5 * 86_400 - 90, 6 * 86_400 + 90, 45), *(rng.randrange(700_000) for _ in range(40))]]
+    df = spark.createDataFrame([(k, at(s)) for k, s in [*rows, *rows[::3]]] + [("a", None), ("a", None)], "device string, recv_ts timestamp").repartition(3)
+    want, last = [("a", None)], {}
+    for k, s in sorted(rows, key=lambda x: (str(x[0]), x[1])):
+        if k not in last or s - last[k] > 60:
+            last[k] = s
+            want.append((k, s))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = dedup_ttl(df, ("device",))
+        assert sorted(((r["device"], seconds(r["recv_ts"])) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") >= 2
