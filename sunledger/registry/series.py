@@ -109,7 +109,9 @@ def _(t):
 
 @query("j02_resolve_plant", sql("event_raw tag_map", "SELECT e.device, coalesce(m.plant_id, 'unknown') AS plant_id, count(*) AS n, min(e.uid) AS uid FROM event_raw e LEFT JOIN tag_map m USING (uid) GROUP BY ALL"))
 def _(t):
-    return J.resolve_plant(t.event_raw, t.tag_map).groupBy("device", "plant_id").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
+    """Events are counted a tag first: the least text takes a sort, which then is one of tags, not of events."""
+    counted = t.event_raw.groupBy("device", "uid").agg(F.count(F.lit(1)).alias("n"))
+    return J.resolve_plant(counted, t.tag_map).groupBy("device", "plant_id").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"))
 
 
 @query("j03_backfill_unknown", sql("plant_weight tag_map", "SELECT plant_id, count(*) AS n FROM (SELECT CASE WHEN w.p = 'unknown' THEN coalesce(m.plant_id, 'unknown') ELSE w.p END AS plant_id FROM (SELECT *, CASE WHEN plant_id IN ('cactus-1', 'cactus-2') THEN 'unknown' ELSE plant_id END AS p FROM plant_weight) w LEFT JOIN tag_map m ON w.uid = m.uid) GROUP BY plant_id"))

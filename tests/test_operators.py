@@ -354,3 +354,12 @@ def test_dedup_ttl_deals_rows_once(spark):
         found = dedup_ttl(df, ("device",))
         assert sorted(((r["device"], seconds(r["recv_ts"])) for r in found.collect()), key=str) == sorted(want, key=str)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") >= 2
+
+
+def test_events_are_counted_before_tags_are_resolved(spark):
+    """The join and the sort for the least tag get a row a device and tag."""
+    from sunledger import registry
+
+    plan = registry.QUERIES["j02_resolve_plant"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert below.index("Aggregate [device") < below.index("Generate")
