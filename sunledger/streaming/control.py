@@ -95,15 +95,13 @@ class ControlLamp(StatefulProcessor):
         self.lamp, self.waiting = handle.getValueState("lamp", LAMP), handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, found = None, []
+        found = []
         for batch in rows:
             found += list(zip(batch["at"].tolist(), batch["kind"].tolist(), batch["lux"].tolist(), batch["cmd"].tolist()))
         if found:
             self.waiting.appendList([(int(a), int(k), float(x), c or "") for a, k, x, c in found])
-            first = min(a for a, *_ in found)
-        if first is not None and not self.lamp.exists():
-            # Not before these rows are final. Later on a timer for the next tick is always set.
-            self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+            # As soon as the first of these rows is final: the timer of the next tick may be due only after the stream's last watermark.
+            self.handle.registerTimer(max(-(-min(a for a, *_ in found) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame([], columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -119,7 +117,7 @@ class ControlLamp(StatefulProcessor):
         if lamp.next_tick is not None:
             self.lamp.update(lamp.kept())
         # Several timers of a location may expire at once: the first has done the work of all, and each tick has one timer.
-        following = lamp.next_tick if lamp.next_tick is not None else waiting[0][0]
+        following = min(t for t in (lamp.next_tick, waiting[len(now)][0] if len(now) < len(waiting) else None) if t is not None)
         self.handle.registerTimer(max(-(-following // 1000), upto // 1000 + 1))
         yield pd.DataFrame(out, columns=self.columns)
 

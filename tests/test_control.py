@@ -101,6 +101,18 @@ def test_live_equals_the_replay_over_batches_and_restarts(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != Q.ROCKSDB
 
 
+def test_live_tells_a_switch_before_the_next_tick_is_due(spark, tmp_path):
+    """The stream ends between a command and the tick after it: the watermark has passed the command, so it is told."""
+    at = T0 + timedelta(hours=1, seconds=10)
+    batches = [[("x", T0 + timedelta(minutes=m), 500.0, None, False)] for m in (0, 10, 20)] + [[("x", at, None, "on", False)], [("x", at + timedelta(seconds=20), None, "off", False)], [("end", at + timedelta(seconds=30), 0.0, None, True)]]
+    for part in batches:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    Q.start_typed(control_live(live, late="0 seconds"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    manual = spark.read.parquet(str(tmp_path / "out")).filter("source = 'manual'").orderBy("time").collect()
+    assert [(r["time"] - at.replace(tzinfo=None), r["state"]) for r in manual][-1] == (timedelta(seconds=20), "OFF")
+
+
 def test_state_goes_through_its_columns():
     """Kept and restored at any point, the controller goes on alike."""
     rows = sorted((int((t - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1)), 0 if lux is not None else 1, lux or 0.0, "" if lux is not None else "ON") for p, t, lux, s, r in raw(7) if p == "x")
