@@ -28,11 +28,14 @@ def escape_string(s: Column) -> Column:
     return F.regexp_replace(s, r'([\\"])', r"\\$1")
 
 
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def number(x: Column) -> Column:
     """Ten significant digits, null for values that line protocol can't hold."""
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     short = F.regexp_replace(F.regexp_replace(F.format_string("%.10g", x), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    return F.when(finite, short)
+    return F.when(finite(x), short)
 
 
 def outside(x: Column, low: float, high: float) -> Column:

@@ -161,3 +161,14 @@ def test_upserts_by_batches(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|footer"):  # a table that can't be read is never written over
         Q.upsert_batches(str(tmp_path / "broken"), ("k",), "day")(first, 0)
     assert (tmp_path / "broken/part-0.parquet").read_text() == "no table"
+
+
+def test_lines_are_made_and_matched_once(spark):
+    """However many parts are read from a line, the plan formats its number in one place."""
+    from sunledger.sources.line_protocol import add_tag, from_line_protocol, to_line_protocol
+
+    points = spark.createDataFrame([("a", 1.5, None), ("b", None, 'say "x, y=z"'), ("c", float("nan"), None)], "device string, lux double, note string").withColumn("time", F.timestamp_seconds(F.lit(5)))
+    lines = to_line_protocol(points, "air", ("device",), ("lux",), ("note",))
+    back = from_line_protocol(lines.select(add_tag(F.col("line"), "k", "v w").alias("line")))
+    assert sorted((r["tags"]["device"], r["tags"]["k"], r["field"], r["value"], r["value_str"]) for r in back.collect()) == [("a", "v w", "lux", 1.5, None), ("b", "v w", "note", None, 'say "x, y=z"')]
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("format_string(") == 1
