@@ -20,7 +20,7 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .annotated_csv import DROPPED
@@ -40,6 +40,8 @@ CELLS = T.StructType([T.StructField(n, k) for n, k in (("path", TEXT), ("row", T
 PRECISION = {"s": 1_000_000_000, "ms": 1_000_000, "us": 1000, "ns": 1}
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ROWS = 10_000
+#: How many heads, names or texts a task keeps in mind at once.
+MEMO = 10_000
 
 
 def register(spark: SparkSession) -> None:
@@ -166,40 +168,78 @@ def _plain(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", s)
 
 
-def parse(line: str, unit_ns: int) -> tuple[str, dict, list[tuple[str, float | None, str | None]], int | None] | None:
-    """(measurement, tags, [(field, number, text)], time in microseconds) of a line; None if it isn't one."""
+def _kept(memo: dict, key, make: Callable):
+    """The value of a key, made once while few others are asked for."""
+    found = memo.get(key)
+    if found is None:
+        if len(memo) >= MEMO:
+            memo.clear()
+        found = memo[key] = make(key)
+    return found
+
+
+def _head(head: str) -> tuple[str | None, list[tuple[str, str]]]:
+    parts = _PART.findall(head)
+    return (_plain(parts[0]) if parts else None), list({_plain(p[1]): _plain(p[2]) for x in parts[1:] if (p := _PAIR.fullmatch(x))}.items())
+
+
+def parse(line: str, unit_ns: int, heads: dict, names: dict) -> tuple[str, list[tuple[str, str]], list[tuple[str, float | None, str | None]], int | None] | None:
+    """(measurement, tags, [(field, number, text)], time in microseconds) of a line; None if it isn't one.
+
+    A measurement and its tags, and a field's name, come again and again: `heads` and `names` keep what they are.
+    """
     m = _LINE.fullmatch(line)
     if not m:
         return None
     head, body, stamp = m.groups()
-    parts = _PART.findall(head)
-    if not parts:
+    measurement, tags = _kept(heads, head, _head)
+    if measurement is None:
         return None
-    tags = {_plain(p[1]): _plain(p[2]) for x in parts[1:] if (p := _PAIR.fullmatch(x))}
     found = []
     for x in _FIELD.findall(body):
         name, raw = _PAIR.fullmatch(x).groups()
-        quoted = raw.startswith('"')
-        found.append((_plain(name), None if quoted or not _NUMBER.fullmatch(raw) else float(raw), _plain(raw[1:-1]) if quoted else None))
-    return _plain(parts[0]), tags, found, int(stamp) * unit_ns // 1000 if stamp else None
+        name = _kept(names, name, _plain) if name else ""
+        if raw.startswith('"'):
+            found.append((name, None, _plain(raw[1:-1]) if "\\" in raw else raw[1:-1]))
+        else:
+            found.append((name, float(raw) if _NUMBER.fullmatch(raw) else None, None))
+    return measurement, tags, found, int(stamp) * unit_ns // 1000 if stamp else None
 
 
 def _escaped(s: str) -> str:
     return re.sub(r"([\\ ,=])", r"\\\1", re.sub(r"[\r\n]+", " ", s))
 
 
-def to_line(row, unit_ns: int) -> str | None:
-    """A row as a line; None if it has no value that a line can hold."""
-    if row.measurement is None or row.field is None:
-        return None
-    if row.value_str is not None:
-        value = '"' + re.sub(r'([\\"])', r"\\\1", re.sub(r"[\r\n]+", " ", row.value_str)) + '"'
-    elif row.value is not None and math.isfinite(row.value):
-        value = repr(float(row.value))
-    else:
-        return None
-    head = ",".join([_escaped(row.measurement), *(f"{_escaped(k)}={_escaped(v)}" for k, v in sorted((row.tags or {}).items()) if v is not None)])
-    return f"{head} {_escaped(row.field)}={value}" + ("" if row.time is None else f" {micros(row.time) * 1000 // unit_ns}")
+def _quoted(text: str) -> str:
+    return '"' + re.sub(r'([\\"])', r"\\\1", re.sub(r"[\r\n]+", " ", text)) + '"'
+
+
+def _start(series: tuple[str, tuple[tuple[str, str | None], ...]]) -> str:
+    measurement, tags = series
+    return ",".join([_escaped(measurement), *(f"{_escaped(k)}={_escaped(v)}" for k, v in sorted(tags) if v is not None)])
+
+
+def _tags(column: pa.MapArray) -> list[tuple]:
+    """The pairs of each row."""
+    at, pairs, live = column.offsets.to_pylist(), list(zip(column.keys.to_pylist(), column.items.to_pylist())), column.is_valid().to_pylist()
+    return [tuple(pairs[a:b]) if ok else () for a, b, ok in zip(at, at[1:], live)]
+
+
+def to_lines(batch: pa.RecordBatch, unit_ns: int, heads: dict, names: dict, texts: dict) -> Iterator[tuple[str, int | None]]:
+    """(line, its time in microseconds) of the rows that have a value which a line can hold."""
+    by = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    times = by["time"].cast(pa.timestamp("us", by["time"].type.tz)).cast(pa.int64()).to_pylist()
+    for measurement, tags, field, value, text, at in zip(by["measurement"].to_pylist(), _tags(by["tags"]), by["field"].to_pylist(), by["value"].to_pylist(), by["value_str"].to_pylist(), times):
+        if measurement is None or field is None:
+            continue
+        if text is not None:
+            told = _kept(texts, text, _quoted)
+        elif value is not None and math.isfinite(value):
+            told = repr(value)
+        else:
+            continue
+        line = f"{_kept(heads, (measurement, tags), _start)} {_kept(names, field, _escaped) if field else ''}={told}"
+        yield (line if at is None else f"{line} {at * 1000 // unit_ns}"), at
 
 
 class PointsReader(DataSourceReader):
@@ -219,8 +259,9 @@ class PointsReader(DataSourceReader):
         if not partition.path:
             return
         rows: list[tuple] = []
+        heads, names = {}, {}
         for line in lines(partition.path, place(self.path)[0], partition.start, partition.end):
-            if (found := parse(line, self.unit)) and self.range.holds(found[3]):
+            if (found := parse(line, self.unit, heads, names)) and self.range.holds(found[3]):
                 rows += [(found[0], found[1], *field, found[3]) for field in found[2]]
             if len(rows) >= ROWS:
                 yield self._batch(rows)
@@ -231,7 +272,6 @@ class PointsReader(DataSourceReader):
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
         schema = to_arrow_schema(POINTS)
         columns = list(zip(*rows))
-        columns[1] = [list(t.items()) for t in columns[1]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
@@ -271,7 +311,7 @@ class Written(WriterCommitMessage):
     high: int | None
 
 
-class PointsWriter(DataSourceWriter):
+class PointsWriter(DataSourceArrowWriter):
     """A task writes a file of its own; the commit names the files of all tasks that succeeded, so those of failed ones are never seen."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -281,20 +321,20 @@ class PointsWriter(DataSourceWriter):
         system, folder = place(self.path)
         system.create_dir(folder, recursive=True)
         name, low, high, size, sink = f"points-{uuid.uuid4().hex}.lp", None, None, 0, None
-        for row in iterator:
-            line = to_line(row, self.unit)
-            if line is None:
+        heads, names, texts = {}, {}, {}
+        for batch in iterator:
+            told = list(to_lines(batch, self.unit, heads, names, texts))
+            if not told:
                 continue
             if sink is None:
                 sink = system.open_output_stream(f"{folder}/{name}")
-            raw = line.encode() + b"\n"
+            raw = "".join([line + "\n" for line, _ in told]).encode()
             sink.write(raw)
             size += len(raw)
-            if row.time is not None:
-                at = micros(row.time)
-                low, high = at if low is None else min(low, at), at if high is None else max(high, at)
-            else:
-                low, high = -(1 << 62), 1 << 62  # a row without a time: no filter may skip the file
+            times = [at for _, at in told if at is not None]
+            if len(times) < len(told):
+                times = [-(1 << 62), 1 << 62]  # a row without a time: no filter may skip the file
+            low, high = min(times) if low is None else min(low, *times), max(times) if high is None else max(high, *times)
         if sink is not None:
             sink.close()
         return Written(name if sink is not None else "", size, low, high)

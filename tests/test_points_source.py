@@ -117,3 +117,20 @@ def test_csv_blocks_by_schema_and_by_cell(spark, tmp_path):
     assert df.filter("_time > timestamp'2024-01-02'").count() == 1
     cells = spark.read.format("annotatedcsv").load(str(tmp_path))
     assert sorted((r["column"], r["value"]) for r in cells.collect()) == sorted([("_time", "2024-01-01T00:00:00Z"), ("lux", "1.5"), ("note", 'a, "b"'), ("_time", "2024-01-02T00:00:00+08:00"), ("lux", "x"), ("_time", "2024-01-03T00:00:00Z"), ("on", "true")])
+
+
+def test_a_series_is_escaped_and_read_once(monkeypatch):
+    """Lines come from Arrow batches; what a series and a line's head are is worked out once a task, not once a row."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    calls = []
+    for name in ("_start", "_head"):
+        monkeypatch.setattr(P, name, lambda x, inner=getattr(P, name): calls.append(x) or inner(x))
+    rows = [("my air", [("k", "a b"), ("gone", None)], "te mp", float(i), 'say "hi"' if i % 2 else None, i if i % 3 else None) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), to_arrow_schema(P.POINTS).types)], schema=to_arrow_schema(P.POINTS))
+    told = list(P.to_lines(batch, 1000, {}, {}, {}))
+    assert told[:2] == [("my\\ air,k=a\\ b te\\ mp=0.0", None), ('my\\ air,k=a\\ b te\\ mp="say \\"hi\\"" 1', 1)]
+    heads, names = {}, {}
+    assert [P.parse(line, 1000, heads, names) for line, _ in told] == [("my air", [("k", "a b")], [("te mp", None if i % 2 else float(i), 'say "hi"' if i % 2 else None)], i if i % 3 else None) for i in range(100)]
+    assert len(calls) == 2
