@@ -51,14 +51,23 @@ def stream_ingest(messages: DataFrame, tag_keys: Sequence[str] = (), string_fiel
     return json_to_points(routed, tag_keys, string_fields)
 
 
-def dedup_stream(events: DataFrame, ttl_ms: int = 60_000, keys: Sequence[str] = ("device", "event_id"), time: str = "recv_ts", late: str = "60 seconds", buckets: int = 64) -> DataFrame:
+#: How many buckets of keys dedup_stream deals rows over, for streams that begin anew.
+BUCKETS = 2048
+
+
+def in_buckets(events: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    return events.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+
+
+def dedup_stream(events: DataFrame, ttl_ms: int = 60_000, keys: Sequence[str] = ("device", "event_id"), time: str = "recv_ts", late: str = "60 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Keeps the first of each key and drops its repeats up to ttl_ms after the kept one, in whatever batch they come; later ones are new.
 
     As dedup_ttl, over a stream. Keys are dealt over hash buckets, and a bucket's state has the kept times that a row above the
     watermark can still repeat. A row that comes after later ones of its key repeats a kept row that is up to ttl_ms away on either side.
+    A task's Python holds one bucket's rows of a batch at a time. A stream that goes on from a checkpoint needs the number of buckets it began with.
     """
     names, schema, columns = list(keys), events.schema, events.columns
-    marked = events.withWatermark(time, late).withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+    marked = in_buckets(events.withWatermark(time, late), names, buckets)
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept: dict[str, list[int]] = json.loads(state.get[0]) if state.exists else {}

@@ -172,3 +172,9 @@ def test_lines_are_made_and_matched_once(spark):
     back = from_line_protocol(lines.select(add_tag(F.col("line"), "k", "v w").alias("line")))
     assert sorted((r["tags"]["device"], r["tags"]["k"], r["field"], r["value"], r["value_str"]) for r in back.collect()) == [("a", "v w", "lux", 1.5, None), ("b", "v w", "note", None, 'say "x, y=z"')]
     assert back._jdf.queryExecution().optimizedPlan().toString().count("format_string(") == 1
+
+
+def test_a_bucket_of_a_stream_is_a_small_part_of_a_batch(spark):
+    """What a task's Python holds at once: of 200,000 keys in one batch no more than some 150."""
+    rows = spark.range(200_000).select(F.concat(F.lit("st-"), F.col("id") % 7).alias("device"), F.col("id").alias("event_id"))
+    assert Q.in_buckets(rows, ("device", "event_id")).groupBy("__bucket").count().agg(F.max("count")).first()[0] < 200
