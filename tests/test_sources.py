@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunledger.operators import series as S
+from sunledger.sources import adapters
 from sunledger.sources import messages as I
 from sunledger.sources import tables as B
 from sunledger.streaming import jobs as Q
@@ -178,3 +179,15 @@ def test_a_bucket_of_a_stream_is_a_small_part_of_a_batch(spark):
     """What a task's Python holds at once: of 200,000 keys in one batch no more than some 150."""
     rows = spark.range(200_000).select(F.concat(F.lit("st-"), F.col("id") % 7).alias("device"), F.col("id").alias("event_id"))
     assert Q.in_buckets(rows, ("device", "event_id")).groupBy("__bucket").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_a_task_groups_few_rows_to_weights(spark, monkeypatch):
+    """As many tasks as the rows ask for, not as adaptive execution merges them; upserts by the same keys deal them no further."""
+    sf_dir = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, adapters.Tables(spark, sf_dir).plant_weight.collect()))
+    monkeypatch.setattr(adapters, "GROUPED", 300)
+    weights = adapters.Tables(spark, sf_dir).plant_weight
+    assert max(r["n"] for r in weights.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) < 600
+    merged = B.upsert_points(weights, weights.withColumn("quality", F.lit("heavy")), ("plant_id", "device", "time"))
+    assert merged.rdd.getNumPartitions() == weights.rdd.getNumPartitions() >= len(whole) / 300 and {r[0] for r in merged.select("quality").distinct().collect()} == {"heavy"}
+    assert sorted(map(tuple, weights.collect())) == whole and merged.count() == len(whole)
