@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 Names = Sequence[str]
 
 KEY, DAY = "__key", "__day"
+#: Tasks for each configured shuffle partition where a task holds all of its rows.
+FINER = 4
 
 
 def dated(df: DataFrame, by: Names, time: str, days: int = 1) -> DataFrame:
@@ -26,6 +28,11 @@ def dated(df: DataFrame, by: Names, time: str, days: int = 1) -> DataFrame:
     return df.withColumns({KEY: F.struct(*by), DAY: F.coalesce(day, F.lit("0001-01-01").cast("date"))})
 
 
+def dealt(df: DataFrame, *names: str) -> DataFrame:
+    """The rows dealt by these columns over FINER times as many tasks as configured, which adaptive execution never merges."""
+    return df.repartition(FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+
+
 def with_neighbours(df: DataFrame, by: Names, columns: Names, order: Names = ("time",), before: str | None = None, after: str | None = None, time: str = "time") -> DataFrame:
     """Adds the struct of `columns` of the row before and of the row after, under the given names; null where there is none.
 
@@ -34,13 +41,11 @@ def with_neighbours(df: DataFrame, by: Names, columns: Names, order: Names = ("t
     own, row, rank = dated(df, by, time), F.struct(*columns), F.struct(*order)
     edges = own.groupBy(KEY, DAY).agg(F.min_by(row, rank).alias("__first"), F.max_by(row, rank).alias("__last"))
     days, inside = W.partitionBy(KEY).orderBy(DAY), W.partitionBy(KEY, DAY).orderBy(*order)
-    joined = own.join(edges.select(KEY, DAY, F.lag("__last").over(days).alias("__earlier"), F.lead("__first").over(days).alias("__later")), [KEY, DAY])
-    found = {}
-    if before:
-        found[before] = F.coalesce(F.lag(row).over(inside), F.col("__earlier"))
-    if after:
-        found[after] = F.coalesce(F.lead(row).over(inside), F.col("__later"))
-    return joined.withColumns(found).drop(KEY, DAY, "__earlier", "__later")
+    found = {name: (step, far) for name, step, far in ((before, F.lag, "__earlier"), (after, F.lead, "__later")) if name}
+    # Before the join: the order of the windows serves a merge join too, so that a task puts its rows in order once.
+    near = dealt(own, KEY, DAY).withColumns({name: step(row).over(inside) for name, (step, _) in found.items()})
+    joined = near.join(edges.select(KEY, DAY, F.lag("__last").over(days).alias("__earlier"), F.lead("__first").over(days).alias("__later")), [KEY, DAY])
+    return joined.withColumns({name: F.coalesce(name, far) for name, (_, far) in found.items()}).drop(KEY, DAY, "__earlier", "__later")
 
 
 def carried(df: DataFrame, by: Names, value: Column, to: str, order: Names = ("time",), time: str = "time", forward: bool = True) -> DataFrame:

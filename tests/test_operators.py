@@ -296,6 +296,20 @@ def test_windows_over_days_equal_the_loop(spark):
             assert all(sums[x] == sum(own[max(0, i + 1 - n) : i + 1]) for i, x in enumerate(own))
 
 
+def test_neighbours_put_the_rows_in_order_once(spark):
+    """In tasks that aren't merged, and under a merge join in the order that the join has too."""
+    df = spark.range(400).select((F.col("id") % 3).alias("device"), F.timestamp_seconds(F.col("id") * 7_000).alias("time"), F.col("id").alias("grams"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = D.with_neighbours(df, ("device",), ("grams",), before="b", after="a")
+        assert {r["grams"]: (r["b"] and r["b"][0], r["a"] and r["a"][0]) for r in found.collect()} == {i: (i - 3 if i > 2 else None, i + 3 if i < 397 else None) for i in range(400)}
+        assert found.rdd.getNumPartitions() == D.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[-1].split("Exchange")[0]
+        assert rows.count("Sort [") == 1 and "Window" in rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_window_holds_a_whole_history(spark):
     """Windows over rows have the day or the part among their keys; those without are over one row a day."""
     import re
