@@ -6,156 +6,198 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import SITE, Site
-from .days import DAY, KEY, dated, with_runs
+from .days import DAY, KEY
 
 
-def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = (), days: int = 1) -> DataFrame:
+#: The instant of rows without a time: before all others.
+NEVER = -(1 << 62)
+DAY_US = 86_400_000_000
+#: How far into a stretch a pause is looked for at which rows can be cut.
+LOOK_US = 6 * 3_600_000_000
+
+
+def dedup_ttl(events: DataFrame, keys: Sequence[str], ttl_ms: int = 60_000, time: str = "recv_ts", ties: Sequence[str] = (), days: int = 1, again: Column | None = None) -> DataFrame:
     """Keeps the first of each key and drops its repeats up to ttl_ms after the kept one; later ones are new.
 
-    The time runs from the kept row, repeats don't extend it. Rows are dealt once, by key and day (or stretch of `days` days), and read in order,
-    batch by batch, with the last kept time as state: neither a key's history nor a day has to fit in memory. After a pause longer
-    than the ttl all begins anew, so only a day's rows before its first pause depend on the day before. Those few, and
-    each day's last kept row, are put in order over the days in a second step. Rows without a time count as one instant before all others.
+    The time runs from the kept row, repeats don't extend it. After a pause longer than the ttl all begins anew, so each key's rows are cut at
+    the first pause of each day (or stretch of `days` days, see in_pauses), dealt by key and piece and read in order once, batch by batch, with the last kept
+    time as state: neither a key's history nor a day has to fit in memory. Rows without a time count as one instant before all others.
+    With `again` a row stands for its repeats: an array of the milliseconds, not negative, after its time at which it comes (0: then). They are
+    made where they are read, so they are neither dealt nor put in order by Spark; a row without any doesn't come at all.
     """
-    ttl = ttl_ms * 1000
-    names, columns, schema = [*keys, DAY], events.columns, T.StructType([*events.schema.fields, T.StructField("__kind", T.IntegerType())])
-    own = dated(events, keys, time, days).drop(KEY).withColumn("__us", F.coalesce(F.unix_micros(time), F.lit(-(1 << 62))))
-    ordered = own.repartition(*names).sortWithinPartitions(*names, "__us", *ties)
-    scanned = ordered.mapInArrow(lambda batches: _scan(batches, names, columns, ttl), schema)
-    # What is kept for certain, and what the second step decides with a day's last kept row before it.
-    sure, open_ = scanned.filter(F.col("__kind") == SURE).select(*columns), scanned.filter(F.col("__kind") != SURE).select(*columns)
-    return sure.unionByName(_dedup_islands(open_, keys, ttl_ms, time, ties, days))
+    columns, names = events.columns, [*keys, FROM]
+    ordered = in_pauses(events, keys, ttl_ms * 1000, time, days, again).repartition(*names).sortWithinPartitions(*names, time)
+    told = ordered if again is None else ordered.withColumn(AGAIN, again.cast("array<bigint>"))
+    return told.mapInArrow(lambda batches: _scan(batches, names, columns, time, ties, ttl_ms * 1000), events.schema)
 
 
-SURE, LAST, FIRST = 0, 1, 2
+FROM, AGAIN = "__from", "__again"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], names: Sequence[str], columns: Sequence[str], ttl: int) -> Iterator[pa.RecordBatch]:
-    """Of rows in order by key, day and time: kept ones (`LAST`: a day's last), and all before a day's first pause (`FIRST`)."""
+def in_pauses(rows: DataFrame, keys: Sequence[str], ttl: int, time: str, days: int, again: Column | None = None) -> DataFrame:
+    """Cuts each key's rows where more than `ttl` microseconds lie before a row and after all repeats (`again`) of those before it. Adds the pieces' FROM.
 
-    def told(rows: pa.RecordBatch, kinds: np.ndarray) -> pa.RecordBatch:
-        picked = rows.select(list(columns))
-        return pa.RecordBatch.from_arrays([*picked.columns, pa.array(kinds.astype("int32"))], names=[*columns, "__kind"])
+    The first such pause in the first hours of a stretch of days counts, for which only the rows around there are put in order. A
+    stretch that has none there goes on with the one before, and one without rows there is cut where it begins.
+    """
+    span = days * DAY_US
+    look, floor = min(span, max(span // 32, LOOK_US)), lambda at: at - F.pmod(at, F.lit(span))
+    at, end = F.unix_micros(time), F.col("__end")
+    ends = rows.withColumn("__end", at if again is None else at + F.array_max(again) * 1000)
+    # A row counts where it lies at most `look` after a stretch's beginning, or where it or a repeat comes at most the ttl before that.
+    low, high = floor(at - look) + span, floor(end + ttl)
+    near = ends.select(*keys, at.alias("__at"), end, F.explode(F.when(low <= high, F.sequence(low, high, F.lit(span)))).alias(DAY))
+    names = [*keys, DAY]
+    schema = T.StructType([*(near.schema[c] for c in names), T.StructField("__cut", T.LongType())])
+    cuts = near.repartition(*names).sortWithinPartitions(*names, "__at").mapInArrow(lambda batches: _cuts(batches, names, ttl, look), schema)
+    over = W.partitionBy(KEY).orderBy(DAY)
+    alone = F.coalesce(F.lag(DAY).over(over) != F.col(DAY) - span, F.lit(True))
+    edges = cuts.withColumn(KEY, F.struct(*keys)).withColumn("__alone", F.when(alone, F.col(DAY) - span)).withColumn("__start", F.coalesce("__cut", "__alone"))
+    before = F.coalesce("__alone", F.last("__start", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)))
+    own = rows.withColumns({KEY: F.struct(*keys), DAY: F.coalesce(floor(at), F.lit(NEVER))})
+    placed = own.join(edges.select(KEY, DAY, "__cut", before.alias("__before")), [KEY, DAY], "left")
+    start = F.when(F.col("__before").isNull(), F.col(DAY)).when(at >= F.col("__cut"), F.col("__cut")).otherwise(F.col("__before"))
+    return placed.withColumn(FROM, start).drop(KEY, DAY, "__cut", "__before")
+
+
+def _starts(rows: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Whether a row's names differ from those of the row before; nulls are equal."""
+    n = rows.num_rows
+    starts = np.zeros(n, bool)
+    for c in names:
+        column = rows.column(c)
+        a, b = column.slice(0, n - 1), column.slice(1)
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        starts[1:] |= differs.to_numpy(zero_copy_only=False)
+    return starts
+
+
+def _cuts(batches: Iterator[pa.RecordBatch], names: Sequence[str], ttl: int, look: int) -> Iterator[pa.RecordBatch]:
+    """Of rows in order by names and time: for each of the names the first pause, where the look ahead ends if all is over by then, or null."""
+    held, reached, cut = None, NEVER, None  # of the stretch so far: its names, how far its rows and their repeats reach, its cut
+
+    def told(head: pa.RecordBatch, found: list[int | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*head.columns, pa.array(found, pa.int64())], names=[*names, "__cut"])
+
+    def over(day: int) -> int | None:
+        return cut if cut is not None else day + look if reached < day + look - ttl else None
 
-    here, first, before, last, held = None, True, 0, 0, None  # of the day so far: its name, whether no pause came, last time, last kept time and row
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        t = batch.column("__us").to_numpy(zero_copy_only=False)
-        starts = np.zeros(n, bool)
-        for c in names:
-            column = batch.column(c)
-            a, b = column.slice(0, n - 1), column.slice(1)
-            differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-            starts[1:] |= differs.to_numpy(zero_copy_only=False)
-        head = tuple(batch.column(c)[0].as_py() for c in names)
-        starts[0] = head != here
-        pause = ~starts
-        pause[1:] &= np.diff(t) > ttl
-        pause[0] &= t[0] - before > ttl
-        day = np.cumsum(starts)  # 0: the day of the batch before
-        paused = np.cumsum(pause)
-        base = np.where(starts, paused, 0)
-        np.maximum.accumulate(base, out=base)
-        unsure = (paused == base) & ((day > 0) | first)
-        # From a kept row to the first beyond the ttl, all islands at once; one that began in the batch before goes on from its last kept row.
-        edges = np.append(np.flatnonzero(starts | pause), n)
-        rank = np.searchsorted(edges, np.arange(n), "right")
-        flat = t - t[np.append(0, edges)[rank]] + rank * (1 << 45)  # over a year apart
-        follow = np.searchsorted(flat, flat + ttl, "right")
-        follow = np.where(rank[np.minimum(follow, n - 1)] == rank, follow, n)
-        kept = np.zeros(n + 1, bool)
-        front = edges[:-1]
-        if not (starts[0] or pause[0]):
-            i = int(np.searchsorted(t[: edges[0]], last + ttl, "right"))
-            front = np.append(front, i) if i < edges[0] else front
-        while len(front):
-            kept[front] = True
-            front = follow[front]
-            front = front[front < n]
-        kept = kept[:n] & ~unsure
-        # A day's last kept row is told when the next day comes.
-        if held is not None and starts[0]:
-            yield told(held, np.array([LAST]))
-            held = None
-        final = np.zeros(n, int)
-        picks = np.flatnonzero(kept)
-        if len(picks):
-            if held is not None and day[picks[0]] == 0:
-                yield told(held, np.array([SURE]))
-                held = None
-            ends = np.append(day[picks[1:]] != day[picks[:-1]], False)
-            final[picks[ends]] = LAST
-        if held is not None and day[-1] > 0:
-            yield told(held, np.array([LAST]))
-            held = None
-        keep = None
-        if len(picks):
-            if day[picks[-1]] == day[-1]:
-                keep = int(picks[-1])
-                held = pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array([keep])) for c in batch.schema.names}, schema=batch.schema)
-            else:
-                final[picks[-1]] = LAST
-        out = kept | unsure
-        if keep is not None:
-            out[keep] = False
-        final[unsure] = FIRST
-        if out.any():
-            yield told(batch.filter(pa.array(out)), final[out])
-        here, before, first = tuple(batch.column(c)[n - 1].as_py() for c in names), int(t[-1]), bool(unsure[-1])
-        if len(picks) and day[picks[-1]] == day[-1]:
-            last = int(t[picks[-1]])
-        elif day[-1] > 0:
-            last = -(1 << 62)
+        heads = batch.select(list(names))
+        same = held is not None and not _starts(pa.Table.from_batches([held, heads.slice(0, 1)]).combine_chunks().to_batches()[0], names)[1]
+        if held is not None and not same:
+            yield told(held, [over(held.column(DAY)[0].as_py())])
+        at, end, day = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__at", "__end", DAY))
+        edges = [0, *np.flatnonzero(_starts(batch, names)).tolist(), batch.num_rows]
+        found = []
+        for low, high in zip(edges, edges[1:], strict=False):
+            if low or not same:
+                reached, cut = NEVER, None
+            far = np.maximum.accumulate(np.append(reached, end[low:high]))
+            if cut is None:
+                pauses = (at[low:high] >= day[low]) & (at[low:high] - far[:-1] > ttl)
+                first = int(pauses.argmax())
+                cut = int(at[low + first]) if pauses[first] else None
+            reached = int(far[-1])
+            found.append(over(int(day[low])))
+        if len(found) > 1:
+            yield told(heads.take(pa.array(edges[:-2])), found[:-1])
+        held = heads.slice(edges[-2], 1)
     if held is not None:
-        yield told(held, np.array([LAST]))
+        yield told(held, [over(held.column(DAY)[0].as_py())])
 
 
-def _dedup_islands(events: DataFrame, keys: Sequence[str], ttl_ms: int, time: str, ties: Sequence[str], days: int) -> DataFrame:
-    """The same over whole histories of keys: a stretch without a pause longer than the ttl is an island, and islands don't affect each other.
+def _least(rows: pa.RecordBatch, ties: Sequence[str]) -> np.ndarray:
+    """Each row's place in the order of ties: nulls first, NaN last."""
+    table, order = {}, []
+    for c in ties:
+        column = rows.column(c)
+        if pa.types.is_floating(column.type):
+            table[f"{c} NaN"] = pc.fill_null(pc.is_nan(column), False)
+            order.append((f"{c} NaN", "ascending"))
+        table[c] = column
+        order.append((c, "ascending"))
+    places = np.empty(rows.num_rows, int)
+    places[pc.sort_indices(pa.table(table), sort_keys=order, null_placement="at_start").to_numpy()] = np.arange(rows.num_rows)
+    return places
 
-    An island's first row stays, and what follows within the ttl goes, so only rows beyond that need the scan.
+
+def _scan(batches: Iterator[pa.RecordBatch], names: Sequence[str], columns: Sequence[str], time: str, ties: Sequence[str], ttl: int) -> Iterator[pa.RecordBatch]:
+    """Of rows in order by names and time, what is kept.
+
+    What comes before the last row's time is decided with each batch; rows that come then or later again wait for the next.
     """
-    order = (time, *ties)
-    pause = lambda a, b: F.coalesce(F.unix_micros(b[time]) - F.unix_micros(a[time]) > ttl_ms * 1000, b[time].isNotNull())
-    islands = with_runs(events, keys, (time,), pause, order, time, days).withColumnRenamed("__since", "__island").drop("__before", "__since_before")
-    late = islands.withColumn("__since", (F.unix_micros(time) - F.unix_micros("__island")) / 1000).filter(F.col("__since") > ttl_ms)
-    group = [*keys, "__island"]
-    spread, columns = late.repartition(*group).sortWithinPartitions(*group, "__since", *ties), events.columns
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, last = None, 0.0
-        for batch in batches:
-            if batch.empty:
-                continue
-            run = batch.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
-            edges = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
-            since, kept = batch["__since"].to_numpy(), np.zeros(len(batch), bool)
-            if str(batch[group].iloc[0].tolist()) != here:  # only the first island can go on from the batch before
-                last = 0.0
-            for low, high in zip(edges, [*edges[1:], len(batch)], strict=True):
-                last = 0.0 if low else last
-                i = low + int(np.searchsorted(since[low:high], last + ttl_ms, "right"))
-                while i < high:  # jumps from one kept row to the next
-                    kept[i], last = True, float(since[i])
-                    i = low + int(np.searchsorted(since[low:high], last + ttl_ms, "right"))
-            here = str(batch[group].iloc[-1].tolist())
-            yield batch.loc[kept, columns]
-
-    return islands.filter("__new").select(*events.columns).unionByName(spread.mapInPandas(scan, events.schema))
+    rest, done, last = None, NEVER, None  # of the piece that the batch before ended in: rows that wait, up to when it is decided, its last kept time
+    for batch in chain((b for b in batches if b.num_rows), [None]):
+        both = [b for b in (rest, batch) if b is not None]
+        if not both:
+            return
+        rows = pa.Table.from_batches(both).combine_chunks().to_batches()[0]
+        at = pc.fill_null(rows.column(time).cast(pa.int64()), NEVER).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(_starts(rows, names))
+        row, when = np.arange(len(at)), at
+        if AGAIN in rows.schema.names:
+            lists = rows.column(AGAIN)
+            row = np.repeat(row, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            when = np.where(at[row] == NEVER, NEVER, at[row] + lists.flatten().to_numpy(zero_copy_only=False) * 1000)
+        if rest is not None:
+            left = (when >= done) | (piece[row] > 0)
+            row, when = row[left], when[left]
+        if AGAIN in rows.schema.names:
+            order = np.lexsort((when, piece[row]))
+            row, when = row[order], when[order]
+        of = piece[row]
+        # Time in which no pause and no step to another piece is longer than just beyond the ttl: the first row beyond it is the same, over all pieces at once.
+        flat = np.append(0, np.cumsum(np.where(of[1:] != of[:-1], ttl + 1, np.minimum(np.diff(when), ttl + 1))))
+        follow = np.searchsorted(flat, flat + ttl, "right").tolist()
+        i = 0 if last is None else int(np.searchsorted(when[: np.searchsorted(of, 0, "right")], last + ttl, "right"))
+        final = len(when)
+        if batch is not None:
+            begun = int(np.searchsorted(of, piece[-1]))
+            final = begun + int(np.searchsorted(when[begun:], at[-1]))
+        kept = []
+        while i < final:  # from a kept row to the first beyond the ttl
+            kept.append(i)
+            i = follow[i]
+        if kept and of[kept[-1]] == piece[-1]:
+            last = int(when[kept[-1]])
+        elif piece[-1] > 0:
+            last = None
+        if kept:
+            picks = np.array(kept)
+            chosen, alike = row[picks], np.searchsorted(flat, flat[picks], "right") - picks
+            disputed = np.flatnonzero(alike > 1)
+            if ties and len(disputed):
+                # Of one instant the row that is the first by ties.
+                begin = np.cumsum(alike[disputed]) - alike[disputed]
+                claims = row[np.repeat(picks[disputed] - begin, alike[disputed]) + np.arange(alike[disputed].sum())]
+                some, place = np.unique(claims, return_inverse=True)
+                rank = _least(rows.take(pa.array(some)), ties)
+                least = np.minimum.reduceat(rank[place], begin)
+                chosen[disputed] = some[np.argsort(rank)[least]]
+            out = rows.take(pa.array(chosen)).select(list(columns))
+            if AGAIN in rows.schema.names:
+                kind = out.schema.field(time).type
+                moved = pa.array(when[picks], pa.int64(), mask=when[picks] == NEVER).cast(kind)
+                out = out.set_column(list(columns).index(time), time, moved)
+            yield out
+        if batch is not None:
+            rest, done = rows.take(pa.array(np.union1d(row[final:], len(at) - 1))), int(at[-1])
 
 
 @dataclass

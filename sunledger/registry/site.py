@@ -26,10 +26,9 @@ from .series import DAY, MINUTE, SUM_S, _windows
 # -- weigh station --------------------------------------------------------------------------------
 
 
-def _bursts(t):
-    """Weigh events in bursts, some of which last longer than the ttl. Equal rows needn't go first: a repeat at the same time is one like others."""
-    more = t.event_raw.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4 * 3).cast("int"))))
-    return more.select("device", "event_id", "uid", "weight_g", F.timestamp_seconds(F.unix_seconds("recv_ts") + 25 * F.col("k")).alias("recv_ts"))
+def _bursts():
+    """The milliseconds after a weigh event at which it comes. Some bursts last longer than the ttl."""
+    return F.sequence(F.lit(0), (F.col("event_id") % 4 * 75_000).cast("int"), F.lit(25_000))
 
 
 #: Of one key and time the first row counts; from each kept time on to the first beyond the ttl, in steps of all keys at once.
@@ -42,7 +41,7 @@ _BURSTS = "bursts AS (SELECT DISTINCT device, event_id, uid, weight_g, recv_ts +
 
 @query("t02_dedup_ttl", sql("event_raw", "SELECT device, event_id, e.uid, e.g AS weight_g, epoch_us(recv_ts) AS recv_ts FROM kept", f"{_BURSTS}, {_WALK}"))
 def _dedup_all(t):
-    return dedup_ttl(_bursts(t), ("device", "event_id"), ties=("uid", "weight_g"), days=64).select("device", "event_id", "uid", "weight_g", "recv_ts")
+    return dedup_ttl(t.event_raw, ("device", "event_id"), ties=("uid", "weight_g"), days=64, again=_bursts()).select("device", "event_id", "uid", "weight_g", "recv_ts")
 
 
 @query(

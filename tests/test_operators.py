@@ -14,7 +14,7 @@ from sunledger.operators import joins as J
 from sunledger.operators import ranked as R
 from sunledger.operators import series as S
 from sunledger.operators import sets as U
-from sunledger.operators.ordered import dedup_ttl
+from sunledger.operators.ordered import dedup_ttl, in_pauses
 from sunledger.plans import monitor as M
 from sunledger.plans import weights as P
 from sunledger.sources import annotated_csv, line_protocol, messages
@@ -370,6 +370,65 @@ def test_dedup_ttl_deals_rows_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") >= 2
 
 
+def kept_of(rows, ttl):
+    """(key, second, tie) of what a loop keeps; of one instant the least tie."""
+    want, last = [], {}
+    for k, s, tie in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2] is not None, r[2])):
+        if k not in last or s - last[k] > ttl:
+            last[k] = s
+            want.append((k, s, tie))
+    return sorted(want, key=str)
+
+
+def test_repeats_are_made_in_the_scan(spark):
+    """Rows that stand for their repeats, over batches and midnights, equal the repeats as rows; ties between repeats of different rows go to the least."""
+    rng = random.Random(4)
+    sent = [(k, rng.randrange(-900, 900) + 86_400 * rng.randrange(4), rng.choice([None, "p", "q", "r"]), [25 * i + 3 * j for i in range(rng.choice([1, 4, 10])) for j in range(rng.choice([1, 3]))]) for k in ("a", "b", None) for _ in range(300)]
+    df = spark.createDataFrame([(k, at(s), u, [1000 * x for x in more]) for k, s, u, more in sent] + [("a", None, "z", [0, 9000]), ("b", at(0), "none", [])], "device string, recv_ts timestamp, uid string, more array<int>").repartition(3)
+    want = kept_of([(k, s + x, u) for k, s, u, more in sent for x in more], 60)
+    for size in ("7", "10000"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for days in (1, 64):
+            found = dedup_ttl(df, ("device",), ties=("uid",), days=days, again=F.col("more")).collect()
+            assert [(r["device"], r["uid"]) for r in found if r["recv_ts"] is None] == [("a", "z")]
+            assert sorted(((r["device"], seconds(r["recv_ts"]), r["uid"]) for r in found if r["recv_ts"] is not None), key=str) == want
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_lifetime_of_days_over_years(spark):
+    """An island longer than a year, and a lifetime longer than the stretch by which rows are dealt."""
+    rows = [(k, 60_000 * i + 7 * k, None) for k in range(3) for i in range(900)]
+    df = spark.createDataFrame([(k, at(s)) for k, s, _ in rows], "device int, recv_ts timestamp")
+    for ttl in (86_400, 3 * 86_400):
+        found = dedup_ttl(df, ("device",), ttl_ms=1000 * ttl).collect()
+        assert sorted(((r["device"], seconds(r["recv_ts"]), None) for r in found), key=str) == kept_of(rows, ttl)
+
+
+def test_dedup_ttl_reads_its_rows_once(spark):
+    """The pauses are found on times alone, and one scan of the rows follows; no row of a burst is dealt."""
+    from sunledger import registry
+
+    plan = registry.QUERIES["t02_dedup_ttl"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    scans = [x for x in plan.splitlines() if "MapInArrow" in x or "MapInPandas" in x]
+    assert len(scans) == 2 and sum("weight_g" in x for x in scans) == 1
+    assert plan.index("__again") < plan.index("RepartitionByExpression")
+
+
+def test_pieces_begin_at_pauses(spark):
+    """A key of many days is many pieces; days without a pause go on with the one before."""
+    rng = random.Random(9)
+    rows = [("a", 86_400 * d + rng.randrange(86_400)) for d in range(20) for _ in range(30)] + [("b", s) for s in range(0, 5 * 86_400, 50)] + [("c", 86_400 * d + s) for d in (1, 2, 9) for s in (-30, 20, 70, 5000)]
+    df = spark.createDataFrame([(k, at(s)) for k, s in rows], "device string, recv_ts timestamp")
+    found = {}
+    for r in in_pauses(df, ("device",), 60_000_000, "recv_ts", 1).collect():
+        found.setdefault(r["device"], {}).setdefault(r["__from"], []).append(seconds(r["recv_ts"]))
+    assert len(found["a"]) == 20 and len(found["b"]) == 1 and len(found["c"]) == 5
+    for pieces in found.values():
+        spans = sorted((min(p), max(p)) for p in pieces.values())
+        assert all(b[0] - a[1] > 60 for a, b in zip(spans, spans[1:]))
+
+
 def test_events_are_counted_before_tags_are_resolved(spark):
     """The join and the sort for the least tag get a row a device and tag."""
     from sunledger import registry
