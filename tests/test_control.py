@@ -1,8 +1,10 @@
 """The lamp controller: replay by stretches against one sequence, and live against the replay."""
 
 import random
+import tracemalloc
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -13,7 +15,7 @@ from sunledger.config import SITE
 from sunledger.operators.ordered import Lamp, in_stretches, night_cut, replay_light
 from sunledger.plans import control as C
 from sunledger.streaming import jobs as Q
-from sunledger.streaming.control import LiveLamp, control_live
+from sunledger.streaming.control import CMDS, DAY_US, PART_US, ROW, TOGETHER, ControlLamp, LiveLamp, control_live
 
 T0 = datetime(2024, 3, 28, tzinfo=UTC)
 ROWS = "location string, time timestamp, kind string, lux double, lux_age_s double, minute int, local_day date, dli double, cmd string"
@@ -123,3 +125,84 @@ def test_state_goes_through_its_columns():
         first = list(lamp.advance(rows[: cut + 1], at))
         assert first + list(LiveLamp(SITE, lamp.kept()).advance(rows[cut + 1 :], upto)) == whole
     assert list(LiveLamp(SITE).advance([], upto)) == []
+
+
+class Store(dict):
+    """A location's state in memory, for values, lists and maps; knows the largest piece that was ever put at once."""
+
+    most = 0
+    getValue, removeKey = dict.get, dict.pop
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+    def updateValue(self, key, value):
+        Store.most = max(Store.most, len(value[0]))
+        self[key] = value
+
+    def appendList(self, values):
+        Store.most = max(Store.most, 25 * len(values))
+        self.setdefault(None, []).extend(values)
+
+
+class Handle:
+    """What the controller asks of Spark."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Store())
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_rows_of_a_large_batch_wait_by_parts():
+    """A batch of 300,000 rows in any order: state takes and gives ten minutes' rows at a time, memory follows those, and the switches are those of one walk."""
+    days, n = 30, 300_000
+    rng = random.Random(11)
+    begin = int(T0.timestamp()) * 1_000_000
+    rows = [(begin + rng.randrange(days * 86_400) * 1_000_000, *((0, rng.choice([500.0, 9000.0, 30000.0]), 0) if rng.random() < 0.5 else (1, 0.0, rng.choice([1, 2])))) for _ in range(n)]
+    batches = [pd.DataFrame(rows[i : i + 10_000], columns=["at", "kind", "lux", "cmd"]) for i in range(0, n, 10_000)]
+    upto = begin + days * DAY_US - 90_000_000
+    want = list(LiveLamp(SITE).advance(sorted((a, k, x, CMDS[c]) for a, k, x, c in rows if a <= upto), upto))
+    lamp, clock = ControlLamp(SITE, ["location", "time", "state", "source"]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    lamp.init(handle := Handle())
+    del rows
+    Store.most = 0
+    tracemalloc.start()
+    assert sum(map(len, lamp.handleInputRows(("x",), iter(batches), clock))) == 0
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000 + n * ROW.itemsize
+    assert handle.timers and Store.most < 10_000
+    tracemalloc.reset_peak()
+    held, found = tracemalloc.get_traced_memory()[0], 0
+    clock.getCurrentWatermarkInMs = lambda: upto // 1000
+    for frame in lamp.handleExpiredTimer(("x",), clock, None):
+        part = list(zip(frame["time"].astype("datetime64[us]").astype("int64"), frame["state"], frame["source"]))
+        assert part == want[found : found + len(part)] and len(part) <= TOGETHER
+        found += len(part)
+    assert found == len(want) > TOGETHER
+    assert tracemalloc.get_traced_memory()[1] < held + 40_000_000
+    tracemalloc.stop()
+    left = handle.states["packed"]
+    assert sum(len(v[0]) for v in left.values()) < 200 * ROW.itemsize and all(k[0] * PART_US > upto - PART_US for k in left)
+
+
+def test_rows_that_waited_in_a_list_are_taken_over():
+    """A checkpoint made before rows were packed."""
+    lamp, clock = ControlLamp(SITE, ["location", "time", "state", "source"]), SimpleNamespace(getCurrentWatermarkInMs=lambda: int(T0.timestamp()) * 1000 + 90_000)
+    lamp.init(handle := Handle())
+    begin = int(T0.timestamp()) * 1_000_000
+    handle.states["waiting"].appendList([(begin + 70_000_000, 1, 0.0, "OFF"), (begin + 60_000_000, 1, 0.0, "ON"), (begin + 5_000_000_000, 1, 0.0, "ON")])
+    frame = pd.concat(list(lamp.handleExpiredTimer(("x",), clock, None)))
+    assert frame[["state", "source"]].values.tolist() == [["ON", "auto"], ["OFF", "manual"]]
+    assert not handle.states["waiting"] and len(handle.states["packed"]) == 1
