@@ -35,8 +35,8 @@ ROW = np.dtype([("at", "<i8"), ("kind", "i1"), ("lux", "<f8"), ("cmd", "i1")])
 CMDS = ("", "OFF", "ON")
 #: Rows wait by so much of their time.
 PART_US = 600_000_000
-#: Rows that are packed, unpacked or told together, at most.
-TOGETHER = 50_000
+#: Rows that are unpacked or told together, at most; and packed ones beyond which those of a batch go into state.
+TOGETHER, PACKED = 50_000, 250_000
 
 
 class LiveLamp(Lamp):
@@ -149,7 +149,7 @@ class ControlLamp(StatefulProcessor):
             if len(some):
                 first, n = min(first, int(some["at"].min())), n + len(some)
                 held.append(some)
-            if n > TOGETHER:
+            if n > PACKED:
                 self.wait(np.concatenate(held))
                 held, n = [], 0
         if held:
